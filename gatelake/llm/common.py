@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -63,3 +64,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns, text as string with null as empty; whatever else the table has is left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """df's schema with more fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
