@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, warc
+from . import decontam, langid, ngram_join, packing, pii, warc
 from .common import read_table
 
 #: The demonstration key of the registered query; real jobs pass their own.
@@ -80,3 +80,11 @@ ORACLE["op4_decontamination"] = r"""
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under 4-word shingle Jaccard of 0.85 or more."""
+    return ngram_join.join_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op10_ngram_join"] = op10_ngram_join
