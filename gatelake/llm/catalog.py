@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngram_join, packing, pii, warc
+from . import decontam, langid, ngram_join, packing, pii, substring_dedup, suffix_dedup, warc
 from .common import read_table
 
 #: The demonstration key of the registered query; real jobs pass their own.
@@ -88,3 +88,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_ngram_join"] = op10_ngram_join
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 200-byte strings that start anywhere else, too."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), keep_first=False)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that start earlier, too."""
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op3_suffix_dedup": op3_suffix_dedup, "op6_substring_dedup": op6_substring_dedup}
