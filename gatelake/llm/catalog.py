@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngram_join, packing, pii, substring_dedup, suffix_dedup, warc
+from . import decontam, langid, line_dedup, ngram_join, packing, pii, substring_dedup, suffix_dedup, warc
 from .common import read_table
 
 #: The demonstration key of the registered query; real jobs pass their own.
@@ -101,3 +101,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_suffix_dedup": op3_suffix_dedup, "op6_substring_dedup": op6_substring_dedup}
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that equal, or nearly equal, an earlier one."""
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
