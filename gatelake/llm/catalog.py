@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, ngram_join, packing, pii, substring_dedup, suffix_dedup, warc
+from . import decontam, langid, line_dedup, ngram_join, packing, pii, search, substring_dedup, suffix_dedup, warc
 from .common import read_table
 
 #: The demonstration key of the registered query; real jobs pass their own.
@@ -109,3 +109,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
+
+
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each whole document whose id is divisible by 100."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = search.top_k(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+QUERIES["op1_search"] = op1_search
+ORACLE["op1_search"] = r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t FROM documents),
+    tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+    dl AS (SELECT doc_id, coalesce(sum(tf), 0)::DOUBLE AS dl FROM documents LEFT JOIN tf USING (doc_id) GROUP BY doc_id),
+    s AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
+    idf AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, s GROUP BY t, n),
+    sc AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+           FROM tf q JOIN tf d USING (t) JOIN idf USING (t) JOIN dl ON dl.doc_id = d.doc_id, s WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM sc)
+    SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
