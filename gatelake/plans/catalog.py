@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries_events, queries_samples  # noqa: F401
+from .registry import ORACLE, QUERIES
+
 FLAGSHIP = "gate_strategy"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
