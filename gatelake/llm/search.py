@@ -117,6 +117,7 @@ def _searched(queries, mean: float, k: int, k1: float, b: float):
     """Rows sorted by shard: id, shard, n, terms, counts -> query, id, score."""
 
     def answers(rows: list[tuple]) -> pa.RecordBatch:
+        rows = [r for r in rows if r[0] is not None]
         ids = np.array([r[0] for r in rows], np.int64)
         bags = [(np.frombuffer(r[3], U), np.frombuffer(r[4], np.uint32)) for r in rows]
         index = Shard(ids, np.array([r[2] for r in rows], np.float64), bags, mean, k1, b)
@@ -148,7 +149,7 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, k1: float = K1, b:
 
     A query is the set of its text's distinct terms, whole texts on both sides; idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Documents that share no term
     aren't returned; scores are rounded to DIGITS places and ties go to the smaller id; rows that share an id are documents of their own. Null and empty texts have no terms but
-    count as documents. Queries are sent to all shards QUERY_BLOCK at a time. Terms are 64-bit hashes.
+    count as documents; so do rows without an id, which are never returned, and queries without one aren't asked. Queries are sent to all shards QUERY_BLOCK at a time. Terms are 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -156,7 +157,7 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, k1: float = K1, b:
     bags = staged(rows.mapInArrow(_bags, schema), "bags")
     total = bags.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).head()
     asked = queries.select(F.col(query_col).cast("long").alias("doc_id"), F.coalesce(F.col(query_text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_bags, schema)
-    asked = asked.select(F.col("doc_id").alias("query_id"), "terms")
+    asked = asked.where("doc_id is not null").select(F.col("doc_id").alias("query_id"), "terms")
     df = bags.select("terms").mapInArrow(_counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     cells = staged(asked.mapInArrow(_exploded, "query_id long, term long").join(df, "term"), "query_terms")
     idf = F.log1p((total.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
