@@ -143,7 +143,7 @@ class CellClassifier:
     def learning_curve(self, train: DataFrame, test: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 1.0), metric: str = "balanced_accuracy", id_col: str = "event_id") -> list[tuple[float, float]]:
         out = []
         for s in shares:
-            part = train if s >= 1 else split(train, s, id_col)[1]
+            part = train if s >= 1 else split(train, s, id_col, seed=1)[1]
             model = CellClassifier(self.features, self.label, self.kind, self.params, self.scale, self.balanced).fit(part)
             out.append((s, metrics(model.predict(test), self.label, "predicted", (metric,))[metric]))
         return out
