@@ -25,8 +25,8 @@ K1, B, K = 1.2, 0.75, 10
 DIGITS = 6
 #: Documents of a block and of a shard, and queries that are sent to all shards at a time (their terms are broadcast).
 BLOCK, SHARD_DOCS, QUERY_BLOCK = 64, 8192, 2048
-#: Blocks scored between two looks at the k-th best score.
-STEP = 4
+#: Blocks scored between two looks at the k-th best score: at first, and at most.
+STEP, MOST_STEP = 4, 32
 
 
 def terms_of(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -76,8 +76,8 @@ class Shard:
         self.term_cells = np.append(np.searchsorted(self.cell_start[:-1], first), len(self.cell_block))
         self.blocks = -(-len(ids) // BLOCK)
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents that share a term, ties by smaller id."""
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best documents that share a term and score at least `floor`, ties by smaller id."""
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
@@ -93,11 +93,13 @@ class Shard:
         by_block = np.argsort(block, kind="stable")
         starts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         best_ids, best = self.ids[:0], np.zeros(0)
-        for i in range(0, self.blocks, STEP):
-            some = order[i : i + STEP]
-            if len(best) == k:
-                some = some[bound[some] * (1 + 1e-9) + 10.0**-DIGITS >= best[-1]]  # scores are rounded and summed in another order
-            if not len(some) or bound[some[0]] <= 0:
+        i, step = 0, STEP
+        while i < self.blocks:
+            some = order[i : i + step]
+            i, step = i + step, min(2 * step, MOST_STEP)
+            least = max(floor, best[-1]) if len(best) == k else floor
+            some = some[(bound[some] > 0) & (bound[some] * (1 + 1e-9) + 10.0**-DIGITS >= least)]  # scores are rounded and summed in another order
+            if not len(some):
                 break
             own = np.concatenate([by_block[starts[x] : starts[x + 1]] for x in some])
             own.sort()  # by term, so that every document's score is summed in one order
@@ -115,6 +117,7 @@ class Shard:
 
 def _searched(queries, mean: float, k: int, k1: float, b: float):
     """Rows sorted by shard: id, shard, n, terms, counts -> query, id, score."""
+    floors: list[list[float]] = []
 
     def answers(rows: list[tuple]) -> pa.RecordBatch:
         rows = [r for r in rows if r[0] is not None]
@@ -122,8 +125,9 @@ def _searched(queries, mean: float, k: int, k1: float, b: float):
         bags = [(np.frombuffer(r[3], U), np.frombuffer(r[4], np.uint32)) for r in rows]
         index = Shard(ids, np.array([r[2] for r in rows], np.float64), bags, mean, k1, b)
         q, d, s = [], [], []
-        for query, terms, idf in queries.value:
-            found, scores = index.search(terms, idf, k)
+        for i, (query, terms, idf) in enumerate(queries.value):
+            found, scores = index.search(terms, idf, k, floors[i][0] if len(floors[i]) == k else 0.0)
+            floors[i] = sorted([*floors[i], *scores.tolist()])[-k:]  # what this task's shards have reached: later ones must match it
             q.append(np.full(len(found), query, np.int64))
             d.append(found)
             s.append(scores)
@@ -131,6 +135,7 @@ def _searched(queries, mean: float, k: int, k1: float, b: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
+        floors[:] = [[] for _ in queries.value]
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if row[1] != at and held:
