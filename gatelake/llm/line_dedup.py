@@ -100,6 +100,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in lines], pa.int64()), pa.array(did, pa.int64()), pa.array(no, pa.int32())], names=["line", "did", "no"])
 
 
+def _segment(length: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment i of lines of the given lengths, as in `segments`."""
+    n = threshold + 1
+    size, more = length // n, length % n
+    return i * size + np.maximum(i - (n - more), 0), size + (i >= n - more)
+
+
 def _keys(lines: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Index and probe keys: line, key, whether it probes; and the lines' character classes."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -109,21 +116,24 @@ def _keys(lines: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.
     sums = np.zeros(len(points) + 1, U)
     np.cumsum(values * hashing.powers(hashing.BASE, len(points)), dtype=U, out=sums[1:])
     rows: list[tuple[np.ndarray, ...]] = []
-    by_length = np.argsort(length, kind="stable")
-    for same in np.split(by_length, np.flatnonzero(np.diff(length[by_length])) + 1):
-        if not len(same):
-            continue
-        n = int(length[same[0]])
-        wanted = [(i, at, size, n, 0) for i, (at, size) in enumerate(segments(n, threshold))]
-        wanted += [(i, at, size, of, 1) for of in range(max(n - threshold, threshold + 1), n + 1) for i, at, size in probes(n, of, threshold)]
-        for i, at, size, of, probing in wanted:
-            start = first[same] + at
-            with np.errstate(over="ignore"):
-                key = hashing.mix(hashing.between(sums, start, start + size) + U((of << 8) + i) * U(hashing.BASE))
-            rows.append((same, key, np.full(len(same), probing, np.int64)))
+
+    def add(some: np.ndarray, start: np.ndarray, size: np.ndarray, i: int, of: np.ndarray, probing: int) -> None:
+        with np.errstate(over="ignore"):
+            place = ((of[some] << 8) + i).astype(U) * U(hashing.BASE)
+            key = hashing.mix(hashing.between(sums, (first + start)[some], (first + start + size)[some]) + place)
+        rows.append((some, key, np.full(len(some), probing, np.int64)))
+
+    every = np.arange(len(lines))
+    for i in range(threshold + 1):
+        add(every, *_segment(length, i, threshold), i, length, 0)
+        for more in range(threshold + 1):
+            of = length - more
+            at, size = _segment(of, i, threshold)
+            for shift in range(max(-i, more - (threshold - i)), min(i, more + threshold - i) + 1):
+                add(np.flatnonzero((of > threshold) & (at + shift >= 0) & (at + shift <= length - size)), at + shift, size, i, of, 1)
     line, key, probing = (np.concatenate(x) for x in zip(*rows, strict=True))
-    counts = np.zeros((len(lines), CLASSES), np.int64)
-    np.add.at(counts, (np.repeat(np.arange(len(lines)), length), (values >> U(60)).astype(np.int64)), 1)
+    cell = np.repeat(every * CLASSES, length) + (values >> U(60)).astype(np.int64)
+    counts = np.bincount(cell, minlength=len(lines) * CLASSES).reshape(-1, CLASSES)
     classes = ((counts & 3) << (2 * np.arange(CLASSES))).sum(axis=1)
     return line, key, probing, classes
 

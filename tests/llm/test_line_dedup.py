@@ -51,6 +51,18 @@ def test_banded_distance_and_segments(k):
             assert any(large[s : s + n] == parts[i] for i, s, n in line_dedup.probes(len(large), len(small), k))
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_keys_are_those_of_segments_and_probes(k):
+    lines = ["".join(random.Random(n).choices("abc", k=n)) for n in range(k + 1, 30)]
+    line, key, probing, _ = line_dedup._keys(lines, k)
+    for i, x in enumerate(lines):
+        n = len(x)
+        assert ((line == i) & (probing == 0)).sum() == k + 1
+        assert ((line == i) & (probing == 1)).sum() == sum(len(line_dedup.probes(n, of, k)) for of in range(max(n - k, k + 1), n + 1))
+        starts, sizes = zip(*(line_dedup._segment(np.array([n]), j, k) for j in range(k + 1)), strict=True)
+        assert [(int(a[0]), int(b[0])) for a, b in zip(starts, sizes, strict=True)] == line_dedup.segments(n, k)
+
+
 def brute(texts, k, least):
     first = {}
     for i, t in enumerate(texts):
