@@ -10,8 +10,9 @@ length. Ranks come from per-partition counts, so no key is ever gathered into on
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Encoded chunks that a worker keeps; beyond that it starts over. Affects speed only.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 
 
 class TightestFit:
@@ -97,44 +98,87 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if the file is a plain byte-level BPE whose merges are in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, split = said["model"], said.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or said.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    # Byte-level vocabularies print each byte as a character: printable Latin-1 as itself, the rest from U+0100 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {t["content"] for t in said.get("added_tokens", [])}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get(x + y) for x, y in pairs]
+    if None in ids or any(x >= y for x, y in zip(ids[:-1], ids[1:], strict=True)):
+        return None
+    return {bytes(byte_of[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
+
+
+class Kept(dict):
+    """Ids by chunk (without its leading space), made when first asked for."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.make(chunk)
+        if len(chunk) < 64:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers; those of the tokenizer in the given file.
 
-    The tokenizer splits a text before it merges bytes, and always in front of a space or line feed that other characters
-    surround. So chunks between those are encoded once and kept. Texts with other white space or special
+    A byte-level tokenizer cuts a text before it merges bytes, and always cuts in front of a single space or behind a single line feed. So
+    the chunks between these are encoded once and kept. Texts with other runs of white space or with special
     tokens go to the tokenizer whole.
     """
 
-    chunks = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-    unusual = re.compile(r"[^\S \n]|<\|")
+    #: The split pattern of byte-level BPE, and white space besides space and line feed.
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    spaces = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        if ranks := merge_ranks(path):
+            import tiktoken
+
+            bpe = tiktoken.Encoding("chunks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+            ids = lambda x: array("I", bpe.encode_ordinary(x)).tobytes()
+            self.first, self.kept, self.feed = Kept(ids), Kept(lambda x: ids(" " + x)), ids("\n")
+        else:
+            self.kept = None
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def plain(self, text: str) -> bool:
+        """Only single spaces and line feeds between chunks, and no special tokens."""
+        if "  " in text or " \n" in text or "\n\n" in text or "<|" in text or text[-1] in " \n":
+            return False
+        return not any(c in text for c in (self.spaces[:8] if text.isascii() else self.spaces))
+
     def __call__(self, text: str) -> bytes:
-        if self.unusual.search(text):
+        if not text:
+            return b""
+        if self.kept is None or not self.plain(text):
             return self.direct(text)
-        kept, parts = self.kept, self.chunks.findall(text)
-        try:
-            return b"".join(map(kept.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(kept) > CACHE_ENTRIES:
-            kept.clear()
-        out = []
-        for x in parts:
-            if (ids := kept.get(x)) is None:
-                ids = self.direct(x)
-                if len(x) < 64:
-                    kept[x] = ids
-            out.append(ids)
-        return b"".join(out)
+        for x in (self.kept, self.first):
+            if len(x) > CACHE_ENTRIES:
+                x.clear()
+        lines = []
+        for line in text.split("\n"):
+            head, *tail = line.split(" ")
+            lines.append((self.first[head] if head else b"") + b"".join(map(self.kept.__getitem__, tail)))
+        return self.feed.join(lines)
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
