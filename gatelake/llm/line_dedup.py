@@ -2,7 +2,7 @@
 
 A line is cut into threshold + 1 segments. A line that differs from it in at most `threshold` edits has one of the segments unchanged, at a place
 that length and segment number bound. Each distinct line is indexed by its segments and probes the indexes of its own and slightly
-smaller lengths with the substrings at those places. Rows carry counts of characters in 16 classes, which tell nearly all
+smaller lengths with the substrings at those places. Rows carry counts (modulo 16) of characters in 16 classes, which tell nearly all
 unequal lines apart before their text is looked at; a banded bit-parallel edit distance decides.
 
 Only whether a line has an earlier near-copy is asked, so a group of many like lines needs no pairs: each line is verified against the
@@ -25,7 +25,7 @@ from .hashing import U
 from .repeats import numbered
 
 THRESHOLD, LEAST_CHARS = 2, 16
-TRIES = 3
+TRIES = 8
 #: Documents whose lines are verified are broadcast up to so many ids; beyond that their texts are found by a shuffle join.
 BROADCAST_IDS = 200_000
 CLASSES = 16
@@ -134,12 +134,12 @@ def _keys(lines: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.
     line, key, probing = (np.concatenate(x) for x in zip(*rows, strict=True))
     cell = np.repeat(every * CLASSES, length) + (values >> U(60)).astype(np.int64)
     counts = np.bincount(cell, minlength=len(lines) * CLASSES).reshape(-1, CLASSES)
-    classes = ((counts & 3) << (2 * np.arange(CLASSES))).sum(axis=1)
-    return line, key, probing, classes
+    classes = ((counts & 15).astype(U) << U(4) * np.arange(CLASSES, dtype=U)).sum(axis=1, dtype=U)
+    return line, key, probing, hashing.signed(classes)
 
 
 def _indexed(threshold: int, least: int):
-    """Documents -> key, line, did, packed (classes, number, probing) of each batch's distinct lines."""
+    """Documents -> key, line, did, packed (number, probing), classes of each batch's distinct lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,21 +160,20 @@ def _indexed(threshold: int, least: int):
                 line, key, probing, classes = _keys([lines[i] for i in part], threshold)
                 ids = np.array([line_hash(lines[i]) for i in part], np.int64)
                 where, number = np.array([did[i] for i in part], np.int64), np.array([no[i] for i in part], np.int64)
-                packed = (classes[line] << 32) | (number[line] << 1) | probing
-                yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(key)), pa.array(ids[line]), pa.array(where[line]), pa.array(packed)], names=["key", "line", "did", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(key)), pa.array(ids[line]), pa.array(where[line]), pa.array((number[line] << 1) | probing), pa.array(classes[line])], names=["key", "line", "did", "packed", "classes"])
 
     return run
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A lower bound of how far the character counts of two lines are apart."""
-    shift = np.arange(CLASSES) * 2
-    d = ((x[:, None] >> shift) & 3) - ((y[:, None] >> shift) & 3) & 3
-    return np.minimum(d, 4 - d).sum(axis=1)
+    shift = np.arange(CLASSES) * 4
+    d = ((x[:, None] >> shift) & 15) - ((y[:, None] >> shift) & 15) & 15
+    return np.minimum(d, 16 - d).sum(axis=1)
 
 
 def _candidates(threshold: int, tries: int | None):
-    """Rows sorted by (key, did, packed's number) -> line, earlier candidate, and whether the group has more of them.
+    """Rows sorted by (key, did, packed) -> line, earlier candidate, and whether the group has more of them.
 
     Lines that index come before or after those that probe as their places are; either may be the earlier one.
     """
@@ -209,7 +208,7 @@ def _candidates(threshold: int, tries: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = np.vstack([batch.column(i).to_numpy() for i in range(4)])
+            rows = np.vstack([batch.column(i).to_numpy() for i in range(5)])
             if held is not None:
                 rows = np.hstack([held, rows])
             if not rows.shape[1]:
@@ -223,8 +222,8 @@ def _candidates(threshold: int, tries: int | None):
     def told(rows: np.ndarray) -> pa.RecordBatch:
         a, b, more = [], [], []
         if rows.shape[1]:
-            key, line, did, packed = rows
-            number, probing, classes = (packed >> 1) & 0x7FFFFFFF, packed & 1, (packed >> 32) & 0xFFFFFFFF
+            key, line, did, packed, classes = rows
+            number, probing = packed >> 1, packed & 1
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(new[1:], len(key))
             # only groups with an index row and a probe of different lines matter
@@ -271,9 +270,8 @@ def near_earlier(rows: DataFrame, first: DataFrame, *, threshold: int, least: in
     """line: distinct lines that have an earlier near-copy among the distinct lines. first(line, did, no) has each line's first place."""
     spark = rows.sparkSession
     n_parts = shuffle_partitions(spark)
-    indexed = rows.select("did", "text").mapInArrow(_indexed(threshold, least), "key long, line long, did long, packed long")
-    number = F.shiftright("packed", 1).bitwiseAND(0x7FFFFFFF)
-    dealt = indexed.repartition(n_parts, "key").sortWithinPartitions("key", "did", number)
+    indexed = rows.select("did", "text").mapInArrow(_indexed(threshold, least), "key long, line long, did long, packed long, classes long")
+    dealt = indexed.repartition(n_parts, "key").sortWithinPartitions("key", "did", "packed")
     pairs = staged(dealt.mapInArrow(_candidates(threshold, TRIES), "line long, earlier long, more boolean"), "line_pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
