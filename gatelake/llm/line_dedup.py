@@ -26,7 +26,7 @@ from .repeats import numbered
 
 THRESHOLD, LEAST_CHARS = 2, 16
 TRIES = 8
-#: Documents whose lines are verified are broadcast up to so many ids; beyond that their texts are found by a shuffle join.
+#: Documents whose lines are verified, and keys of undecided lines, are broadcast up to so many ids; beyond that they are joined by shuffle.
 BROADCAST_IDS = 200_000
 CLASSES = 16
 #: Pairs verified at a time.
@@ -173,7 +173,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _candidates(threshold: int, tries: int | None):
-    """Rows sorted by (key, did, packed) -> line, earlier candidate, and whether the group has more of them.
+    """Rows sorted by (key, did, packed) -> key, line, earlier candidate, and whether the group has more of them.
 
     Lines that index come before or after those that probe as their places are; either may be the earlier one.
     """
@@ -220,7 +220,7 @@ def _candidates(threshold: int, tries: int | None):
             yield told(held)
 
     def told(rows: np.ndarray) -> pa.RecordBatch:
-        a, b, more = [], [], []
+        a, b, more, of = [], [], [], []
         if rows.shape[1]:
             key, line, did, packed, classes = rows
             number, probing = packed >> 1, packed & 1
@@ -234,7 +234,8 @@ def _candidates(threshold: int, tries: int | None):
                 a += x
                 b += y
                 more += z
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["line", "earlier", "more"])
+                of += [int(key[s])] * len(x)
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["key", "line", "earlier", "more"])
 
     return run
 
@@ -271,8 +272,12 @@ def near_earlier(rows: DataFrame, first: DataFrame, *, threshold: int, least: in
     spark = rows.sparkSession
     n_parts = shuffle_partitions(spark)
     indexed = rows.select("did", "text").mapInArrow(_indexed(threshold, least), "key long, line long, did long, packed long, classes long")
-    dealt = indexed.repartition(n_parts, "key").sortWithinPartitions("key", "did", "packed")
-    pairs = staged(dealt.mapInArrow(_candidates(threshold, TRIES), "line long, earlier long, more boolean"), "line_pairs")
+
+    def candidates(indexed: DataFrame, tries: int | None) -> DataFrame:
+        dealt = indexed.repartition(n_parts, "key").sortWithinPartitions("key", "did", "packed")
+        return dealt.mapInArrow(_candidates(threshold, tries), "key long, line long, earlier long, more boolean")
+
+    pairs = staged(candidates(indexed, TRIES), "line_pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.groupBy("line", "earlier").agg(F.max("more").alias("more"))
@@ -289,8 +294,11 @@ def near_earlier(rows: DataFrame, first: DataFrame, *, threshold: int, least: in
     open_lines = staged(tried.where("more").select("line").distinct().join(near, "line", "left_anti"), "open_lines")
     if open_lines.isEmpty():
         return near
-    # the rest: all candidates of lines whose first ones weren't near
-    again = dealt.mapInArrow(_candidates(threshold, None), "line long, earlier long, more boolean").join(open_lines, "line", "left_semi")
+    # the rest: all candidates of lines whose first ones weren't near, in the groups that have more
+    keys = staged(pairs.where("more").join(open_lines, "line", "left_semi").select("key").distinct(), "open_keys")
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    again = candidates(indexed.join(keys, "key", "left_semi"), None).join(open_lines, "line", "left_semi")
     return near.unionByName(verified(staged(again, "line_pairs")).where("near").select("line").distinct())
 
 
