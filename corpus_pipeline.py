@@ -15,6 +15,8 @@ from gatelake.session import ship
 
 #: A text is rejected if its language is undetermined or less sure than this.
 LEAST_SCORE = 0.5
+#: Near copies share at least 4/5 of their five-word shingles. op10's limits are that query's own.
+SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of the n-gram Jaccard join."""
     ship(spark)
-    first = ngram_join.join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = ngram_join.join_components(docs, shingle=SHINGLE, num=NUMERATOR, den=DENOMINATOR).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(docs.columns)
 
 

@@ -42,3 +42,12 @@ def test_odd_tables(spark, sf, texts):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_near_copies_share_four_fifths_of_five_words(spark, sf):
+    """Pairs between this stage's limits and op10's, on both sides, against brute force."""
+    words = [[f"t{t}w{i}" for i in range(n)] for t, n in enumerate([46, 48, 49, 60, 44])]
+    texts = [x for w in words for x in (" ".join(w), " ".join([*w[:20], "changed", *w[21:]]))]
+    roots = components(sets_of(texts, 5), 4, 5)
+    got = corpus_pipeline.near_copies(spark, documents(spark, texts), sf).toPandas().doc_id
+    assert sorted(got) == [i for i in range(len(texts)) if roots[i] == i] != [i for i, r in enumerate(components(sets_of(texts))) if r == i]
