@@ -8,6 +8,7 @@ document, different values get different ones, and the key holder can undo it. O
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -178,7 +179,7 @@ def _token(step, text: str) -> str | None:
     return f"{step(int(text, 16), 16 ** len(text)):0{len(text)}x}"
 
 
-#: kind, pattern, what permutes it. The first that finds and validates a place takes it. All begin with a character of `START`.
+#: kind, pattern, what permutes it. The first that finds and validates a place takes it. Cards and IBANs are tried at the places that `PLACES` tells.
 KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
@@ -191,34 +192,92 @@ KINDS: list[tuple[str, str, Callable]] = [
 ]
 PATTERNS = [(kind, re.compile(p, re.ASCII), f) for kind, p, f in KINDS]
 SOME_DIGIT = re.compile(r"[0-9]")
+NUMBERS, NUMBER = re.compile(r"[0-9]+(?:[ -][0-9]+)+"), re.compile(r"[0-9]+")
+BESIDE = re.compile(r"\w|[.][0-9]", re.ASCII)
+IBAN_START, IBAN_ENDS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"), re.compile(r"(?=[^A-Za-z0-9]|$)")
+#: How often a value is permuted again at most.
+WALK = 1000
+#: Groups of digits as cards are written in, those to try first first.
+CARD_GROUPS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 3), (4, 4, 4, 2), (4, 4, 4, 1), (4, 3, 3, 3)]
+
+
+def _card_places(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """Places to try, in order: single numbers and groups inside rows of numbers, then what the pattern finds."""
+    inside = []
+    for run in NUMBERS.finditer(text):
+        groups = [m.span() for m in NUMBER.finditer(text, *run.span())]
+        if run.start() and re.match(r"[\w.+-]", text[run.start() - 1], re.ASCII):
+            groups = groups[1:]
+        if groups and BESIDE.match(text, run.end()):
+            groups = groups[:-1]
+        sizes = [e - s for s, e in groups]
+        for i, n in enumerate(sizes):
+            if 13 <= n <= 19:
+                inside.append((-1, *groups[i]))
+            elif n == 4:
+                for rank, shape in enumerate(CARD_GROUPS):
+                    if tuple(sizes[i : i + len(shape)]) == shape and len({text[e] for _, e in groups[i : i + len(shape) - 1]}) == 1:
+                        inside.append((rank, groups[i][0], groups[i + len(shape) - 1][1]))
+    return list(dict.fromkeys([(s, e) for _, s, e in sorted(inside)] + [m.span() for m in pattern.finditer(text)]))
+
+
+def _iban_places(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """Places to try: from each start the longest first, ending at any space or the end."""
+    out = []
+    for m in IBAN_START.finditer(text):
+        if whole := pattern.match(text, m.start()):
+            ends = [e.start() for e in IBAN_ENDS.finditer(text, m.start() + 15, whole.end() + 1) if e.start() <= whole.end()]
+            out += [(m.start(), e) for e in reversed(ends) if pattern.fullmatch(text[m.start() : e])]
+    return out
+
+
+PLACES = {"card": _card_places, "iban": _iban_places}
 
 
 class Pseudonyms:
     """Replaces personal data in texts. `undo` restores what an equal key made."""
 
     def __init__(self, key: bytes, kinds: tuple[str, ...] | None = None, *, undo: bool = False) -> None:
-        self.use = []
+        self.use, self.undo = [], undo
         for kind, pattern, f in PATTERNS:
             if kinds is None or kind in kinds:
                 net = Feistel(key, kind)
                 self.use.append((kind, pattern, f, net.restore if undo else net.permute))
 
     def __call__(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
-        """The new text, and (kind, start, end) of each value in the old one, in order."""
+        """The new text, and (kind, start, end) of each value in the old one, in order.
+
+        The first valid places that don't overlap are taken. A new value that would make a place valid that was refused before is permuted
+        again, so undo, which goes back from the last one, takes the same places.
+        """
         if not text:
             return text, []
         digits, at = bool(SOME_DIGIT.search(text)), "@" in text
-        found: list[tuple[int, int, str, str]] = []
+        chosen: list[tuple[int, int, str, Callable, list]] = []
+        refused: list[tuple[int, int, Callable]] = []
         for kind, pattern, f, step in self.use:
             if not (at if kind == "email" else digits or kind == "token"):
                 continue
-            for m in pattern.finditer(text):
-                if any(m.start() < e and s < m.end() for s, e, _, _ in found):
+            change = functools.partial(f, step)
+            for s, e in PLACES[kind](pattern, text) if kind in PLACES else [m.span() for m in pattern.finditer(text)]:
+                if any(s < x[1] and x[0] < e for x in chosen):
                     continue
-                if (new := f(step, m[0])) is not None:
-                    found.append((m.start(), m.end(), kind, new))
-        if not found:
+                if change(text[s:e]) is not None:
+                    chosen.append((s, e, kind, change, [x for x in refused if x[0] < e and s < x[1]]))
+                elif kind in PLACES:
+                    refused.append((s, e, change))
+        if not chosen:
             return text, []
+        now, found = text, []
+        for s, e, kind, change, before in reversed(chosen) if self.undo else chosen:
+            new = change(now[s:e])
+            for _ in range(WALK):
+                if all(other((now[:s] + new + now[e:])[a:b]) is None for a, b, other in before):
+                    break
+                new = change(new)
+            if len(new) == e - s:
+                now = now[:s] + new + now[e:]
+            found.append((s, e, kind, new))
         found.sort()
         out, last = [], 0
         for s, e, _, new in found:
@@ -231,7 +290,8 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", kinds:
     """docs with text replaced, and column pii: array of (kind, start, length of the old value) by place.
 
     Null texts stay null and empty ones empty, both without values; all other columns stay, but one named pii is replaced. Equal
-    values get equal pseudonyms whatever row they are in, so repeated rows stay equal. Digits in non-ASCII scripts are left alone.
+    values get equal pseudonyms whatever row they are in, so repeated rows stay equal; but where a card or IBAN place
+    that was refused before and overlaps the value would become valid, the value is permuted again. Digits in non-ASCII scripts are left alone.
     """
     kept = docs.drop("pii")
     at = kept.columns.index(text_col)
