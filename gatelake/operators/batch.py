@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from .features import PCA
 from .sampling import TREE_ROWS, uniform
 
 SAMPLE = "sample_id"
+#: Events that a block of space has, about, where neighbours are sought.
+BLOCK_ROWS = 4096
 
 
 def covariances(events: DataFrame, features: list[str]) -> DataFrame:
@@ -155,25 +157,101 @@ class Harmony:
         return doubles.mapInPandas(correct, doubles.schema)
 
 
-def lisi(events: DataFrame, features: list[str], label: str = SAMPLE, neighbours: int = 30, rows: int = 5000, seed: int = 42, id_col: str = "event_id") -> DataFrame:
-    """id, lisi: the effective number of labels among each event's nearest neighbours, on a sample of `rows` events (at most TREE_ROWS)."""
-    sample = uniform(events, min(rows, TREE_ROWS), id_col=id_col, seed=seed).select(id_col, label, *[number(c).alias(c) for c in features]).dropna(subset=features)
-    got = sample.toPandas()
-    points, codes = got[features].to_numpy(float), pd.factorize(got[label])[0]
-    k, n = min(neighbours, len(points)), int(codes.max(initial=0)) + 1
+def _split(points: np.ndarray, most: int) -> list:
+    """A tree of median cuts: (feature, cut, below, above), or () for a block of at most `most` of the points."""
+    if len(points) <= most or not (spread := np.ptp(points, axis=0)).max():
+        return ()
+    f = int(spread.argmax())
+    values = np.unique(points[:, f])
+    cut = float(values[min(np.searchsorted(values, np.median(points[:, f]), "right"), len(values) - 1)])
+    below = points[:, f] < cut
+    return f, cut, _split(points[below], most), _split(points[~below], most)
+
+
+def _blocks(tree: tuple, x: np.ndarray) -> np.ndarray:
+    """The block of each row; a node's numbers follow those of the heap that its path makes."""
+    out = np.zeros(len(x), np.int64)
+    todo = [(tree, np.arange(len(x)), 1)]
+    while todo:
+        node, rows, at = todo.pop()
+        if not node:
+            out[rows] = at
+            continue
+        low = x[rows, node[0]] < node[1]
+        todo += [(node[2], rows[low], 2 * at), (node[3], rows[~low], 2 * at + 1)]
+    return out
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, tie: np.ndarray, label: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of x squared distance, tie and label of the k nearest rows of y by (distance, tie)."""
+    order = np.argsort(tie, kind="stable")
+    y, tie, label = y[order], tie[order], label[order]
+    step = max(1, 2_000_000 // max(1, len(y)))
+    for i in range(0, len(x), step):
+        d = sum((x[i : i + step, f, None] - y[None, :, f]) ** 2 for f in range(x.shape[1]))
+        last = np.partition(d, k - 1, axis=1)[:, k - 1] if len(y) > k else np.full(len(d), np.inf)
+        for row, most in zip(d, last, strict=True):
+            near = np.flatnonzero(row <= most)
+            near = near[np.argsort(row[near], kind="stable")[:k]]
+            yield row[near], tie[near], label[near]
+
+
+def lisi(events: DataFrame, features: list[str], label: str = SAMPLE, neighbours: int = 30, seed: int = 42, id_col: str = "event_id") -> DataFrame:
+    """id, lisi: the effective number of labels among each event's nearest neighbours (itself included), for every event that has all features.
+
+    Neighbours are sought among all events: first in the event's own block of space, then in each block that is no farther than the last one
+    found. Blocks are cut by a sample of TREE_ROWS events, which changes no result. Equal distances are ordered by a hash of the id; of
+    events at one place, the first `neighbours` serve as neighbours for all. A null label is a label of its own.
+    """
+    xs = [f"_x{i}" for i in range(len(features))]
+    data = events.select(id_col, F.col(label).cast("string").alias("_label"), F.xxhash64(id_col).alias("_tie"), *[(number(c) + F.lit(0.0)).alias(x) for c, x in zip(features, xs, strict=True)]).dropna(subset=xs)
+    k = neighbours
+    salted = Window.partitionBy(*xs, F.pmod("_tie", F.lit(64))).orderBy("_tie")
+    few = data.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k)
+    listed = few.groupBy(*xs).agg(F.slice(F.array_sort(F.collect_list(F.struct("_tie", "_label"))), 1, k).alias("_own"))
+    places = listed.select(*xs, F.inline("_own"))
+
+    sample = uniform(data, TREE_ROWS, id_col=id_col, seed=seed).select(*xs).toPandas()
+    share = len(sample) / max(1, data.count())
+    tree = _split(np.unique(sample.to_numpy(float), axis=0), max(8, round(BLOCK_ROWS * share)))
+    at = ", ".join(f"{x} double" for x in xs)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_block=_blocks(tree, pdf[xs].to_numpy(float)))
+
+    blocked = places.mapInPandas(dealt, f"{at}, _tie long, _label string, _block long")
+    boxes = blocked.groupBy("_block").agg(*[f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))]).toPandas()  # a row a block
+    numbers, low, high = boxes["_block"].to_numpy(), boxes[[f"lo{x}" for x in xs]].to_numpy(float), boxes[[f"hi{x}" for x in xs]].to_numpy(float)
+
+    def table(x: np.ndarray, y: pd.DataFrame) -> pd.DataFrame:
+        got = list(_nearest(x, y[xs].to_numpy(float), y["_tie"].to_numpy(), y["_label"].to_numpy(object), k))
+        return pd.DataFrame(x, columns=xs).assign(_d=[g[0] for g in got], _t=[g[1] for g in got], _l=[g[2] for g in got])
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        return table(np.unique(pdf[xs].to_numpy(float), axis=0), pdf)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            out = []
-            for i in range(0, len(x), 1024):
-                dist = (x[i : i + 1024] ** 2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * x[i : i + 1024] @ points.T
-                near = codes[np.argpartition(dist, k - 1, axis=1)[:, :k]]
-                share = np.stack([(near == c).mean(1) for c in range(n)], 1)
-                out.append(1 / (share**2).sum(1))
-            yield pd.DataFrame({id_col: pdf[id_col], "lisi": np.concatenate(out) if out else np.zeros(0)})
-
-    return sample.mapInPandas(run, T.StructType([T.StructField(id_col, events.schema[id_col].dataType), T.StructField("lisi", T.DoubleType())]))
+            for i in range(0, len(pdf), 1024):
+                part = pdf.iloc[i : i + 1024]
+                x = part[xs].to_numpy(float)
+                bound = np.where(part["_n"] < k, np.inf, part["_most"])
+                d = sum(np.maximum(np.maximum(low[None, :, f] - x[:, f, None], x[:, f, None] - high[None, :, f]), 0) ** 2 for f in range(len(xs)))
+                rows, there = np.nonzero((d <= bound[:, None]) & (numbers[None] != _blocks(tree, x)[:, None]))
+                yield pd.DataFrame(x[rows], columns=xs).assign(_block=numbers[there])
+
+    def others(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        return table(asked[xs].to_numpy(float), pdf) if len(asked) else pd.DataFrame()
+
+    schema = f"{at}, _d array<double>, _t array<long>, _l array<string>"
+    first = blocked.groupBy("_block").applyInPandas(own, schema)
+    asked = first.select(*xs, F.size("_d").alias("_n"), F.array_max("_d").alias("_most")).mapInPandas(asking, f"{at}, _block long")
+    more = asked.groupBy("_block").cogroup(blocked.groupBy("_block")).applyInPandas(others, schema)
+    near = first.unionByName(more).groupBy(*xs).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_d", "_t", "_l")))), 1, k).alias("_near"))
+    labels = F.col("_near._l")
+    squares = F.aggregate(F.array_distinct(labels), F.lit(0.0), lambda n, v: n + F.pow(F.size(F.filter(labels, lambda w: w.eqNullSafe(v))) / F.size(labels), 2))
+    return data.join(near.select(*xs, (1 / squares).alias("lisi")), xs).select(id_col, "lisi")
 
 
 def meta_mask(events: DataFrame, mask, name: str) -> DataFrame:

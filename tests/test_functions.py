@@ -218,6 +218,26 @@ def test_harmony_mixes_samples(spark):
     assert score(fixed) > score(df) + 0.2
 
 
+@pytest.mark.parametrize(("n", "block"), [(6000, 400), (300, 4096), (20, 4096), (0, 4096)])
+def test_lisi_of_all_events(spark, monkeypatch, n, block):
+    """Every event has a row, and neighbours are sought among all."""
+    from gatelake.operators import batch
+
+    monkeypatch.setattr(batch, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(n)
+    x = rng.normal(0, 1, (n, 2))
+    x[: n // 10] = x[:1]  # one very common place
+    label = rng.choice(["a", "b", "c"], n)
+    df = spark.createDataFrame([(str(s), i, *map(float, r)) for i, (s, r) in enumerate(zip(label, x, strict=True))] + [("a", n, None, 0.0)], "sample_id string, event_id long, x double, y double")
+    got = batch.lisi(df, ["x", "y"]).toPandas().set_index("event_id").lisi
+    assert sorted(got.index) == list(range(n))
+    tie = dict(df.select("event_id", F.xxhash64("event_id")).collect())
+    tie = np.array([tie[i] for i in range(n)])
+    for i in range(0, n, max(1, n // 500)):
+        near = label[np.lexsort((tie, ((x - x[i]) ** 2).sum(1)))[:30]]
+        assert got[i] == pytest.approx(1 / sum((near == c).mean() ** 2 for c in "abc"))
+
+
 def test_consensus_and_louvain_find_blobs():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.2, (20, 2)) for c in ((0, 0), (5, 5), (0, 9))])
