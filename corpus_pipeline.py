@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.llm import decontam, langid, line_dedup, ngram_join, packing
-from gatelake.llm.common import read_table, staged
+from gatelake.llm.common import read_table, shuffle_partitions, staged
 from gatelake.session import ship
 
 #: A text is rejected if its language is undetermined or less sure than this.
@@ -19,6 +19,16 @@ LEAST_SCORE = 0.5
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with row, a number of each row's own in the order of ids (nulls first), then texts: the id itself where ids are unique."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if again.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    n_parts = shuffle_partitions(docs.sparkSession)
+    ordered = docs.withColumn("v", F.xxhash64("text")).repartitionByRange(n_parts, "doc_id", "v").sortWithinPartitions("doc_id", "v").drop("v")
+    return staged(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some certainty, by a model of their labels."""
     ship(spark)
@@ -28,24 +38,31 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that (nearly) repeat an earlier one; those with no line left go."""
+    """Documents without lines that (nearly) repeat an earlier one; those with no line left go.
+
+    Rows with a null or repeated id are documents of their own, earlier and later by id, then by a hash of the text."""
     ship(spark)
-    kept = line_dedup.dedup_lines(docs).where(F.length(F.trim(F.col("kept"))) > 0).select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"))
-    return docs.drop("text", "n_chars").join(kept, "doc_id").select(docs.columns)
+    rows = apart(docs)
+    kept = line_dedup.dedup_lines(rows, id_col="row").where(F.length(F.trim(F.col("kept"))) > 0).select(F.col("doc_id").alias("row"), F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"))
+    return rows.drop("text", "n_chars").join(kept, "row").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of the n-gram Jaccard join."""
+    """One document, that of the smallest id, of each component of the n-gram Jaccard join.
+
+    Rows with a null or repeated id are documents of their own; a null id is the smallest, and of equal ids the first by a hash of the text."""
     ship(spark)
-    first = ngram_join.join_components(docs, shingle=SHINGLE, num=NUMERATOR, den=DENOMINATOR).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    rows = apart(docs)
+    first = ngram_join.join_components(rows, id_col="row", shingle=SHINGLE, num=NUMERATOR, den=DENOMINATOR).where("doc_id = component_id").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(first, "row", "left_semi").select(docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
+    """Documents that aren't contaminated by the benchmark. Rows with a null or repeated id are judged each for itself."""
     ship(spark)
-    found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = apart(docs)
+    found = decontam.decontaminate(rows, read_table(spark, sf_dir, "benchmark"), id_col="row").where("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,16 @@ def test_near_copies_share_four_fifths_of_five_words(spark, sf):
     roots = components(sets_of(texts, 5), 4, 5)
     got = corpus_pipeline.near_copies(spark, documents(spark, texts), sf).toPandas().doc_id
     assert sorted(got) == [i for i in range(len(texts)) if roots[i] == i] != [i for i, r in enumerate(components(sets_of(texts))) if r == i]
+
+
+def test_null_and_repeated_ids(spark, sf):
+    """Rows that share an id, or have none, keep their own text and fate in each stage that rejoins."""
+    bad = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text and len(r.text.split()) >= 13)
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    ids = [None, None, 1, 1, 2]
+    told = lambda stage, t, i: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in stage(spark, documents(spark, t, i), sf).collect())
+    want = sorted(zip([-1, -1, 1, 1], texts, strict=True))
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_copies):
+        assert told(stage, [*texts, texts[0]], ids) == want
+        assert told(stage, [texts[0]] * 3, [3, 3, 3]) == [(3, texts[0])]
+    assert told(corpus_pipeline.benchmarks, [*texts[:3], bad, bad], [None, 1, 2, 2, None]) == sorted(zip([-1, 1, 2], texts, strict=False))
