@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from gatelake.llm import line_dedup
 
@@ -54,11 +56,11 @@ def test_banded_distance_and_segments(k):
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_keys_are_those_of_segments_and_probes(k):
     lines = ["".join(random.Random(n).choices("abc", k=n)) for n in range(k + 1, 30)]
-    line, key, probing, _ = line_dedup._keys(lines, k)
+    line, key, _ = line_dedup._keys(lines, k)
     for i, x in enumerate(lines):
         n = len(x)
-        assert ((line == i) & (probing == 0)).sum() == k + 1
-        assert ((line == i) & (probing == 1)).sum() == sum(len(line_dedup.probes(n, of, k)) for of in range(max(n - k, k + 1), n + 1))
+        assert ((line == i) & (key & 1 == 1)).sum() == k + 1
+        assert ((line == i) & (key & 2 == 2)).sum() == sum(len(line_dedup.probes(n, of, k)) for of in range(max(n - k, k + 1), n + 1))
         starts, sizes = zip(*(line_dedup._segment(np.array([n]), j, k) for j in range(k + 1)), strict=True)
         assert [(int(a[0]), int(b[0])) for a, b in zip(starts, sizes, strict=True)] == line_dedup.segments(n, k)
 
@@ -79,9 +81,11 @@ def brute(texts, k, least):
     return out
 
 
-@pytest.mark.parametrize("tries", [3, 1])
-def test_documents(spark, tries, monkeypatch):
+@pytest.mark.parametrize(("tries", "block", "wide"), [(3, 2000, 1024), (1, 3, 2)])
+def test_documents(spark, tries, block, wide, monkeypatch):
     monkeypatch.setattr(line_dedup, "TRIES", tries)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
     rng = random.Random(11)
     bases = ["".join(rng.choices("abcdé fgh", k=rng.randint(6, 60))) for _ in range(25)]
     texts = ["\n".join(edited(rng, rng.choice(bases), 4) for _ in range(rng.randint(0, 8))) for _ in range(60)]
@@ -97,3 +101,29 @@ def test_odd_tables(spark):
     got = line_dedup.dedup_lines(docs).toPandas()
     assert sorted(zip(got.doc_id.fillna(-1), got.n_removed, strict=True)) == [(-1, 0), (1, 0), (2, 1), (2, 1)]
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+
+
+def test_long_lines_stop_early():
+    """Lines of 200,000 characters: far apart ones are left at once, near ones are compared where they differ."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(97, 123, 200_000).astype(np.uint32)
+    b = rng.integers(97, 123, 200_000).astype(np.uint32)
+    c = np.concatenate([a[:50_000], a[50_001:]])
+    c[50_020] = 65
+    d = c.copy()
+    d[50_040] = 65
+    start = time.monotonic()
+    assert line_dedup.near_pairs([a, b, c, d], np.array([0, 0, 0]), np.array([1, 2, 3]), 2).tolist() == [False, True, False]
+    assert time.monotonic() - start < 2
+
+
+def test_no_rows_for_pairs(spark):
+    """A group of lines that share a segment makes rows in proportion to its lines."""
+    made = {}
+    for n in (400, 1600):
+        texts = [f"one common beginning of many lines, then {i * 7919:09d} and {i * 104729:09d}, and one common end" for i in range(n)]
+        rows = np.concatenate([line_dedup._keys(texts, 2)[1][None, :], np.repeat([line_dedup.line_hash(x) for x in texts], 1)[line_dedup._keys(texts, 2)[0]][None, :], line_dedup._keys(texts, 2)[2][line_dedup._keys(texts, 2)[0]][None, :]])
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "line", "classes"])
+        made[n] = sum(b.num_rows for b in line_dedup._live(2)(iter([batch])))
+        assert made[n] <= 2 * n
