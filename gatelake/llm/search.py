@@ -1,9 +1,17 @@
-"""Exact BM25 top-k search: sharded inverted indexes with block-max pruning, merged by global statistics.
+"""Exact BM25 top-k search: sharded inverted indexes with block-max WAND pruning, merged by global statistics.
 
-Each shard holds some documents' postings, cut into blocks of documents, and for each term and block the greatest term weight. A query sums these
-maxima to an upper bound for each block (the pivot test of block-max WAND, made for all blocks at once), takes the blocks by falling
-bound, scores their documents in full, and stops at the first block whose bound can't reach the k-th best score. Document frequencies,
-document count and mean length are of the whole corpus, so shards' scores are comparable and the merge is exact.
+A shard holds the postings of some documents, stored once: terms, where each one's list begins, documents and counts. Document
+frequencies, document count and mean length are of the whole corpus, so shards' scores are comparable and the merge is exact.
+
+Queries are asked in batches, and each test of block-max WAND is made for a whole batch at once. The threshold of a query is the
+k-th best score that it has anywhere so far; the first shards are searched before the others for its sake.
+
+1. Lists: a shard is skipped if the lists' maxima don't sum to the threshold.
+2. Blocks: a block of documents is skipped if the maxima that the lists have within it don't. Blocks are taken by falling bounds, and
+   thresholds rise on the way.
+3. Pivot: the lists are ordered with the rare terms' before the frequent ones'. The rare lists are read first; a document whose score by these
+   and the frequent lists' maxima in its block don't reach the threshold is passed over, so where no rare term is needed, none is read on.
+4. The frequent lists are read for what is left.
 """
 
 from __future__ import annotations
@@ -17,16 +25,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import staged
+from .common import staged, unstage
 from .hashing import U
 
 K1, B, K = 1.2, 0.75, 10
 #: Scores are rounded to so many places, so that equal documents tie in whatever order their terms are summed.
 DIGITS = 6
-#: Documents of a block and of a shard, and queries that are sent to all shards at a time (their terms are broadcast).
-BLOCK, SHARD_DOCS, QUERY_BLOCK = 64, 8192, 2048
-#: Blocks scored between two looks at the k-th best score: at first, and at most.
-STEP, MOST_STEP = 4, 32
+#: Documents of a block; documents and postings of a shard (a longer document is a shard of its own).
+BLOCK, SHARD_DOCS, SHARD_POSTINGS = 64, 4096, 500_000
+#: Terms of the queries that are broadcast at a time (16 bytes each; a longer query goes alone), and queries of a batch.
+QUERY_TERMS, QUERY_BATCH = 1_000_000, 128
+#: A term in at least one of so many documents of a shard is frequent, as far as its lists fit into so many cells.
+FREQUENT, CELLS = 16, 2 << 20
+#: Blocks scored between two looks at the k-th best scores.
+STEP = 8
+#: One of so many shards is searched before the others.
+AHEAD = 8
+#: How far a sum may be off in another order of its terms, and the rounding.
+SLACK = 2 * 10.0**-DIGITS
+SHARD = "shard long, n_docs long, n_words long, ids binary, known binary, lengths binary, terms binary, starts binary, docs binary, counts binary"
 
 
 def terms_of(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -39,157 +56,267 @@ def terms_of(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> id, shard, number of words, terms and counts. A shard is so many rows of one task."""
+    """Documents -> query_id, term: the distinct terms of each document."""
+    for batch in batches:
+        for i, j, data, bounds in hashing.documents(batch, 1):
+            bags = [t for t, _ in terms_of(data, bounds)]
+            ids = np.repeat(batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False), [len(x) for x in bags])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashing.signed(np.concatenate(bags)))], names=["query_id", "term"])
+
+
+def inverted(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Distinct terms, where each one's postings begin (and the end), documents and counts by term, then document."""
+    doc = np.repeat(np.arange(len(bags), dtype=np.uint32), [len(t) for t, _ in bags])
+    term = np.concatenate([t for t, _ in bags])
+    order = np.argsort(term, kind="stable")
+    term = term[order]
+    starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    return term[starts], np.append(starts, len(term)), doc[order], np.concatenate([c for _, c in bags]).astype(np.uint32)[order]
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> a row for each shard of the task."""
     task, n = TaskContext.get().partitionId(), 0
+    ids: list[int] = []
+    known: list[bool] = []
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def shard() -> pa.RecordBatch:
+        lengths = np.array([int(c.sum()) for _, c in bags], np.int64)
+        blobs = [np.array(ids, np.int64), np.array(known, bool), lengths, *inverted(bags)]
+        values = [pa.array([(task << 32) + n], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)]
+        return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in SHARD.split(", ")])
+
     for batch in batches:
         for i, j, data, bounds in hashing.documents(batch, 1):
-            bags = terms_of(data, bounds)
-            shard = [(task << 32) + (n + x) // SHARD_DOCS for x in range(j - i)]
-            n += j - i
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shard, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary())], names=["doc_id", "shard", "n", "terms", "counts"])
+            for own, bag in zip(batch.column(0).slice(i, j - i).to_pylist(), terms_of(data, bounds), strict=True):
+                if bags and (len(bags) >= SHARD_DOCS or size + len(bag[0]) > SHARD_POSTINGS):
+                    yield shard()
+                    ids, known, bags, size, n = [], [], [], 0, n + 1
+                ids.append(0 if own is None else own)
+                known.append(own is not None)
+                bags.append(bag)
+                size += len(bag[0])
+    if bags:
+        yield shard()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """terms, starts of shards -> term, df."""
     for batch in batches:
-        term, df = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), U), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(term)), pa.array(df)], names=["term", "df"])
+        for terms, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(starts, np.int64)))], names=["term", "df"])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start ... start + size - 1 of each range, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Shard:
-    """An inverted index of some documents, for the weights of one corpus."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], mean: float, k1: float, b: float) -> None:
-        self.ids = ids
-        doc = np.repeat(np.arange(len(ids)), [len(t) for t, _ in bags])
-        term = np.concatenate([t for t, _ in bags]) if bags else np.zeros(0, U)
-        tf = np.concatenate([c for _, c in bags]).astype(np.float64) if bags else np.zeros(0)
-        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
-        order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], weight[order]
-        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        self.terms, block = term[first], self.doc // BLOCK
-        # cells: the postings of a term within a block of documents
+    """An inverted index of some documents, for the weights of one corpus. `tested` and `skipped` count blocks of queries, and `passed` documents that the pivot test left out."""
+
+    def __init__(self, ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, terms: np.ndarray, starts: np.ndarray, docs: np.ndarray, counts: np.ndarray, mean: float, k1: float = K1, b: float = B) -> None:
+        self.ids, self.known, self.terms, self.starts, self.docs = ids, known, terms, starts, docs.astype(np.int64)
+        tf = counts.astype(np.float64)
+        self.weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[self.docs] / mean))
+        n, df = len(ids), np.diff(starts)
+        term = np.repeat(np.arange(len(terms)), df)
+        self.most = np.maximum.reduceat(self.weight, starts[:-1]) if len(terms) else np.zeros(0)
+        self.blocks = -(-n // BLOCK)
+        # the frequent lists, as rows of weights
+        frequent = np.flatnonzero(df * FREQUENT >= n)
+        frequent = frequent[np.argsort(-df[frequent], kind="stable")][: CELLS // (self.blocks * BLOCK)]
+        self.row = np.full(len(terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.lists = np.zeros((len(frequent), self.blocks * BLOCK))
+        own = self.row[term] >= 0
+        self.lists[self.row[term[own]], self.docs[own]] = self.weight[own]
+        self.list_most = self.lists.reshape(len(frequent), self.blocks, BLOCK).max(axis=2, initial=0.0)
+        # cells: the postings of a term within a block
+        block = self.docs // BLOCK
         cell = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, bool)
         self.cell_start = np.append(np.flatnonzero(cell), len(term))
         self.cell_block = block[self.cell_start[:-1]]
         self.cell_most = np.maximum.reduceat(self.weight, self.cell_start[:-1]) if len(term) else np.zeros(0)
-        self.term_cells = np.append(np.searchsorted(self.cell_start[:-1], first), len(self.cell_block))
-        self.blocks = -(-len(ids) // BLOCK)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents that share a term and score at least `floor`, ties by smaller id."""
-        at = np.searchsorted(self.terms, terms)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == terms[known]
-        at, idf = at[known], idf[known]
-        if not len(at):
-            return self.ids[:0], np.zeros(0)
-        first, n = self.term_cells[at], self.term_cells[at + 1] - self.term_cells[at]
-        cells = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cell_idf = np.repeat(idf, n)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weights=self.cell_most[cells] * cell_idf, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(block, kind="stable")
-        starts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        best_ids, best = self.ids[:0], np.zeros(0)
-        i, step = 0, STEP
-        while i < self.blocks:
-            some = order[i : i + step]
-            i, step = i + step, min(2 * step, MOST_STEP)
-            least = max(floor, best[-1]) if len(best) == k else floor
-            some = some[(bound[some] > 0) & (bound[some] * (1 + 1e-9) + 10.0**-DIGITS >= least)]  # scores are rounded and summed in another order
-            if not len(some):
-                break
-            own = np.concatenate([by_block[starts[x] : starts[x + 1]] for x in some])
-            own.sort()  # by term, so that every document's score is summed in one order
-            c = cells[own]
-            a, m = self.cell_start[c], self.cell_start[c + 1] - self.cell_start[c]
-            postings = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            docs = self.doc[postings]
-            score = np.bincount(docs, weights=self.weight[postings] * np.repeat(cell_idf[own], m), minlength=0)
-            found = np.unique(docs)
-            ids, scores = np.concatenate([best_ids, self.ids[found]]), np.concatenate([best, np.round(score[found], DIGITS)])
-            top = np.lexsort((ids, -scores))[:k]
-            best_ids, best = ids[top], scores[top]
-        return best_ids, best
+        self.term_cells = np.searchsorted(self.cell_start, starts)
+        # the same postings by document
+        order = np.argsort(self.docs, kind="stable")
+        self.doc_terms, self.doc_weight = term[order], self.weight[order]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=n))])
+        self.tested = self.skipped = self.passed = 0
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (its terms, sorted, and their idf) ids and scores of the k best documents that share a term and reach its floor, ties by smaller id."""
+        none = (self.ids[:0], np.zeros(0))
+        out = [none] * len(queries)
+        asked = np.concatenate([t for t, _ in queries])
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        idf = np.concatenate([x for _, x in queries])
+        at = np.minimum(np.searchsorted(self.terms, asked), max(len(self.terms) - 1, 0))
+        found = self.terms[at] == asked if len(self.terms) else np.zeros(len(asked), bool)
+        # lists: what the whole shard can reach
+        bound = np.bincount(of[found], self.most[at[found]] * idf[found], len(queries))
+        able = (bound > 0) & (bound * (1 + 1e-9) + SLACK >= floors)
+        self.tested += self.blocks * len(queries)
+        self.skipped += self.blocks * int((~able).sum())
+        found &= able[of]
+        picked = np.flatnonzero(able)
+        if not len(picked):
+            return out
+        of, at, idf, floor = np.searchsorted(picked, of[found]), at[found], idf[found], floors[picked].copy()
+        m, row = len(picked), self.row[at]
+        asks = np.zeros((m, len(self.lists)))
+        asks[of[row >= 0], row[row >= 0]] = idf[row >= 0]
+        # blocks: frequent lists' maxima, and rare ones' cells
+        rest = asks @ self.list_most
+        rare = np.flatnonzero(row < 0)
+        n_cells = self.term_cells[at[rare] + 1] - self.term_cells[at[rare]]
+        cell = _ranges(self.term_cells[at[rare]], n_cells)
+        cell_of, cell_idf = np.repeat(of[rare], n_cells), np.repeat(idf[rare], n_cells)
+        flat = cell_of * self.blocks + self.cell_block[cell]
+        bounds = rest + np.bincount(flat, self.cell_most[cell] * cell_idf, m * self.blocks).reshape(m, self.blocks)
+        score = np.full((m, self.blocks * BLOCK), -1.0)
+        order = np.argsort(-bounds.max(axis=0), kind="stable")
+        place = np.empty(self.blocks, np.int64)
+        place[order] = np.arange(self.blocks) // STEP
+        by_step = np.argsort(place[self.cell_block[cell]], kind="stable")
+        edges = np.searchsorted(place[self.cell_block[cell]][by_step], np.arange(-(-self.blocks // STEP) + 1))
+        best = np.zeros((m, 0))
+        for step, a in enumerate(range(0, self.blocks, STEP)):
+            some = order[a : a + STEP]
+            open_ = (bounds[:, some] > 0) & (bounds[:, some] * (1 + 1e-9) + SLACK >= floor[:, None])
+            self.skipped += int((~open_).sum())
+            if not open_.any():
+                continue
+            # the rare lists' parts in the open blocks
+            column = np.full(self.blocks, -1)
+            column[some] = np.arange(len(some))
+            own = by_step[edges[step] : edges[step + 1]]
+            own = own[open_[cell_of[own], column[self.cell_block[cell[own]]]]]
+            c = cell[own]
+            size = self.cell_start[c + 1] - self.cell_start[c]
+            posting = _ranges(self.cell_start[c], size)
+            docs = self.docs[posting]
+            where = np.repeat(cell_of[own], size) * (len(some) * BLOCK) + column[docs // BLOCK] * BLOCK + docs % BLOCK
+            part = np.bincount(where, self.weight[posting] * np.repeat(cell_idf[own], size), m * len(some) * BLOCK).reshape(m, len(some), BLOCK)
+            # pivot: what these and the frequent lists' maxima can reach
+            reach = part + rest[:, some][:, :, None]
+            wanted = open_[:, :, None] & (reach > 0) & (reach * (1 + 1e-9) + SLACK >= floor[:, None, None])
+            self.passed += int(open_.sum()) * BLOCK - int(wanted.sum())
+            for i, x in enumerate(some.tolist()):
+                who = np.flatnonzero(wanted[:, i].any(axis=1))
+                if len(who):
+                    span = slice(x * BLOCK, (x + 1) * BLOCK)
+                    full = part[who, i] + asks[who] @ self.lists[:, span]
+                    score[who, span] = np.where(wanted[who, i] & (full > 0), full, -1.0)
+            spans = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            spans = spans[spans < len(self.ids)]
+            spans = spans[self.known[spans]]
+            best = np.concatenate([best, score[:, spans]], axis=1)
+            if best.shape[1] > k:
+                best = -np.partition(-best, k - 1, axis=1)[:, :k]
+            if best.shape[1] == k:
+                floor = np.maximum(floor, np.round(best.min(axis=1), DIGITS) - SLACK)
+        # sums in the order of the document's terms, so that equal documents tie
+        score = score[:, : len(self.ids)]
+        score[:, ~self.known] = -1.0
+        idf_of = np.zeros(len(self.terms))
+        cut = np.searchsorted(of, np.arange(m + 1))
+        for i, q in enumerate(picked.tolist()):
+            docs = np.flatnonzero((score[i] > 0) & (score[i] + SLACK >= floor[i]))
+            if not len(docs):
+                continue
+            mine = slice(cut[i], cut[i + 1])
+            idf_of[at[mine]] = idf[mine]
+            size = self.doc_starts[docs + 1] - self.doc_starts[docs]
+            posting = _ranges(self.doc_starts[docs], size)
+            sums = np.add.reduceat(self.doc_weight[posting] * idf_of[self.doc_terms[posting]], np.cumsum(size) - size)
+            idf_of[at[mine]] = 0.0
+            ids, sums = self.ids[docs], np.round(sums, DIGITS)
+            top = np.lexsort((ids, -sums))[:k]
+            out[q] = ids[top], sums[top]
+        return out
 
 
 def _searched(queries, mean: float, k: int, k1: float, b: float):
-    """Rows sorted by shard: id, shard, n, terms, counts -> query, id, score."""
-    floors: list[list[float]] = []
-
-    def answers(rows: list[tuple]) -> pa.RecordBatch:
-        rows = [r for r in rows if r[0] is not None]
-        ids = np.array([r[0] for r in rows], np.int64)
-        bags = [(np.frombuffer(r[3], U), np.frombuffer(r[4], np.uint32)) for r in rows]
-        index = Shard(ids, np.array([r[2] for r in rows], np.float64), bags, mean, k1, b)
-        q, d, s = [], [], []
-        for i, (query, terms, idf) in enumerate(queries.value):
-            found, scores = index.search(terms, idf, k, floors[i][0] if len(floors[i]) == k else 0.0)
-            floors[i] = sorted([*floors[i], *scores.tolist()])[-k:]  # what this task's shards have reached: later ones must match it
-            q.append(np.full(len(found), query, np.int64))
-            d.append(found)
-            s.append(scores)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in ((q, np.int64), (d, np.int64), (s, np.float64))], names=["query_id", "doc_id", "score"])
+    """Rows of shards -> query_id, doc_id, score: the k best of all the task's shards."""
+    kinds = (np.int64, bool, np.int64, U, np.int64, np.uint32, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-        floors[:] = [[] for _ in queries.value]
+        asked = queries.value
+        ids, scores = ([np.zeros(0, t) for _ in asked] for t in (np.int64, np.float64))
+        floors = np.array([x[3] for x in asked], np.float64)
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if row[1] != at and held:
-                    yield answers(held)
-                    held = []
-                at = row[1]
-                held.append(row)
-        if held:
-            yield answers(held)
+            for r in range(batch.num_rows):
+                shard = Shard(*(np.frombuffer(batch.column(i)[r].as_buffer(), t) for i, t in enumerate(kinds)), mean, k1, b)
+                for at in range(0, len(asked), QUERY_BATCH):
+                    part = asked[at : at + QUERY_BATCH]
+                    for q, (d, s) in enumerate(shard.search([(x[1], x[2]) for x in part], k, floors[at : at + QUERY_BATCH]), at):
+                        if len(d):
+                            d, s = np.concatenate([ids[q], d]), np.concatenate([scores[q], s])
+                            top = np.lexsort((d, -s))[:k]
+                            ids[q], scores[q] = d[top], s[top]
+                            if len(top) == k:
+                                floors[q] = max(floors[q], s[top[-1]])
+        q = np.repeat(np.array([x[0] for x in asked], np.int64), [len(d) for d in ids])
+        yield pa.RecordBatch.from_arrays([pa.array(q), *(pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in ((ids, np.int64), (scores, np.float64)))], names=["query_id", "doc_id", "score"])
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, terms (structs) -> query_id, n, terms and idf as bytes, by term."""
+    for batch in batches:
+        flat, edges = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+        term, idf = flat.field("term").to_numpy().view(U), flat.field("idf").to_numpy()
+        edges = edges - edges[0] if len(edges) else edges
+        blobs: tuple[list[bytes], list[bytes]] = ([], [])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            order = np.argsort(term[a:b])
+            for to, x in zip(blobs, (term, idf), strict=True):
+                to.append(x[a:b][order].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["query_id", "n", "terms", "idf"])
+
+
 def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, k1: float = K1, b: float = B, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text_col: str = "text") -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k documents of highest BM25 score for each query, exactly.
 
     A query is the set of its text's distinct terms, whole texts on both sides; idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Documents that share no term
     aren't returned; scores are rounded to DIGITS places and ties go to the smaller id; rows that share an id are documents of their own. Null and empty texts have no terms but
-    count as documents; so do rows without an id, which are never returned, and queries without one aren't asked. Queries are sent to all shards QUERY_BLOCK at a time. Terms are 64-bit hashes.
+    count as documents; so do rows without an id, which are never returned, and queries without one aren't asked; queries that share an id are
+    one query of all their terms. Queries are sent to all shards by blocks of about QUERY_TERMS terms. Terms are 64-bit hashes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    schema = "doc_id long, shard long, n long, terms binary, counts binary"
-    bags = staged(rows.mapInArrow(_bags, schema), "bags")
-    total = bags.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).head()
-    asked = queries.select(F.col(query_col).cast("long").alias("doc_id"), F.coalesce(F.col(query_text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_bags, schema)
-    asked = asked.where("doc_id is not null").select(F.col("doc_id").alias("query_id"), "terms")
-    df = bags.select("terms").mapInArrow(_counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    cells = staged(asked.mapInArrow(_exploded, "query_id long, term long").join(df, "term"), "query_terms")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    index = staged(rows.mapInArrow(_indexed, SHARD), "shards")
+    total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).head()
+    mean = max(total.words, 1) / max(total.n, 1)
+    asked = queries.select(F.col(query_col).cast("long").alias("doc_id"), F.coalesce(F.col(query_text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    df = index.select("terms", "starts").mapInArrow(_counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log1p((total.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = cells.select("query_id", "term", idf.alias("idf")).groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
-    count = weighted.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    weighted = staged(weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    out = []
-    for i in range(blocks):
-        some = []
-        for r in weighted.where(F.col("block") == i).toLocalIterator():
-            terms = np.array([x.term for x in r.terms], np.int64).view(U)
-            order = np.argsort(terms)
-            some.append((r.query_id, terms[order], np.array([x.idf for x in r.terms])[order]))
+    cells = asked.mapInArrow(_bags, "query_id long, term long").distinct().join(df, "term").select("query_id", "term", idf.alias("idf"))
+    weighted = cells.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    weighted = staged(weighted.mapInArrow(_packed, "query_id long, n long, terms binary, idf binary"), "queries")
+    blocks = max(1, -(-(weighted.agg(F.sum("n")).head()[0] or 0) // QUERY_TERMS))
+    ahead = F.pmod(F.xxhash64("shard"), F.lit(AHEAD)) == 0
+    columns = ["ids", "known", "lengths", "terms", "starts", "docs", "counts"]
+    best = None
+
+    def search(shards: DataFrame, some: list[tuple]) -> DataFrame:
         sent = spark.sparkContext.broadcast(some)
-        found = bags.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_searched(sent, total.mean or 1.0, k, k1, b), "query_id long, doc_id long, score double")
-        out.append(staged(found, "found"))
+        found = staged(shards.select(columns).mapInArrow(_searched(sent, mean, k, k1, b), "query_id long, doc_id long, score double"), "found")
         sent.unpersist()
-    best = out[0]
-    for x in out[1:]:
-        best = best.unionByName(x)
+        return found
+
+    for i in range(blocks):
+        some = [(r.query_id, np.frombuffer(r.terms, U), np.frombuffer(r.idf, np.float64), 0.0) for r in weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toLocalIterator()]
+        first = search(index.where(ahead), some)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        floors = {r.query_id: r.score for r in first.withColumn("place", place).where(F.col("place") == k).select("query_id", "score").toLocalIterator()}
+        found = first.unionByName(search(index.where(~ahead), [(q, t, x, floors.get(q, 0.0)) for q, t, x, _ in some]))
+        best = found if best is None else best.unionByName(found)
+    unstage(index, weighted)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bags = [np.frombuffer(t, U) for t in batch.column(1).to_pylist()]
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in bags])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashing.signed(np.concatenate(bags) if bags else np.zeros(0, U)))], names=["query_id", "term"])

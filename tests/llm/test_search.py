@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from gatelake.llm import search
 
@@ -24,11 +25,9 @@ def brute(texts, queries, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block", "queries"), [(8192, 64, 2048), (16, 4, 5)])
-def test_top_k(spark, corpus, shard, block, queries, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_DOCS", shard)
-    monkeypatch.setattr(search, "BLOCK", block)
-    monkeypatch.setattr(search, "QUERY_BLOCK", queries)
+@pytest.mark.parametrize("terms", [1_000_000, 60])
+def test_top_k(spark, corpus, terms, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_TERMS", terms)
     rng = random.Random(1)
     texts = corpus + [" ".join(rng.choice(["the", "of", "w1", "w2", "rare"]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
     asked = list(range(0, len(texts), 3))
@@ -41,19 +40,61 @@ def test_top_k(spark, corpus, shard, block, queries, monkeypatch):
         assert own.score.tolist() == pytest.approx([s for _, s in want], abs=2e-6)
 
 
-def test_blocks_are_skipped(monkeypatch):
-    import numpy as np
+def shards(bags, size, mean):
+    out = []
+    for at in range(0, len(bags), size):
+        part = bags[at : at + size]
+        lengths = np.array([int(c.sum()) for _, c in part])
+        out.append(search.Shard(np.arange(at, at + len(part)), np.ones(len(part), bool), lengths, *search.inverted(part), mean))
+    return out
+
+
+@pytest.mark.parametrize(("size", "block", "frequent", "cells", "step"), [(640, 64, 16, 1 << 20, 8), (37, 4, 16, 4000, 2), (100, 8, 2, 0, 1), (100, 8, 10**6, 1 << 20, 3)])
+def test_shards_equal_brute_force(size, block, frequent, cells, step, monkeypatch):
+    """Whatever of the lists is frequent or rare, and whatever floor a query begins with."""
+    for k, v in {"BLOCK": block, "FREQUENT": frequent, "CELLS": cells, "STEP": step}.items():
+        monkeypatch.setattr(search, k, v)
+    rng = np.random.default_rng(size)
+    bags = [np.unique((rng.pareto(0.8, rng.integers(0, 60)) * 20).astype(np.uint64) % 500, return_counts=True) for _ in range(640)]
+    bags[600] = bags[7]
+    mean = sum(int(c.sum()) for _, c in bags) / len(bags)
+    df = Counter(int(x) for t, _ in bags for x in t)
+    queries = [(t, np.array([math.log(1 + (640 - df[int(x)] + 0.5) / (df[int(x)] + 0.5)) for x in t])) for t, _ in bags[::9]]
+    want = []
+    for t, idf in queries:
+        weight = dict(zip(t.tolist(), idf.tolist(), strict=True))
+        scores = []
+        for i, (own, counts) in enumerate(bags):
+            if set(own.tolist()) & set(weight):
+                scores.append((-round(sum(weight.get(x, 0) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * counts.sum() / mean)) for x, c in zip(own.tolist(), counts.tolist(), strict=True)), 6), i))
+        want.append(sorted(scores)[:10])
+    have = [[] for _ in queries]
+    floors = np.zeros(len(queries))
+    for shard in shards(bags, size, mean):
+        for q, (ids, scores) in enumerate(shard.search(queries, 10, floors)):
+            have[q] = sorted([*have[q], *((-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True))])[:10]
+            if len(have[q]) == 10:
+                floors[q] = -have[q][-1][0]
+    for mine, other in zip(have, want, strict=True):
+        assert [i for _, i in mine] == [i for _, i in other]
+        assert [s for s, _ in mine] == pytest.approx([s for s, _ in other], abs=2e-6)
+
 
+def test_blocks_and_documents_are_skipped():
+    """Two documents have the rare terms that the query asks for; all others only a frequent one."""
     rng = np.random.default_rng(0)
     bags = []
-    for i in range(640):
-        t = np.unique(np.concatenate([rng.integers(100, 5000, 20), [1, 2] if i in (5, 69) else [3]])).astype(np.uint64)
+    for i in range(6400):
+        t = np.unique(np.concatenate([rng.integers(100, 50_000, 20), [1, 2] if i in (5, 69) else [3]])).astype(np.uint64)
         bags.append((t, np.ones(len(t), np.uint32)))
-    shard = search.Shard(np.arange(640), np.full(640, 20.0), bags, 20.0, 1.2, 0.75)
-    seen, real = [], np.unique
-    monkeypatch.setattr(search.np, "unique", lambda x, *a, **k: (seen.append(len(x)), real(x, *a, **k))[1])
-    ids, _ = shard.search(np.array([1, 2, 3], np.uint64), np.array([5.0, 5.0, 0.01]), 2)
-    assert list(ids) == [5, 69] and sum(seen) < 640
+    (shard,) = shards(bags, 6400, 20.0)
+    ((ids, _),) = shard.search([(np.array([1, 2, 3], np.uint64), np.array([5.0, 5.0, 0.01]))], 2, np.zeros(1))
+    assert list(ids) == [5, 69]
+    assert shard.tested == 100 and shard.skipped >= 90
+    (shard,) = shards(bags, 6400, 20.0)
+    ((ids, _),) = shard.search([(np.array([1, 2, 3], np.uint64), np.array([5.0, 5.0, 0.01]))], 2, np.array([9.0]))
+    assert list(ids) == [5, 69] and shard.skipped == 98 and shard.passed == 126
+    assert shard.search([(np.array([1, 2, 3], np.uint64), np.array([5.0, 5.0, 0.01]))], 2, np.array([99.0]))[0][0].size == 0 and shard.skipped == 198
 
 
 def test_odd_tables(spark):
