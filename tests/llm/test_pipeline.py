@@ -64,3 +64,15 @@ def test_null_and_repeated_ids(spark, sf):
         assert told(stage, [*texts, texts[0]], ids) == want
         assert told(stage, [texts[0]] * 3, [3, 3, 3]) == [(3, texts[0])]
     assert told(corpus_pipeline.benchmarks, [*texts[:3], bad, bad], [None, 1, 2, 2, None]) == sorted(zip([-1, 1, 2], texts, strict=False))
+
+
+def test_extra_columns_with_clashing_names(spark, sf):
+    """Columns named like those that stages and operators add come through every stage."""
+    texts = [" ".join(f"word{c}{i}" for i in range(40)) for c in "abc"]
+    extra = {"score": "7.5", "lang_pred": "'x'", "kept": "'k'", "row": "1", "_hash": "2", "line": "3", "cls": "4", "version": "5", "words": "6", "did": "7", "sha1": "8", "component_id": "9", "c0": "10"}
+    docs = documents(spark, texts).selectExpr("*", *[f"{v} AS {k}" for k, v in extra.items()])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert set(extra) <= set(docs.columns)
+    assert docs.count() == 3 and docs.select("score", "row", "_hash").distinct().collect() == [(7.5, 1, 2)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 3
