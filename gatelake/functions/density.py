@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .transforms import number
 
 GRID = 1024
@@ -54,15 +55,43 @@ def binned(df: DataFrame, column: str, lo: float, hi: float, grid: int = GRID) -
 def kde(df: DataFrame, column: str, *, bandwidth: float | str = "silverman", grid: int = GRID, lo: float | None = None, hi: float | None = None) -> Density:
     """Gaussian density on a grid that reaches three bandwidths beyond the data (or over the given range)."""
     x = number(column)
-    row = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).head()
+    row = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd")).head()
     if not row.n:
         raise ValueError(f"no values in {column}")
-    h = silverman(row.n, row.sd or 0.0, row.q[1] - row.q[0]) if bandwidth == "silverman" else float(bandwidth)
+    if bandwidth == "silverman":
+        q = quantiles(df, [column], [0.25, 0.75]).head()[column]
+        h = silverman(row.n, row.sd or 0.0, q[1] - q[0])
+    elif bandwidth == "cross_validated":
+        h = cross_validated(df, column, row.lo, row.hi, row.sd or 1.0)
+    else:
+        h = float(bandwidth)
     lo, hi = row.lo - 3 * h if lo is None else lo, row.hi + 3 * h if hi is None else hi
     counts = binned(df, column, lo, hi, grid)
     return Density(np.linspace(lo, hi, grid), smooth(counts, (hi - lo) / (grid - 1), h), row.n)
 
 
+def cross_validated(df: DataFrame, column: str, lo: float, hi: float, sd: float, folds: int = 10, steps: int = 10, cells: int = GRID) -> float:
+    """The bandwidth of greatest held-out likelihood, among `steps` between 1/50 of the deviation and all of it.
+
+    Folds are counted into one grid by a hash of the value, so that all events count and the driver sees folds * cells numbers.
+    """
+    step = (hi - lo) / (cells - 1) or 1.0
+    x = number(column)
+    cell, part = F.least(F.floor((x - lo) / step), F.lit(cells - 1)).cast("int"), F.pmod(F.xxhash64(x), F.lit(folds)).cast("int")
+    counts = np.zeros((folds, cells))
+    for r in df.where(x.isNotNull()).groupBy(part.alias("f"), cell.alias("c")).agg(F.count("*").alias("n")).collect():
+        counts[r.f, r.c] = r.n
+
+    def score(h: float) -> float:
+        total = 0.0
+        for f in range(folds):
+            rest = smooth(counts.sum(0) - counts[f], step, h)
+            total += float((counts[f] * np.log(np.maximum(rest, 1e-300))).sum())
+        return total
+
+    return float(max(np.linspace(sd / 50, sd, steps), key=score))
+
+
 def best_bandwidth(values: np.ndarray, candidates: np.ndarray, folds: int = 10) -> float:
     """The bandwidth of greatest held-out likelihood."""
     parts = [values[i::folds] for i in range(folds)]
@@ -152,6 +181,39 @@ def threshold(d: Density, *, least_height: float = 0.05, spacing: float = 0.1, u
     return (valley(d.x, q, two) if len(two) == 2 else inflection(d.x, q, int(two[0]))), len(found)
 
 
+def cluster_landmarks(peaks: dict[str, list[float]], k: int, rounds: int = 50) -> tuple[np.ndarray, list[tuple[str, float, int]]]:
+    """Centres of k groups of all samples' peaks, and (sample, peak, group). Centres start at the peaks' quantiles."""
+    rows = sorted((p, s) for s, ps in peaks.items() for p in ps)
+    values = np.array([p for p, _ in rows])
+    centres = np.quantile(values, (np.arange(k) + 0.5) / k)
+    for _ in range(rounds):
+        group = np.abs(values[:, None] - centres[None]).argmin(axis=1)
+        new = np.array([values[group == g].mean() if (group == g).any() else centres[g] for g in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    group = np.abs(values[:, None] - centres[None]).argmin(axis=1)
+    return centres, [(s, p, int(g)) for (p, s), g in zip(rows, group, strict=True)]
+
+
+def pure_groups(landmarks: list[tuple[str, float, int]]) -> list[int]:
+    """Groups whose peaks are all of one sample: no other has a landmark there."""
+    samples: dict[int, set[str]] = {}
+    for s, _, g in landmarks:
+        samples.setdefault(g, set()).add(s)
+    return sorted(g for g, names in samples.items() if len(names) == 1)
+
+
+def nearest_landmarks(landmarks: list[tuple[str, float, int]], centres: np.ndarray) -> dict[int, dict[str, float]]:
+    """In each group that more than one sample has, each sample's peak nearest to the centre."""
+    out: dict[int, dict[str, float]] = {}
+    alone = set(pure_groups(landmarks))
+    for s, p, g in landmarks:
+        if g not in alone and (s not in out.setdefault(g, {}) or abs(p - centres[g]) < abs(out[g][s] - centres[g])):
+            out[g][s] = p
+    return out
+
+
 def match_landmarks(target: list[float], other: list[float]) -> list[tuple[float, float]]:
     """Pairs of peaks, one of each sample, in order: each target peak takes the nearest free peak, nearest pairs first; crossings are left out."""
     pairs: list[tuple[float, float]] = []
@@ -163,9 +225,17 @@ def match_landmarks(target: list[float], other: list[float]) -> list[tuple[float
 
 
 def warp_knots(target: Density, other: Density, *, least_height: float = 0.05, spacing: float = 0.1) -> tuple[list[float], list[float]]:
-    """Knots of the piecewise-linear map that moves the other density's peaks onto the target's; the range's ends stay."""
+    """Knots of the piecewise-linear map that moves the other density's peaks onto the target's; the range's ends stay.
+
+    Peaks are grouped around as many centres as the target has; of each group both samples have, the peaks nearest to the centre are a pair.
+    Without such a group, peaks are paired by distance.
+    """
     peaks = lambda d: [float(d.x[i]) for i in find_peaks(d.p, least_height, spacing)]
-    pairs = match_landmarks(peaks(target), peaks(other))
+    first, second = peaks(target), peaks(other)
+    centres, landmarks = cluster_landmarks({"target": first, "other": second}, max(1, len(first)))
+    pairs = sorted((g["target"], g["other"]) for g in nearest_landmarks(landmarks, centres).values() if len(g) == 2)
+    if not pairs or any((a - c) * (b - d) <= 0 for (a, b), (c, d) in zip(pairs[:-1], pairs[1:], strict=True)):
+        pairs = match_landmarks(first, second)
     lo, hi = float(other.x[0]), float(other.x[-1])
     xs, ys = [lo], [min(lo, *(t for t, _ in pairs)) if pairs else lo]
     for t, o in pairs:

@@ -55,6 +55,13 @@ def gamma_sf(x: float, a: float) -> float:
     return front * out
 
 
+def normal_quantile(p: float) -> float:
+    """The value below which a standard normal lies with chance p."""
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
 def normal_sf(z: float) -> float:
     return math.erfc(z / math.sqrt(2)) / 2
 

@@ -159,20 +159,23 @@ class Scaler:
     stats: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, features: list[str]) -> Scaler:
+        from .quantiles import quantiles  # it builds on this module
+
         aggs = {
             "standard": lambda x: {"shift": F.avg(x), "scale": F.stddev_pop(x)},
             "minmax": lambda x: {"shift": F.min(x), "scale": F.max(x) - F.min(x)},
             "maxabs": lambda x: {"shift": F.lit(0.0), "scale": F.max(F.abs(x))},
-            "robust": lambda x: {"shift": F.percentile(x, F.lit(0.5)), "scale": F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))},
         }
         if self.method in aggs:
             exprs = {f: aggs[self.method](number(f)) for f in features}
             row = df.agg(*[e.alias(f"{f}\t{k}") for f, x in exprs.items() for k, e in x.items()]).head()
             self.stats = {f: {"shift": row[f"{f}\tshift"], "scale": row[f"{f}\tscale"] or 1.0} for f in features}
+        elif self.method == "robust":
+            row = quantiles(df, features, [0.25, 0.5, 0.75]).head()
+            self.stats = {f: {"shift": row[f][1], "scale": (row[f][2] - row[f][0]) or 1.0} for f in features}
         elif self.method == "quantile":
             n = int(self.params.get("n_quantiles", 100))
-            grid = [i / (n - 1) for i in range(n)]
-            row = df.agg(*[F.percentile(number(f), F.array(*map(F.lit, grid))).alias(f) for f in features]).head()
+            row = quantiles(df, features, [i / (n - 1) for i in range(n)]).head()
             self.stats = {f: {"grid": list(row[f])} for f in features}
         elif self.method in ("yeo_johnson", "box_cox"):
             self.stats = {f: {"lambda": _power_lambda(df, f, self.method)} for f in features}
@@ -184,9 +187,20 @@ class Scaler:
         return df.withColumns({f: self._forward(number(f), s) for f, s in self.stats.items()})
 
     def inverse(self, df: DataFrame) -> DataFrame:
-        if "shift" not in next(iter(self.stats.values()), {}):
-            raise NotImplementedError(f"{self.method} has no inverse here")
-        return df.withColumns({f: number(f) * s["scale"] + s["shift"] for f, s in self.stats.items()})
+        """Undo `transform`; what the quantile method has cut to its ends comes back as the least or greatest value."""
+        return df.withColumns({f: self._backward(number(f), s) for f, s in self.stats.items()})
+
+    def set_params(self, **params) -> Scaler:
+        """New parameters; the scaler must be fitted again."""
+        self.params, self.stats = {**self.params, **params}, {}
+        return self
+
+    def _backward(self, y: Column, s: dict) -> Column:
+        if "shift" in s:
+            return y * s["scale"] + s["shift"]
+        if "grid" in s:
+            return piecewise(y, [i / (len(s["grid"]) - 1) for i in range(len(s["grid"]))], s["grid"])
+        return yeo_johnson_inverse(y, s["lambda"]) if self.method == "yeo_johnson" else box_cox_inverse(y, s["lambda"])
 
     def _forward(self, x: Column, s: dict) -> Column:
         if "shift" in s:
@@ -219,8 +233,18 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def box_cox_inverse(y: Column, lam: float) -> Column:
+    return F.exp(y) if abs(lam) < 1e-9 else F.pow(y * lam + 1, F.lit(1 / lam))
+
+
+def yeo_johnson_inverse(y: Column, lam: float) -> Column:
+    up = F.expm1(y) if abs(lam) < 1e-9 else F.pow(y * lam + 1, F.lit(1 / lam)) - 1
+    down = -F.expm1(-y) if abs(lam - 2) < 1e-9 else 1 - F.pow(1 - y * (2 - lam), F.lit(1 / (2 - lam)))
+    return F.when(y >= 0, up).otherwise(down)
+
+
 def _power_lambda(df: DataFrame, feature: str, method: str) -> float:
-    """The lambda of greatest likelihood, by golden section; every step is one aggregate over a grid of five values."""
+    """The lambda of greatest likelihood between -3 and 3: each of eight rounds is one aggregate over a grid of seven values, and the next grid lies around the best."""
     x = number(feature)
     jacobian = F.sum(F.log(x)) if method == "box_cox" else F.sum(F.signum(x) * F.log1p(F.abs(x)))
     shape = box_cox if method == "box_cox" else yeo_johnson
@@ -250,10 +274,19 @@ def normalise_rows(df: DataFrame, features: list[str], norm: str = "l2", keep: s
 
 
 def normalise_columns(df: DataFrame, features: list[str], norm: str = "max") -> DataFrame:
-    """Divide each column by its norm over all rows (one aggregate, sent back as a broadcast row)."""
+    """Divide each column by its norm over all rows (one aggregate)."""
+    return df.withColumns({f: number(f) / n for f, n in column_norms(df, features, norm).items()})
+
+
+def column_norms(df: DataFrame, features: list[str], norm: str = "max") -> dict[str, float]:
+    """What `normalise_columns` divides by, to be kept for `denormalise_columns`."""
     size = {"max": lambda x: F.max(F.abs(x)), "l1": lambda x: F.sum(F.abs(x)), "l2": lambda x: F.sqrt(F.sum(x * x))}[norm]
-    norms = df.agg(*[size(number(f)).alias(f) for f in features]).head()
-    return df.withColumns({f: number(f) / (norms[f] or 1.0) for f in features})
+    row = df.agg(*[size(number(f)).alias(f) for f in features]).head()
+    return {f: row[f] or 1.0 for f in features}
+
+
+def denormalise_columns(df: DataFrame, norms: dict[str, float]) -> DataFrame:
+    return df.withColumns({f: number(f) * n for f, n in norms.items()})
 
 
 def denormalise_rows(df: DataFrame, features: list[str], kept: str = "norm") -> DataFrame:

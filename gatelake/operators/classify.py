@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import transforms
+from ..functions.quantiles import running
 from ..functions.transforms import Scaler, number
+from . import populations as P
+from . import sampling
 from .sampling import key
 
 
@@ -60,8 +66,7 @@ def metrics(df: DataFrame, actual: str, predicted: str, names: tuple[str, ...] =
 def roc_auc(df: DataFrame, actual: str, score: str) -> float:
     """Area under the curve of a 0/1 label, from average ranks of distinct scores."""
     by = df.groupBy(score).agg(F.count("*").alias("k"), F.sum(F.col(actual).cast("double")).alias("pos"))
-    below = F.coalesce(F.sum("k").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = by.withColumn("rank", below + (F.col("k") + 1) / 2).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("rank") * F.col("pos")).alias("s")).head()
+    r = running(by, score, "k", "below").withColumn("rank", F.col("below") + (F.col("k") + 1) / 2).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("rank") * F.col("pos")).alias("s")).head()
     return (r.s - r.p * (r.p + 1) / 2) / (r.p * (r.n - r.p))
 
 
@@ -115,6 +120,7 @@ class CellClassifier:
         """df with `predicted` (and `score`, the chance of class 1, where the model has two classes)."""
         from pyspark.ml.functions import vector_to_array
 
+        self._fitted()
         keep = df.columns
         out = self.model.transform(self._vectors(df.select("*", *[F.col(f).alias(f"_raw_{f}") for f in self.features])))
         if "probability" in out.columns:
@@ -153,11 +159,11 @@ class CellClassifier:
         return dict(zip(self.features, map(float, self.model.featureImportances.toArray()), strict=True))
 
     def permutation_importance(self, df: DataFrame, metric: str = "balanced_accuracy", id_col: str = "event_id", seed: int = 0) -> dict[str, float]:
-        """How much the score falls when a column is dealt out anew: rows by hash rank, values by another. A group of 1000 rows at a time, so nothing is sorted as a whole."""
+        """How much the score falls when a column is dealt out anew within blocks of about 1000 rows: rows by one hash order, values by another, so nothing is sorted as a whole."""
         base = metrics(self.predict(df), self.label, "predicted", (metric,))[metric]
         out = {}
+        block = F.pmod(F.xxhash64(id_col), F.lit(max(1, df.count() // 1000)))
         for f in self.features:
-            block = F.pmod(F.xxhash64(id_col), F.lit(64))
             a = df.withColumn("_b", block).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key(id_col, seed), id_col)))
             b = df.select(block.alias("_b"), F.row_number().over(Window.partitionBy(block).orderBy(key(id_col, seed + 1), id_col)).alias("_r"), F.col(f).alias("_new"))
             shuffled = a.join(b, ["_b", "_r"]).withColumn(f, F.col("_new")).drop("_b", "_r", "_new")
@@ -165,7 +171,103 @@ class CellClassifier:
         return out
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The fitted model, and beside it what prediction needs: features, label, kind, and the scaler with its statistics."""
+        self._fitted()
+        self.model.write().overwrite().save(f"{path}/model")
+        said = {"features": self.features, "label": self.label, "kind": self.kind, "params": self.params, "scale": self.scale, "balanced": self.balanced, "stats": self.scaler.stats if self.scale else {}}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/classifier")
+
+    @classmethod
+    def load(cls, path: str) -> CellClassifier:
+        from pyspark.ml import classification as C
+
+        said = json.loads(SparkSession.active().read.text(f"{path}/classifier").head().value)
+        stats = said.pop("stats")
+        out = cls(**said)
+        kinds = {"logistic": C.LogisticRegressionModel, "random_forest": C.RandomForestClassificationModel, "decision_tree": C.DecisionTreeClassificationModel, "gbt": C.GBTClassificationModel, "naive_bayes": C.NaiveBayesModel, "svm": C.LinearSVCModel, "network": C.MultilayerPerceptronClassificationModel}
+        out.model = kinds[out.kind].load(f"{path}/model")
+        if out.scale:
+            out.scaler = Scaler(out.scale, stats=stats)
+        return out
+
+    def _fitted(self) -> None:
+        if not hasattr(self, "model"):
+            raise ValueError("the classifier isn't fitted")
+
+    def set_params(self, **params) -> CellClassifier:
+        """New parameters of the model, which must be fitted again."""
+        self.params = {**self.params, **params}
+        self.__dict__.pop("model", None)
+        return self
+
+    def transform(self, df: DataFrame, method: str | None, params: dict | None = None) -> DataFrame:
+        """df with the features on another scale."""
+        return transforms.apply(df, self.features, method, params)
+
+    def downsample(self, df: DataFrame, method: str, size: int | float, id_col: str = "event_id", **kwargs) -> DataFrame:
+        """Training rows: uniform, by density, or faithful (size is then the cells' side)."""
+        if method == "uniform":
+            return sampling.uniform(df, size, id_col=id_col, **kwargs)
+        if method == "density":
+            return sampling.density_downsample(df, self.features, size, id_col=id_col, **kwargs)
+        if method == "faithful":
+            return sampling.faithful_downsample(df, self.features, size, id_col=id_col)
+        raise ValueError(f"unknown sampling {method!r}")
+
+    def training_data(self, events: DataFrame, membership: DataFrame, tree: list[tuple[str, str | None]], populations: list[str], root: str = P.ROOT, multi: bool = False) -> DataFrame:
+        """Events of the root population with their labels; the populations must be there, and below the root population."""
+        check_labels(tree, populations, root)
+        rows = P.load(events, membership, root)
+        return P.multilabel(rows, membership, populations) if multi else P.singlelabel(rows, membership, populations)
+
+    def validate(self, events: DataFrame, membership: DataFrame, tree: list[tuple[str, str | None]], populations: list[str], root: str = P.ROOT, threshold: float | None = None, names: tuple[str, ...] = ("balanced_accuracy", "f1_weighted")) -> tuple[dict[str, float], DataFrame]:
+        """Scores against a gated sample, and its events with `label` and `predicted`."""
+        self._fitted()
+        done = self.predict(self.training_data(events, membership, tree, populations, root), threshold)
+        return metrics(done, "label", "predicted", names), done
+
+    def performance(self, train: DataFrame, test: DataFrame, names: tuple[str, ...] = ("balanced_accuracy", "f1_weighted")) -> list[dict]:
+        """Scores on the rows it was fitted on and on others."""
+        self._fitted()
+        return [{"data": n, **metrics(self.predict(df), self.label, "predicted", names)} for n, df in (("train", train), ("test", test))]
+
+    def prune(self, train: DataFrame, test: DataFrame, depths: list[int], metric: str = "accuracy") -> list[tuple[int, float]]:
+        """The score of a tree of each greatest depth."""
+        out = []
+        for d in depths:
+            model = CellClassifier(self.features, self.label, self.kind, {**self.params, "maxDepth": d}, self.scale, self.balanced).fit(train)
+            out.append((d, metrics(model.predict(test), self.label, "predicted", (metric,))[metric]))
+        return out
+
+    def rules(self) -> str:
+        """A tree model as text."""
+        self._fitted()
+        out = self.model.toDebugString
+        for i, f in enumerate(self.features):
+            out = re.sub(rf"\bfeature {i}\b", f, out)
+        return out
+
+
+def check_labels(tree: list[tuple[str, str | None]], populations: list[str], root: str = P.ROOT) -> None:
+    """An error unless the populations are in the tree, and below the root population."""
+    known = dict(tree)
+    if missing := [p for p in populations if p not in known]:
+        raise ValueError(f"no population {', '.join(missing)}")
+    if wrong := [p for p in populations if not P._is_below(p, root, known)]:
+        raise ValueError(f"{', '.join(wrong)}: not below {root}")
+
+
+def residuals(df: DataFrame, features: list[str], label: str, strength: float, share: float = 0.5, id_col: str = "event_id") -> DataFrame:
+    """id, predicted, residual on held-out rows, of a linear model with an L1 penalty."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    train, test = split(df, share, id_col)
+    scaler = Scaler().fit(train, features)
+    vectors = lambda d: VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(scaler.transform(d)).select(id_col, "_v", F.col(label).cast("double").alias("_y"))
+    model = LinearRegression(featuresCol="_v", labelCol="_y", predictionCol="predicted", regParam=strength, elasticNetParam=1.0, standardization=False).fit(vectors(train))
+    return model.transform(vectors(test)).select(id_col, "predicted", (F.col("_y") - F.col("predicted")).alias("residual"))
 
 
 def as_populations(df: DataFrame, prefix: str, names: dict[int, str], id_col: str = "event_id") -> DataFrame:

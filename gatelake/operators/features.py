@@ -8,17 +8,18 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
+from ..functions.quantiles import quantiles, running
 from ..functions.transforms import geometric_mean, number
 
 #: Aggregates by name; moments are those of a population, as usual for descriptive statistics.
 DESCRIBE = {
     "mean": F.avg,
     "SD": F.stddev_pop,
-    "median": lambda x: F.percentile(x, F.lit(0.5)),
+    "median": None,  # a quantile, see describe
     "CV": lambda x: F.try_divide(F.stddev_pop(x), F.avg(x)),
     "skew": F.skewness,
     "kurtosis": F.kurtosis,
@@ -27,9 +28,16 @@ DESCRIBE = {
 
 
 def describe(events: DataFrame, channel: str, by: list[str], stats: list[str] | None = None) -> DataFrame:
-    """Descriptive statistics of a channel for each group, in one pass."""
-    x = number(channel)
-    return events.groupBy(*by).agg(*[DESCRIBE[s](x).alias(s) for s in stats or list(DESCRIBE)])
+    """Descriptive statistics of a channel for each group: one aggregate, and quantiles for the median."""
+    x, stats = number(channel), stats or list(DESCRIBE)
+    out = events.groupBy(*by).agg(F.count("*").alias("_n"), *[DESCRIBE[s](x).alias(s) for s in stats if s != "median"])
+    if "median" in stats:
+        median = quantiles(events, [channel], [0.5], by).select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(channel)[0].alias("median"))
+        on = F.lit(True)
+        for i, b in enumerate(by):
+            on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+        out = out.join(median, on)
+    return out.select(*by, *stats)
 
 
 def ratios(stats: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
@@ -58,12 +66,10 @@ def variance_order(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, to: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged. Values are first counted, so that the ordering window sees distinct values only."""
+    """Ranks with ties averaged. Values are first counted, and distinct ones ordered bucket by bucket."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    below = F.coalesce(F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn(to, below + (F.col("_k") + 1) / 2).drop("_k")
+    counts = running(df.groupBy(*by, value).agg(F.count("*").alias("_k")), value, "_k", "_below", by)
+    ranked = counts.withColumn(to, F.col("_below") + (F.col("_k") + 1) / 2).drop("_k", "_below")
     return df.join(ranked, [*by, value])
 
 
@@ -206,10 +212,61 @@ def jarque_bera(df: DataFrame, value: str) -> dict[str, float]:
     return {"JB": jb, "p": D.chi2_p(jb, 2)}
 
 
+#: Rows for which the Shapiro-Wilk p-value's approximation was made.
+SHAPIRO_ROWS = 5000
+
+
+def shapiro(df: DataFrame, value: str) -> dict[str, float]:
+    """W and p of Shapiro-Wilk's test by Royston's approximation (AS R94), which holds for 3 to SHAPIRO_ROWS values; more are an error."""
+    x = sorted(r.v for r in df.select(number(value).alias("v")).where("v is not null").limit(SHAPIRO_ROWS + 1).collect())
+    n = len(x)
+    if not 3 <= n <= SHAPIRO_ROWS:
+        raise ValueError(f"the test is made for 3 to {SHAPIRO_ROWS} values; see jarque_bera")
+    m = [D.normal_quantile((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
+    size, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    # fixed values: Royston's polynomials
+    last = -2.706056 * u**5 + 4.434685 * u**4 - 2.071190 * u**3 - 0.147981 * u**2 + 0.221157 * u + m[-1] / math.sqrt(size)
+    second = -3.582633 * u**5 + 5.682633 * u**4 - 1.752461 * u**3 - 0.293762 * u**2 + 0.042981 * u + m[-2] / math.sqrt(size)
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    elif n <= 5:
+        phi = (size - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+        a = [-last, *(v / math.sqrt(phi) for v in m[1:-1]), last]
+    else:
+        phi = (size - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+        a = [-last, -second, *(v / math.sqrt(phi) for v in m[2:-2]), second, last]
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    w = sum(c * v for c, v in zip(a, x, strict=True)) ** 2 / spread if spread else 1.0
+    if n == 3:
+        p = max(0.0, 6 / math.pi * (math.asin(math.sqrt(min(w, 1.0))) - math.asin(math.sqrt(0.75))))
+    else:
+        # fixed values: Royston's mean and deviation of the transformed statistic
+        if n <= 11:
+            y, mu = -math.log(-2.273 + 0.459 * n - math.log(max(1 - w, 1e-300))), 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3
+            sigma = math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
+        else:
+            k = math.log(n)
+            y, mu = math.log(max(1 - w, 1e-300)), -1.5861 - 0.31082 * k - 0.083751 * k**2 + 0.0038915 * k**3
+            sigma = math.exp(-0.4803 - 0.082676 * k + 0.0030302 * k**2)
+        p = D.normal_sf((y - mu) / sigma)
+    return {"W": w, "p": p}
+
+
+def normality(df: DataFrame, variables: list[str], method: str = "shapiro", alpha: float = 0.05) -> list[dict]:
+    """Each variable's statistic, p and whether it may be normal."""
+    test = {"shapiro": shapiro, "jarque_bera": jarque_bera}[method]
+    out = []
+    for v in variables:
+        r = test(df, v)
+        out.append({"variable": v, "statistic": next(iter(r.values())), "p": r["p"], "normal": r["p"] > alpha})
+    return out
+
+
 def levene(df: DataFrame, between: str, value: str) -> dict[str, float]:
     """Equal variances: an F test of distances from group medians."""
-    medians = df.groupBy(between).agg(F.percentile(number(value), F.lit(0.5)).alias("_m"))
-    away = df.join(F.broadcast(medians), between).withColumn("_d", F.abs(number(value) - F.col("_m")))
+    medians = quantiles(df, [value], [0.5], [between]).select(between, F.col(value)[0].alias("_m"))
+    away = df.join(medians, between).withColumn("_d", F.abs(number(value) - F.col("_m")))
     return anova(away, between, "_d")
 
 
@@ -223,8 +280,7 @@ def by_variable(test, df: DataFrame, between: str, variables: list[str], adjust:
 
 def five_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Minimum, quartiles and maximum for each group: the data of a box plot."""
-    x = number(value)
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
+    q = quantiles(df, [value], [0.0, 0.25, 0.5, 0.75, 1.0], by).withColumnRenamed(value, "q")
     return q.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
@@ -238,7 +294,7 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int, x_range: tuple[float,
 def qq_table(df: DataFrame, value: str, points: int = 100) -> DataFrame:
     """Quantiles of the data at plotting positions: the data of a QQ plot."""
     at = [(i + 0.5) / points for i in range(points)]
-    q = df.agg(F.percentile(number(value), F.array(*map(F.lit, at))).alias("q"))
+    q = quantiles(df, [value], at).withColumnRenamed(value, "q")
     return q.select(F.posexplode("q").alias("i", "quantile")).withColumn("position", (F.col("i") + 0.5) / points)
 
 
@@ -275,5 +331,13 @@ class PCA:
         z = [(number(f) - float(self.mean[i])) / float(self.sd[i]) for i, f in enumerate(self.features)]
         return df.withColumns({f"{prefix}{j + 1}": sum((z[i] * float(self.components[i, j]) for i in range(1, len(z))), z[0] * float(self.components[0, j])) for j in range(self.k)})
 
+    def ellipses(self, df: DataFrame, label: str, components: tuple[int, int] = (0, 1), s: float = 3.0) -> DataFrame:
+        """label, x, y, width, height, angle: the ellipse of s standard deviations around each label's scores."""
+        a, b = (F.col(f"PCA{c + 1}") for c in components)
+        m = self.transform(df).groupBy(label).agg(F.avg(a).alias("x"), F.avg(b).alias("y"), F.var_samp(a).alias("xx"), F.var_samp(b).alias("yy"), F.covar_samp(a, b).alias("xy"))
+        mean, half = (F.col("xx") + F.col("yy")) / 2, F.sqrt(F.pow((F.col("xx") - F.col("yy")) / 2, F.lit(2.0)) + F.col("xy") ** 2)
+        angle = F.degrees(F.atan2(mean + half - F.col("xx"), F.col("xy")))
+        return m.select(label, "x", "y", (2 * s * F.sqrt(mean + half)).alias("width"), (2 * s * F.sqrt(F.greatest(mean - half, F.lit(0.0)))).alias("height"), F.when(F.col("xy") != 0, angle).when(F.col("xx") >= F.col("yy"), 0.0).otherwise(90.0).alias("angle"))
+
     def loadings(self, component: int = 0) -> dict[str, float]:
         return {f: abs(float(self.components[i, component])) for i, f in enumerate(self.features)}

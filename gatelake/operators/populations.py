@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 ROOT = "root"
 #: Populations nest no deeper than this; a deeper tree is a cycle.
 MAX_DEPTH = 64
@@ -180,10 +182,10 @@ def load(events: DataFrame, membership: DataFrame, population: str) -> DataFrame
 def quantile_clean(events: DataFrame, features: list[str], lower: float = 0.001, upper: float = 0.999) -> DataFrame:
     """Keep rows within the quantiles of each feature in turn; every feature's quantiles are those of the rows that are left."""
     for f in features:
-        row = events.agg(F.percentile(F.col(f).cast("double"), F.array(F.lit(lower), F.lit(upper))).alias("q")).head()
-        if row.q is None:
+        row = quantiles(events, [f], [lower, upper]).head()
+        if row[f] is None:
             return events
-        events = events.where(F.col(f).cast("double").between(*row.q))
+        events = events.where(F.col(f).cast("double").between(*row[f]))
     return events
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 
 def key(id_col: str = "event_id", seed: int = 0) -> Column:
     """Hash order of rows; md5, so that any engine can check it."""
@@ -21,7 +23,7 @@ def key(id_col: str = "event_id", seed: int = 0) -> Column:
 def uniform(df: DataFrame, size: int | float, *, id_col: str = "event_id", seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """Exactly `size` rows (all, if there are fewer), or about a fraction of them if size is a float; in each group if `by` is given.
 
-    Whole-table samples use a top-n that never sorts more than `size` rows a task. Groups are first cut by hash in each, then ranked.
+    Whole-table samples use a top-n that never sorts more than `size` rows a task; groups are cut by hash first, see `first_by_hash`.
     """
     if isinstance(size, bool) or not isinstance(size, int | float):
         raise TypeError("size must be an int or a float")
@@ -30,8 +32,31 @@ def uniform(df: DataFrame, size: int | float, *, id_col: str = "event_id", seed:
         return df.where(cut < size)
     if not by:
         return df.orderBy(key(id_col, seed), id_col).limit(size)
-    w = Window.partitionBy(*by).orderBy(key(id_col, seed), F.col(id_col))
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
+    return first_by_hash(df, by, F.lit(size), id_col=id_col, seed=seed)
+
+
+#: Hash cells of a group; only the cell in which a sample ends is sorted.
+HASH_CELLS = 4096
+
+
+def first_by_hash(df: DataFrame, by: list[str], size: Column, *, id_col: str = "event_id", seed: int = 0) -> DataFrame:
+    """The first rows of each group in hash order; size is an expression of the group's columns.
+
+    Cells of the hash are counted first. Those before a group's last one are taken whole, and a window ranks that one cell alone.
+    """
+    cell = F.conv(F.substring(key(id_col, seed), 1, 3), 16, 10).cast("int")
+    rows = df.withColumn("_cell", cell)
+    counts = rows.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).withColumn("_left", size - F.col("_before"))
+    counts = counts.where("_left > 0").select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_cell").alias("_own"), F.when(F.col("_left") < F.col("_n"), F.col("_left")).alias("_last"))
+    on = F.col("_cell") == F.col("_own")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    kept = rows.join(counts, on)
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(key(id_col, seed), F.col(id_col)))
+    whole = kept.where("_last is null").select(df.columns)
+    return whole.unionByName(kept.where("_last is not null").withColumn("_r", r).where("_r <= _last").select(df.columns))
 
 
 def density_weight(local: Column, target: Column | float, outlier: Column | float) -> Column:
@@ -89,11 +114,14 @@ def local_density(df: DataFrame, features: list[str], tree: DataFrame, *, metric
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
-def density_downsample(df: DataFrame, features: list[str], size: int, *, id_col: str = "event_id", tree_fraction: float = 0.1, metric: str = "manhattan", alpha: float = 5.0, outlier: float = 1.0, target: float = 5.0, seed: int = 0) -> DataFrame:
-    """A sample that thins dense regions: weights from local density, whose outlier and target levels are its percentiles."""
+def density_downsample(df: DataFrame, features: list[str], size: int, *, id_col: str = "event_id", tree_fraction: float = 0.1, tree_rows: int = TREE_ROWS, metric: str = "manhattan", alpha: float = 5.0, outlier: float = 1.0, target: float = 5.0, seed: int = 0) -> DataFrame:
+    """A sample that thins dense regions: weights from local density, whose outlier and target levels are its percentiles.
+
+    Densities are told by a sample of `tree_fraction` of the rows, of `tree_rows` at most; every row gets one.
+    """
     tree = uniform(df, tree_fraction, id_col=id_col, seed=seed + 1)
-    dense = local_density(df, features, uniform(tree, TREE_ROWS, id_col=id_col, seed=seed + 1), metric=metric, alpha=alpha, to="_density")
-    low, high = dense.agg(F.percentile("_density", F.array(F.lit(outlier / 100), F.lit(target / 100))).alias("q")).head().q
+    dense = local_density(df, features, uniform(tree, min(tree_rows, TREE_ROWS), id_col=id_col, seed=seed + 1), metric=metric, alpha=alpha, to="_density")
+    low, high = quantiles(dense, ["_density"], [outlier / 100, target / 100]).head()["_density"]
     chosen = weighted(dense.withColumn("_w", density_weight(F.col("_density"), F.lit(high), F.lit(low))), size, "_w", id_col=id_col, seed=seed)
     return chosen.drop("_density", "_w")
 
@@ -105,7 +133,10 @@ def upsample_density(df: DataFrame, features: list[str], factor: int = 2, *, wei
 
 
 def faithful_downsample(df: DataFrame, features: list[str], h: float, *, id_col: str = "event_id") -> DataFrame:
-    """A cover: every event is near a kept one, which stands for its cell of a grid of side h. One row a cell, that of the least hash."""
+    """A cover: every event is near a kept one, which stands for its cell of a grid of side h. One row a cell, that of the least hash.
+
+    Unlike a cover by neighbourhoods, which takes one event after another, cells need no order and no second look at any event.
+    """
     cell = [F.floor(F.col(f).cast("double") / h).alias(f"_{i}") for i, f in enumerate(features)]
     best = df.select(*cell, id_col).groupBy(*[f"_{i}" for i in range(len(features))]).agg(F.min_by(id_col, key(id_col)).alias(id_col))
     return df.join(best.select(id_col), id_col, "left_semi")
@@ -114,12 +145,16 @@ def faithful_downsample(df: DataFrame, features: list[str], h: float, *, id_col:
 def oversample(df: DataFrame, label: str, *, id_col: str = "event_id", seed: int = 0) -> DataFrame:
     """Minority classes repeated up to the majority's count: whole copies, then the rest by hash order."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    counts.pop(None, None)
     most = max(counts.values(), default=0)
+    if not most:
+        return df.withColumn("copy", F.lit(1)).limit(0)
     copies = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, most // n)])
     extra = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, most % n)])
-    r = F.row_number().over(Window.partitionBy(label).orderBy(key(id_col, seed), id_col))
-    n = copies[F.col(label)] + (r <= extra[F.col(label)]).cast("int")
-    return df.withColumn("_n", n).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    known = df.where(F.col(label).isNotNull())
+    whole = known.withColumn("copy", F.explode(F.sequence(F.lit(1), copies[F.col(label)])))
+    rest = first_by_hash(known, [label], extra[F.col(label)], id_col=id_col, seed=seed)
+    return whole.unionByName(rest.withColumn("copy", copies[F.col(label)] + 1))
 
 
 def knn_predict(df: DataFrame, labelled: DataFrame, features: list[str], label: str, k: int, *, to: str = "predicted") -> DataFrame:
