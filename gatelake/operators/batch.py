@@ -32,7 +32,7 @@ def covariance_distances(events: DataFrame, features: list[str]) -> DataFrame:
     cov = covariances(events, features)
     a, b = cov.select(F.col(SAMPLE).alias("a"), F.col("cov").alias("ca")), cov.select(F.col(SAMPLE).alias("b"), F.col("cov").alias("cb"))
     square = F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.sqrt(square).alias("distance"))
+    return a.crossJoin(b).select("a", "b", F.sqrt(square).alias("distance"))
 
 
 def reference_sample(events: DataFrame, features: list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def divergences(events: DataFrame, column: str, lo: float, hi: float, bins: int
     part = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
     terms = F.zip_with("pa", "pb", lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
     total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.sqrt(F.greatest(total, F.lit(0.0))).alias("jsd"))
+    return a.crossJoin(b).select("a", "b", F.sqrt(F.greatest(total, F.lit(0.0))).alias("jsd"))
 
 
 def similarity_matrix(events: DataFrame, reference: str, features: list[str], components: int = 2, bins: int = 16, metric: str = "jsd") -> pd.DataFrame:
@@ -254,6 +254,43 @@ def lisi(events: DataFrame, features: list[str], label: str = SAMPLE, neighbours
     return data.join(near.select(*xs, (1 / squares).alias("lisi")), xs).select(id_col, "lisi")
 
 
+def lisi_distribution(before: DataFrame, after: DataFrame, features: list[str], label: str = SAMPLE, neighbours: int = 30, id_col: str = "event_id") -> DataFrame:
+    """data ('Before', 'After'), id and lisi: the scores of events as they were and as they were corrected."""
+    one = lambda df, name: lisi(df, features, label, neighbours, id_col=id_col).select(F.lit(name).alias("data"), id_col, "lisi")
+    return one(before, "Before").unionByName(one(after, "After"))
+
+
+def marker_variance(events: DataFrame, reference: str, markers: list[str], samples: list[str] | None = None, grid: int = 128, bandwidth: float | str = "silverman") -> DataFrame:
+    """marker, sample_id, x, density: each marker's density in the reference and in the samples compared with it, on the reference's grid."""
+    names = [reference, *(samples or sorted(str(r[SAMPLE]) for r in events.select(SAMPLE).distinct().collect() if str(r[SAMPLE]) != reference))]
+    rows = []
+    for m in markers:
+        d = density.kde(events.where(F.col(SAMPLE) == reference), m, grid=grid, bandwidth=bandwidth)
+        for s in names:
+            own = d if s == reference else density.kde(events.where(F.col(SAMPLE) == s), m, grid=grid, bandwidth=bandwidth, lo=float(d.x[0]), hi=float(d.x[-1]))
+            rows += [(m, s, float(x), float(p)) for x, p in zip(own.x, own.p, strict=True)]
+    return events.sparkSession.createDataFrame(rows, "marker string, sample_id string, x double, density double")
+
+
+def dim_reduction_grid(events: DataFrame, reference: str, features: list[str], components: int = 2) -> DataFrame:
+    """events with PCA1... of the reference sample's components, and `is_reference`: every sample is seen in the reference's space."""
+    pca = PCA(features, components).fit(events.where(F.col(SAMPLE) == reference))
+    return pca.transform(events).withColumn("is_reference", F.col(SAMPLE) == reference)
+
+
+def summed_density(events: DataFrame, columns: list[str], grid: int = 256) -> DataFrame:
+    """sample_id, x, density of a column, or of the sum of several, by sample and over one range."""
+    total = sum((number(c) for c in columns[1:]), number(columns[0]))
+    data = events.select(SAMPLE, total.alias("_v"))
+    whole = density.kde(data, "_v", grid=grid)
+    rows = []
+    for s in sorted(r[SAMPLE] for r in data.select(SAMPLE).distinct().collect()):
+        d = density.kde(data.where(F.col(SAMPLE) == s), "_v", grid=grid, lo=float(whole.x[0]), hi=float(whole.x[-1]))
+        rows += [(s, float(x), float(p)) for x, p in zip(d.x, d.p, strict=True)]
+    kind = events.schema[SAMPLE].dataType.simpleString()
+    return events.sparkSession.createDataFrame(rows, f"sample_id {kind}, x double, density double")
+
+
 def meta_mask(events: DataFrame, mask, name: str) -> DataFrame:
     """'P' where the mask holds, else 'N'."""
     return events.withColumn(name, F.when(mask, "P").otherwise("N"))

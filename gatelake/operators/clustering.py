@@ -10,15 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import quantiles
 from ..functions.transforms import number
 from .gates import clustered
 
 SAMPLE, CLUSTER, META = "sample_id", "cluster_label", "meta_label"
-#: Rows that SOM training and graph clustering take, by hash order.
+#: Rows that graph clustering is made of, by hash order.
 TRAIN_ROWS = 20_000
 
 
@@ -28,12 +30,12 @@ def global_clusters(events: DataFrame, features: list[str], method: str = "kmean
 
 
 def sample_clusters(events: DataFrame, features: list[str], k: int = 10, seed: int = 42, rounds: int = 25) -> DataFrame:
-    """events with cluster_label by k-means in each sample. All samples advance together: centres are a small table, each round is one aggregate."""
+    """events with cluster_label by k-means in each sample. All samples advance together: centres are a small table, each round is one aggregate over the kept events."""
     from .sampling import key
 
     w = Window.partitionBy(SAMPLE).orderBy(key("event_id", seed), "event_id")
     xs = F.array(*[number(f) for f in features])
-    points = events.withColumn("_x", xs)
+    points = events.withColumn("_x", xs).persist(StorageLevel.MEMORY_AND_DISK)
     seeds = points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(SAMPLE, (F.col("_r") - 1).alias("c"), F.col("_x").alias("m"))
     centres = {}
     for r in seeds.collect():  # k rows a sample
@@ -49,7 +51,8 @@ def sample_clusters(events: DataFrame, features: list[str], k: int = 10, seed: i
             centres[r[SAMPLE]][r[CLUSTER]] = new
         if moved < 1e-9:
             break
-    return _nearest_in_sample(points, centres, spark).drop("_x")
+    points.unpersist()
+    return _nearest_in_sample(events.withColumn("_x", xs), centres, spark).drop("_x")
 
 
 def _nearest_in_sample(points: DataFrame, centres: dict, spark) -> DataFrame:
@@ -58,13 +61,15 @@ def _nearest_in_sample(points: DataFrame, centres: dict, spark) -> DataFrame:
     table = spark.createDataFrame(rows, T.StructType([T.StructField(SAMPLE, kind), T.StructField("_cs", T.ArrayType(T.StructType([T.StructField("c", T.DoubleType()), T.StructField("m", T.ArrayType(T.DoubleType()))])))]))
     far = lambda m: F.aggregate(F.zip_with("_x", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
     best = F.array_min(F.transform("_cs", lambda c: F.struct(far(c["m"]).alias("d"), c["c"].alias("c"))))
-    return points.join(F.broadcast(table), SAMPLE).withColumn(CLUSTER, best["c"].cast("int")).drop("_cs")
+    return points.join(table, SAMPLE).withColumn(CLUSTER, best["c"].cast("int")).drop("_cs")
 
 
 def summarise(events: DataFrame, features: list[str], how: str = "median", by: tuple[str, ...] = (SAMPLE, CLUSTER)) -> DataFrame:
     """Median or mean of each feature for each cluster of each sample; rows without a cluster are left out."""
-    agg = (lambda x: F.percentile(x, F.lit(0.5))) if how == "median" else F.avg
-    return events.where(F.col(by[-1]).isNotNull()).groupBy(*by).agg(*[agg(number(f)).alias(f) for f in features])
+    known = events.where(F.col(by[-1]).isNotNull())
+    if how == "median":
+        return quantiles(known, features, [0.5], by).withColumns({f: F.col(f)[0] for f in features})
+    return known.groupBy(*by).agg(*[F.avg(number(f)).alias(f) for f in features])
 
 
 def sizes(events: DataFrame) -> DataFrame:
@@ -91,15 +96,43 @@ def meta_clusters(events: DataFrame, features: list[str], k: int | None = None,
     return assign_meta(events, meta)
 
 
-def agglomerate(x: np.ndarray, k: int, distance: np.ndarray | None = None) -> np.ndarray:
-    """Average-linkage clusters of at most a few thousand rows, numbered by first member."""
+def graph_meta_clusters(events: DataFrame, features: list[str], k: int = 15, how: str = "median", scale: str | None = None, seed: int = 42) -> DataFrame:
+    """Summaries clustered by a shared-neighbour graph and its communities."""
+    table = summarise(events, features, how).toPandas()  # a row for each sample and cluster
+    x = table[features].to_numpy(float)
+    if scale:
+        shift, by = (x.mean(0), x.std(0)) if scale == "standard" else (x.min(0), np.ptp(x, axis=0))
+        x = (x - shift) / np.where(by > 0, by, 1)
+    table[META] = communities(x, k, seed).astype("int32")
+    return assign_meta(events, events.sparkSession.createDataFrame(table[[SAMPLE, CLUSTER, META]]))
+
+
+def reset(events: DataFrame, *labels: str) -> DataFrame:
+    """events with the labels (by default all) emptied."""
+    return events.withColumns({c: F.lit(None).cast(events.schema[c].dataType) for c in labels or (CLUSTER, META) if c in events.columns})
+
+
+def without_null_features(events: DataFrame, features: list[str]) -> list[str]:
+    """The features without missing values, which alone are clustered on."""
+    n = {r.feature: r.n_null for r in null_counts(events, features).collect()}
+    return [f for f in features if not n[f]]
+
+
+def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, n_null: missing values of each column, in one aggregate."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return row.unpivot([], columns, "feature", "n_null")
+
+
+def agglomerate(x: np.ndarray, k: int, distance: np.ndarray | None = None, linkage: str = "average") -> np.ndarray:
+    """Clusters of at most a few thousand rows by average, single or complete linkage, numbered by first member."""
     n = len(x)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) if distance is None else distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     size, label, alive = np.ones(n), np.arange(n), n
     while alive > k:
         i, j = sorted(np.unravel_index(int(d.argmin()), d.shape))
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        merged = {"average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j])}[linkage]
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
@@ -146,9 +179,13 @@ class Consensus:
         """Clusters of the consensus matrix at the chosen k."""
         return agglomerate(x, self.k, 1 - self.matrices[self.k])
 
+    def predict_data(self, x: np.ndarray) -> np.ndarray:
+        """Clusters of other rows at the chosen k."""
+        return agglomerate(x, min(self.k, len(x)))
+
 
 class SOM:
-    """A self-organising map: trained on a bounded sample, applied to all events in Arrow batches."""
+    """A self-organising map. Each round of training streams all events past the nodes in Arrow batches and brings back sums by node only."""
 
     def __init__(self, features: list[str], shape: tuple[int, int] = (10, 10), sigma: float = 1.0, rate: float = 0.5, rounds: int = 20, seed: int = 42) -> None:
         self.features, self.shape, self.sigma, self.rate, self.rounds, self.seed = features, shape, sigma, rate, rounds, seed
@@ -156,22 +193,35 @@ class SOM:
     def fit(self, events: DataFrame, id_col: str = "event_id") -> SOM:
         from .sampling import uniform
 
-        x = uniform(events, TRAIN_ROWS, id_col=id_col, seed=self.seed).select(id_col, *[number(f).alias(f) for f in self.features]).dropna().orderBy(id_col).toPandas()[self.features].to_numpy(float)
+        n, f = self.shape[0] * self.shape[1], self.features
+        data = events.select(id_col, *[number(c).alias(c) for c in f]).dropna()
+        x = uniform(data, n, id_col=id_col, seed=self.seed).orderBy(id_col).select(*f).toPandas().to_numpy(float)  # a row a node
         rng = np.random.default_rng(self.seed)
-        nodes = x[rng.integers(0, len(x), self.shape[0] * self.shape[1])].copy()
+        nodes = x[rng.permutation(len(x)) if len(x) == n else rng.integers(0, len(x), n)].copy()
+        data = data.select(*f).persist(StorageLevel.MEMORY_AND_DISK)
+        best_of = self._best
+
+        def sums(now: np.ndarray):
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total = np.zeros((len(now), len(f) + 1))
+                for pdf in batches:
+                    rows = pdf[f].to_numpy(float)
+                    np.add.at(total, best_of(rows, now), np.column_stack([rows, np.ones(len(rows))]))
+                yield pd.DataFrame({"node": np.arange(len(now)), "v": list(total)})
+
+            return run
+
         grid = np.array([(i, j) for i in range(self.shape[0]) for j in range(self.shape[1])], float)
         apart = ((grid[:, None] - grid[None]) ** 2).sum(-1)
         for t in range(self.rounds):  # batch updates, with a neighbourhood that shrinks to sigma
             width = max(self.sigma, max(self.shape) / 2 * (1 - t / self.rounds))
-            best = self._best(x, nodes)
-            hit = np.zeros((len(nodes), len(nodes)))
-            sums, counts = np.zeros_like(nodes), np.zeros(len(nodes))
-            np.add.at(sums, best, x)
-            np.add.at(counts, best, 1)
+            got = data.mapInPandas(sums(nodes), "node int, v array<double>").select("node", F.posexplode("v").alias("i", "v")).groupBy("node", "i").agg(F.sum("v").alias("v")).toPandas()
+            total = got.pivot(index="node", columns="i", values="v").sort_index().to_numpy(float)
             hit = np.exp(-apart / (2 * width**2))
-            mass = hit @ counts
-            target = np.divide(hit @ sums, mass[:, None], out=nodes.copy(), where=mass[:, None] > 0)
+            mass = hit @ total[:, -1]
+            target = np.divide(hit @ total[:, :-1], mass[:, None], out=nodes.copy(), where=mass[:, None] > 0)
             nodes += (self.rate + (1 - self.rate) * (t + 1) / self.rounds) * (target - nodes)
+        data.unpersist()
         self.nodes = nodes
         return self
 
@@ -250,19 +300,37 @@ def louvain(edges: dict[tuple[int, int], float], n: int, seed: int = 0) -> np.nd
         edges, n = joined, int(new.max()) + 1
 
 
-def graph_clusters(events: DataFrame, features: list[str], k: int = 30, seed: int = 42, id_col: str = "event_id") -> DataFrame:
-    """Shared-neighbour graph and Louvain communities on a sample of TRAIN_ROWS events; the others take the label of their nearest sampled neighbours."""
-    from .sampling import knn_predict, uniform
-
-    train = uniform(events, min(TRAIN_ROWS, 5000), id_col=id_col, seed=seed).select(id_col, *[number(f).alias(f) for f in features]).dropna().orderBy(id_col).toPandas()
-    near = knn_graph(train[features].to_numpy(float), min(k, len(train) - 1))
+def communities(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """Louvain communities of the shared-neighbour graph of a few ten thousand rows."""
+    near = knn_graph(x, min(k, len(x) - 1))
     sets = [set(r) for r in near.tolist()]
     edges = {}
     for i, r in enumerate(near.tolist()):
         for j in r:
             if (w := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) > 0:
                 edges[min(i, j), max(i, j)] = w
-    train[CLUSTER] = louvain(edges, len(train), seed).astype("int32")
+    return louvain(edges, len(x), seed)
+
+
+def per_sample(events: DataFrame, cluster) -> DataFrame:
+    """`cluster`, a function of a table of events, for each sample by itself. One plan a sample."""
+    samples = [r[SAMPLE] for r in events.select(SAMPLE).distinct().orderBy(SAMPLE).collect()]  # a row a sample
+    out = None
+    for s in samples:
+        part = cluster(events.where(F.col(SAMPLE) == s))
+        out = part if out is None else out.unionByName(part)
+    return events.limit(0) if out is None else out
+
+
+def graph_clusters(events: DataFrame, features: list[str], k: int = 30, seed: int = 42, id_col: str = "event_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Shared-neighbour graph and Louvain communities of a sample of `train_rows` events (TRAIN_ROWS at most); every other event takes the label of its nearest sampled neighbours.
+
+    The sample is a bound of the method: communities of fewer than a few sampled events can't be found.
+    """
+    from .sampling import knn_predict, uniform
+
+    train = uniform(events, min(train_rows, TRAIN_ROWS), id_col=id_col, seed=seed).select(id_col, *[number(f).alias(f) for f in features]).dropna().orderBy(id_col).toPandas()
+    train[CLUSTER] = communities(train[features].to_numpy(float), k, seed).astype("int32")
     labelled = events.sparkSession.createDataFrame(train[[*features, CLUSTER]])
     return knn_predict(events.drop(CLUSTER), labelled, features, CLUSTER, 5, to=CLUSTER)
 
@@ -276,7 +344,7 @@ def performance(events: DataFrame, features: list[str], label: str = CLUSTER) ->
     overall = (n[:, None] * means).sum(0) / n.sum()
     between, within = (n * ((means - overall) ** 2).sum(1)).sum(), (n * np.array([r.v for r in rows])).sum()
     k = len(rows)
-    centre = events.join(F.broadcast(g), label)
+    centre = events.join(g, label)
     d = sum(((x - F.col(f"m{i}")) ** 2 for i, x in enumerate(xs[1:], 1)), (xs[0] - F.col("m0")) ** 2)
     spread = {r[0]: r.s for r in centre.groupBy(label).agg(F.avg(F.sqrt(d)).alias("s")).collect()}
     s = np.array([spread[r[label]] for r in rows])
@@ -285,6 +353,28 @@ def performance(events: DataFrame, features: list[str], label: str = CLUSTER) ->
     return {"calinski_harabasz": float(between / (k - 1) / (within / (n.sum() - k))), "davies_bouldin": float(((s[:, None] + s[None]) / apart).max(1).mean())}
 
 
+def silhouette(events: DataFrame, features: list[str], label: str = CLUSTER) -> float:
+    """The mean silhouette with squared distances, which needs cluster sums only: one aggregate and one pass."""
+    xs = [number(f) for f in features]
+    square = sum((x * x for x in xs[1:]), xs[0] * xs[0])
+    known = events.where(F.col(label).isNotNull())
+    rows = known.groupBy(label).agg(F.count("*").alias("n"), F.sum(square).alias("q"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]).collect()
+    if len(rows) < 2:
+        raise ValueError("a silhouette needs two clusters or more")
+
+    def mean_to(r, n: float) -> Column:
+        """Mean squared distance to a cluster's events: |x|^2 + mean |y|^2 - 2 x . mean y, over n of them."""
+        dot = sum((x * float(r[f"s{i}"]) for i, x in enumerate(xs[1:], 1)), xs[0] * float(r["s0"]))
+        return (square * r.n + float(r.q) - 2 * dot) / n
+
+    own, near = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for r in rows:
+        own = F.when(F.col(label) == r[label], mean_to(r, r.n - 1) if r.n > 1 else F.lit(None).cast("double")).otherwise(own)
+    near = F.least(*[F.when(F.col(label) != r[label], mean_to(r, r.n)) for r in rows], F.lit(float("inf")))
+    score = F.when(own.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(near - own, F.greatest(near, own)), F.lit(0.0)))
+    return known.agg(F.avg(score).alias("s")).head().s
+
+
 def minimum_spanning_tree(points: np.ndarray) -> list[tuple[int, int, float]]:
     """Edges of a tree over a few thousand points, by Prim's algorithm."""
     n = len(points)

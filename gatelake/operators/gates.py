@@ -8,18 +8,21 @@ from __future__ import annotations
 import dataclasses
 import itertools
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import density, geometry, transforms
+from ..functions.quantiles import quantiles
 from ..functions.transforms import number
 from . import sampling
+from .features import PCA
 
-#: Rows that a shape fitted by a clusterer is learned from.
-FIT_ROWS = 20_000
+ONE_AXIS, TWO_AXES = ("+", "-"), ("++", "+-", "-+", "--")
 
 
 @dataclass
@@ -49,11 +52,44 @@ class Gate:
     method: str = "manual"
     params: dict = field(default_factory=dict)
     sample: int | None = None
+    #: How a sample for fitting is drawn: method (uniform, density, faithful) and its parameters.
+    sampling: dict = field(default_factory=dict)
+    #: Features to be embedded first; x and y are then PCA1 and PCA2. The fitted components are kept here.
+    embedding: dict = field(default_factory=dict)
+    #: Knots by axis that move a sample's landmarks onto a reference's, in gate scale.
+    warp: dict = field(default_factory=dict)
     children: list[Child] = field(default_factory=list)
 
+    def raw(self, name: str) -> Column:
+        """An axis before its scale: a column, or a component of the embedding."""
+        if not self.embedding or not name.startswith("PCA"):
+            return number(name)
+        e, j = self.embedding, int(name[3:]) - 1
+        parts = [(number(f) - e["mean"][i]) / e["sd"][i] * e["components"][i][j] for i, f in enumerate(e["features"])]
+        return sum(parts[1:], parts[0])
+
     def column(self, axis: str) -> Column:
         name, method = (self.x, self.transform_x) if axis == "x" else (self.y, self.transform_y)
-        return transforms.make(method, **self.transform_params.get(axis, {})).forward(number(name))
+        out = transforms.make(method, **self.transform_params.get(axis, {})).forward(self.raw(name))
+        return transforms.piecewise(out, *self.warp[axis]) if axis in self.warp else out
+
+    def transform_info(self) -> tuple[dict[str, str | None], dict[str, dict]]:
+        """Scale and its parameters by axis name."""
+        axes = {"x": (self.x, self.transform_x), "y": (self.y, self.transform_y)}
+        used = {k: v for k, v in axes.items() if v[0]}
+        return {n: m for n, m in used.values()}, {n: self.transform_params.get(k, {}) for k, (n, _) in used.items()}
+
+    def embed(self, df: DataFrame) -> None:
+        """Fit the embedding, if there is one and it isn't fitted."""
+        if self.embedding and "components" not in self.embedding:
+            p = PCA(list(self.embedding["features"]), 2).fit(df)
+            self.embedding |= {"mean": p.mean.tolist(), "sd": p.sd.tolist(), "components": p.components.tolist()}
+
+    def linear(self, spark: SparkSession, points: list[geometry.Point | tuple[float, None]]) -> list[tuple[float, float | None]]:
+        """Points of gate scale on the axes' own scale."""
+        x, y = (transforms.make(m, **self.transform_params.get(a, {})).inverse for a, m in (("x", self.transform_x), ("y", self.transform_y)))
+        rows = spark.createDataFrame([(i, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(points)], "i int, x double, y double")
+        return [(r.x, r.y) for r in rows.select("i", x(F.col("x")).alias("x"), y(F.col("y")).alias("y")).orderBy("i").collect()]
 
     def scaled(self, df: DataFrame) -> DataFrame:
         """The axes as _x and _y, in gate scale, with missing values left out."""
@@ -62,17 +98,46 @@ class Gate:
         return out.where(F.col("_x").isNotNull() & (F.col("_y").isNotNull() if self.y else F.lit(True)))
 
     def require(self, df: DataFrame) -> None:
-        if missing := [c for c in (self.x, self.y) if c and c not in df.columns]:
+        if missing := [c for c in (self.embedding.get("features") or (self.x, self.y)) if c and c not in df.columns]:
             raise ValueError(f"{self.name}: no column {', '.join(missing)}")
 
     def fitted_on(self, df: DataFrame) -> DataFrame:
         self.require(df)
+        self.embed(df)
         id_col = "event_id" if "event_id" in df.columns else df.columns[0]
-        return sampling.uniform(df, self.sample, id_col=id_col) if self.sample else df
+        how = {"method": "uniform", "size": self.sample} if self.sample else dict(self.sampling)
+        method = how.pop("method", None)
+        if method is None:
+            return df
+        if method == "uniform":
+            return sampling.uniform(df, how.pop("size"), id_col=id_col, **how)
+        axes = [a for a in (self.x, self.y) if a]
+        if method == "density":
+            return sampling.density_downsample(df, axes, how.pop("size"), id_col=id_col, **how)
+        if method == "faithful":
+            return sampling.faithful_downsample(df, axes, how.pop("h"), id_col=id_col)
+        raise ValueError(f"unknown sampling {method!r}")
+
+    def upsampled(self, df: DataFrame, k: int = 5) -> DataFrame:
+        """df with `population`: what most of the k nearest events of the fitting sample are in; '' for none."""
+        part = self.fitted_on(df)
+        axes = [a for a in (self.x, self.y) if a]
+        names = F.array(*[F.when(p, F.lit(n)) for n, p in self.predicates().items()])
+        labelled = part.withColumn("population", F.coalesce(F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0)), F.lit("")))
+        return sampling.knn_predict(df, labelled, axes, "population", k, to="population")
 
     def child(self, name: str) -> Child:
         return next(c for c in self.children if c.name == name)
 
+    def add_child(self, child: Child) -> None:
+        if any(c.name == child.name for c in self.children):
+            raise ValueError(f"there is a child {child.name!r} already")
+        self.check_child(child)
+        self.children.append(child)
+
+    def check_child(self, child: Child) -> None:
+        """An error if the child doesn't fit the gate."""
+
     def reset(self) -> None:
         self.children = []
 
@@ -82,7 +147,7 @@ class Gate:
     @staticmethod
     def from_json(text: str) -> Gate:
         said = json.loads(text)
-        kind = {k.__name__: k for k in (ThresholdGate, PolygonGate, EllipseGate)}[said.pop("kind")]
+        kind = {k.__name__: k for k in (ThresholdGate, PolygonGate, EllipseGate, BooleanGate)}[said.pop("kind")]
         said["children"] = [Child(**{**c, "polygon": [tuple(p) for p in c["polygon"]] if c["polygon"] else None}) for c in said["children"]]
         return kind(**said)
 
@@ -117,8 +182,9 @@ class ThresholdGate(Gate):
         axes = ["_x", "_y"] if self.y else ["_x"]
         scaled = self.scaled(self.fitted_on(df))
         if self.method == "quantile":
-            row = scaled.agg(*[F.percentile(a, F.lit(float(self.params.get("q", 0.95)))).alias(a) for a in axes]).head()
-            got = [row[a] for a in axes]
+            got = self._quantiles(scaled, axes)
+            if control is not None:
+                got = [max(a, b) for a, b in zip(got, self._quantiles(self.scaled(self.fitted_on(control)), axes), strict=True)]
         elif self.method == "density":
             got = []
             other = self.scaled(self.fitted_on(control)) if control is not None else None
@@ -133,13 +199,26 @@ class ThresholdGate(Gate):
             raise ValueError(f"unknown method {self.method!r}")
         return got[0], got[1] if self.y else None
 
+    def _quantiles(self, scaled: DataFrame, axes: list[str]) -> list[float]:
+        row = quantiles(scaled, axes, [float(self.params.get("q", 0.95))]).head()
+        return [row[a][0] for a in axes]
+
     def fit(self, df: DataFrame, control: DataFrame | None = None) -> ThresholdGate:
         if self.children:
             raise ValueError("the gate has children; reset it first")
         self.thresholds = self.find(df, control)
-        self.children = [Child(d, d) for d in (("+", "-") if not self.y else ("++", "+-", "-+", "--"))]
+        self.children = [Child(d, d) for d in (TWO_AXES if self.y else ONE_AXIS)]
         return self
 
+    def check_child(self, child: Child) -> None:
+        known = TWO_AXES if self.y else ONE_AXIS
+        if not child.definition or not set(child.definition.split(",")) <= set(known):
+            raise ValueError(f"{child.name}: a definition is one or more of {', '.join(known)}")
+
+    def to_linear(self, spark: SparkSession) -> tuple[float, float | None]:
+        """The thresholds on the axes' own scale."""
+        return self.linear(spark, [self.thresholds])[0]
+
     def fit_predict(self, df: DataFrame, control: DataFrame | None = None) -> DataFrame:
         """Thresholds anew, with the children's names."""
         self.thresholds = self.find(df, control)
@@ -190,11 +269,18 @@ class PolygonGate(Gate):
         if self.method == "manual":
             points = list(zip(self.params["x_values"], self.params["y_values"], strict=True))
             return [[tuple(map(float, p)) for p in points]]
-        scaled = sampling.uniform(self.scaled(self.fitted_on(df)), FIT_ROWS, id_col="event_id" if "event_id" in df.columns else df.columns[0])
+        scaled = self.scaled(self.fitted_on(df))
         labelled = clustered(scaled.select("_x", "_y"), ["_x", "_y"], self.method, int(self.params.get("k", 2)), seed=int(self.params.get("seed", 42)))
-        got = labelled.select("cluster", "_x", "_y").toPandas()  # at most FIT_ROWS rows
-        hulls = [geometry.convex_hull(g[["_x", "_y"]].to_numpy()) for _, g in got.groupby("cluster")]
-        return [h for h in hulls if h]
+        found = group_hulls(labelled.select(F.col("cluster").alias("_g"), "_x", "_y"))
+        return [found[g] for g in sorted(found) if found[g]]
+
+    def check_child(self, child: Child) -> None:
+        if not child.polygon or len(child.polygon) < 3:
+            raise ValueError(f"{child.name}: a polygon has three vertices or more")
+
+    def to_linear(self, spark: SparkSession) -> dict[str, list[geometry.Point]]:
+        """The children's vertices on the axes' own scale."""
+        return {c.name: self.linear(spark, c.polygon) for c in self.children}
 
     def fit(self, df: DataFrame, control: DataFrame | None = None) -> PolygonGate:
         if self.children:
@@ -205,8 +291,8 @@ class PolygonGate(Gate):
 
     def fit_predict(self, df: DataFrame, control: DataFrame | None = None) -> DataFrame:
         """New shapes, matched to the children by least Hausdorff distance; each shape is given once, closest pairs first."""
-        options = sorted(((geometry.hausdorff(c.polygon, s), i, j) for (i, c), (j, s) in itertools.product(enumerate(self.children), enumerate(self.shapes(df)))), key=lambda o: o[0])
         shapes, done, used = self.shapes(df), set(), set()
+        options = sorted(((geometry.hausdorff(c.polygon, s), i, j) for (i, c), (j, s) in itertools.product(enumerate(self.children), enumerate(shapes))), key=lambda o: o[0])
         for _, i, j in options:
             if i not in done and j not in used:
                 self.children[i].polygon = shapes[j]
@@ -242,6 +328,87 @@ class EllipseGate(PolygonGate):
         return [geometry.ellipse_polygon((m.x, m.y), *geometry.confidence_ellipse(m.xx, m.yy, m.xy, conf)) for m in moments if m.xx and m.yy]
 
 
+@dataclass
+class BooleanGate(Gate):
+    """A population made of others: events in any ('or') or all ('and') of them, or in the first and none of the others ('not').
+
+    It has one child. Its predicate is made of the populations' own, see Strategy.definitions; x and y are the axes it is shown on.
+    """
+
+    populations: list[str] = field(default_factory=list)
+
+    def fit(self, df: DataFrame | None = None, control: DataFrame | None = None) -> BooleanGate:
+        if self.children:
+            raise ValueError("the gate has children; reset it first")
+        if self.method not in ("or", "and", "not") or len(self.populations) < 2:
+            raise ValueError("a boolean gate is 'or', 'and' or 'not' of two populations or more")
+        self.children = [Child("A")]
+        return self
+
+    def label(self, names: dict[str, str]) -> None:
+        self.children = [dataclasses.replace(c, name=names.get(c.name, c.name)) for c in self.children]
+
+    def combined(self, full: dict[str, Column]) -> dict[str, Column]:
+        """The child's predicate, of the whole predicates of the populations."""
+        first, *others = [F.coalesce(full[p], F.lit(False)) for p in self.populations]
+        out = first
+        for o in others:
+            out = out | o if self.method == "or" else out & (o if self.method == "and" else ~o)
+        return {c.name: out for c in self.children}
+
+    def fit_predict(self, df: DataFrame, membership: DataFrame) -> DataFrame:
+        """df's events of the child, for populations that are stored as members; the hull on x and y becomes the child's shape."""
+        found = boolean(df, membership, self.method, self.populations)
+        if self.y:
+            shape = group_hulls(self.scaled(found).select(F.lit(0).alias("_g"), "_x", "_y")).get(0)
+            self.children = [dataclasses.replace(c, polygon=shape or None) for c in self.children]
+        return found.withColumn("population", F.lit(self.children[0].name))
+
+
+def group_hulls(points: DataFrame) -> dict:
+    """The convex hull of each group of points(_g, _x, _y). Every partition makes hulls of its own, and hulls merge: corners only reach the driver."""
+    kind = points.schema["_g"].dataType.simpleString()
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for g, own in pdf.groupby("_g"):
+                held[g] = _corners(np.vstack([held.get(g, np.zeros((0, 2))), own[["_x", "_y"]].to_numpy(float)]))
+        yield pd.DataFrame([(g, float(a), float(b)) for g, ring in held.items() for a, b in ring], columns=["_g", "_x", "_y"])
+
+    got = points.mapInPandas(part, f"_g {kind}, _x double, _y double").toPandas()
+    return {g: geometry.convex_hull(own[["_x", "_y"]].to_numpy(float)) for g, own in got.groupby("_g")}
+
+
+def _corners(points: np.ndarray) -> np.ndarray:
+    """The hull's corners; of points on one line the two ends."""
+    hull = geometry.convex_hull(points)
+    if hull:
+        return np.array(hull)
+    points = np.unique(points, axis=0)
+    return points[[0, -1]] if len(points) > 2 else points
+
+
+def merge_children(children: list[Child], name: str) -> Child:
+    """One child of several: definitions joined, polygons by their common outline, signatures by the mean over those that have the feature."""
+    if all(c.definition for c in children):
+        definition = ",".join(sorted({d for c in children for d in c.definition.split(",")}))
+        shape = None
+    else:
+        definition, shape = None, children[0].polygon
+        for c in children[1:]:
+            shape = geometry.union_outline(shape, c.polygon)
+    features = sorted({f for c in children for f in c.signature})
+    mean = {f: float(np.mean([c.signature[f] for c in children if f in c.signature])) for f in features}
+    return Child(name, definition, shape, mean)
+
+
+def mergeable(left: Gate, right: Gate) -> None:
+    """An error unless two gates have the same axes and scales."""
+    if (left.x, left.y) != (right.x, right.y) or left.transform_info() != right.transform_info():
+        raise ValueError(f"{left.name} and {right.name} differ in axes or scales")
+
+
 def boolean(df: DataFrame, membership: DataFrame, how: str, populations: list[str]) -> DataFrame:
     """Events in any ('or') or all ('and') of the populations, or in the first and none of the others ('not')."""
     from . import populations as P
@@ -265,6 +432,22 @@ def cost(target: Child, candidate: Child, how: str = "manhattan") -> float:
     return float(np.abs(d).sum() if how == "manhattan" else np.sqrt((d**2).sum()))
 
 
+def signature_vector(signature: dict[str, float], features: list[str]) -> list[float]:
+    return [signature[f] for f in features]
+
+
+def closest_signature(target: dict[str, float], candidates: DataFrame, features: list[str], how: str = "manhattan", by: str = "population") -> DataFrame:
+    """closest: the candidate (a row with features) whose signature is nearest to the target's over the features both have."""
+    shared = [f for f in features if f in target]
+    parts = [F.abs(F.col(f) - F.lit(float(target[f]))) if how == "manhattan" else (F.col(f) - F.lit(float(target[f]))) ** 2 for f in shared]
+    return candidates.agg(F.min_by(by, sum(parts[1:], parts[0])).alias("closest"))
+
+
+def large_enough(found: DataFrame, least: int = 3) -> DataFrame:
+    """population, n of the populations that have at least `least` events."""
+    return found.groupBy("population").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def grid_search(gate: Gate, grid: dict[str, list], df: DataFrame, features: list[str], how: str = "manhattan", least: int = 3) -> dict[str, tuple[dict, float]]:
     """For each child the parameters whose refitted population is closest to it, among populations of at least `least` events.
 
@@ -275,10 +458,10 @@ def grid_search(gate: Gate, grid: dict[str, list], df: DataFrame, features: list
         params = {**gate.params, **dict(zip(grid, values, strict=True))}
         trial = dataclasses.replace(gate, params=params, children=[dataclasses.replace(c) for c in gate.children])
         found = trial.fit_predict(df)
-        sizes = {r.population: r.n for r in found.groupBy("population").agg(F.count("*").alias("n")).collect()}
+        sizes = {r.population: r.n for r in large_enough(found, least).collect()}
         means = signatures(found, features)
         for c in gate.children:
-            if sizes.get(c.name, 0) >= least:
+            if c.name in sizes:
                 new = dataclasses.replace(trial.child(c.name), signature=means[c.name])
                 price = cost(c, new, how)
                 if c.name not in best or price < best[c.name][1]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,7 +46,7 @@ class Panel:
     @classmethod
     def from_dict(cls, x: dict) -> Panel:
         rule = lambda name, y: NameRule(name, y.get("regex", ""), y.get("permutations", ""), bool(y.get("case", y.get("case_sensitive", False))))
-        return cls([rule(k, v) for k, v in x.get("channels", {}).items()], [rule(k, v) for k, v in x.get("markers", {}).items()], [tuple(m) for m in x.get("mappings", [])])
+        return cls([rule(k, v) for k, v in x.get("channels", {}).items()], [rule(k, v) for k, v in x.get("markers", {}).items()], [(m["channel"], m["marker"]) if isinstance(m, dict) else tuple(m) for m in x.get("mappings", [])])
 
     @classmethod
     def of_features(cls, features: list[str]) -> Panel:
@@ -67,6 +67,21 @@ class Panel:
         out += [f"undefined marker {m}" for _, m in self.mappings if m and m not in markers]
         return out
 
+    @classmethod
+    def from_tables(cls, nomenclature: DataFrame, mappings: DataFrame) -> Panel:
+        """From two small tables, as `spark.read.csv` gives them: nomenclature(name, regex, permutations, case, kind: channel or marker) and mappings(channel, marker)."""
+        for df, wanted in ((nomenclature, {"name", "regex", "permutations", "case", "kind"}), (mappings, {"channel", "marker"})):
+            if missing := wanted - set(df.columns):
+                raise ValueError(f"no column {', '.join(sorted(missing))}")
+        rules: dict[str, list[NameRule]] = {"channel": [], "marker": []}
+        for r in nomenclature.orderBy("name").collect():
+            rules[r.kind].append(NameRule(r.name, r.regex or "", r.permutations or "", str(r.case).lower() in ("1", "true", "yes")))
+        return cls(rules["channel"], rules["marker"], [(r.channel, r.marker) for r in mappings.orderBy("channel").collect()])
+
+    def to_dict(self) -> dict:
+        rule = lambda r: {"regex": r.regex, "permutations": r.permutations, "case": r.case_sensitive}
+        return {"channels": {r.standard: rule(r) for r in self.channels}, "markers": {r.standard: rule(r) for r in self.markers}, "mappings": [channel_map(c, m) for c, m in self.mappings]}
+
     def list_channels(self) -> list[str]:
         return [r.standard for r in self.channels]
 
@@ -98,6 +113,38 @@ def standardise(df: DataFrame, panel: Panel, channel: str = "channel", marker: s
     return df.withColumns({channel: F.coalesce(c, both, look(of_marker, m)), marker: F.coalesce(m, look(of_channel, c))})
 
 
+def channel_map(channel: str | None, marker: str | None) -> dict[str, str]:
+    """A pair as a record, missing names as empty."""
+    return {"channel": channel or "", "marker": marker or ""}
+
+
+def matched(channel: Column, marker: Column, other_channel: Column, other_marker: Column) -> Column:
+    """Whether two pairs are the same, missing names as empty."""
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    return (plain(channel) == plain(other_channel)) & (plain(marker) == plain(other_marker))
+
+
+def standard_names(spark: SparkSession, mappings: list[tuple[str, str | None]], panel: Panel, missing: str = "raise") -> list[tuple[str, str | None]]:
+    """The pairs of a file in the panel's names, in their order: each must be a pair of the panel, none may occur twice, and no channel of the
+    panel may be absent (missing='warn' lets it pass)."""
+    df = spark.createDataFrame([(i, c, m) for i, (c, m) in enumerate(mappings)], "i int, channel string, marker string")
+    done = standardise(df, panel).orderBy("i").collect()  # a row for each channel
+    found = [(r.channel, r.marker) for r in done]
+    known = {tuple(channel_map(c, m).values()) for c, m in panel.mappings}
+    if odd := [f"{c}/{m or ''}" for c, m in found if tuple(channel_map(c, m).values()) not in known]:
+        raise ValueError(f"not a pair of the panel: {', '.join(odd)}")
+    if again := sorted({str(n) for k in (0, 1) for n in (p[k] for p in found) if n and [p[k] for p in found].count(n) > 1}):
+        raise ValueError(f"occurs twice: {', '.join(again)}")
+    if (absent := sorted({c for c, _ in panel.mappings if c} - {c for c, _ in found})) and missing == "raise":
+        raise ValueError(f"missing channels: {', '.join(absent)}")
+    return found
+
+
+def chunks(df: DataFrame, size: int, id_col: str = "event_id") -> DataFrame:
+    """df with `chunk`: consecutive ids, `size` at a time."""
+    return df.withColumn("chunk", F.floor(F.col(id_col) / size))
+
+
 def paired(df: DataFrame, mappings: DataFrame) -> DataFrame:
     """Rows whose (channel, marker) is a pair of the mappings; nulls count as empty."""
     left = df.withColumns({"_c": F.coalesce("channel", F.lit("")), "_m": F.coalesce("marker", F.lit(""))})

@@ -1,23 +1,31 @@
-"""A project: experiments, samples and subjects in a folder of Parquet tables.
+"""A project: experiments, samples, populations and strategies in a folder of Parquet tables.
 
-events/experiment_id=.../sample_id=.../source=... holds the matrices, so a sample is read and replaced by its partition. Metadata are small tables.
+events/experiment_id=.../sample_id=.../source=... holds the matrices and membership/experiment_id=.../sample_id=.../population=... the members of
+stored populations, so a sample or a population is read and replaced by its partition. Metadata are small tables.
 """
 
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import transforms
 from ..functions.transforms import compensate
-from ..operators.names import Panel
+from ..operators import populations as P
+from ..operators import sampling
+from ..operators.names import Panel, spill_matrix, standard_names
+from ..plans.strategy import Strategy
 
 TABLES = {
     "experiments": "experiment_id string, panel string",
     "subjects": "subject_id string, attrs string",
-    "samples": "experiment_id string, sample_id string, subject_id string, compensated boolean, valid boolean, notes string, controls array<string>, collected timestamp, processed timestamp",
-    "populations": "experiment_id string, sample_id string, population string, parent string, source string, n long",
+    "samples": "experiment_id string, sample_id string, subject_id string, compensated boolean, valid boolean, notes string, controls array<string>, collected timestamp, processed timestamp, channels array<string>, markers array<string>",
+    "populations": "experiment_id string, sample_id string, population string, parent string, source string, n long, frac_of_parent double, frac_of_root double, signature map<string,double>",
+    "strategies": "experiment_id string, name string, strategy string",
 }
 
 
@@ -25,23 +33,35 @@ class Project:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def part(self, value: str) -> str:
+        """A partition's value as Spark writes it in paths."""
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
     def _path(self, table: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
 
     def _fs(self, table: str):
         return self._path(table).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def exists(self, table: str) -> bool:
+        return self._fs(table).exists(self._path(table))
+
     def table(self, name: str) -> DataFrame:
-        if not self._fs(name).exists(self._path(name)):
+        if not self.exists(name) and self.exists(f"{name}__old"):  # a replacement was cut short
+            self._fs(name).rename(self._path(f"{name}__old"), self._path(name))
+        if not self.exists(name):
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        """Write beside the table and swap, as a table can't be overwritten while it is read."""
+        """Write beside the table and swap. The old table is moved aside first and deleted last, so that one of the two is always there."""
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}__new")
         fs = self._fs(name)
-        fs.delete(self._path(name), True)
+        fs.delete(self._path(f"{name}__old"), True)
+        if self.exists(name):
+            fs.rename(self._path(name), self._path(f"{name}__old"))
         fs.rename(self._path(f"{name}__new"), self._path(name))
+        fs.delete(self._path(f"{name}__old"), True)
 
     def _add(self, name: str, key: list[str], row: dict) -> None:
         old = self.table(name)
@@ -53,10 +73,15 @@ class Project:
         fields = old.schema.fieldNames()
         self.spark.createDataFrame([tuple(row.get(f) for f in fields)], old.schema).write.mode("append").parquet(f"{self.folder}/{name}")
 
-    def add_experiment(self, experiment_id: str, panel: dict) -> None:
+    def add_experiment(self, experiment_id: str, panel: dict) -> Experiment:
         if problems := Panel.from_dict(panel).check():
             raise ValueError("; ".join(problems))
         self._add("experiments", ["experiment_id"], {"experiment_id": experiment_id, "panel": json.dumps(panel)})
+        return Experiment(self, experiment_id)
+
+    def experiment(self, experiment_id: str) -> Experiment:
+        self._one("experiments", F.col("experiment_id") == experiment_id)
+        return Experiment(self, experiment_id)
 
     def add_subject(self, subject_id: str, **attrs) -> None:
         self._add("subjects", ["subject_id"], {"subject_id": subject_id, "attrs": json.dumps(attrs)})
@@ -88,34 +113,372 @@ class Project:
 
     def samples_by_subject(self, experiment_id: str, query: Column) -> DataFrame:
         """Samples whose subject satisfies a condition on the subjects table (attrs is JSON)."""
-        return self.table("samples").where(F.col("experiment_id") == experiment_id).join(self.table("subjects").where(query), "subject_id", "left_semi")
+        return samples_of_subjects(self.table("samples").where(F.col("experiment_id") == experiment_id), self.table("subjects"), query, "subject_id")
 
-    def add_sample(self, experiment_id: str, sample_id: str, data: DataFrame, *, controls: dict[str, DataFrame] | None = None, subject_id: str | None = None, spill: tuple[list[str], list[list[float]]] | None = None, notes: str = "") -> None:
+    def add_sample(self, experiment_id: str, sample_id: str, data: DataFrame, *, controls: dict[str, DataFrame] | None = None, subject_id: str | None = None, spill: tuple[list[str], list[list[float]]] | None = None, notes: str = "", channels: list[str] | None = None, markers: list[str] | None = None, collected: datetime | None = None, processed: datetime | None = None) -> Sample:
         """Store a sample's events and controls; columns of a spill matrix are compensated first. data may have event_id, else rows are numbered."""
         self._one("experiments", F.col("experiment_id") == experiment_id)
-        self._add("samples", ["experiment_id", "sample_id"], {"experiment_id": experiment_id, "sample_id": sample_id, "subject_id": subject_id, "compensated": spill is not None, "valid": True, "notes": notes, "controls": sorted(controls or {})})
+        self._add("samples", ["experiment_id", "sample_id"], {"experiment_id": experiment_id, "sample_id": sample_id, "subject_id": subject_id, "compensated": spill is not None, "valid": True, "notes": notes, "controls": sorted(controls or {}), "collected": collected, "processed": processed, "channels": channels, "markers": markers})
         for source, df in {"primary": data, **(controls or {})}.items():
-            df = compensate(df, *spill) if spill else df
-            df = df if "event_id" in df.columns else df.withColumn("event_id", F.monotonically_increasing_id())
-            df.write.mode("overwrite").parquet(f"{self.folder}/events/experiment_id={experiment_id}/sample_id={sample_id}/source={source}")
+            self._write_events(experiment_id, sample_id, source, compensate(df, *spill) if spill else df)
+        return Sample(self, experiment_id, sample_id)
+
+    def _write_events(self, experiment_id: str, sample_id: str, source: str, df: DataFrame) -> None:
+        df = df if "event_id" in df.columns else df.withColumn("event_id", F.monotonically_increasing_id())
+        df.write.mode("overwrite").parquet(self.events_path(experiment_id, sample_id, source))
+
+    def events_path(self, experiment_id: str, sample_id: str, source: str = "primary") -> str:
+        return f"{self.folder}/events/experiment_id={self.part(experiment_id)}/sample_id={self.part(sample_id)}/source={self.part(source)}"
 
     def events(self, experiment_id: str, source: str = "primary") -> DataFrame:
         """All samples' events; partition filters on sample_id reach the scan."""
         root = f"{self.folder}/events"
-        return self.spark.read.option("basePath", root).option("mergeSchema", "true").parquet(f"{root}/experiment_id={experiment_id}").where(F.col("source") == source)
+        at = f"{root}/experiment_id={self.part(experiment_id)}"
+        read = self.spark.read.option("basePath", root)
+        found = read.option("mergeSchema", "true").parquet(at).schema
+        names = ("experiment_id", "sample_id", "source")  # strings, whatever they look like
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in found.fields])
+        return read.schema(schema).parquet(at).where(F.col("source") == source)
+
+    def membership(self, experiment_id: str) -> DataFrame:
+        """sample_id, population, event_id of all stored populations of an experiment."""
+        schema = "event_id long, experiment_id string, sample_id string, population string"
+        root = f"{self.folder}/membership"
+        if not self.exists(f"membership/experiment_id={self.part(experiment_id)}"):
+            return self.spark.createDataFrame([], "sample_id string, population string, event_id long")
+        return self.spark.read.schema(schema).option("basePath", root).parquet(f"{root}/experiment_id={self.part(experiment_id)}").select("sample_id", "population", "event_id")
 
     def control_counts(self, experiment_id: str) -> DataFrame:
-        samples = self.table("samples").where(F.col("experiment_id") == experiment_id)
-        each = samples.select(F.explode("controls").alias("control")).groupBy("control").agg(F.count("*").alias("n"))
-        return each.unionByName(samples.agg(F.lit("total").alias("control"), F.count("*").alias("n")))
+        return control_counts(self.table("samples").where(F.col("experiment_id") == experiment_id).select(F.explode("controls").alias("control")), self.table("samples").where(F.col("experiment_id") == experiment_id).count())
 
     def remove_sample(self, experiment_id: str, sample_id: str) -> None:
         gone = (F.col("experiment_id") == experiment_id) & (F.col("sample_id") == sample_id)
-        self._replace("samples", self.table("samples").where(~gone))
-        self._fs("events").delete(self._path(f"events/experiment_id={experiment_id}/sample_id={sample_id}"), True)
+        for t in ("samples", "populations"):
+            if self.exists(t):
+                self._replace(t, self.table(t).where(~gone))
+        for t in ("events", "membership"):
+            self._fs(t).delete(self._path(f"{t}/experiment_id={self.part(experiment_id)}/sample_id={self.part(sample_id)}"), True)
 
     def delete_experiment(self, experiment_id: str) -> None:
-        for t in ("experiments", "samples", "populations"):
-            if self._fs(t).exists(self._path(t)):
+        for t in ("experiments", "samples", "populations", "strategies"):
+            if self.exists(t):
                 self._replace(t, self.table(t).where(F.col("experiment_id") != experiment_id))
-        self._fs("events").delete(self._path(f"events/experiment_id={experiment_id}"), True)
+        for t in ("events", "membership"):
+            self._fs(t).delete(self._path(f"{t}/experiment_id={self.part(experiment_id)}"), True)
+
+
+def samples_of_subjects(samples: DataFrame, subjects: DataFrame, query: Column, key: str) -> DataFrame:
+    """Samples whose subject satisfies a condition."""
+    return samples.join(subjects.where(query).select(key), key, "left_semi")
+
+
+def control_counts(controls: DataFrame, total: int) -> DataFrame:
+    """control, n: how many samples have each control, and all samples as 'total'."""
+    each = controls.groupBy("control").agg(F.count("*").alias("n"))
+    return each.unionByName(controls.sparkSession.createDataFrame([("total", total)], "control string, n long"))
+
+
+def with_subject(events: DataFrame, subjects: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Events with fields of their subject; null where there is none."""
+    return events.join(subjects.select(key, *fields), key, "left")
+
+
+class Experiment:
+    """Samples that share a panel."""
+
+    def __init__(self, project: Project, experiment_id: str) -> None:
+        self.project, self.id = project, experiment_id
+
+    @property
+    def panel(self) -> Panel:
+        return self.project.panel(self.id)
+
+    def sample(self, sample_id: str) -> Sample:
+        self.project._one("samples", (F.col("experiment_id") == self.id) & (F.col("sample_id") == sample_id))
+        return Sample(self.project, self.id, sample_id)
+
+    def list_samples(self, valid_only: bool = True) -> list[str]:
+        return self.project.list_samples(self.id, valid_only)
+
+    def add_dataframes(self, sample_id: str, primary: DataFrame, mappings: list[tuple[str, str | None]], *, controls: dict[str, DataFrame] | None = None, spill: tuple[list[str], list[list[float]]] | None = None, missing: str = "raise", **more) -> Sample:
+        """Store tables whose columns are the channels of `mappings`, after names are made standard by the panel; missing='warn' lets panel channels be absent."""
+        names = standard_names(self.project.spark, mappings, self.panel, missing)
+        fresh = {old: new for (old, _), (new, _) in zip(mappings, names, strict=True)}
+        renamed = lambda df: df.withColumnsRenamed({o: n for o, n in fresh.items() if o in df.columns})
+        channels, markers = [c for c, _ in names], [m or "" for _, m in names]
+        own_spill = ([fresh.get(c, c) for c in spill[0]], spill[1]) if spill else None
+        return self.project.add_sample(self.id, sample_id, renamed(primary), controls={k: renamed(v) for k, v in (controls or {}).items()}, spill=own_spill, channels=channels, markers=markers, **more)
+
+    def add_fcs(self, sample_id: str, path: str, *, controls: dict[str, str] | None = None, compensated: bool = True, spill: tuple[list[str], list[list[float]]] | None = None, **more) -> Sample:
+        """Read FCS files, compensate by their own spill matrix (or the given one), and store them as `add_dataframes` does."""
+        from . import fcs
+
+        spark = self.project.spark
+        fcs.register(spark)
+
+        def read(at: str) -> tuple[DataFrame, list[tuple[str, str]], str | None]:
+            meta = spark.read.format("fcs").option("part", "meta").option("excludeCompensation", "false").load(at).head()
+            if meta is None:
+                raise ValueError(f"{at} can't be read")
+            pairs = [tuple(c) for c in meta.channels]
+            events = spark.read.format("fcs").option("excludeCompensation", "false").load(at)
+            return events.select("event_id", *[F.col("values")[i].cast("double").alias(c) for i, (c, _) in enumerate(pairs)]), pairs, meta.spill
+
+        data, pairs, keyword = read(path)
+        if spill is None and compensated and keyword:
+            spill = spill_matrix(keyword)
+        return self.add_dataframes(sample_id, data, pairs, controls={k: read(v)[0] for k, v in (controls or {}).items()}, spill=spill if compensated else None, **more)
+
+    def remove_sample(self, sample_id: str) -> None:
+        self.project.remove_sample(self.id, sample_id)
+
+    def delete_all_populations(self, sample_id: str | None = None) -> None:
+        """Leave the root of one sample, or of all."""
+        for s in [sample_id] if sample_id else self.list_samples(False):
+            self.sample(s).delete_populations(["all"])
+
+    def population(self, name: str, *, transform: str | None = None, features: list[str] | None = None, transform_params: dict | None = None, fields: list[str] | None = None) -> DataFrame:
+        """Events of a population over all samples with sample_id and subject_id (and JSON fields of the subject), features transformed."""
+        events = self.project.events(self.id)
+        events = P.load(events, self.project.membership(self.id), name)
+        samples = self.project.table("samples").where(F.col("experiment_id") == self.id).select("sample_id", "subject_id")
+        out = events.drop("experiment_id", "source").join(samples, "sample_id", "left")
+        if fields:
+            of = self.project.table("subjects").select("subject_id", *[F.get_json_object("attrs", f"$.{f}").alias(f) for f in fields])
+            out = with_subject(out, of, "subject_id", fields)
+        return transforms.apply(out, features, transform, transform_params) if transform and features else out
+
+    def statistics(self) -> DataFrame:
+        """sample_id, population, parent, n and shares of every stored population in every sample; 0 where a sample has none."""
+        events, members = self.project.events(self.id), self.project.membership(self.id)
+        known = self.project.table("populations").where(F.col("experiment_id") == self.id)
+        root = self.project.spark.createDataFrame([(P.ROOT, None)], "population string, parent string")
+        return P.stats(members, root.unionByName(known.select("population", "parent").distinct()), events.groupBy("sample_id").agg(F.count("*").alias("n")))
+
+    def merge_populations(self, mergers: dict[str, list[str]]) -> dict[str, list[str]]:
+        """New populations as unions of others, in all samples that have them; gives the samples left out, by name."""
+        out: dict[str, list[str]] = {n: [] for n in mergers}
+        for s in self.list_samples(False):
+            own = self.sample(s)
+            for name, parts in mergers.items():
+                try:
+                    own.merge(parts, name)
+                except (KeyError, ValueError):
+                    out[name].append(s)
+        return out
+
+    def reference_sample(self, sample_id: str, *, size: int | float = 2500, population: str = P.ROOT, samples: list[str] | None = None, seed: int = 42) -> Sample:
+        """Store a pool of a sample of each sample's events as a sample of its own; `original` and `original_id` say where an event is from."""
+        known = self.list_samples(False)
+        if samples and not set(samples) <= set(known):
+            raise ValueError("not all samples are in the experiment")
+        pool = self.population(population).where(F.col("sample_id").isin(samples or known)).drop("subject_id")
+        some = sampling.uniform(pool.withColumn("_id", F.concat_ws(":", "sample_id", "event_id")), size, id_col="_id", by=["sample_id"], seed=seed).drop("_id")
+        some = some.withColumnsRenamed({"sample_id": "original", "event_id": "original_id"})
+        return self.project.add_sample(self.id, sample_id, some, notes="sampled data")
+
+    def save_corrected(self, corrected: DataFrame, prefix: str = "Corrected_") -> list[str]:
+        """Store batch-corrected events (sample_id, event_id, features) as new samples, each for the subject of its original."""
+        subjects = {r.sample_id: r.subject_id for r in self.project.table("samples").where(F.col("experiment_id") == self.id).collect()}
+        out = []
+        for s in sorted(r.sample_id for r in corrected.select("sample_id").distinct().collect()):
+            self.project.add_sample(self.id, f"{prefix}{s}", corrected.where(F.col("sample_id") == s).drop("sample_id"), subject_id=subjects.get(str(s)), notes="batch corrected")
+            out.append(f"{prefix}{s}")
+        return out
+
+    def save_strategy(self, strategy: Strategy) -> None:
+        """Keep a strategy by name; an older one of that name is replaced."""
+        rest = self.project.table("strategies").where(~((F.col("experiment_id") == self.id) & (F.col("name") == strategy.name)))
+        row = self.project.spark.createDataFrame([(self.id, strategy.name, strategy.to_json())], TABLES["strategies"])
+        self.project._replace("strategies", rest.unionByName(row))
+
+    def strategy(self, name: str) -> Strategy:
+        return Strategy.from_json(self.project._one("strategies", (F.col("experiment_id") == self.id) & (F.col("name") == name)).strategy)
+
+    def delete_strategy(self, name: str, populations: bool = True) -> None:
+        """Forget a strategy and, unless told otherwise, the populations that it has made in all samples."""
+        if populations:
+            made = [n for n, p in self.strategy(name).tree() if p is not None]
+            for s in self.list_samples(False):
+                own = self.sample(s)
+                if there := [n for n in made if n in own.list_populations()]:
+                    own.delete_populations(there)
+        self.project._replace("strategies", self.project.table("strategies").where(~((F.col("experiment_id") == self.id) & (F.col("name") == name))))
+
+
+class Sample:
+    """One sample's events, controls and populations."""
+
+    def __init__(self, project: Project, experiment_id: str, sample_id: str) -> None:
+        self.project, self.experiment_id, self.id = project, experiment_id, sample_id
+        self._own = (F.col("experiment_id") == experiment_id) & (F.col("sample_id") == sample_id)
+
+    def record(self):
+        return self.project._one("samples", self._own)
+
+    def data(self, source: str = "primary", *, size: int | float | None = None, prefer: str = "channels", seed: int = 42) -> DataFrame:
+        """Events of the primary staining or a control: all, or a sample; columns named by channels, or by markers where there are any."""
+        if not self.project.exists(f"events/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}/source={self.project.part(source)}"):
+            raise KeyError(f"{self.id} has no {source}")
+        df = self.project.spark.read.parquet(self.project.events_path(self.experiment_id, self.id, source)).withColumn("sample_id", F.lit(self.id))
+        row = self.record()
+        if prefer == "markers" and row.channels:
+            df = df.withColumnsRenamed({c: m for c, m in zip(row.channels, row.markers, strict=True) if m and m.strip()})
+        return sampling.uniform(df, size, seed=seed) if size is not None else df
+
+    def add_control(self, name: str, data: DataFrame) -> None:
+        """Store one more control."""
+        row = self.record()
+        if name in (row.controls or []):
+            raise ValueError(f"{self.id} has a control {name!r} already")
+        self.project._write_events(self.experiment_id, self.id, name, data)
+        grown = F.when(self._own, F.array_sort(F.concat(F.coalesce("controls", F.array().cast("array<string>")), F.array(F.lit(name))))).otherwise(F.col("controls"))
+        self.project._replace("samples", self.project.table("samples").withColumn("controls", grown))
+
+    # --- populations
+
+    def tree(self) -> list[tuple[str, str | None]]:
+        rows = self.project.table("populations").where(self._own).select("population", "parent").orderBy("population").collect()
+        return [(P.ROOT, None), *((r.population, r.parent) for r in rows)]
+
+    def list_populations(self) -> list[str]:
+        return [n for n, _ in self.tree()]
+
+    def population(self, name: str):
+        """The population's row: parent, source, n, shares, signature."""
+        return self.project._one("populations", self._own & (F.col("population") == name))
+
+    def children(self, parent: str) -> list[str]:
+        return [n for n, p in self.tree() if p == parent]
+
+    def downstream(self, name: str) -> list[str]:
+        """All populations below one, in depth-first order."""
+        if name not in self.list_populations():
+            raise KeyError(f"no population {name!r}")
+        return [n for n in P.preorder(self.tree()) if P._is_below(n, name, dict(self.tree()))]
+
+    def print_tree(self) -> str:
+        return P.print_tree(self.tree())
+
+    def _members_path(self, name: str) -> str:
+        return f"membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}/population={self.project.part(name)}"
+
+    def members(self, name: str) -> DataFrame | None:
+        """event_id of a stored population; None if there is none."""
+        if name == P.ROOT:
+            return self.data().select("event_id")
+        if not self.project.exists(self._members_path(name)):
+            return None
+        return self.project.spark.read.schema("event_id long").parquet(f"{self.project.folder}/{self._members_path(name)}")
+
+    def add_population(self, name: str, parent: str, members: DataFrame, source: str = "gate", signature: dict[str, float] | None = None) -> None:
+        """Store a population by its members' event_id, which must be among its parent's."""
+        if name in self.list_populations():
+            raise ValueError(f"{self.id} has a population {name!r} already")
+        self._store(name, parent, members, source, signature)
+
+    def update_population(self, name: str, members: DataFrame, signature: dict[str, float] | None = None) -> None:
+        """New members for a population; what is below it stays as it is stored."""
+        old = self.population(name)
+        ids = members.select("event_id").distinct()
+        table, n = self.project.table("populations"), ids.count()
+        self.project._replace("populations", table.where(~(self._own & (F.col("population") == name))))
+        self._store(name, old.parent, ids, old.source, signature or old.signature, n)
+
+    def _store(self, name: str, parent: str, members: DataFrame, source: str, signature: dict | None, n: int | None = None) -> None:
+        inside = self.members(parent)
+        if inside is None:
+            raise KeyError(f"no population {parent!r}")
+        ids = members.select("event_id").distinct()
+        if not ids.join(inside, "event_id", "left_anti").isEmpty():
+            raise ValueError(f"{name} has events that {parent} hasn't")
+        path = f"{self.project.folder}/{self._members_path(name)}"
+        ids.write.mode("overwrite").parquet(f"{path}__new")
+        fs = self.project._fs("membership")
+        fs.delete(self.project._path(self._members_path(name)), True)
+        fs.rename(self.project._path(f"{self._members_path(name)}__new"), self.project._path(self._members_path(name)))
+        n = self.members(name).count()
+        total = self.data().count()
+        above = total if parent == P.ROOT else self.population(parent).n
+        row = (self.experiment_id, self.id, name, parent, source, n, n / above if above else 0.0, n / total if total else 0.0, signature)
+        self.project.spark.createDataFrame([row], TABLES["populations"]).write.mode("append").parquet(f"{self.project.folder}/populations")
+
+    def save(self, definitions: dict[str, tuple[str, Column]], source: str = "gate") -> None:
+        """Store all populations of a strategy (or what it was applied as): one scan for the members, one row each with counts and shares."""
+        tree = self.tree()
+        if again := [n for n in definitions if n in dict(tree)]:
+            raise ValueError(f"{self.id} has {', '.join(again)} already")
+        events = self.data()
+        members = P.gated(events, definitions)
+        stats = P.stats(members, self.project.spark.createDataFrame(P.tree_of(definitions), "population string, parent string"), events.groupBy("sample_id").agg(F.count("*").alias("n"))).where(F.col("population") != P.ROOT)
+        base = f"{self.project.folder}/membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}"
+        members.select("event_id", "population").write.mode("append").partitionBy("population").parquet(base)
+        rows = stats.select(F.lit(self.experiment_id).alias("experiment_id"), "sample_id", "population", "parent", F.lit(source).alias("source"), "n", "frac_of_parent", "frac_of_root", F.lit(None).cast("map<string,double>").alias("signature"))
+        rows.write.mode("append").parquet(f"{self.project.folder}/populations")
+
+    def delete_populations(self, names: list[str]) -> list[str]:
+        """Delete populations and all below them; ["all"] leaves the root. Gives what is gone."""
+        tree = self.tree()
+        gone = [n for n, p in tree if p is not None] if names == ["all"] else sorted({*names, *(d for n in names for d in self.downstream(n))})
+        if P.ROOT in gone:
+            raise ValueError("the root stays")
+        if self.project.exists("populations"):
+            self.project._replace("populations", self.project.table("populations").where(~(self._own & F.col("population").isin(gone))))
+        for n in gone:
+            self.project._fs("membership").delete(self.project._path(self._members_path(n)), True)
+        return gone
+
+    def merge(self, names: list[str], name: str) -> None:
+        """Store the union of populations of one parent; signatures are averaged."""
+        rows = [self.population(n) for n in names]
+        if len({r.parent for r in rows}) != 1 or len(rows) < 2:
+            raise ValueError("two populations or more of one parent are merged")
+        ids = self.members(names[0])
+        for n in names[1:]:
+            ids = ids.unionByName(self.members(n))
+        kept = [r.signature for r in rows if r.signature]
+        mean = {f: sum(s[f] for s in kept if f in s) / sum(f in s for s in kept) for f in sorted({f for s in kept for f in s})}
+        self.add_population(name, rows[0].parent, ids, "merged", mean or None)
+
+    def subtract(self, left: str, right: list[str], name: str) -> None:
+        """Store the events of one population that are in none of the others, which have its parent or are below it."""
+        own = self.population(left)
+        below = self.downstream(left)
+        if wrong := [n for n in right if n not in below and self.population(n).parent != own.parent]:
+            raise ValueError(f"{', '.join(wrong)}: neither below {left} nor of its parent")
+        ids = self.members(left)
+        for n in right:
+            ids = ids.join(self.members(n), "event_id", "left_anti")
+        self.add_population(name, own.parent, ids, "subtracted")
+
+    def population_stats(self, name: str) -> dict:
+        """n and its shares of parent and root; zeros for a population that isn't there."""
+        if name == P.ROOT:
+            return {"population": name, "n": self.data().count(), "frac_of_parent": 1.0, "frac_of_root": 1.0}
+        row = self.project.table("populations").where(self._own & (F.col("population") == name)).head()
+        return {"population": name, "n": row.n if row else 0, "frac_of_parent": row.frac_of_parent if row else 0.0, "frac_of_root": row.frac_of_root if row else 0.0}
+
+    def load_population(self, name: str, *, transform: str | None = "logicle", features: list[str] | None = None, transform_params: dict | None = None, label: bool = False) -> DataFrame:
+        """Events of a population, features transformed; with `label`, each has in population_label the deepest population below it that it is in."""
+        ids = self.members(name)
+        if ids is None:
+            raise KeyError(f"no population {name!r}")
+        out = self.data() if name == P.ROOT else self.data().join(ids, "event_id", "left_semi")
+        if label:
+            out = P.deepest_label(out, self.project.membership(self.experiment_id).where(F.col("sample_id") == self.id), self.tree(), name)
+        if transform:
+            features = features or [c for c, t in out.dtypes if t in ("double", "float")]
+            out = transforms.apply(out, features, transform, transform_params)
+        return out
+
+    def control_population(self, control: str, name: str, **kwargs) -> DataFrame:
+        """The control's events that look like the members of a population; see operators.controls."""
+        from ..operators.controls import control_population
+
+        members = self.members(name)
+        if members is None:
+            raise KeyError(f"no population {name!r}")
+        return control_population(self.data(), self.data(control), members, **kwargs)
+
+    def delete(self) -> None:
+        self.project.remove_sample(self.experiment_id, self.id)
