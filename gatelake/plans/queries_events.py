@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geometry, transforms
+from ..functions.quantiles import quantiles
 from ..operators import gates, sampling
 from ..operators import populations as P
 from .registry import cells, query, r6, table
@@ -206,10 +207,9 @@ def gate_ellipse(spark, sf):
     SELECT sample_id, round(2 * sqrt(((xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy)) * (-2 * ln(0.05::DOUBLE))), 4) AS width,
            round(2 * sqrt(((xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy)) * (-2 * ln(0.05::DOUBLE))), 4) AS height FROM m""")
 def gate_conf_ellipse(spark, sf):
-    m = cells(spark, sf).groupBy("sample_id").agg(F.var_samp("c0").alias("xx"), F.var_samp("c1").alias("yy"), F.covar_samp("c0", "c1").alias("xy"))
-    mean, half = (F.col("xx") + F.col("yy")) / 2, F.sqrt(F.pow((F.col("xx") - F.col("yy")) / 2, F.lit(2.0)) + F.col("xy") ** 2)
-    size = -2 * F.log(F.lit(0.05))
-    return m.select("sample_id", F.round(2 * F.sqrt((mean + half) * size), 4).alias("width"), F.round(2 * F.sqrt((mean - half) * size), 4).alias("height"))
+    m = cells(spark, sf).groupBy("sample_id").agg(F.var_samp("c0").alias("xx"), F.var_samp("c1").alias("yy"), F.covar_samp("c0", "c1").alias("xy")).collect()
+    rows = [(r.sample_id, *(round(v, 4) for v in geometry.confidence_ellipse(r.xx, r.yy, r.xy)[:2])) for r in m]
+    return spark.createDataFrame(rows, "sample_id string, width double, height double")
 
 
 def _pops(spark, sf):
@@ -285,9 +285,9 @@ def gate_edit_cascade(spark, sf):
 def ctrl_threshold_max(spark, sf):
     """The greater of the data's and the control's threshold."""
     df = table(spark, sf, "events")
-    cut = lambda kind: F.percentile(F.when(F.col("event_type") == kind, F.col("value")), F.lit(0.9))
-    t = df.agg(F.greatest(cut("click"), cut("view")).alias("t"))
-    return df.where("event_type = 'click'").crossJoin(F.broadcast(t)).where("value >= t").select("event_id")
+    data, control = df.where("event_type = 'click'"), df.where("event_type = 'view'")
+    g = gates.ThresholdGate("g", "root", "value", method="quantile", params={"q": 0.9}).fit(data, control)
+    return g.predict(data).where("population = '+'").select("event_id")
 
 
 # --- populations
@@ -420,7 +420,7 @@ def sample_fraction_md5(spark, sf):
     SELECT user_id, round(CASE WHEN k <= od THEN 0 WHEN k <= td THEN 1 ELSE td / k END, 6) AS weight FROM d, q""")
 def downsample_weights_prob(spark, sf):
     d = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("k"))
-    od, td = d.agg(F.percentile("k", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).head().q
+    od, td = quantiles(d, ["k"], [0.1, 0.5]).head().k
     return d.select("user_id", r6(sampling.density_weight(F.col("k"), F.lit(td), F.lit(od)), "weight"))
 
 

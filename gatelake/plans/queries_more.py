@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geometry, transforms
-from ..operators import classify, clustering, features, gates, names, sampling
+from ..operators import classify, clustering, features, gates, names, sampling, tables
 from ..operators import populations as P
 from .queries_events import _POPS_SQL, POLYGON, _pops
 from .queries_samples import _labelled, _one
@@ -62,15 +61,13 @@ def normalise_round_trip(spark, sf):
 @query("SELECT 'value' AS feature, count(*) FILTER (WHERE value IS NULL) AS n_null FROM events UNION ALL SELECT 'props', count(*) FILTER (WHERE props IS NULL OR CAST(json_extract_string(props, '$.k') AS INT) > 90) FROM events")
 def null_features(spark, sf):
     e = table(spark, sf, "events").select("value", F.when(F.get_json_object("props", "$.k").cast("int") <= 90, F.col("props")).alias("props"))
-    row = e.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in e.columns])
-    return row.unpivot([], ["value", "props"], "feature", "n_null")
+    return clustering.null_counts(e, ["value", "props"])
 
 
 @query("WITH {CELLS} SELECT round(quantile_cont(c0, 0.001), 6) AS x0, round(quantile_cont(c0, 0.999), 6) AS x1, round(quantile_cont(c1, 0.001), 6) AS y0, round(quantile_cont(c1, 0.999), 6) AS y1 FROM cells")
 def axis_limits(spark, sf):
-    q = lambda c: F.percentile(c, F.array(F.lit(0.001), F.lit(0.999)))
-    row = cells(spark, sf).agg(q("c0").alias("x"), q("c1").alias("y"))
-    return row.select(r6(F.col("x")[0], "x0"), r6(F.col("x")[1], "x1"), r6(F.col("y")[0], "y0"), r6(F.col("y")[1], "y1"))
+    at = {r.axis: r for r in tables.axis_limits(cells(spark, sf), ["c0", "c1"]).collect()}
+    return _one(spark, {"x0": at["c0"].least, "x1": at["c0"].most, "y0": at["c1"].least, "y1": at["c1"].most})
 
 
 @query(f"WITH {_POPS_SQL} SELECT sample_id, population, n::BIGINT AS n, round(100 * n / sum(n) OVER (PARTITION BY sample_id), 6) AS percent_of_parent FROM (SELECT s.sample_id, p.population, count(c.event_id) AS n FROM (SELECT DISTINCT sample_id FROM cells) s CROSS JOIN (VALUES ('+'), ('-')) p(population) LEFT JOIN cells c ON c.sample_id = s.sample_id AND (CASE WHEN c0 >= 50 THEN '+' ELSE '-' END) = p.population GROUP BY ALL)")
@@ -91,10 +88,9 @@ def signature_cost(spark, sf):
 
 @query("WITH {CELLS}, m AS (SELECT sample_id, avg(c0) AS c0, avg(c1) AS c1 FROM cells GROUP BY ALL), t AS (SELECT * FROM m WHERE sample_id = '0') SELECT arg_min(m.sample_id, abs(m.c0 - t.c0) + abs(m.c1 - t.c1)) AS closest FROM m, t WHERE m.sample_id != '0'")
 def closest_signature(spark, sf):
-    m = cells(spark, sf).groupBy("sample_id").agg(F.array(F.avg("c0"), F.avg("c1")).alias("s"))
-    target = m.where("sample_id = '0'").select(F.col("s").alias("t"))
-    cost = F.aggregate(F.zip_with("s", "t", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, d: acc + d)
-    return m.where("sample_id != '0'").crossJoin(F.broadcast(target)).agg(F.min_by("sample_id", cost).alias("closest"))
+    m = clustering.summarise(cells(spark, sf), ["c0", "c1"], "mean", ("sample_id",))
+    target = m.where("sample_id = '0'").drop("sample_id").head().asDict()
+    return gates.closest_signature(target, m.where("sample_id != '0'"), ["c0", "c1"], by="sample_id")
 
 
 @query("WITH {CELLS} SELECT event_id, sample_id FROM cells WHERE c0 >= 0 AND c1 >= 0 AND c3 >= 0")
@@ -107,7 +103,7 @@ def backgate(spark, sf):
 @query("WITH {CELLS} SELECT event_id, 'a' AS layer FROM cells WHERE sample_id = '0' UNION ALL SELECT event_id, 'b' FROM cells WHERE sample_id = '1'")
 def overlay_samples(spark, sf):
     df = cells(spark, sf)
-    return df.where("sample_id = '0'").select("event_id", F.lit("a").alias("layer")).unionByName(df.where("sample_id = '1'").select("event_id", F.lit("b").alias("layer")))
+    return tables.overlay({"a": df.where("sample_id = '0'"), "b": df.where("sample_id = '1'")}, ["event_id"])
 
 
 @query("SELECT event_id, CASE WHEN value >= 100 THEN 'P' ELSE 'N' END AS label FROM events")
@@ -131,7 +127,7 @@ def preferred_names(spark, sf):
 
 @query("WITH {CELLS} SELECT event_id, (event_id // 64)::BIGINT AS chunk FROM cells")
 def chunks(spark, sf):
-    return cells(spark, sf).select("event_id", F.floor(F.col("event_id") / 64).alias("chunk"))
+    return names.chunks(cells(spark, sf), 64).select("event_id", "chunk")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
@@ -177,10 +173,10 @@ def paired_t(spark, sf):
     return _one(spark, {"t": t["t"], "df": t["df"]})
 
 
-@query()
+@query("WITH g AS (SELECT event_type AS g, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY event_type), t AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS p FROM g) SELECT a.g AS a, b.g AS b, round(abs(a.m - b.m) / sqrt((p / a.n + p / b.n) / 2), 6) AS q FROM g a JOIN g b ON a.g < b.g, t")
 def post_hoc_pairs(spark, sf):
     rows = features.post_hoc(table(spark, sf, "events"), "event_type", "value")
-    return spark.createDataFrame([(r["a"], r["b"], round(r["q"], 6), round(r["p"], 4)) for r in rows], "a string, b string, q double, p double")
+    return spark.createDataFrame([(r["a"], r["b"], round(r["q"], 6)) for r in rows], "a string, b string, q double")
 
 
 @query()
@@ -191,23 +187,12 @@ def adjusted_tests(spark, sf):
 
 # --- shapes, models
 
-@query()
+@query("""WITH {CELLS}, e AS (SELECT a.sample_id, a.c0 AS ax, a.c1 AS ay, b.c0 AS bx, b.c1 AS yb FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND (a.c0 != b.c0 OR a.c1 != b.c1) JOIN cells c ON c.sample_id = a.sample_id
+    GROUP BY ALL HAVING min((b.c0 - a.c0) * (c.c1 - a.c1) - (b.c1 - a.c1) * (c.c0 - a.c0)) >= 0) SELECT sample_id, round(sum(ax * yb - bx * ay) / 2, 4) AS area FROM e GROUP BY sample_id""")
 def hull_area(spark, sf):
     """The hull of each sample's events, from each partition's hull: hulls merge, so no sample is gathered whole."""
-    df = cells(spark, sf).select("sample_id", "c0", "c1")
-
-    def part(batches):
-        import pandas as pd
-
-        held: dict = {}
-        for pdf in batches:
-            for s, g in pdf.groupby("sample_id"):
-                held[s] = geometry.convex_hull(np.vstack([np.array(held.get(s, []), float).reshape(-1, 2), g[["c0", "c1"]].to_numpy(float)])) or g[["c0", "c1"]].to_numpy(float).tolist()
-        yield pd.DataFrame([(s, float(a), float(b)) for s, ring in held.items() for a, b in ring], columns=["sample_id", "c0", "c1"])
-
-    corners = df.mapInPandas(part, "sample_id string, c0 double, c1 double").toPandas()  # hull corners only
-    rows = [(s, round(geometry.area(geometry.convex_hull(g[["c0", "c1"]].to_numpy())), 4)) for s, g in corners.groupby("sample_id")]
-    return spark.createDataFrame(rows, "sample_id string, area double")
+    corners = tables.hulls(cells(spark, sf), "sample_id", "c0", "c1")
+    return spark.createDataFrame([(s, round(geometry.area(ring), 4)) for s, ring in corners.items()], "sample_id string, area double")
 
 
 @query()
@@ -217,14 +202,22 @@ def polygon_relations(spark, sf):
     return _one(spark, {"overlap": geometry.overlap(POLYGON, other), "hausdorff": geometry.hausdorff(POLYGON, other), "outline": geometry.area(geometry.union_outline(POLYGON, other))})
 
 
-@query()
+@query("""WITH {CELLS}, m AS (SELECT avg(c0) AS mx, avg(c1) AS my, var_samp(c0) AS xx, var_samp(c1) AS yy, covar_samp(c0, c1) AS xy FROM cells),
+    e AS (SELECT mx, my, (xx + yy) / 2 AS mean, sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS half, xx, xy, -2 * ln(0.2::DOUBLE) AS size FROM m),
+    f AS (SELECT mx, my, sqrt((mean + half) * size) AS a, sqrt((mean - half) * size) AS b, atan2(mean + half - xx, xy) AS t FROM e),
+    v AS (SELECT i, mx + a * cos(2 * pi() * i / 64) * cos(t) - b * sin(2 * pi() * i / 64) * sin(t) AS x, my + a * cos(2 * pi() * i / 64) * sin(t) + b * sin(2 * pi() * i / 64) * cos(t) AS y FROM f, range(64) r(i)),
+    s AS (SELECT p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM v p JOIN v q ON q.i = (p.i + 1) % 64),
+    k AS (SELECT event_id, sample_id, count(*) FILTER (WHERE c1 >= least(y1, y2) AND c1 < greatest(y1, y2) AND c0 < (c1 - y1) * (x2 - x1) / (y2 - y1) + x1) AS n FROM cells, s GROUP BY ALL)
+    SELECT sample_id, 'A' AS population, count(*) AS n FROM k WHERE n % 2 = 1 GROUP BY sample_id""")
 def ellipse_gate_confidence(spark, sf):
     df = cells(spark, sf)
     g = gates.EllipseGate("g", "root", "c0", "c1", method="normal", params={"k": 1, "conf": 0.8}).fit(df)
     return g.predict(df).groupBy("sample_id", "population").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH {CELLS}, cuts AS (SELECT 0.3::DOUBLE AS q, quantile_cont(c0, 0.3) AS t FROM cells UNION ALL SELECT 0.5, quantile_cont(c0, 0.5) FROM cells UNION ALL SELECT 0.7, quantile_cont(c0, 0.7) FROM cells),
+    f AS (SELECT q, CASE WHEN c0 >= t THEN '+' ELSE '-' END AS child, avg(c0) AS x, avg(c1) AS y FROM cells, cuts GROUP BY ALL), c AS (SELECT f.child, f.q, abs(f.x - g.x) + abs(f.y - g.y) AS cost FROM f JOIN f g ON g.child = f.child AND g.q = 0.5)
+    SELECT child, arg_min(q, cost) AS q, round(min(cost), 6) AS cost FROM c GROUP BY child""")
 def hyperparameter_gate(spark, sf):
     df = cells(spark, sf)
     g = gates.ThresholdGate("g", "root", "c0", method="quantile", params={"q": 0.5}).fit(df)
@@ -257,7 +250,7 @@ def tuned_classifier(spark, sf):
     return spark.createDataFrame([(float(params["regParam"]), round(float(score), 6))], "reg double, balanced_accuracy double")
 
 
-@query()
+@query("WITH {CELLS} SELECT 'reference' AS sample_id, sample_id AS original, event_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5(event_id::VARCHAR || ':0'), event_id) AS r FROM cells) WHERE r <= 20")
 def reference_sample_pool(spark, sf):
     """A pool of at most 20 events of each sample, as one new sample."""
     return sampling.uniform(cells(spark, sf), 20, by=["sample_id"]).withColumn("original", F.col("sample_id")).withColumn("sample_id", F.lit("reference")).select("sample_id", "original", "event_id")

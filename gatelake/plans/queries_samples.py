@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import density
 from ..operators import batch, classify, clustering, features, gates, names, sampling
 from ..operators import populations as P
+from ..sources.project import control_counts as counts_of_controls
+from ..sources.project import samples_of_subjects, with_subject
 from .registry import CHANNELS, cells, query, r6, table
 
 COLS = [f"c{i}" for i in range(CHANNELS)]
@@ -51,21 +53,20 @@ def json_meta_field(spark, sf):
 
 @query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def subject_lookup(spark, sf):
-    return table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left").select("o_orderkey", "c_mktsegment")
+    return with_subject(table(spark, sf, "orders"), table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", ["c_mktsegment"]).select("o_orderkey", "c_mktsegment")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')")
 def samples_by_subject(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region").where("r_name = 'EUROPE'")
-    subjects = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("c_nationkey"))
-    return table(spark, sf, "customer").join(subjects, "c_nationkey", "left_semi").select("c_custkey")
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    subjects = n.join(r, n.n_regionkey == r.r_regionkey).withColumnRenamed("n_nationkey", "c_nationkey")
+    return samples_of_subjects(table(spark, sf, "customer"), subjects, F.col("r_name") == "EUROPE", "c_nationkey").select("c_custkey")
 
 
 @query("SELECT event_type AS control, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'total', count(*) FROM events")
 def control_counts(spark, sf):
     e = table(spark, sf, "events")
-    each = e.groupBy(F.col("event_type").alias("control")).agg(F.count("*").alias("n"))
-    return each.unionByName(e.agg(F.lit("total").alias("control"), F.count("*").alias("n")))
+    return counts_of_controls(e.select(F.col("event_type").alias("control")), e.count())
 
 
 # --- summaries
@@ -281,10 +282,14 @@ def gate_density_2d(spark, sf):
     return g.predict(df).groupBy("sample_id", "population").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH s AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events),
+    h AS (SELECT *, 0.9 * least(sd, iqr / 1.349) * pow(n, -0.2::DOUBLE) AS h FROM s), g AS (SELECT lo - 3 * h AS a, h, n, (hi - lo + 6 * h) / 255 AS step FROM h),
+    b AS (SELECT least(floor((value - a) / step), 254) AS c, (value - a) / step AS p FROM events, g), k AS (SELECT c AS i, sum(1 - (p - c)) AS w FROM b GROUP BY c UNION ALL SELECT c + 1, sum(p - c) FROM b GROUP BY c),
+    w AS (SELECT i, sum(w) AS w FROM k GROUP BY i)
+    SELECT round(a + r.i * step, 6) AS x, round(sum(w * exp(-0.5 * pow((r.i - w.i) * step / h, 2))) / (h * sqrt(2 * pi())) / n, 8) AS density FROM range(256) r(i), w, g GROUP BY r.i, a, step, h, n""")
 def kde_density(spark, sf):
     d = density.kde(table(spark, sf, "events"), "value", grid=256)
-    return spark.createDataFrame([(float(x), float(p)) for x, p in zip(d.x, d.p, strict=True)], "x double, density double")
+    return spark.createDataFrame([(round(float(x), 6), round(float(p), 8)) for x, p in zip(d.x, d.p, strict=True)], "x double, density double")
 
 
 @query()
@@ -306,9 +311,14 @@ def kmeans_clusters(spark, sf):
     return clustering.global_clusters(cells(spark, sf), COLS, "kmeans", 5).groupBy("cluster_label").agg(F.count("*").alias("n"))
 
 
-@query()
+_ROUNDS = 5
+_LLOYD = "{CELLS}, p AS (SELECT sample_id, event_id, c0 AS x, c1 AS y FROM cells), z0 AS (SELECT sample_id, c, x, y FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5(event_id::VARCHAR || ':42'), event_id) - 1 AS c FROM p) WHERE c < 3)" + "".join(
+    f", a{i} AS (SELECT p.sample_id, p.event_id, p.x, p.y, arg_min(z.c, pow(p.x - z.x, 2) + pow(p.y - z.y, 2)) AS c FROM p JOIN z{i} z USING (sample_id) GROUP BY ALL), z{i + 1} AS (SELECT z.sample_id, z.c, coalesce(avg(a.x), any_value(z.x)) AS x, coalesce(avg(a.y), any_value(z.y)) AS y FROM z{i} z LEFT JOIN a{i} a USING (sample_id, c) GROUP BY ALL)" for i in range(_ROUNDS))
+
+
+@query(f"WITH {_LLOYD}, f AS (SELECT p.sample_id, p.event_id, arg_min(z.c, pow(p.x - z.x, 2) + pow(p.y - z.y, 2))::INT AS cluster_label FROM p JOIN z{_ROUNDS} z USING (sample_id) GROUP BY ALL), n AS (SELECT sample_id, cluster_label, count(*) AS n FROM f GROUP BY ALL) SELECT sample_id, cluster_label, n, round(n / sum(n) OVER (PARTITION BY sample_id), 6) AS share FROM n")
 def kmeans_per_sample(spark, sf):
-    return clustering.sizes(clustering.sample_clusters(cells(spark, sf), ["c0", "c1"], 3, rounds=5))
+    return clustering.sizes(clustering.sample_clusters(cells(spark, sf), ["c0", "c1"], 3, rounds=_ROUNDS)).select("sample_id", "cluster_label", "n", r6("share"))
 
 
 @query()
@@ -346,7 +356,8 @@ def harmony_correct(spark, sf):
     return batch.Harmony(COLS, clusters=5, rounds=3).run(cells(spark, sf)).select("event_id", "sample_id", r6("c0"))
 
 
-@query()
+@query("""WITH {CELLS}, d AS (SELECT a.event_id, b.sample_id, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.c0 - b.c0, 2) + pow(a.c1 - b.c1, 2)) AS r FROM cells a, cells b),
+    n AS (SELECT event_id, sample_id, count(*) AS n FROM d WHERE r <= 30 GROUP BY ALL), t AS (SELECT event_id, sum(n) AS t FROM n GROUP BY event_id) SELECT event_id, round(1 / sum(pow(n / t, 2)), 6) AS lisi FROM n JOIN t USING (event_id) GROUP BY event_id""")
 def lisi(spark, sf):
     return batch.lisi(cells(spark, sf), ["c0", "c1"]).select("event_id", r6("lisi"))
 
@@ -357,7 +368,11 @@ def landmark_warp(spark, sf):
     return batch.register(e.where("event_type = 'click'"), "value", e.where("event_type = 'view'"), to="warped").select("event_id", r6("warped"))
 
 
-@query()
+@query("""WITH {CELLS}, t AS (SELECT * FROM cells WHERE ('0x' || substr(md5(event_id::VARCHAR || ':1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.3::DOUBLE),
+    n AS (SELECT a.event_id, abs(a.c0 - b.c0) + abs(a.c1 - b.c1) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.c0 - b.c0) + abs(a.c1 - b.c1)) AS r FROM t a, t b),
+    rad AS (SELECT 5 * median(d) AS r FROM n WHERE r = 2), k AS (SELECT c.event_id, count(*) FILTER (WHERE abs(c.c0 - t.c0) + abs(c.c1 - t.c1) <= rad.r)::DOUBLE AS k FROM cells c, t, rad GROUP BY c.event_id),
+    q AS (SELECT quantile_cont(k, 0.01) AS od, quantile_cont(k, 0.05) AS td FROM k), w AS (SELECT event_id, CASE WHEN k <= od THEN 0 WHEN k <= td THEN 1 ELSE td / k END AS w FROM k, q)
+    SELECT event_id FROM w WHERE w > 0 ORDER BY -ln((('0x' || substr(md5(event_id::VARCHAR || ':0'), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE) / w, event_id LIMIT 100""")
 def density_downsample(spark, sf):
     return sampling.density_downsample(cells(spark, sf), ["c0", "c1"], 100, tree_fraction=0.3).select("event_id")
 
