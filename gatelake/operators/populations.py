@@ -5,6 +5,7 @@ All samples are handled in one plan. The root population holds every event and i
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,17 +48,20 @@ def orphans(tree: DataFrame) -> DataFrame:
 
 def descendants(tree: DataFrame, of: str | None = None) -> DataFrame:
     """ancestor, population, depth (from 1) and path for each ancestor and each population below it, by a recursive query."""
-    spark = tree.sparkSession
-    tree.select("population", "parent").createOrReplaceTempView("_tree")
-    start = f"WHERE parent = '{of}'" if of else "WHERE parent IS NOT NULL"
-    return spark.sql(f"""
+    spark, view = tree.sparkSession, f"_tree_{uuid.uuid4().hex}"
+    tree.select("population", "parent").createOrReplaceTempView(view)
+    start = "WHERE parent = :of" if of else "WHERE parent IS NOT NULL"
+    text = f"""
         WITH RECURSIVE d (ancestor, population, depth, path) AS (
-            SELECT parent, population, 1, concat(parent, '/', population) FROM _tree {start}
+            SELECT parent, population, 1, concat(parent, '/', population) FROM {view} {start}
             UNION ALL
             SELECT d.ancestor, t.population, d.depth + 1, concat(d.path, '/', t.population)
-            FROM d JOIN _tree t ON t.parent = d.population WHERE d.depth < {MAX_DEPTH})
+            FROM d JOIN {view} t ON t.parent = d.population WHERE d.depth < {MAX_DEPTH})
         SELECT * FROM d
-    """)
+    """
+    out = spark.sql(text, args={"of": of}) if of else spark.sql(text)
+    spark.catalog.dropTempView(view)  # the plan has the table itself
+    return out
 
 
 def print_tree(tree: list[tuple[str, str | None]]) -> str:

@@ -167,6 +167,12 @@ def test_strategy_applied_anew(spark):
         s.backgate(learned, "lo", "hi")
 
 
+def test_names_with_quotes_in_a_tree(spark):
+    tree = spark.createDataFrame([("root", None), ("a'b", "root"), ("c", "a'b")], "population string, parent string")
+    assert [(r.population, r.depth) for r in P.descendants(tree, "a'b").collect()] == [("c", 1)]
+    assert {r.population for r in P.without(tree, ["a'b"]).collect()} == {"root"} and not [t for t in spark.catalog.listTables() if t.name.startswith("_tree")]
+
+
 def test_control_thresholds(spark):
     rng = np.random.default_rng(5)
     df = events(spark, rng.normal(0, 1, (500, 1)))
