@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from ..functions.quantiles import quantiles
 from ..functions.transforms import number
 from . import clustering, sampling
 from .features import PCA, histogram2d
-from .gates import Gate, ThresholdGate
+from .gates import BooleanGate, Gate, ThresholdGate
+
+if TYPE_CHECKING:
+    from ..plans.strategy import Strategy
 
 Limits = tuple[float, float]
 
@@ -64,6 +69,23 @@ def gate_plot(gate: Gate, parent: DataFrame, bins: int = 64) -> tuple[DataFrame,
     return plot(scaled, "_x", "_y" if gate.y else None, bins), shapes(gate, parent)
 
 
+def strategy_plots(strategy: Strategy, events: DataFrame, bins: int = 64) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """`gate_plot` of every gate that has a shape, on its parent's events."""
+    return {g.name: gate_plot(g, strategy.population(events, g.parent), bins) for g in strategy.ordered() if not isinstance(g, BooleanGate)}
+
+
+def population_histogram(events: DataFrame, x: str, y: str | None = None, *, scale_x: str | None = "logicle", scale_y: str | None = "logicle", bins: int = 64) -> DataFrame:
+    """`plot` of a population's events on transformed axes."""
+    axes = {x: scale_x} | ({y: scale_y} if y else {})
+    return plot(transforms.apply(events, axes), x, y, bins)
+
+
+def cluster_scatter(events: DataFrame, features: list[str], label: str = clustering.CLUSTER, *, sample: str | None = None, size: int = 10_000, id_col: str = "event_id") -> DataFrame:
+    """`scatter` of one sample's events (or all) on their first two components, by cluster."""
+    own = events if sample is None else events.where(F.col(clustering.SAMPLE) == sample)
+    return scatter(PCA(features, 2).fit(own).transform(own), "PCA1", "PCA2", label, size=size, id_col=id_col)
+
+
 def population_plot(parent: DataFrame, children: dict[str, DataFrame], x: str, y: str, bins: int = 64) -> tuple[DataFrame, DataFrame]:
     """The parent's histogram, and population, i, x, y: the hull of each child's events on these axes."""
     rows = [(n, i, a, b) for n, df in children.items() for i, (a, b) in enumerate(hulls(df.select(F.lit(0).alias("g"), x, y), "g", x, y).get(0, []))]
@@ -137,4 +159,4 @@ def population_overlap(first: list[geometry.Point], second: list[geometry.Point]
     return geometry.overlap(first, geometry.convex_hull(np.array(second)))
 
 
-__all__ = ["axis_limits", "bubbles", "gate_plot", "heatmap", "histogram1d", "hulls", "overlay", "overlay_densities", "plot", "population_overlap", "population_plot", "scatter", "shapes", "transformed_limits"]
+__all__ = ["axis_limits", "bubbles", "cluster_scatter", "gate_plot", "heatmap", "histogram1d", "hulls", "overlay", "overlay_densities", "plot", "population_histogram", "population_overlap", "population_plot", "scatter", "shapes", "strategy_plots", "transformed_limits"]

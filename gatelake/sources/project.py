@@ -18,7 +18,7 @@ from ..functions.transforms import compensate
 from ..operators import populations as P
 from ..operators import sampling
 from ..operators.names import Panel, spill_matrix, standard_names
-from ..plans.strategy import Strategy
+from ..plans.strategy import Applied, Strategy
 
 TABLES = {
     "experiments": "experiment_id string, panel string",
@@ -248,6 +248,26 @@ class Experiment:
             out = with_subject(out, of, "subject_id", fields)
         return transforms.apply(out, features, transform, transform_params) if transform and features else out
 
+    def control_population(self, name: str, control: str, **kwargs) -> DataFrame:
+        """Events of a control, over all samples that have it, that look like the members of a population; see operators.controls."""
+        from ..operators.controls import control_populations
+
+        there = [r.sample_id for r in self.project.table("samples").where((F.col("experiment_id") == self.id) & F.array_contains("controls", control)).collect()]
+        own = F.col("sample_id").isin(there)
+        primary, beside = (self.project.events(self.id, s).drop("experiment_id", "source").where(own) for s in ("primary", control))
+        members = self.project.membership(self.id).where(own & (F.col("population") == name))
+        return control_populations(primary, beside, members, **kwargs)
+
+    def apply(self, strategy: Strategy, samples: list[str] | None = None, **kwargs) -> dict[str, str]:
+        """Apply a strategy to samples and store the populations; gives what went wrong, by sample, and goes on with the others."""
+        out: dict[str, str] = {}
+        for s in samples or self.list_samples():
+            try:
+                self.sample(s).apply(strategy, **kwargs)
+            except ValueError as e:
+                out[s] = str(e)
+        return out
+
     def statistics(self) -> DataFrame:
         """sample_id, population, parent, n and shares of every stored population in every sample; 0 where a sample has none."""
         events, members = self.project.events(self.id), self.project.membership(self.id)
@@ -471,6 +491,14 @@ class Sample:
             out = transforms.apply(out, features, transform, transform_params)
         return out
 
+    def apply(self, strategy: Strategy, *, reference: str | None = None, control: str | None = None, normalise: bool = False, search: bool = False, params: dict[str, dict] | None = None) -> Applied:
+        """Fit a strategy's gates anew to this sample and store the populations; see Strategy.applied. reference and control name a sample and a control."""
+        other = Sample(self.project, self.experiment_id, reference).data() if reference else None
+        beside = self.data(control) if control else None
+        done = strategy.applied(self.data(), reference=other, control=beside, normalise=normalise, search=search, params=params)
+        self.save(done.definitions)
+        return done
+
     def control_population(self, control: str, name: str, **kwargs) -> DataFrame:
         """The control's events that look like the members of a population; see operators.controls."""
         from ..operators.controls import control_population

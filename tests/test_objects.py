@@ -289,6 +289,27 @@ def test_stored_populations(spark, project):
     assert "a/1" not in e.list_samples()
 
 
+def test_strategies_on_stored_samples(spark, project):
+    rng = np.random.default_rng(13)
+    e = project.add_experiment("e", PANEL)
+    blobs = lambda n: events(spark, np.column_stack([np.concatenate([rng.normal(2, 0.5, n), rng.normal(9, 0.5, n)]), rng.normal(0, 1, 2 * n)])).drop("sample_id")
+    for s in ("01", "2"):
+        e.project.add_sample("e", s, blobs(60), controls={"FMO": blobs(40)})
+    project.add_sample("e", "tiny", blobs(1))
+    g = gates.ThresholdGate("cut", "root", "x", method="quantile", params={"q": 0.5}, thresholds=(5.0, None), children=[gates.Child("hi", "+"), gates.Child("lo", "-")])
+    strategy = Strategy("s", [g])
+    assert list(e.apply(strategy)) == ["tiny"]
+    assert {(r.sample_id, r.n) for r in e.statistics().where("population = 'hi'").collect()} == {("01", 60), ("2", 60), ("tiny", 0)}
+    assert "already" in e.apply(strategy, ["2"])["2"]
+    found = e.control_population("hi", "FMO", features=["x", "y"], transform=None)
+    assert {r.sample_id: r["count"] for r in found.groupBy("sample_id").count().collect()} == {"01": 40, "2": 40}
+    df = e.sample("2").data()
+    plots = tables.strategy_plots(strategy, df, 16)
+    assert list(plots) == ["cut"] and plots["cut"][1].count() == 2
+    assert tables.population_histogram(df, "x", "y", scale_x="asinh", scale_y=None, bins=8).agg(F.sum("n")).head()[0] >= 110
+    assert tables.cluster_scatter(df.withColumn("cluster_label", F.lit(1)), ["x", "y"], size=9).count() == 9
+
+
 def test_a_cut_short_replacement_is_mended(spark, project):
     project.add_subject("a")
     project._fs("subjects").rename(project._path("subjects"), project._path("subjects__old"))
