@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import shuffle_partitions, staged
+from .common import mapped, shuffle_partitions, staged
 from .hashing import U
 from .repeats import numbered
 
@@ -392,20 +392,20 @@ def near_earlier(rows: DataFrame, first: DataFrame, *, threshold: int, least: in
     n_parts = shuffle_partitions(spark)
     per_line = (threshold + 1) * (threshold + 2)
     index_parts = max(n_parts, first.count() * per_line // PARTITION_ROWS)
-    indexed = rows.select("did", "text").mapInArrow(_indexed(threshold, least), "key long, line long, classes long")
+    indexed = rows.select("did", "text").transform(mapped, _indexed(threshold, least), "key long, line long, classes long")
     dealt = indexed.repartition(index_parts, F.shiftright("key", 2)).sortWithinPartitions("key")
-    live = staged(dealt.mapInArrow(_live(threshold), "line long").distinct(), "live_lines")
+    live = staged(dealt.transform(mapped, _live(threshold), "line long").distinct(), "live_lines")
 
     wanted = staged(first.join(live, "line").groupBy("did").agg(F.collect_list(F.struct("no", "line")).alias("wanted")), "wanted_lines")
     chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     # Line numbers are of whole texts; a line's text is fetched from its first place alone.
-    texts = rows.join(chosen, "did").select("did", "text", "wanted").mapInArrow(_picked, "line long, did long, no int, text string")
+    texts = rows.join(chosen, "did").select("did", "text", "wanted").transform(mapped, _picked, "line long, did long, no int, text string")
     fields = "key long, classes long, line long, did long, no int, text string"
-    keyed = staged(texts.mapInArrow(_keyed(threshold), fields).withColumn("grp", F.shiftright("key", 2)), "keyed_lines")
+    keyed = staged(texts.transform(mapped, _keyed(threshold), fields).withColumn("grp", F.shiftright("key", 2)), "keyed_lines")
 
     def judged(units: DataFrame) -> DataFrame:
         units = units.select("unit", "flag", "key", "classes", "line", "did", "no", "text")
-        return units.repartition(n_parts, "unit").sortWithinPartitions("unit").mapInArrow(_judged(threshold), "line long").distinct()
+        return units.repartition(n_parts, "unit").sortWithinPartitions("unit").transform(mapped, _judged(threshold), "line long").distinct()
 
     def flag(x: int) -> Column:
         return F.lit(x).cast("long").alias("flag")
@@ -452,7 +452,7 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     by a hash of their text. Lines are compared for equality by 64-bit hashes. An empty table gives no rows; other columns are ignored.
     """
     rows = numbered(docs, id_col, text_col)
-    places = staged(rows.select("did", "text").mapInArrow(_occurrences, "line long, did long, no int, again boolean"), "lines")
+    places = staged(rows.select("did", "text").transform(mapped, _occurrences, "line long, did long, no int, again boolean"), "lines")
     once = places.where("not again").drop("again")
     first = staged(once.groupBy("line").agg(F.min(F.struct("did", "no")).alias("at")).select("line", "at.did", "at.no"), "first_lines")
     near = near_earlier(rows, first, threshold=threshold, least=max(least_chars, threshold + 1))
@@ -461,4 +461,4 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     gone = gone.unionByName(places.where("again").select("did", "no"))
     by_doc = gone.groupBy("did").agg(F.collect_list("no").alias("gone"))
     out = rows.join(by_doc, "did", "left").select("doc_id", "text", "gone")
-    return out.mapInArrow(_finish, "doc_id long, kept string, n_lines long, n_removed long, kept_sha256 string")
+    return out.transform(mapped, _finish, "doc_id long, kept string, n_lines long, n_removed long, kept_sha256 string")

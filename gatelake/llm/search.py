@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import staged, unstage
+from .common import mapped, staged, unstage
 from .hashing import U
 
 K1, B, K = 1.2, 0.75, 10
@@ -290,15 +290,15 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, k1: float = K1, b:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    index = staged(rows.mapInArrow(_indexed, SHARD), "shards")
+    index = staged(rows.transform(mapped, _indexed, SHARD), "shards")
     total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).head()
     mean = max(total.words, 1) / max(total.n, 1)
     asked = queries.select(F.col(query_col).cast("long").alias("doc_id"), F.coalesce(F.col(query_text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    df = index.select("terms", "starts").mapInArrow(_counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = index.select("terms", "starts").transform(mapped, _counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log1p((total.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    cells = asked.mapInArrow(_bags, "query_id long, term long").distinct().join(df, "term").select("query_id", "term", idf.alias("idf"))
+    cells = asked.transform(mapped, _bags, "query_id long, term long").distinct().join(df, "term").select("query_id", "term", idf.alias("idf"))
     weighted = cells.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
-    weighted = staged(weighted.mapInArrow(_packed, "query_id long, n long, terms binary, idf binary"), "queries")
+    weighted = staged(weighted.transform(mapped, _packed, "query_id long, n long, terms binary, idf binary"), "queries")
     blocks = max(1, -(-(weighted.agg(F.sum("n")).head()[0] or 0) // QUERY_TERMS))
     ahead = F.pmod(F.xxhash64("shard"), F.lit(AHEAD)) == 0
     columns = ["ids", "known", "lengths", "terms", "starts", "docs", "counts"]
@@ -306,7 +306,7 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, k1: float = K1, b:
 
     def search(shards: DataFrame, some: list[tuple]) -> DataFrame:
         sent = spark.sparkContext.broadcast(some)
-        found = staged(shards.select(columns).mapInArrow(_searched(sent, mean, k, k1, b), "query_id long, doc_id long, score double"), "found")
+        found = staged(shards.select(columns).transform(mapped, _searched(sent, mean, k, k1, b), "query_id long, doc_id long, score double"), "found")
         sent.unpersist()
         return found
 
