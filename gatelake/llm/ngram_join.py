@@ -5,11 +5,12 @@
    one power of two. Two sets that differ in at most d shingles agree in all but d parts, so among the d + 1 fullest parts of each
    (in one order for all) there is a common one. Sets near the next power of two also sign with its k. A signature
    stands for several shingles at once, so common shingles or passages alone route nothing.
-3. In each signature's group the classes are tied to its smallest one. Groups are combined within each batch before the shuffle, so a
+3. In each signature's group the classes are tied to its smallest one, the hub. Groups are combined within each batch before the shuffle, so a
    hot group arrives as a row a batch; no pairs are emitted.
-4. Each class is verified against one such hub, and verified links are contracted to components. Ties between different components
-   are the rest: their groups' members are joined in memory by T-occurrence search with DivideSkip, in blocks of at
-   most `BLOCK` classes, every pair of blocks of a larger group meeting in a task of its own.
+4. Each class meets the group of one of its hubs. A group is joined in memory by T-occurrence search with DivideSkip: each set searches the
+   inverted lists of those before it, the short ones merged, the long ones probed. Links are contracted to components.
+5. Signatures whose classes are still of different components are the rest. What they connect is searched in the same way; a group of more than
+   `BLOCK` classes by bands of sizes, and a larger band in blocks, every pair of which meets in a task of its own.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import shuffle_partitions, staged, unstage
+from .common import mapped, shuffle_partitions, staged, unstage
 from .components import components
 from .hashing import U
+from .repeats import numbered
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Classes compared in one task; larger groups are dealt out as pairs of blocks.
 BLOCK = 3000
+#: Classes that meet their hub in one task.
+STAR = 1000
 #: Ids of classes with candidates are broadcast up to this many (16 bytes each); beyond that their texts are found by a shuffle join.
 BROADCAST_IDS = 500_000
 #: DivideSkip's cost ratio of merging to probing.
@@ -104,7 +108,8 @@ def _classes(k: int):
         for batch in batches:
             for i, j, data, bounds in hashing.documents(batch, 1):
                 sets = shingle_sets(data, bounds, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["doc_id", "n", "cls"])
+                own = [batch.column(c).slice(i, j - i) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["did", "doc_id", "n", "cls"])
 
     return run
 
@@ -179,25 +184,6 @@ def _sets(k: int):
     return run
 
 
-def _verify(num: int, den: int):
-    """Rows sorted by (hub, salt, hub's own row first): hub, salt, cls (null: the hub's row), shingles -> linked pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for batch in batches:
-            a, b = [], []
-            for hub, salt, cls, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = np.frombuffer(raw, U)
-                if cls is None:
-                    at, own = (hub, salt), s
-                elif at == (hub, salt) and links(len(s), len(own), len(np.intersect1d(s, own, assume_unique=True)), num, den):
-                    a.append(cls)
-                    b.append(hub)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
 def divide_skip(sets: list[np.ndarray], known: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> list[tuple[int, int]]:
     """Links between sets that join different components; known has a component's number for each set.
 
@@ -239,24 +225,35 @@ def divide_skip(sets: list[np.ndarray], known: np.ndarray, num: int = NUMERATOR,
         short, long = by_length[: len(mine) - skip], by_length[len(mine) - skip :]
         count = length[short]
         where = np.repeat(starts[mine[short]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        found, times = np.unique(lists[where], return_counts=True)
+        merged = np.sort(lists[where], kind="stable")  # sorted lists end to end: merged run by run
+        new = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+        found, times = merged[new], np.diff(np.append(new, len(merged)))
         keep = (times >= need - skip) & (found >= lo)
         found, times = found[keep], times[keep]
-        own_id = find(int(known[order[r]]))
-        differ = np.array([find(int(known[order[c]])) != own_id for c in found], bool)
-        found, times = found[differ], times[differ]
-        if not len(found):
-            continue
-        for t in long:
-            part = lists[starts[mine[t]] : starts[mine[t]] + length[t]]
-            at = np.searchsorted(part, found)
-            times = times + (part[np.minimum(at, len(part) - 1)] == found)
-        for c, both in zip(found, times, strict=True):
-            if links(n, int(sizes[c]), int(both), num, den):
-                x, y = find(int(known[order[r]])), find(int(known[order[c]]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((order[r], order[c]))
+        ahead = 1
+        while len(found):
+            # of each other component the likeliest candidates first: one link settles the component
+            own_id = find(int(known[order[r]]))
+            group = np.array([find(int(known[order[c]])) for c in found.tolist()])
+            left = np.flatnonzero(group != own_id)
+            if not len(left):
+                break
+            by = left[np.lexsort((found[left], -times[left], group[left]))]
+            head = np.concatenate([[True], group[by[1:]] != group[by[:-1]]])
+            place = np.arange(len(by)) - np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))
+            now, later = by[place < ahead], by[place >= ahead]
+            some, both = found[now], times[now]
+            for t in long:
+                part = lists[starts[mine[t]] : starts[mine[t]] + length[t]]
+                at = np.searchsorted(part, some)
+                both = both + (part[np.minimum(at, len(part) - 1)] == some)
+            for c, b in zip(some.tolist(), both.tolist(), strict=True):
+                if links(n, int(sizes[c]), int(b), num, den):
+                    x, y = find(int(known[order[r]])), find(int(known[order[c]]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((order[r], order[c]))
+            found, times, ahead = found[later], times[later], 8 * ahead
     return out
 
 
@@ -290,45 +287,51 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, num: int = NUMER
 
     Texts have A-Z lower-cased and are split at ASCII white space. Two documents link when den * shared >= num * union of their distinct
     `shingle`-word shingles; a text of fewer words is one shingle, and one without words (or null) is linked with nothing. component_id is
-    the smallest id reachable by links. Rows that share an id stand for themselves; equal sets always link. Shingles
-    and classes are 64-bit hashes. An empty table gives no rows, and other columns are ignored.
+    the smallest id reachable by links; null if no row that is reachable has one. Rows that share an id, or have none, stand for themselves; equal
+    sets always link. Shingles and classes are 64-bit hashes. An empty table gives no rows, and other columns are ignored.
     """
     spark = docs.sparkSession
     n_parts = shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = staged(rows.mapInArrow(_classes(shingle), "doc_id long, n long, cls long"), "classes")
-    signed = rows.select("text").mapInArrow(_signed(shingle, num, den), "sig long, cls long, hub long")
+    rows = numbered(docs, id_col, text_col)
+    classes = rows.select("did", "text", "doc_id").transform(mapped, _classes(shingle), "did long, doc_id long, n long, cls long")
+    base = staged(classes, "classes")
+    signed = rows.select("text").transform(mapped, _signed(shingle, num, den), "sig long, cls long, hub long")
     dealt = signed.repartition(n_parts, "sig").sortWithinPartitions("sig", "cls", "hub")
-    ties = staged(dealt.mapInArrow(_ties, "sig long, cls long, hub long"), "ties")
-    firsts = base.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
+    ties = staged(dealt.transform(mapped, _ties, "sig long, cls long, hub long"), "ties")
+    firsts = base.where("n > 0").groupBy("cls").agg(F.min("did").alias("first"), F.min("doc_id").alias("low"))
 
     found = _class_links(rows, ties, firsts, n_parts, shingle, num, den)
     roots = components(found)
     unstage(ties, found)
-    top = firsts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    smallest = top.groupBy("root").agg(F.min("first").alias("component_id"))
+    top = firsts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
+    smallest = top.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = top.join(smallest, "root").select("cls", "component_id")
     out = base.join(of_class, "cls", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", own.alias("component_id"))
 
 
+def _searched(dealt: DataFrame, n_parts: int, num: int, den: int) -> DataFrame:
+    """Links between classes of different components within each (grp, i, j)."""
+    return dealt.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").transform(mapped, _blocks(num, den), "a long, b long")
+
+
 def _class_links(rows: DataFrame, ties: DataFrame, firsts: DataFrame, n_parts: int, shingle: int, num: int, den: int) -> DataFrame:
     """Links a, b between classes that connect whatever any links connect."""
     members = ties.select("cls").union(ties.select("hub")).distinct()
-    wanted = staged(firsts.join(members, "cls", "left_semi").select("cls", F.col("first").alias("doc_id")), "candidates")
+    wanted = staged(firsts.join(members, "cls", "left_semi").select("cls", F.col("first").alias("did")), "candidates")
     n = wanted.count()
     chosen = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    # A row whose id repeats with other text makes a set whose class isn't the wanted one; it is left out below.
-    made = rows.join(chosen, "doc_id").select("cls", "text").mapInArrow(_checked_sets(shingle), "cls long, shingles binary")
-    sets = staged(made.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    made = rows.join(chosen, "did").select("cls", "text").transform(mapped, _sets(shingle), "cls long, shingles binary")
+    sets = staged(made, "sets")
 
+    # Each class meets one hub's group: the hub and at most about STAR others are searched together.
     stars = staged(ties.groupBy("cls").agg(F.min("hub").alias("hub")), "stars")
-    load = stars.groupBy("hub").agg(F.ceil(F.count("*") / 1000).alias("salts"))
-    salted = staged(stars.join(load, "hub").select("hub", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"), "cls"), "salted")
-    hubs = salted.select("hub", "salt").distinct().join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("cls"), "shingles")
-    spokes = salted.join(sets, "cls").select("hub", "salt", "cls", "shingles")
-    verified = staged(hubs.unionByName(spokes).repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("cls").asc_nulls_first()).mapInArrow(_verify(num, den), "a long, b long"), "links")
+    load = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    salted = staged(stars.join(load, "hub").select("hub", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), "cls"), "salted")
+    both = salted.unionByName(salted.select("hub", "salt", F.col("hub").alias("cls")).distinct())
+    dealt = both.join(sets, "cls").select(F.col("hub").alias("grp"), F.col("salt").alias("i"), F.lit(0).alias("j"), "cls", F.col("cls").alias("known"), "shingles")
+    verified = staged(_searched(dealt, n_parts, num, den), "links")
     known = components(verified)
 
     def root(df: DataFrame, col: str, to: str) -> DataFrame:
@@ -340,23 +343,16 @@ def _class_links(rows: DataFrame, ties: DataFrame, firsts: DataFrame, n_parts: i
         return verified
     groups = components(rest.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     nodes = rest.select("cls").union(rest.select("hub")).distinct()
-    nodes = nodes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp"))
-    nodes = staged(root(nodes, "cls", "known"), "nodes")
-    load = nodes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = nodes.join(load, "grp").select("grp", "cls", "known", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    nodes = staged(root(nodes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("all")), "cls", "known"), "nodes")
+    # Sets that link are of like size: bands of sizes, of which each set is in two, tell a large group's members apart.
+    sizes = sets.select("cls", (F.octet_length("shingles") / 8).alias("size"))
+    band = F.floor(F.log(F.col("size")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
+    large = nodes.groupBy("all").agg((F.count("*") > BLOCK).alias("large"))
+    bands = F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band")
+    nodes = staged(nodes.join(large, "all").join(sizes, "cls").select(F.col("all"), bands, "cls", "known").select(F.xxhash64("all", "band").alias("grp"), "cls", "known"), "banded")
+    load = nodes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("known").alias("parts")).where("parts > 1").drop("parts")
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    dealt = nodes.join(load, "grp").select("grp", "cls", "known", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "known")
-    whole = dealt.join(sets, "cls").select("grp", "i", "j", "cls", "known", "shingles")
-    more = whole.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_blocks(num, den), "a long, b long")
+    more = _searched(dealt.join(sets, "cls").select("grp", "i", "j", "cls", "known", "shingles"), n_parts, num, den)
     return staged(verified.unionByName(more), "links")
-
-
-def _checked_sets(k: int):
-    make = _sets(k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in make(batches):
-            right = [c == class_of(np.frombuffer(s, U)) for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(right, pa.bool_()))
-
-    return run

@@ -116,3 +116,28 @@ def test_rows_that_share_an_id_and_odd_tables(spark):
     got = ngram_join.join_components(documents(spark, [text, text, "else where is that", None, ""], [5, 5, 5, 5, 6]).selectExpr("*", "1 AS cls", "2 AS n")).toPandas()
     assert sorted(got.n_shingles) == [0, 0, 1, 27, 27] and sorted(got.component_id) == [5, 5, 5, 5, 6]
     assert ngram_join.join_components(documents(spark, [])).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    """They link like others; a component's id is the smallest one that a row has, and null if none has any."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = [*a[:50], "changed", *a[51:]]
+    texts = [" ".join(x) for x in (a, near, b, b, [*b, "tail"])]
+    got = ngram_join.join_components(documents(spark, texts, [None, 7, None, None, None])).toPandas()
+    assert sorted(zip(got.n_shingles, got.component_id.fillna(-1), strict=True)) == [(57, -1), (57, -1), (57, 7), (57, 7), (58, -1)]
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """One group of near copies over several stars and blocks."""
+    monkeypatch.setattr(ngram_join, "STAR", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK", 9)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        c = list(base)
+        for _ in range(rng.randint(0, 3)):
+            c[rng.randrange(120)] = f"x{rng.randrange(200)}"
+        texts.append(" ".join(c))
+    got = ngram_join.join_components(documents(spark, texts)).toPandas().set_index("doc_id")
+    assert [got.component_id[i] for i in range(90)] == brute(sets_of(texts))
