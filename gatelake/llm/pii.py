@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended
+from .common import extended, mapped
 
 ROUNDS = 10
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -195,6 +195,8 @@ SOME_DIGIT = re.compile(r"[0-9]")
 NUMBERS, NUMBER = re.compile(r"[0-9]+(?:[ -][0-9]+)+"), re.compile(r"[0-9]+")
 BESIDE = re.compile(r"\w|[.][0-9]", re.ASCII)
 IBAN_START, IBAN_ENDS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"), re.compile(r"(?=[^A-Za-z0-9]|$)")
+#: Longer than any card or IBAN place, so that places that overlap one begin in its own stretches or the one before.
+STRETCH = 64
 #: How often a value is permuted again at most.
 WALK = 1000
 #: Groups of digits as cards are written in, those to try first first.
@@ -254,29 +256,38 @@ class Pseudonyms:
             return text, []
         digits, at = bool(SOME_DIGIT.search(text)), "@" in text
         chosen: list[tuple[int, int, str, Callable, list]] = []
-        refused: list[tuple[int, int, Callable]] = []
+        taken = bytearray(len(text))
+        refused: dict[int, list[tuple[int, int, Callable]]] = {}  # by the stretch of the text in which a place begins
         for kind, pattern, f, step in self.use:
             if not (at if kind == "email" else digits or kind == "token"):
                 continue
             change = functools.partial(f, step)
             for s, e in PLACES[kind](pattern, text) if kind in PLACES else [m.span() for m in pattern.finditer(text)]:
-                if any(s < x[1] and x[0] < e for x in chosen):
+                if 1 in taken[s:e]:
                     continue
                 if change(text[s:e]) is not None:
-                    chosen.append((s, e, kind, change, [x for x in refused if x[0] < e and s < x[1]]))
+                    near = [x for i in range(s // STRETCH - 1, (e - 1) // STRETCH + 1) for x in refused.get(i, ())]
+                    chosen.append((s, e, kind, change, [x for x in near if x[0] < e and s < x[1]]))
+                    taken[s:e] = b"\1" * (e - s)
                 elif kind in PLACES:
-                    refused.append((s, e, change))
+                    refused.setdefault(s // STRETCH, []).append((s, e, change))
         if not chosen:
             return text, []
-        now, found = text, []
+        now, found = list(text), []
+
+        def around(s: int, e: int, new: str, a: int, b: int) -> str:
+            """What would be at a...b with the new value in the old one's place."""
+            base = min(a, s)
+            return "".join([*now[base:s], new, *now[e : e + max(0, b - s - len(new))]])[a - base : b - base]
+
         for s, e, kind, change, before in reversed(chosen) if self.undo else chosen:
-            new = change(now[s:e])
+            new = change("".join(now[s:e]))
             for _ in range(WALK):
-                if all(other((now[:s] + new + now[e:])[a:b]) is None for a, b, other in before):
+                if all(other(around(s, e, new, a, b)) is None for a, b, other in before):
                     break
                 new = change(new)
             if len(new) == e - s:
-                now = now[:s] + new + now[e:]
+                now[s:e] = new
             found.append((s, e, kind, new))
         found.sort()
         out, last = [], 0
@@ -307,4 +318,4 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", kinds:
             pii = pa.array([[{"kind": k, "start": s, "length": e - s} for k, s, e in x] for _, x in done], kind)
             yield pa.RecordBatch.from_arrays([*columns, pii], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(mapped, run, schema)

@@ -105,3 +105,40 @@ def test_undo_among_rows_of_numbers():
         text = "".join(rng.choice(["4111 1111 1111 1111", "4", "12", "378282246310005", "1111", "5500-0000-0000-0004", "%04d" % rng.randrange(10**4), "AT61 1904 3002 3457 3201", "AB12", "EUR"]) + rng.choice(" - ") for _ in range(7))
         new, found = pii.Pseudonyms(KEY, ("card", "iban"))(text)
         assert pii.Pseudonyms(KEY, ("card", "iban"), undo=True)(new) == (text, found), text
+
+
+def test_many_values_in_one_text():
+    """Work in proportion to the text, whatever the number of values."""
+    import time
+
+    replace, undo = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, undo=True)
+    line = "10.0.{}.{} at 2024-01-{:02d} from a{}@x.org card 4111 1111 1111 1111 12/27, 4111111111111112 DE89370400440532013000 EUR"
+    text = "\n".join(line.format(i % 250, i % 99, 1 + i % 28, i) for i in range(6000))
+    start = time.monotonic()
+    new, found = replace(text)
+    assert len(found) == 5 * 6000 and time.monotonic() - start < 60
+    assert undo(new)[0] == text
+    halves = [replace("\n".join(text.split("\n")[a : a + 500]))[0] for a in (0, 500)]
+    assert new.startswith(halves[0] + "\n" + halves[1])
+
+
+def brute(text):
+    """Places by a scan of every start and length, kind by kind, the validity told by the formats' own rules."""
+    taken, out = [False] * len(text), []
+    for kind, pattern, f in pii.PATTERNS:
+        if kind in pii.PLACES:
+            continue
+        for m in re.finditer(pattern, text):
+            if not any(taken[m.start() : m.end()]) and f(lambda x, *_: x, m.group()) is not None:
+                out.append((kind, *m.span()))
+                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_places_equal_brute_force():
+    rng = random.Random(8)
+    plain = [v for k, vs in VALUES.items() if k not in pii.PLACES for v in vs] + ["2023-02-30", "999.1.1.1", "word", "12", "x@", "a@b.co", "123-45-678"]
+    replace = pii.Pseudonyms(KEY, tuple(k for k in VALUES if k not in pii.PLACES))
+    for _ in range(300):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choices(plain, k=rng.randint(1, 9)))
+        assert replace(text)[1] == brute(text), text
