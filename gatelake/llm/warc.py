@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_partitions, staged
+from .common import fresh_path, mapped, shuffle_partitions, staged
 
 FILE_BYTES = 1 << 30
 #: Reads join records that are at most GAP bytes apart, up to READ bytes; tasks get CHUNK bytes of a file at a time.
@@ -32,8 +32,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _name(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}>"
+
+
+def _number(name: str) -> int | None:
+    own = name.removeprefix("<urn:page:").removesuffix(">")
+    return None if own == "none" else int(own)
 
 
 def _line(value: str) -> str:
@@ -41,7 +46,7 @@ def _line(value: str) -> str:
     return "".join(c if c.isprintable() and c != "%" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in value)
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record with an HTTP response; a revisit has the response's head only."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
@@ -65,16 +70,25 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length:")).split(":")[1])
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
     said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != said):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": said, "record_type": fields["WARC-Type"], "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload if fields["WARC-Type"] == "response" else None}
+    return {"page_id": _number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": said, "record_type": fields["WARC-Type"], "refers_to": _number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload if fields["WARC-Type"] == "response" else None}
+
+
+#: Arrow's names of schemes that Hadoop names otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "file": "file"}
+
+
+def opened_folder(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """A folder that Hadoop names with its scheme, for Arrow."""
+    scheme, _, rest = folder.partition(":")
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest.removeprefix('//')}")
 
 
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = pa.fs.FileSystem.from_uri(folder)
+        fs, at = opened_folder(folder)
         out, name, offset = None, "", 0
         try:
             for batch in batches:
@@ -106,19 +120,21 @@ def write(pages: DataFrame, *, min_revisit_bytes: int = 0, folder: str | None =
 
     Of rows with equal payloads of at least `min_revisit_bytes` bytes, that with the largest page_id is the response, and the others are
     revisits of it. A null html is an empty payload, a null url is left out. Rows that repeat a page_id with the same payload are
-    alike: all responses or all revisits. An empty table gives an empty index. Other columns are ignored.
+    alike: all responses or all revisits. A row without a page_id is a response, which no other row refers to. An empty table gives an empty
+    index. Other columns are ignored.
     """
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or fresh_path(spark, "warc"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    folder = fs.makeQualified(path).toString()  # executors open the very same place
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keys = rows.select("page_id", F.unhex(F.sha1(payload)).alias("sha1"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_revisit_bytes)
     first = keys.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = keys.join(first, "sha1").where("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct()
     known = rows.withColumn("sha1", F.unhex(F.sha1(payload))).join(revisits, ["page_id", "sha1"], "left")
-    index = known.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder), INDEX)
+    index = known.select("page_id", "url", "html", "refers_to").transform(mapped, _writer(folder), INDEX)
     index = staged(index, "warc_index")
     index.folder_path = folder
     return index
@@ -136,7 +152,7 @@ def _reader(folder: str, with_payload: bool):
             yield run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = pa.fs.FileSystem.from_uri(folder)
+        fs, at = opened_folder(folder)
         opened, name = None, None
         for batch in batches:
             rows = list(zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True))
@@ -166,4 +182,4 @@ def read(index: DataFrame, *, folder: str, with_payload: bool = True) -> DataFra
     spark = index.sparkSession
     spread = index.select("file", "offset", "length").repartition(shuffle_partitions(spark), "file", F.floor(F.col("offset") / CHUNK)).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return spread.mapInArrow(_reader(folder, with_payload), schema)
+    return spread.transform(mapped, _reader(folder, with_payload), schema)

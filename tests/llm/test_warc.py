@@ -54,3 +54,18 @@ def test_damage_is_found(spark):
 def test_empty_table(spark):
     index = warc.write(spark.createDataFrame([], SCHEMA))
     assert warc.read(index, folder=index.folder_path).count() == 0
+
+
+def test_pages_without_an_id(spark):
+    """They are responses of their own, and nothing refers to them."""
+    df = spark.createDataFrame([(None, "u", "same"), (None, "v", "same"), (4, "w", "same"), (7, "x", "same"), (None, None, None)], SCHEMA)
+    index = warc.write(df)
+    got = warc.read(index, folder=index.folder_path).toPandas()
+    none = got[got.page_id.isna()]
+    assert len(got) == 5 and list(none.record_type) == ["response"] * 3 and none.refers_to.isna().all()
+    assert got[got.page_id == 4].refers_to.tolist() == [7] and got[got.page_id == 7].record_type.tolist() == ["response"]
+    assert sorted(bytes(x) for x in none.payload) == [b"", b"same", b"same"]
+
+
+def test_folders_by_scheme():
+    assert warc.opened_folder("file:/tmp/x")[1] == warc.opened_folder("file:///tmp/x")[1] == "/tmp/x"
