@@ -14,6 +14,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged
+from .common import id_and_text, mapped, staged
 
 CAPACITY = 1024
 END_ID = 2
@@ -98,10 +99,9 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
-def merge_ranks(path: str) -> dict[bytes, int] | None:
-    """The vocabulary by bytes, if the file is a plain byte-level BPE whose merges are in the order of their ids."""
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
+def merge_ranks(tokenizer: str) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if the tokenizer (its file's text) is a plain byte-level BPE whose merges are in the order of their ids."""
+    said = json.loads(tokenizer)
     model, split = said["model"], said.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or said.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
         return None
@@ -133,7 +133,7 @@ class Kept(dict):
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers; those of the tokenizer in the given file.
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers; those of the tokenizer whose file has the given text.
 
     A byte-level tokenizer cuts a text before it merges bytes, and always cuts in front of a single space or behind a single line feed. So
     the chunks between these are encoded once and kept. Texts with other runs of white space or with special
@@ -144,11 +144,11 @@ class Encoder:
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     spaces = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        if ranks := merge_ranks(path):
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        if ranks := merge_ranks(tokenizer):
             import tiktoken
 
             bpe = tiktoken.Encoding("chunks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
@@ -181,12 +181,16 @@ class Encoder:
         return self.feed.join(lines)
 
 
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+#: The greatest tokenizer file that is sent to executors.
+TOKENIZER_BYTES = 64 << 20
+
+
+def _cut(sent, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
     encoders: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders.append(Encoder(path))
+        encoders.append(Encoder(sent.value))
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("task", "doc_id", "piece", "start", "length", "ids_crc32", "nth", *["ids"] * with_ids)}
@@ -244,9 +248,13 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer_path: str | Non
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
+    said = Path(tokenizer_path).read_bytes()
+    if len(said) > TOKENIZER_BYTES:
+        raise ValueError(f"{tokenizer_path} has more than {TOKENIZER_BYTES} bytes")
+    sent = docs.sparkSession.sparkContext.broadcast(said.decode())  # executors needn't have the file
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    pieces = staged(rows.mapInArrow(_cut(tokenizer_path, capacity, end_id, with_ids), f"task int, doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids), "pieces")
+    pieces = staged(rows.transform(mapped, _cut(sent, capacity, end_id, with_ids), f"task int, doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids), "pieces")
     counts = staged(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece_counts")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -254,4 +262,4 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer_path: str | Non
     plan = best_fit_decreasing(histogram, capacity)
     ranked = pieces.join(starts, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("before") + F.col("nth")).alias("rank"))
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan), schema)
+    return ranked.transform(mapped, _place(plan), schema)
