@@ -103,6 +103,40 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op3_suffix_dedup": op3_suffix_dedup, "op6_substring_dedup": op6_substring_dedup}
 
 
+ORACLE["op6_substring_dedup"] = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r
+            FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda s: md5_number(array_to_string(w[s:s + 19], ' ')))) AS k, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM win WHERE r > 1),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+ORACLE["op3_suffix_dedup"] = r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    win AS (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM (SELECT doc_id, unnest(list_transform(range(n - 199), lambda s: md5_number(substr(h, 2 * s + 1, 400)))) AS k, unnest(range(n - 199)) AS s FROM d WHERE n >= 200)),
+    hit AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM win WHERE c > 1),
+    part AS (SELECT doc_id, s, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM hit),
+    span AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM part GROUP BY doc_id, g),
+    cut AS (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, n, n FROM d),
+    kept AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS x, a AS y FROM cut),
+    text AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS t FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+    sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+    FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN text USING (doc_id)
+"""
+ORACLE["op10_ngram_join"] = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, md5_number(t) AS k FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda s: array_to_string(w[s:s + 3], ' '))) AS t FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id WHERE 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n) GROUP BY ALL),
+    link AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach AS (SELECT x, y FROM edge UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that equal, or nearly equal, an earlier one."""
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
