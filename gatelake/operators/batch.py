@@ -262,13 +262,12 @@ def lisi_distribution(before: DataFrame, after: DataFrame, features: list[str],
 
 def marker_variance(events: DataFrame, reference: str, markers: list[str], samples: list[str] | None = None, grid: int = 128, bandwidth: float | str = "silverman") -> DataFrame:
     """marker, sample_id, x, density: each marker's density in the reference and in the samples compared with it, on the reference's grid."""
-    names = [reference, *(samples or sorted(str(r[SAMPLE]) for r in events.select(SAMPLE).distinct().collect() if str(r[SAMPLE]) != reference))]
+    some = events if samples is None else events.where(F.col(SAMPLE).isin([reference, *samples]))
     rows = []
     for m in markers:
         d = density.kde(events.where(F.col(SAMPLE) == reference), m, grid=grid, bandwidth=bandwidth)
-        for s in names:
-            own = d if s == reference else density.kde(events.where(F.col(SAMPLE) == s), m, grid=grid, bandwidth=bandwidth, lo=float(d.x[0]), hi=float(d.x[-1]))
-            rows += [(m, s, float(x), float(p)) for x, p in zip(own.x, own.p, strict=True)]
+        for s, own in density.kde_by(some, m, SAMPLE, float(d.x[0]), float(d.x[-1]), grid=grid, bandwidth=bandwidth).items():
+            rows += [(m, str(s), float(x), float(p)) for x, p in zip(own.x, own.p, strict=True)]
     return events.sparkSession.createDataFrame(rows, "marker string, sample_id string, x double, density double")
 
 
@@ -283,10 +282,8 @@ def summed_density(events: DataFrame, columns: list[str], grid: int = 256) -> Da
     total = sum((number(c) for c in columns[1:]), number(columns[0]))
     data = events.select(SAMPLE, total.alias("_v"))
     whole = density.kde(data, "_v", grid=grid)
-    rows = []
-    for s in sorted(r[SAMPLE] for r in data.select(SAMPLE).distinct().collect()):
-        d = density.kde(data.where(F.col(SAMPLE) == s), "_v", grid=grid, lo=float(whole.x[0]), hi=float(whole.x[-1]))
-        rows += [(s, float(x), float(p)) for x, p in zip(d.x, d.p, strict=True)]
+    each = density.kde_by(data, "_v", SAMPLE, float(whole.x[0]), float(whole.x[-1]), grid=grid)
+    rows = [(s, float(x), float(p)) for s, d in each.items() for x, p in zip(d.x, d.p, strict=True)]
     kind = events.schema[SAMPLE].dataType.simpleString()
     return events.sparkSession.createDataFrame(rows, f"sample_id {kind}, x double, density double")
 

@@ -360,6 +360,15 @@ def test_densities_and_landmarks(spark):
     assert np.interp(7.5, xs, ys) == pytest.approx(6, abs=0.4)
 
 
+def test_densities_of_groups_equal_those_one_by_one(spark):
+    rng = np.random.default_rng(14)
+    df = events(spark, rng.normal(0, 1, (300, 1)), "a").unionByName(events(spark, rng.normal(2, 2, (100, 1)), "b"))
+    both = density.kde_by(df, "x", "sample_id", -4.0, 8.0, grid=64)
+    for s, d in both.items():
+        one = density.kde(df.where(F.col("sample_id") == s), "x", grid=64, lo=-4.0, hi=8.0)
+        assert np.allclose(d.p, one.p) and np.allclose(d.x, one.x) and d.n == one.n
+
+
 def test_batch_tables(spark):
     rng = np.random.default_rng(10)
     df = events(spark, rng.normal(0, 1, (200, 2)), "a").unionByName(events(spark, rng.normal(1, 1, (200, 2)), "b").withColumn("event_id", F.col("event_id") + 1000))
