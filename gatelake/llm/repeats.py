@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import shuffle_partitions, staged, unstage
+from .common import mapped, shuffle_partitions, staged
 from .hashing import U
 
 PLACE = 24
 RUNS = "h long, c long, did long, packed long"
-REQUESTS = 250_000
 
 
 @dataclass(frozen=True)
@@ -338,9 +337,10 @@ def _windows(kind: Kind):
 
 def _rest(kind: Kind, n_parts: int, hot: DataFrame) -> DataFrame:
     """Spans of the windows of hot groups, told apart by 64-bit hashes."""
-    dealt = hot.mapInArrow(_windows(kind), "h long, did long, packed long")
-    dealt = dealt.select("h", F.lit(0).cast("long").alias("c"), "did", "packed").repartition(n_parts, "h").sortWithinPartitions("h", "did", "packed")
-    return _as_spans(dealt.mapInArrow(_settle(kind), RUNS), kind)
+    dealt = hot.transform(mapped, _windows(kind), "h long, did long, packed long")
+    to = F.when(F.col("packed").bitwiseAND(3) == 1, F.xxhash64("did", "packed")).otherwise(F.col("h"))
+    dealt = dealt.select("h", F.lit(0).cast("long").alias("c"), "did", "packed").repartition(n_parts, to).sortWithinPartitions("h", "did", "packed")
+    return _as_spans(dealt.transform(mapped, _settle(kind), RUNS), kind)
 
 
 def _as_spans(settled: DataFrame, kind: Kind) -> DataFrame:
@@ -366,15 +366,17 @@ def repeated_spans(rows: DataFrame, kind: Kind, judge: Callable[[Mixed], np.ndar
     judge says for every window of whole groups (in `cells` order) whether it counts; groups have at most `most` distinct texts.
     """
     n_parts = shuffle_partitions(rows.sparkSession)
-    anchored = rows.select("did", "text").mapInArrow(_anchored(kind), RUNS)
-    sorted_runs = anchored.repartition(n_parts, "h").sortWithinPartitions("h", "c", "did", "packed")
-    settled = staged(sorted_runs.mapInArrow(_settle(kind), RUNS).withColumn("kind", F.col("packed").bitwiseAND(3)), "settled")
+    anchored = rows.select("did", "text").transform(mapped, _anchored(kind), RUNS)
+    # a run that its batch has decided needs no company: it goes with its document, and a hot anchor's group keeps one row a batch and text
+    to = F.when(F.col("packed").bitwiseAND(3) == 1, F.xxhash64("did", "packed")).otherwise(F.col("h"))
+    sorted_runs = anchored.repartition(n_parts, to).sortWithinPartitions("h", "c", "did", "packed")
+    settled = staged(sorted_runs.transform(mapped, _settle(kind), RUNS).withColumn("kind", F.col("packed").bitwiseAND(3)), "settled")
     found = _as_spans(settled, kind)
     wanted = settled.where("kind = 2").select("did", "h", "packed")
     if wanted.isEmpty():
         return found
     requests = wanted.groupBy("did").agg(F.collect_list(F.struct("h", "packed")).alias("requests"))
-    mixed = staged(rows.join(requests, "did").select("did", "text", "requests").mapInArrow(_cut_out(kind), "h long, did long, packed long, units binary"), "mixed")
+    mixed = staged(rows.join(requests, "did").select("did", "text", "requests").transform(mapped, _cut_out(kind), "h long, did long, packed long, units binary"), "mixed")
     sizes = mixed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("h")
     if sizes.isEmpty():
         small = mixed
@@ -382,13 +384,13 @@ def repeated_spans(rows: DataFrame, kind: Kind, judge: Callable[[Mixed], np.ndar
         small = mixed.join(sizes, "h", "left_anti")
         found = found.unionByName(_rest(kind, n_parts, mixed.join(sizes, "h", "left_semi").select("h", "did", "packed", "units")))
     dealt = small.select("h", "did", "packed", "units").repartition(n_parts, "h").sortWithinPartitions("h", "did", "packed")
-    return found.unionByName(dealt.mapInArrow(_grouped(kind, judge, windows_at_once), "did long, start long, length long"))
+    return found.unionByName(dealt.transform(mapped, _grouped(kind, judge, windows_at_once), "did long, start long, length long"))
 
 
 def removed(rows: DataFrame, found: DataFrame, finish, schema: str) -> DataFrame:
     """rows with their spans, as `finish` makes them. Spans are first joined within each document."""
     by_doc = found.groupBy("did").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return rows.join(by_doc, "did", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
+    return rows.join(by_doc, "did", "left").select("doc_id", "text", "spans").transform(mapped, finish, schema)
 
 
 def union(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,4 +402,4 @@ def union(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(start)) - 1] if len(start) else end
 
 
-__all__ = ["Kind", "Mixed", "numbered", "removed", "repeated_spans", "union", "unstage"]
+__all__ = ["Kind", "Mixed", "numbered", "removed", "repeated_spans", "union"]

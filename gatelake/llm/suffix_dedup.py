@@ -80,13 +80,11 @@ def judge(kind: Kind):
         # positions in the corpus order: document, then start
         rank = np.empty(len(order), np.int64)
         rank[np.lexsort((mixed.start[run_of] + place, mixed.did[run_of]))] = np.arange(len(order))
-        # strings that differ within the window are far enough apart: only whole windows matter, so prefixes below it are cut to 0
-        whole = np.where(shared >= kind.length, shared, 0)
-        earlier = longest_previous_factor(order, whole, rank)[0] >= kind.length
+        earlier = longest_previous_factor(order, shared, rank)[0] >= kind.length
         if not kind.everywhere:
             return earlier
         # a later match is an earlier match of the mirrored order
-        later = longest_previous_factor(order, whole, -rank)[0] >= kind.length
+        later = longest_previous_factor(order, shared, -rank)[0] >= kind.length
         return earlier | later | (mixed.many[run_of] > 0)
 
     return run
