@@ -1,8 +1,7 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-Training counts words per language over a bounded, documented sample of labelled rows; the model has at most
-`vocabulary` words and `grams` n-grams of each length a language, so it is small enough to send to every
-executor. Prediction is a narrow pass over whole texts without a shuffle.
+Training counts words per language over a bounded, documented sample of labelled rows; the model has all words and n-grams of this
+sample (or a given number of each a language), so it is small enough to send to every executor. Prediction is a narrow pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, mapped
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
-#: Bounds of the training sample (documents a language) and of the model (entries a language).
-TRAIN_DOCS, VOCABULARY, GRAMS = 3000, 30_000, 10_000
+#: The bound of the training sample: documents a language. The model's size follows from it.
+TRAIN_DOCS = 3000
 #: Words outside the vocabulary that a worker keeps scored; beyond that it starts over. Affects speed only.
 CACHE_ENTRIES = 200_000
 UNDETERMINED = "und"
@@ -53,7 +52,7 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def _table(counts: dict[str, Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
+def _table(counts: dict[str, Counter], most: int | None) -> tuple[dict[str, int], np.ndarray]:
     """The `most` commonest keys of each language, and their smoothed log frequencies."""
     kept = sorted({k for c in counts.values() for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]})
     scores = np.array([[c.get(k, 0) for c in counts.values()] for k in kept], dtype=np.float64).reshape(len(kept), len(counts))
@@ -70,10 +69,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
 
-def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY, n_grams: int = GRAMS) -> Model:
-    """Fit on about `train_docs` rows of each language, chosen by a hash of the id; rows without language or text don't count.
+def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, vocabulary: int | None = None, n_grams: int | None = None) -> Model:
+    """Fit on about `train_docs` rows of each language, chosen by a hash of the id (and the text, so that rows without an id are told apart); rows without language or text don't count.
 
-    An empty table gives a model without languages, which finds every text undetermined.
+    All words of these rows feed the model, and all their n-grams; `vocabulary` and `n_grams` keep the commonest only. An empty table gives a model without languages, which finds every text undetermined.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id")).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -82,12 +81,10 @@ def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text"
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(train_docs / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    words = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # Twice the vocabulary feeds the n-grams; words beyond it hardly move their counts.
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= 2 * vocabulary)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    words = sample.transform(mapped, _count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {lang: Counter() for lang in sorted(sizes)}
-    for lang, word, n in top.select("lang", "word", "n").toLocalIterator():
+    for lang, word, n in words.select("lang", "word", "n").toLocalIterator():
         counts[lang][word] = n
     table, scores = _table(counts, vocabulary)
     gram_ids, gram_scores = {}, {}
@@ -141,7 +138,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     Reads nothing but the text. Ties go to the language whose name sorts first. Columns named lang_pred or score are replaced.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by VOCABULARY and GRAMS
+    sent = spark.sparkContext.broadcast(model)  # bounded by the training sample
     kept = docs.drop("lang_pred", "score")
     at = kept.columns.index(text_col)
     schema = extended(kept, "lang_pred string, score double")
@@ -152,4 +149,4 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             out = [scorer(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(mapped, run, schema)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from gatelake.llm import langid
 from pyspark.sql import functions as F
@@ -45,3 +47,60 @@ def test_backoff_takes_the_longest_known_grams(model):
     longest = next(n for n in range(4, 0, -1) if any(g in model.grams[n] for g in langid.grams(made, n)))
     rows = [model.grams[longest][g] for g in langid.grams(made, longest) if g in model.grams[longest]]
     assert model.unseen(made).tolist() == model.gram_scores[longest][rows].mean(axis=0).tolist()
+
+
+def brute(labelled, text):
+    """The best language and its posterior, counted anew for every word: known words first, then ever shorter n-grams."""
+    import math
+    import re
+    from collections import Counter
+
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    languages = sorted({lang for lang, _ in labelled})
+    counts = {lang: Counter(w for own, t in labelled if own == lang for w in words_of(t)) for lang in languages}
+
+    def log_frequency(key, tables):
+        known = {k for t in tables.values() for k in t}
+        if key not in known:
+            return None
+        return [math.log((tables[lang][key] + 0.5) / (sum(tables[lang].values()) + 0.5 * len(known) + 1)) for lang in languages]
+
+    def grams(word, n):
+        padded = f"<{word}>"
+        return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+    by_gram = {n: {lang: Counter(g for w, k in counts[lang].items() for g in grams(w, n) for _ in range(k)) for lang in languages} for n in range(1, 5)}
+    total = [0.0] * len(languages)
+    for w in words_of(text):
+        scores = log_frequency(w, counts)
+        for n in (4, 3, 2, 1):
+            if scores is not None:
+                break
+            found = [s for g in grams(w, n) if (s := log_frequency(g, by_gram[n])) is not None]
+            scores = [sum(x) / len(found) for x in zip(*found, strict=True)] if found else None
+        total = [a + b for a, b in zip(total, scores or total, strict=True)] if scores else total
+    best = max(range(len(languages)), key=lambda i: total[i])
+    return languages[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(4)
+    roots = {"xx": ["alpha", "beta", "gamma", "über"], "yy": ["omega", "sigma", "gamma", "naïve"], "zz": ["kappa", "lamda", "étoile"]}
+    make = lambda lang, n: " ".join(rng.choice(roots[lang]) + rng.choice(["", "s", "en", "um"]) for _ in range(n))
+    labelled = [(lang, make(lang, rng.randint(1, 12))) for lang in roots for _ in range(15)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(labelled)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    texts = [make(lang, rng.randint(1, 9)) + " " + rng.choice(["", "betamax", "sigmoid Kappas", "qqq", "日本語 12"]) for lang in roots for _ in range(10)]
+    got = langid.predict(documents(spark, texts), model).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        lang, score = brute(labelled, t)
+        assert got.loc[i].lang_pred == lang and got.loc[i].score == pytest.approx(score, rel=1e-6), t
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """A sample of rows without ids takes some of them, not all or none."""
+    letters = "abcdefghijklmnopqrst"
+    texts = [f"w{letters[i // 20]}{letters[i % 20]} some text" for i in range(400)]
+    df = spark.createDataFrame([(None, t, "xx") for t in texts], "doc_id long, text string, lang string")
+    words = langid.train(df, train_docs=100).words
+    assert 50 < sum(w.startswith("w") for w in words) < 150
