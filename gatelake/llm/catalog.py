@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, ngram_join, packing, pii, search, substring_dedup, suffix_dedup, warc
-from .common import read_table
+from . import chat_format, decontam, divergence, langid, line_dedup, ngram_join, packing, pii, prefix_trie, search, substring_dedup, suffix_dedup, warc
+from .common import read_table, staged
 
 #: The demonstration key of the registered query; real jobs pass their own.
 PII_KEY = b"gatelake demonstration key"
@@ -164,3 +164,78 @@ ORACLE["op1_search"] = r"""
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM sc)
     SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, their first turns taken from their families' heads."""
+    turns = prefix_trie.numbered(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.grafted(turns), turns.select("conv_id").distinct()).nodes
+
+
+QUERIES["op11_conversation_trie"] = op11_conversation_trie
+ORACLE["op11_conversation_trie"] = r"""
+    WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT DISTINCT conv_id FROM o),
+    bits AS (SELECT conv_id, conv_id::VARCHAR AS s FROM ids),
+    h AS (SELECT conv_id, conv_id - (conv_id % 20 + 20) % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::BIGINT)),
+              lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h FROM bits),
+    r AS (SELECT o.conv_id, o.i + 10 AS k, role, text FROM o JOIN h USING (conv_id) WHERE i > h
+          UNION ALL SELECT h.conv_id, o.i AS k, role, text FROM h JOIN o ON o.conv_id = h.base WHERE i <= h),
+    t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, text, md5(octet_length(encode(role))::VARCHAR || ':' || role || text) AS x FROM r),
+    p AS (SELECT conv_id, d, text, md5(string_agg(x, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM t
+          UNION ALL SELECT conv_id, 0, '', '' FROM ids),
+    last AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+    n AS (SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) END AS saved FROM p GROUP BY k, d),
+    up AS (SELECT n.k, n.depth, n.conv_id, n_convs, saved, q.k AS parent FROM n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.d = n.depth - 1),
+    kids AS (SELECT parent AS k, count(*) AS c FROM up WHERE depth > 0 GROUP BY parent),
+    ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN last USING (conv_id, d) GROUP BY k),
+    sub AS (SELECT a.k, sum(x.saved) AS saved, count(*) FILTER (kids.c IS NULL) AS leaves FROM n x JOIN p a ON a.conv_id = x.conv_id AND a.d <= x.depth LEFT JOIN kids ON kids.k = x.k GROUP BY a.k)
+    SELECT up.conv_id, up.depth::BIGINT AS depth, f.conv_id AS parent_conv_id, up.n_convs::BIGINT AS n_convs, coalesce(kids.c, 0)::BIGINT AS n_children, sub.leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+    FROM up JOIN sub USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN n f ON f.k = up.parent
+"""
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted, stored, and read back from what was stored."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat_format.read_back(staged(chat_format.formatted(turns.unionByName(tricky)), "formatted"))
+
+
+QUERIES["op12_chat_format"] = op12_chat_format
+ORACLE["op12_chat_format"] = r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (SELECT *, length(regexp_replace(regexp_replace(text, '(\[)(\\*/?(INST|SYS|ROLE|TURN)\])', '\1\\\2', 'g'), '(<)(\\*/?s>)', '\1\\\2', 'g'))
+                  + CASE role WHEN 'assistant' THEN 5 WHEN 'user' THEN 18 WHEN 'system' THEN 16
+                         ELSE 33 + length(regexp_replace(regexp_replace(role, '(\[)(\\*/?(INST|SYS|ROLE|TURN)\])', '\1\\\2', 'g'), '(<)(\\*/?s>)', '\1\\\2', 'g')) END AS size FROM c),
+    g AS (SELECT conv_id, count(*) AS n, sum(size) AS size, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+                 coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss FROM e GROUP BY conv_id)
+    SELECT conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, size::BIGINT AS formatted_chars FROM g
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's terms against its language, and against each other source."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_source_divergence"] = op13_source_divergence
+ORACLE["op13_source_divergence"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, t, count(*) AS n, count(DISTINCT i) AS docs FROM (SELECT i, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+    kept AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY lang, t HAVING sum(docs) >= 3),
+    v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    own AS (SELECT c.lang, c.source, c.t, c.n FROM c JOIN kept USING (lang, t)),
+    total AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source),
+    p AS (SELECT g.lang, g.source, kept.t, coalesce(own.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 1)) // (coalesce(total.total, 0) + v)::HUGEINT AS p
+          FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN total USING (lang, source) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.t = kept.t),
+    q AS (SELECT kept.lang, kept.t, 1 + (1000000000::HUGEINT * (n + 1)) // (v.total + v)::HUGEINT AS q FROM kept JOIN v USING (lang)),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+    pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+    term AS (SELECT p.lang, p.source, p.t AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE n > 0 AND p > q),
+    both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
