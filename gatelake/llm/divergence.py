@@ -45,7 +45,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), counts in tf.items():
             counts.pop(b"", None)
             n, docs = len(counts), df[lang, source]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([source] * n), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[t] for t in counts], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[t] for t in counts], pa.int64())], names=["lang", "source", "term", "n", "docs"])
         tf.clear()
         df.clear()
 
@@ -89,7 +89,7 @@ def encoded(counted: DataFrame, least: int, most: int = CHUNK) -> DataFrame:
             if len(dictionary):
                 at = np.flatnonzero(np.repeat(kept, np.diff([*start, len(n)])))
                 ids = np.searchsorted(dictionary, every[at])
-                out = [pa.array([lang] * len(at)), pa.array([source[i] for i in at]), pa.array(np.full(len(at), number)), pa.array(ids.astype(np.int32)), pa.array(every[at], pa.binary()), pa.array(n[at]), pa.array(in_lang[kept][ids])]
+                out = [pa.array([lang] * len(at), pa.string()), pa.array([source[i] for i in at], pa.string()), pa.array(np.full(len(at), number)), pa.array(ids.astype(np.int32)), pa.array(every[at], pa.binary()), pa.array(n[at]), pa.array(in_lang[kept][ids])]
                 yield pa.RecordBatch.from_arrays(out, names=["lang", "source", "chunk", "id", "term", "n", "lang_n"])
             number += 1
 
