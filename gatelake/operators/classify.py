@@ -206,7 +206,7 @@ class CellClassifier:
         return transforms.apply(df, self.features, method, params)
 
     def downsample(self, df: DataFrame, method: str, size: int | float, id_col: str = "event_id", **kwargs) -> DataFrame:
-        """Training rows: uniform, by density, or faithful (size is then the cells' side)."""
+        """Training rows: uniform, by density, or faithful (size is then the cover's radius)."""
         if method == "uniform":
             return sampling.uniform(df, size, id_col=id_col, **kwargs)
         if method == "density":

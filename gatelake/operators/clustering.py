@@ -1,7 +1,7 @@
 """Clustering of events, summaries of clusters, and meta-clusters over samples.
 
-Events are assigned on the executors. What is clustered on the driver is bounded: summaries (a row for each sample and cluster), SOM nodes, or a sample
-of documented size.
+Events are assigned on the executors. What is clustered on the driver is bounded: summaries (a row for each sample and cluster) and SOM nodes. Graphs and
+densities are those of all events.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from ..functions.transforms import number
 from .gates import clustered
 
 SAMPLE, CLUSTER, META = "sample_id", "cluster_label", "meta_label"
-#: Rows that graph clustering is made of, by hash order.
-TRAIN_ROWS = 20_000
+#: Methods that find the number of clusters themselves.
+SHAPED = ("dbscan", "hdbscan", "graph")
 
 
-def global_clusters(events: DataFrame, features: list[str], method: str = "kmeans", k: int = 10, seed: int = 42) -> DataFrame:
-    """events with cluster_label, by an ML estimator over all samples."""
+def global_clusters(events: DataFrame, features: list[str], method: str = "kmeans", k: int = 10, seed: int = 42, id_col: str = "event_id", **params) -> DataFrame:
+    """events with cluster_label: over all samples, by an ML estimator with k clusters, or by one of SHAPED (see `shaped_clusters`)."""
+    if method in SHAPED:
+        return shaped_clusters(events, features, method, id_col=id_col, **params)
     return clustered(events, features, method, k, seed).withColumnRenamed("cluster", CLUSTER)
 
 
@@ -97,14 +99,17 @@ def meta_clusters(events: DataFrame, features: list[str], k: int | None = None,
 
 
 def graph_meta_clusters(events: DataFrame, features: list[str], k: int = 15, how: str = "median", scale: str | None = None, seed: int = 42) -> DataFrame:
-    """Summaries clustered by a shared-neighbour graph and its communities."""
-    table = summarise(events, features, how).toPandas()  # a row for each sample and cluster
-    x = table[features].to_numpy(float)
+    """Summaries (a row for each sample and cluster) clustered by a shared-neighbour graph and its communities, which are tables, too."""
+    from ..session import stored
+
+    table = summarise(events, features, how)
     if scale:
-        shift, by = (x.mean(0), x.std(0)) if scale == "standard" else (x.min(0), np.ptp(x, axis=0))
-        x = (x - shift) / np.where(by > 0, by, 1)
-    table[META] = communities(x, k, seed).astype("int32")
-    return assign_meta(events, events.sparkSession.createDataFrame(table[[SAMPLE, CLUSTER, META]]))
+        r = table.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]).head()
+        shift, by = ("m", lambda i: r[f"s{i}"]) if scale == "standard" else ("lo", lambda i: r[f"hi{i}"] - r[f"lo{i}"])
+        table = table.withColumns({c: (F.col(c) - r[f"{shift}{i}"]) / (by(i) if by(i) else 1.0) for i, c in enumerate(features)})
+    table = stored(table.withColumn("_row", F.monotonically_increasing_id()), "summaries")
+    found = graph_clusters(table.drop(CLUSTER), features, k, seed, "_row").select("_row", F.col(CLUSTER).alias(META))
+    return assign_meta(events, table.join(found, "_row"))
 
 
 def reset(events: DataFrame, *labels: str) -> DataFrame:
@@ -248,7 +253,7 @@ class SOM:
 
 
 def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k nearest other rows."""
+    """Indices of the k nearest other rows of a small table."""
     out = []
     for i in range(0, len(x), 1024):
         d = (x[i : i + 1024] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[i : i + 1024] @ x.T
@@ -300,20 +305,8 @@ def louvain(edges: dict[tuple[int, int], float], n: int, seed: int = 0) -> np.nd
         edges, n = joined, int(new.max()) + 1
 
 
-def communities(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """Louvain communities of the shared-neighbour graph of a few ten thousand rows."""
-    near = knn_graph(x, min(k, len(x) - 1))
-    sets = [set(r) for r in near.tolist()]
-    edges = {}
-    for i, r in enumerate(near.tolist()):
-        for j in r:
-            if (w := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) > 0:
-                edges[min(i, j), max(i, j)] = w
-    return louvain(edges, len(x), seed)
-
-
 def per_sample(events: DataFrame, cluster) -> DataFrame:
-    """`cluster`, a function of a table of events, for each sample by itself. One plan a sample."""
+    """`cluster`, any function of a table of events, for each sample by itself: one plan a sample. `sample_clusters` and `shaped_clusters` take all samples in one."""
     samples = [r[SAMPLE] for r in events.select(SAMPLE).distinct().orderBy(SAMPLE).collect()]  # a row a sample
     out = None
     for s in samples:
@@ -322,17 +315,41 @@ def per_sample(events: DataFrame, cluster) -> DataFrame:
     return events.limit(0) if out is None else out
 
 
-def graph_clusters(events: DataFrame, features: list[str], k: int = 30, seed: int = 42, id_col: str = "event_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Shared-neighbour graph and Louvain communities of a sample of `train_rows` events (TRAIN_ROWS at most); every other event takes the label of its nearest sampled neighbours.
+def shaped_clusters(events: DataFrame, features: list[str], method: str, *, by: str | None = None, id_col: str = "event_id", **params) -> DataFrame:
+    """events with cluster_label by density or by a neighbour graph of all events; in each group of `by` for itself, all groups in one plan.
 
-    The sample is a bound of the method: communities of fewer than a few sampled events can't be found.
+    Methods and parameters: dbscan (eps, least), hdbscan (least, samples), graph (k neighbours, seed). Labels count from 0 (in each group); noise is
+    -1, and an event that lacks a feature has none.
     """
-    from .sampling import knn_predict, uniform
-
-    train = uniform(events, min(train_rows, TRAIN_ROWS), id_col=id_col, seed=seed).select(id_col, *[number(f).alias(f) for f in features]).dropna().orderBy(id_col).toPandas()
-    train[CLUSTER] = communities(train[features].to_numpy(float), k, seed).astype("int32")
-    labelled = events.sparkSession.createDataFrame(train[[*features, CLUSTER]])
-    return knn_predict(events.drop(CLUSTER), labelled, features, CLUSTER, 5, to=CLUSTER)
+    from . import density_clusters, graph, space
+
+    if method == "graph":
+        edges = graph.neighbour_graph(events, features, params.pop("k", 30), id_col, by)
+        found = graph.communities(edges, **params)
+        rows = space.located(events, features, id_col).select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+        labels = rows.join(graph.numbered(rows, "community", "label"), "community").select("id", F.col("label").cast("int").alias("label"))
+    elif method in SHAPED:
+        rows, gap = (space.located(events, features, id_col), None) if by is None else space.side_by_side(events, features, by, id_col)
+        if method == "hdbscan":
+            labels = density_clusters.hdbscan(rows, beyond=gap, **params)
+        elif gap is not None and params["eps"] >= gap:
+            raise ValueError("eps is wider than the data")
+        else:
+            labels = density_clusters.dbscan(rows, **params)
+    else:
+        raise ValueError(f"unknown clusterer {method!r}; known: {', '.join(SHAPED)}")
+    out = events.drop(CLUSTER).join(labels.select(F.col("id").alias(id_col), F.col("label").alias(CLUSTER)), id_col, "left")
+    if by is None:
+        return out.select(*[c for c in events.columns if c != CLUSTER], CLUSTER)
+    known = out.where(F.col(CLUSTER) >= 0).select(F.col(by).alias("_by"), F.col(CLUSTER).alias("_all")).distinct()
+    own = known.withColumn("_own", F.row_number().over(Window.partitionBy("_by").orderBy("_all")) - 1)  # a row a cluster
+    out = out.join(own, F.col(by).eqNullSafe(F.col("_by")) & (F.col(CLUSTER) == F.col("_all")), "left").withColumn(CLUSTER, F.coalesce("_own", CLUSTER))
+    return out.select(*[c for c in events.columns if c != CLUSTER], CLUSTER)
+
+
+def graph_clusters(events: DataFrame, features: list[str], k: int = 30, seed: int = 42, id_col: str = "event_id", by: str | None = None) -> DataFrame:
+    """events with cluster_label: communities of the shared-neighbour graph of all events (in each group of `by`)."""
+    return shaped_clusters(events, features, "graph", by=by, id_col=id_col, k=k, seed=seed)
 
 
 def performance(events: DataFrame, features: list[str], label: str = CLUSTER) -> dict[str, float]:

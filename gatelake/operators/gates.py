@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import density, geometry, transforms
 from ..functions.quantiles import quantiles
 from ..functions.transforms import number
+from ..session import stored
 from . import sampling
 from .features import PCA
 
@@ -263,14 +264,23 @@ def clustered(df: DataFrame, columns: list[str], method: str, k: int, seed: int
 
 @dataclass
 class PolygonGate(Gate):
-    """Polygons in gate scale; overlap is allowed. Methods: manual (x_values, y_values), or a clusterer whose clusters' hulls are the shapes."""
+    """Polygons in gate scale; overlap is allowed. Methods: manual (x_values, y_values), or a clusterer whose clusters' hulls are the shapes.
+
+    Clusterers: kmeans, gmm, bisecting_kmeans (k, seed), dbscan (eps, least), hdbscan (least, samples), graph (k, seed), in gate scale.
+    """
 
     def shapes(self, df: DataFrame) -> list[list[geometry.Point]]:
         if self.method == "manual":
             points = list(zip(self.params["x_values"], self.params["y_values"], strict=True))
             return [[tuple(map(float, p)) for p in points]]
-        scaled = self.scaled(self.fitted_on(df))
-        labelled = clustered(scaled.select("_x", "_y"), ["_x", "_y"], self.method, int(self.params.get("k", 2)), seed=int(self.params.get("seed", 42)))
+        scaled = self.scaled(self.fitted_on(df)).select("_x", "_y")
+        if self.method in ("dbscan", "hdbscan", "graph"):
+            from .clustering import shaped_clusters
+
+            rows = stored(scaled.withColumn("_row", F.monotonically_increasing_id()), "gated")
+            labelled = shaped_clusters(rows, ["_x", "_y"], self.method, id_col="_row", **self.params).where("cluster_label >= 0").withColumnRenamed("cluster_label", "cluster")
+        else:
+            labelled = clustered(scaled, ["_x", "_y"], self.method, int(self.params.get("k", 2)), seed=int(self.params.get("seed", 42)))
         found = group_hulls(labelled.select(F.col("cluster").alias("_g"), "_x", "_y"))
         return [found[g] for g in sorted(found) if found[g]]
 

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
+from ..functions.transforms import number
 
 
 def key(id_col: str = "event_id", seed: int = 0) -> Column:
@@ -74,13 +76,6 @@ def weighted(df: DataFrame, size: int, weight: str, *, id_col: str = "event_id",
 TREE_ROWS = 20_000
 
 
-def _bounded(df: DataFrame, features: list[str], what: str) -> np.ndarray:
-    got = df.select(*[F.col(f).cast("double").alias(f) for f in features]).limit(TREE_ROWS + 1).toPandas().to_numpy(float)
-    if len(got) > TREE_ROWS:
-        raise ValueError(f"{what} has more than {TREE_ROWS} rows; sample it first")
-    return got
-
-
 def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     if metric == "manhattan":
         out = np.zeros((len(x), len(y)))
@@ -90,56 +85,158 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
 
 
+def _spots(df: DataFrame, features: list[str], name: str) -> DataFrame:
+    """pid, x, n and ids of df's places: what rows with equal features (all of them there) share."""
+    from ..session import stored
+
+    xs = [number(f) + F.lit(0.0) for f in features]
+    rows = df.select(F.array(*xs).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    spots = rows.groupBy("x").agg(F.count("*").alias("n")).withColumn("pid", F.monotonically_increasing_id())
+    return stored(spots.select("pid", "x", "n", F.transform(F.sequence(F.lit(1), F.least("n", F.lit(2))), lambda i: F.col("pid")).alias("ids")), name)
+
+
 def local_density(df: DataFrame, features: list[str], tree: DataFrame, *, metric: str = "manhattan", alpha: float = 5.0, to: str = "density") -> DataFrame:
-    """df with the number of tree rows within alpha times the tree's median distance to the nearest other row.
+    """df with the number of tree rows within alpha times the tree's median distance to the nearest other row, exact for a tree of any size.
 
-    The tree is a sample of at most TREE_ROWS rows, sent to every executor; events stream past it in batches.
+    Tree rows are in blocks of space, and each place of df asks the blocks within the radius. Rows that lack a feature have 0.
     """
-    points = _bounded(tree, features, "the tree")
-    step = max(1, 2_000_000 // max(1, len(points)))
-    nearest = []
-    for i in range(0, len(points), step):
-        d = _distances(points[i : i + step], points, metric)
-        nearest.append(np.partition(d, min(1, d.shape[1] - 1), axis=1)[:, min(1, d.shape[1] - 1)])
-    radius = alpha * float(np.median(np.concatenate(nearest))) if nearest else 0.0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            n = [(_distances(x[i : i + step], points, metric) <= radius).sum(axis=1) for i in range(0, len(x), step)]
-            yield pdf.assign(**{to: np.concatenate(n).astype(float) if n else np.zeros(0)})
+    from . import space
+
+    spots = _spots(tree, features, "tree")
+    blocks = space.Blocks.of(spots, len(features))
+    homes = space.dealt(spots, blocks)
+    near = space.nearest_to_places(homes, blocks, 2, metric).where(F.size("near") > 1).join(spots.select("pid", "n"), "pid").select(F.explode(F.array_repeat(F.col("near")[1]["d"], F.col("n").cast("int"))).alias("d"))
+    middle = quantiles(near, ["d"], [0.5]).head().d
+    if middle is None:
+        middle = [0.0]
+    mine = _spots(df, features, "places")
+    got = space.counts_within(space.dealt(mine, blocks).select("pid", "x", "home"), blocks, alpha * middle[0], metric, among=homes)
+    dense = mine.select("pid", "x").join(got, "pid").select(F.col("x").alias("_at"), F.col("within").cast("double").alias(to))
+    at = F.array(*[number(f) + F.lit(0.0) for f in features])
+    return df.withColumn("_at", at).join(dense, "_at", "left").withColumn(to, F.coalesce(to, F.lit(0.0))).select(*df.columns, to)
+
+
+def density_weights(df: DataFrame, features: list[str], *, id_col: str = "event_id", tree_fraction: float | None = 0.1, metric: str = "manhattan", alpha: float = 5.0, outlier: float = 1.0, target: float = 5.0, seed: int = 0, to: str = "weight") -> DataFrame:
+    """df with a chance of being kept, from local densities whose outlier and target levels are their percentiles.
+
+    Densities are told by `tree_fraction` of the rows, however many; by all of them, if it is None. Every row gets one.
+    """
+    tree = df if tree_fraction is None else uniform(df, tree_fraction, id_col=id_col, seed=seed + 1)
+    dense = local_density(df, features, tree, metric=metric, alpha=alpha, to="_density")
+    low, high = quantiles(dense, ["_density"], [outlier / 100, target / 100]).head()["_density"] or (0.0, 0.0)
+    return dense.withColumn(to, density_weight(F.col("_density"), F.lit(high), F.lit(low))).drop("_density")
 
-    from pyspark.sql import types as T
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(to, T.DoubleType())]))
+def density_downsample(df: DataFrame, features: list[str], size: int, *, id_col: str = "event_id", tree_fraction: float | None = 0.1, metric: str = "manhattan", alpha: float = 5.0, outlier: float = 1.0, target: float = 5.0, seed: int = 0) -> DataFrame:
+    """A sample that thins dense regions: `size` rows by `density_weights`."""
+    given = density_weights(df, features, id_col=id_col, tree_fraction=tree_fraction, metric=metric, alpha=alpha, outlier=outlier, target=target, seed=seed, to="_w")
+    return weighted(given, size, "_w", id_col=id_col, seed=seed).drop("_w")
 
 
-def density_downsample(df: DataFrame, features: list[str], size: int, *, id_col: str = "event_id", tree_fraction: float = 0.1, tree_rows: int = TREE_ROWS, metric: str = "manhattan", alpha: float = 5.0, outlier: float = 1.0, target: float = 5.0, seed: int = 0) -> DataFrame:
-    """A sample that thins dense regions: weights from local density, whose outlier and target levels are its percentiles.
+def upsample_density(df: DataFrame, features: list[str], factor: int = 2, *, weight: str | None = None, size: int | None = None, id_col: str = "event_id", seed: int = 0, **density) -> DataFrame:
+    """df and, beside it, more of its rows from thin regions: each of `factor` - 1 further copies of a row is there with the chance of `density_weights`.
 
-    Densities are told by a sample of `tree_fraction` of the rows, of `tree_rows` at most; every row gets one.
+    `size` rows in all, by hash order, if given. With `weight`, a column, a row is instead there as often as its weight says, once at least and `factor`
+    times at most. `copy` isn't kept: equal rows are copies.
     """
-    tree = uniform(df, tree_fraction, id_col=id_col, seed=seed + 1)
-    dense = local_density(df, features, uniform(tree, min(tree_rows, TREE_ROWS), id_col=id_col, seed=seed + 1), metric=metric, alpha=alpha, to="_density")
-    low, high = quantiles(dense, ["_density"], [outlier / 100, target / 100]).head()["_density"]
-    chosen = weighted(dense.withColumn("_w", density_weight(F.col("_density"), F.lit(high), F.lit(low))), size, "_w", id_col=id_col, seed=seed)
-    return chosen.drop("_density", "_w")
+    if weight is not None:
+        copies = F.greatest(F.lit(1), F.least(F.lit(factor), F.ceil(weight).cast("int")))
+        return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    given = density_weights(df, features, id_col=id_col, seed=seed, to="_w", **density)
+    each = given.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(factor))))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), "_copy", F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    more = each.where((F.col("_copy") == 1) | (chance < F.col("_w")))
+    if size is not None:
+        more = more.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), "_copy", F.lit(str(seed))))).orderBy("_h", id_col).limit(size)
+    return more.select(df.columns)
+
+
+def grid_cover(df: DataFrame, features: list[str], h: float, *, id_col: str = "event_id") -> DataFrame:
+    """One event for each cell of a grid of side h, that of the least hash: one aggregate, but an event may be h times the root of the dimensions away from its cell's."""
+    cell = [F.floor(F.col(f).cast("double") / h).alias(f"_{i}") for i, f in enumerate(features)]
+    best = df.select(*cell, id_col).groupBy(*[f"_{i}" for i in range(len(features))]).agg(F.min_by(id_col, key(id_col)).alias(id_col))
+    return df.join(best.select(id_col), id_col, "left_semi")
 
 
-def upsample_density(df: DataFrame, features: list[str], factor: int = 2, *, weight: str) -> DataFrame:
-    """Rows repeated so that weight (over 1) is their expected count; rows of weight up to 1 stay once."""
-    copies = F.greatest(F.lit(1), F.least(F.lit(factor), F.ceil(weight).cast("int")))
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+OPEN, KEPT, COVERED = 0, 1, 2
+#: Events that come first in hash order, whose cover is made on the driver and sent to all tasks.
+FIRST = 2048
 
 
-def faithful_downsample(df: DataFrame, features: list[str], h: float, *, id_col: str = "event_id") -> DataFrame:
-    """A cover: every event is near a kept one, which stands for its cell of a grid of side h. One row a cell, that of the least hash.
+def faithful_downsample(df: DataFrame, features: list[str], h: float, *, id_col: str = "event_id", seed: int = 0, first: int = FIRST, most: int | None = None) -> DataFrame:
+    """A faithful cover: every event with all features is within h of a kept one, and kept ones are more than h apart.
 
-    Unlike a cover by neighbourhoods, which takes one event after another, cells need no order and no second look at any event.
+    It is the cover that takes events one after another in hash order and leaves out what is within h of one taken before. The `first` events are
+    taken so on the driver, and what they cover is left out in one pass, which is nearly all where h is large. The rest goes in rounds: an event that is
+    the first of all open ones within h is kept, and what is within h of it is covered. Each block looks 2 h beyond its own cell, so a round
+    is one pass, and a block goes on as long as what it needs is in sight.
     """
-    cell = [F.floor(F.col(f).cast("double") / h).alias(f"_{i}") for i, f in enumerate(features)]
-    best = df.select(*cell, id_col).groupBy(*[f"_{i}" for i in range(len(features))]).agg(F.min_by(id_col, key(id_col)).alias(id_col))
-    return df.join(best.select(id_col), id_col, "left_semi")
+    from ..session import stored
+    from . import space
+
+    rows = df.select(F.col(id_col).alias("_id"), F.array(*[number(f) + F.lit(0.0) for f in features]).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    spots = rows.groupBy("x").agg(F.min(F.struct(F.md5(F.concat(F.col("_id").cast("string"), F.lit(f":{seed}"))).alias("h"), F.col("_id").alias("id"))).alias("m"))  # of equal events the first
+    spots = stored(spots.select(F.monotonically_increasing_id().alias("pid"), "x", F.col("m.h").alias("order"), F.col("m.id").alias("_id"), F.lit(OPEN).alias("state")), "events")
+
+    head = spots.orderBy("order", "_id").limit(first).select("pid", "x").collect()
+    taken: list[int] = []
+    points = np.array([r.x for r in head], float).reshape(len(head), len(features))
+    for i in range(len(head)):
+        if not taken or space.distances(points[i : i + 1], points[taken]).min() > h:
+            taken.append(i)
+    ids, kept_x = np.array([head[i].pid for i in taken], np.int64), points[taken]
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, state = space.matrix(b), np.full(b.num_rows, OPEN, np.int32)
+            for part in space.in_parts(len(x), len(kept_x)):
+                state[part][(space.distances(x[part], kept_x) <= h).any(1)] = COVERED
+            state[np.isin(b.column("pid").to_numpy(), ids)] = KEPT
+            yield b.set_column(b.schema.get_field_index("state"), "state", pa.array(state))
+
+    spots = stored(spots.mapInArrow(cover, spots.schema), "events")
+    kept, left = spots.where(F.col("state") == KEPT).select("_id"), spots.where(F.col("state") == OPEN)
+    if not left.isEmpty():
+        kept = kept.unionByName(_cover_in_rounds(left, len(features), h, most))
+    return df.join(kept.select(F.col("_id").alias(id_col)), id_col, "left_semi")
+
+
+def _cover_in_rounds(left: DataFrame, dims: int, h: float, most: int | None) -> DataFrame:
+    from ..session import stored
+    from . import space
+
+    blocks = space.Blocks.of(left, dims, **({"most": most} if most else {}))
+    low, high = blocks.cells()
+    homes = stored(space.dealt(left, blocks), "homes")
+
+    def settle(a: pa.Table) -> pa.Table:
+        """States of the block's own events, from those of all within 2 h of its cell."""
+        leaf = a.column("leaf")[0].as_py()
+        x, state, own = space.matrix(a), a.column("state").to_numpy().copy(), a.column("home").to_numpy() == leaf
+        rank = np.argsort(np.lexsort((a.column("_id").to_numpy(zero_copy_only=False), a.column("order").to_numpy(zero_copy_only=False))))
+        away = np.sqrt((np.maximum(np.maximum(low[leaf] - x, x - high[leaf]), 0) ** 2).sum(1))
+        sure = away <= h  # their neighbours are all in sight
+        new = np.flatnonzero(state == KEPT)
+        while True:
+            at = np.flatnonzero(state == OPEN)
+            for part in space.in_parts(len(at), len(new)) if len(new) else ():
+                near = (space.distances(x[at[part]], x[new]) <= h).any(1)
+                state[at[part][near]] = COVERED
+            at = np.flatnonzero(state == OPEN)
+            first = np.full(len(at), len(x))
+            for part in space.in_parts(len(at), len(at)):
+                first[part] = np.where(space.distances(x[at[part]], x[at]) <= h, rank[at][None], len(x)).min(1)
+            new = at[(first == rank[at]) & sure[at]]
+            if not len(new):
+                break
+            state[new] = KEPT
+        return pa.table({"pid": a.column("pid").to_numpy()[own], "now": state[own].astype(np.int32)})
+
+    while True:
+        found = space.asking(homes, blocks, 2 * h).groupBy("leaf").applyInArrow(settle, "pid long, now int")
+        homes = stored(homes.join(found, "pid").select("pid", "x", "order", "_id", F.col("now").alias("state"), "home"), "homes")
+        if homes.where(F.col("state") == OPEN).isEmpty():
+            return homes.where(F.col("state") == KEPT).select("_id")
 
 
 def oversample(df: DataFrame, label: str, *, id_col: str = "event_id", seed: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_events, queries_more, queries_objects, queries_samples  # noqa: F401
+from . import queries_events, queries_more, queries_objects, queries_samples, queries_space  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "gate_strategy"

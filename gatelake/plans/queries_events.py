@@ -440,7 +440,7 @@ def local_density_radius(spark, sf):
 
 @query("""WITH {CELLS}, k AS (SELECT floor(c0 / 500) AS a, floor(c1 / 500) AS b, arg_min(event_id, md5(event_id::VARCHAR || ':0')) AS event_id FROM cells GROUP BY ALL) SELECT event_id FROM k""")
 def faithful_cover(spark, sf):
-    return sampling.faithful_downsample(cells(spark, sf), ["c0", "c1"], 500.0).select("event_id")
+    return sampling.grid_cover(cells(spark, sf), ["c0", "c1"], 500.0).select("event_id")
 
 
 @query("""WITH {CELLS}, t AS (SELECT * FROM cells ORDER BY md5(event_id::VARCHAR || ':3'), event_id LIMIT 100),

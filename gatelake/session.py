@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -28,12 +28,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, or below a temporary folder in local mode; on a cluster the setting is needed."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='gatelake-')}"
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there. The files go with the application."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def logger(name: str = "gatelake", level: int | str = logging.INFO, path: str | None = None) -> logging.Logger:
     """A logger that writes to standard error, or to a file; asked for again, it is the same one."""
     out = logging.getLogger(name)
