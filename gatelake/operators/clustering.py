@@ -325,6 +325,9 @@ def shaped_clusters(events: DataFrame, features: list[str], method: str, *, by:
 
     if method == "graph":
         edges = graph.neighbour_graph(events, features, params.pop("k", 30), id_col, by)
+        if by is not None:
+            group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+            edges = edges.join(events.select(F.col(id_col).cast("long").alias("a"), group.alias("g")), "a")
         found = graph.communities(edges, **params)
         rows = space.located(events, features, id_col).select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
         labels = rows.join(graph.numbered(rows, "community", "label"), "community").select("id", F.col("label").cast("int").alias("label"))

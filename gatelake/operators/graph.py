@@ -1,6 +1,6 @@
 """Graphs over events: connected components, neighbour graphs, and communities by rounds of local moves.
 
-Edges are tables. What is left of a graph after contraction, once it has at most DRIVER_EDGES edges, is finished on the driver by the same rules.
+Edges are tables. What contraction leaves of a graph is finished in one place, by the same rules, once it has few enough edges.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .space import nearest
 
-#: Edges that the driver takes over.
-DRIVER_EDGES = 200_000
+#: Edges that the driver takes over (components), and that one task does (communities of a group).
+DRIVER_EDGES, TASK_EDGES = 200_000, 200_000
 #: Rounds of moves at one level, and rounds without a gain of more than LEAST in modularity after which a level ends.
 ROUNDS, PATIENCE, LEAST = 40, 4, 1e-6
 
@@ -80,26 +80,28 @@ def neighbour_graph(events: DataFrame, features: list[str], k: int, id_col: str
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
-    """Of labels(id, community) on edges(a, b, w), each pair once; an edge from an event to itself counts twice in its degree."""
+    """Of labels(id, community) on edges(a, b, w), each pair once; an edge from an event to itself counts twice in its degree. Of edges with a group g, the sum over groups."""
     to = lambda end, name: labels.select(F.col("id").alias(end), F.col("community").alias(name))
-    held = edges.join(to("a", "ca"), "a").join(to("b", "cb"), "b")
-    both = held.select("ca", "w", F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0).alias("inside")).unionByName(held.select(F.col("cb").alias("ca"), "w", F.lit(0.0).alias("inside")))
-    masses = both.groupBy("ca").agg(F.sum("w").alias("mass"), F.sum("inside").alias("inside"))
-    r = masses.agg(F.sum("mass").alias("total"), F.sum("inside").alias("inside"), F.sum(F.col("mass") * F.col("mass")).alias("squares")).head()
-    return 2 * r.inside / r.total - r.squares / r.total**2 if r.total else 0.0
+    g = F.col("g") if "g" in edges.columns else F.lit("")
+    held = edges.withColumn("g", g).join(to("a", "ca"), "a").join(to("b", "cb"), "b")
+    both = held.select("g", "ca", "w", F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0).alias("inside")).unionByName(held.select("g", F.col("cb").alias("ca"), "w", F.lit(0.0).alias("inside")))
+    masses = both.groupBy("g", "ca").agg(F.sum("w").alias("mass"), F.sum("inside").alias("inside"))
+    each = masses.groupBy("g").agg(F.sum("mass").alias("total"), F.sum("inside").alias("inside"), F.sum(F.col("mass") * F.col("mass")).alias("squares"))
+    return each.agg(F.sum(2 * F.col("inside") / F.col("total") - F.col("squares") / F.col("total") / F.col("total")).alias("m")).head().m or 0.0
 
 
-def communities(edges: DataFrame, seed: int = 42, driver_edges: int | None = None) -> DataFrame:
+def communities(edges: DataFrame, seed: int = 42, task_edges: int | None = None) -> DataFrame:
     """id, community (the smallest id in it) of all ends of edges(a, b, w): local moves that raise modularity, contraction, and the same again.
 
-    In a round every vertex finds the community that gains most by it, from all communities as they were; only vertices of an even hash of the
-    round move, and a lone vertex only moves to another lone one that is smaller, so that pairs don't change places for ever.
+    Edges may have a group g, a string; each group is then a graph of its own, and all are handled in one plan. In a round every vertex finds the
+    community that gains most by it, from all communities as they were; only vertices of an even hash of the round move, and a lone vertex only
+    moves to another lone one that is smaller, so that pairs don't change places for ever. What is left of a group with at most TASK_EDGES edges
+    is finished in one task, by the same moves one after another.
     """
-    from .clustering import louvain
-
-    most = DRIVER_EDGES if driver_edges is None else driver_edges
-    left, levels = stored(edges.select("a", "b", "w"), "graph"), []
-    while left.agg(F.count("*").alias("n")).head().n > most:
+    most = TASK_EDGES if task_edges is None else task_edges
+    g = F.col("g") if "g" in edges.columns else F.lit("")
+    left, levels = stored(edges.select("a", "b", F.col("w").cast("double").alias("w"), g.alias("g")), "graph"), []
+    while (left.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).head().n or 0) > most:
         labels, moved = _level(left, seed + 100 * len(levels))
         levels.append(labels)
         if not moved:
@@ -107,40 +109,49 @@ def communities(edges: DataFrame, seed: int = 42, driver_edges: int | None = Non
             break
         to = lambda end, name, ls=labels: ls.select(F.col("id").alias(end), F.col("community").alias(name))
         joined = left.join(to("a", "c"), "a").join(to("b", "d"), "b")
-        left = stored(joined.groupBy(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).agg(F.sum("w").alias("w")), "graph")
-    got = left.toArrow().to_pandas()
-    names, ends = np.unique(np.concatenate([got["a"], got["b"]]).astype(np.int64), return_inverse=True) if len(got) else (np.zeros(0, np.int64), np.zeros(0, int))
-    by = louvain(dict(zip(zip(ends[: len(got)].tolist(), ends[len(got) :].tolist(), strict=True), got["w"].tolist(), strict=True)), len(names), seed) if len(got) else ends
-    spark = edges.sparkSession
-    out = spark.createDataFrame(pa.table({"id": names, "community": by.astype(np.int64)}))
+        left = stored(joined.groupBy("g", F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).agg(F.sum("w").alias("w")), "graph")
+
+    def finish(t: pa.Table) -> pa.Table:
+        from .clustering import louvain
+
+        a, b, w = (t.column(c).to_numpy() for c in ("a", "b", "w"))
+        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        rows = sorted(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), w.tolist(), strict=True))
+        by = louvain({(p, q): v for p, q, v in rows}, len(names), seed)
+        least = np.full(by.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, by, names)
+        return pa.table({"id": names, "community": least[by]})
+
+    out = stored(left.groupBy("g").applyInArrow(finish, "id long, community long"), "communities")
     for labels in reversed(levels):
-        above = out.select(F.col("id").alias("community"), F.col("community").alias("higher"), F.lit(1).alias("known"))
-        out = labels.join(above, "community", "left").select("id", F.when(F.col("known") == 1, F.col("higher")).otherwise(-1 - F.col("community")).alias("community"))
+        above = out.select(F.col("id").alias("community"), F.col("community").alias("higher"))
+        out = labels.join(above, "community", "left").select("id", F.coalesce("higher", "community").alias("community"))
     least = out.groupBy("community").agg(F.min("id").alias("least"))
     return out.join(least, "community").select("id", F.col("least").alias("community"))
 
 
 def _level(edges: DataFrame, seed: int) -> tuple[DataFrame, bool]:
     """id, community after rounds of moves, and whether any vertex has moved."""
-    both = edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    loops = edges.where("a = b").select("a", (2 * F.col("w")).alias("w"))
-    degree = stored(both.select("a", "w").unionByName(loops).groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree")), "degrees")
-    total = degree.agg(F.sum("degree").alias("t")).head().t
-    arcs = stored(both, "arcs")
-    labels = degree.select("id", "degree", F.col("id").alias("community"))
+    both = edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "g"))
+    loops = edges.where("a = b").select("a", "b", (2 * F.col("w")).alias("w"), "g")
+    degree = both.unionByName(loops).groupBy(F.col("a").alias("id"), "g").agg(F.sum("w").alias("degree"))
+    totals = degree.groupBy("g").agg(F.sum("degree").alias("total"))
+    degree = stored(degree.join(totals, "g").drop("g"), "degrees")
+    arcs = stored(both.select("a", "b", "w"), "arcs")
+    labels = degree.withColumn("community", F.col("id"))
     best, score, idle, any_move = labels, modularity(edges, labels), 0, False
     for r in range(ROUNDS):
         mass = labels.groupBy("community").agg(F.sum("degree").alias("mass"), F.count("*").alias("size"))
-        own = labels.join(mass, "community").select("id", "degree", F.col("community").alias("own"), F.col("mass").alias("own_mass"), F.col("size").alias("own_size"))
+        own = labels.join(mass, "community").select("id", "degree", "total", F.col("community").alias("own"), F.col("mass").alias("own_mass"), F.col("size").alias("own_size"))
         reach = arcs.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
         option = reach.join(mass, "community").join(own, "id")
-        gain = F.col("w") - F.col("degree") * (F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)) / total
+        gain = F.col("w") - F.col("degree") * (F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)) / F.col("total")
         allowed = (F.col("community") == F.col("own")) | ~((F.col("size") == 1) & (F.col("own_size") == 1) & (F.col("community") > F.col("own")))
         chosen = option.where(allowed).groupBy("id").agg(F.max(F.struct(gain.alias("gain"), (-F.col("community")).alias("to"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stay"))
-        stay = F.coalesce("stay", -F.col("degree") * (F.col("own_mass") - F.col("degree")) / total)
+        stay = F.coalesce("stay", -F.col("degree") * (F.col("own_mass") - F.col("degree")) / F.col("total"))
         turn = F.pmod(F.xxhash64("id", F.lit(seed + r)), F.lit(2)) == 0
         goes = turn & (F.col("best.gain") > stay + 1e-12)
-        labels = stored(own.join(chosen, "id", "left").select("id", "degree", F.when(goes, -F.col("best.to")).otherwise(F.col("own")).alias("community")), "labels")
+        labels = stored(own.join(chosen, "id", "left").select("id", "degree", "total", F.when(goes, -F.col("best.to")).otherwise(F.col("own")).alias("community")), "labels")
         now = modularity(edges, labels)
         if now > score + LEAST:
             best, score, idle, any_move = labels, now, 0, True

@@ -92,14 +92,37 @@ def gate_warped(spark, sf):
 
 @query()
 def strategy_normalised(spark, sf):
-    """Each sample registered to the first one before its gate is applied."""
-    df = cells(spark, sf).where(F.col("sample_id").isin("0", "1", "2"))
+    """Each sample registered to the first one before its gate is applied, all in one plan."""
+    df = cells(spark, sf)
     g = gates.ThresholdGate("g", "root", "c0", params={"x": 0.0}).fit(df)
     s = Strategy("s", [g])
     s.add_normalisation("g", "0")
     return s.applied_to_samples(df, normalise=True).groupBy("sample_id", "population").agg(F.count("*").alias("n"))
 
 
+@query("""WITH {CELLS}, a AS (SELECT sample_id, quantile_cont(c0, 0.3) AS t FROM cells GROUP BY sample_id), hi AS (SELECT cells.* FROM cells JOIN a USING (sample_id) WHERE c0 >= t),
+    b AS (SELECT sample_id, quantile_cont(c1, 0.5) AS u, quantile_cont(c2, 0.5) AS v FROM hi GROUP BY sample_id), pp AS (SELECT hi.* FROM hi JOIN b USING (sample_id) WHERE c1 >= u AND c2 >= v)
+    SELECT sample_id, 'hi' AS population, count(*) AS n FROM hi GROUP BY ALL UNION ALL SELECT sample_id, 'pp', count(*) FROM pp GROUP BY ALL
+    UNION ALL SELECT sample_id, 'not_pp', count(*) FROM (SELECT sample_id, event_id FROM hi EXCEPT SELECT sample_id, event_id FROM pp) GROUP BY ALL""")
+def strategy_chain_per_sample(spark, sf):
+    """A chain of gates, each fitted to every sample's own parent population, and a boolean gate over them, in one plan."""
+    df = cells(spark, sf)
+    first = gates.ThresholdGate("a", "root", "c0", method="quantile", params={"q": 0.3}, thresholds=(0.0, None), children=[gates.Child("hi", "+")])
+    second = gates.ThresholdGate("b", "hi", "c1", "c2", method="quantile", params={"q": 0.5}, thresholds=(0.0, 0.0), children=[gates.Child("pp", "++")])
+    rest = gates.BooleanGate("c", "hi", "c1", "c2", method="not", populations=["hi", "pp"], children=[gates.Child("not_pp")])
+    return Strategy("s", [rest, second, first]).applied_to_samples(df).groupBy("sample_id", "population").agg(F.count("*").alias("n"))
+
+
+@query("""WITH {CELLS}, q AS (SELECT sample_id, greatest(quantile_cont(c0, 0.7), quantile_cont(c0 + 100 * c1 / (1 + abs(c1)), 0.7)) AS t FROM cells GROUP BY sample_id)
+    SELECT sample_id, count(*) AS n FROM cells JOIN q USING (sample_id) WHERE c0 >= t GROUP BY ALL""")
+def strategy_controls_per_sample(spark, sf):
+    """Every sample's threshold is the greater of its own and its control's."""
+    df = cells(spark, sf)
+    control = df.withColumn("c0", F.col("c0") + 100 * F.col("c1") / (1 + F.abs("c1")))
+    g = gates.ThresholdGate("g", "root", "c0", method="quantile", params={"q": 0.7}, thresholds=(0.0, None), children=[gates.Child("hi", "+")])
+    return Strategy("s", [g]).applied_to_samples(df, control=control).groupBy("sample_id").agg(F.count("*").alias("n"))
+
+
 @query("""WITH {CELLS}, q AS (SELECT sample_id, quantile_cont(c0, 0.7) AS t FROM cells GROUP BY sample_id) SELECT sample_id, CASE WHEN c0 >= t THEN '+' ELSE '-' END AS population, count(*) AS n FROM cells JOIN q USING (sample_id) GROUP BY ALL""")
 def strategy_per_sample(spark, sf):
     """Gates fitted anew to every sample."""

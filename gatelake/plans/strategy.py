@@ -13,6 +13,7 @@ from ..functions import density
 from ..operators import gates as G
 from ..operators import populations as P
 from ..operators.gates import BooleanGate, Gate, ThresholdGate
+from . import by_sample
 
 #: A gate isn't applied to a parent of fewer events.
 LEAST_EVENTS = 4
@@ -137,15 +138,22 @@ class Strategy:
             out.gates.append(trial)
         return out
 
-    def applied_to_samples(self, events: DataFrame, **kwargs) -> DataFrame:
-        """Members of all populations, each sample with gates fitted to itself. References are samples among the events."""
+    def applied_to_samples(self, events: DataFrame, *, control: DataFrame | None = None, normalise: bool = False, search: bool = False, params: dict[str, dict] | None = None) -> DataFrame:
+        """Members of all populations, each sample with gates fitted to itself. References are samples among the events; control events name their sample.
+
+        All samples are one plan (see `by_sample`), unless a gate searches a grid, fits an embedding or mixture, or samples by density: then it is
+        one plan a sample.
+        """
+        refs = {r["sample"] for r in self.references.values()}
+        reference = events.where(F.col("sample_id").isin(sorted(refs))) if refs else None
+        if by_sample.covers(self, search):
+            return by_sample.fitted(self, events, reference=reference, control=control, normalise=normalise, params=params).membership()
         samples = sorted(r.sample_id for r in events.select("sample_id").distinct().collect())  # a row a sample
         out = None
         for s in samples:
             own = events.where(F.col("sample_id") == s)
-            refs = {r["sample"] for r in self.references.values()}
-            reference = events.where(F.col("sample_id").isin(sorted(refs))) if refs else None
-            part = self.applied(own, reference=reference, **kwargs).membership(own)
+            beside = control.where(F.col("sample_id") == s) if control is not None else None
+            part = self.applied(own, reference=reference, control=beside, normalise=normalise, search=search, params=params).membership(own)
             out = part if out is None else out.unionByName(part)
         return out
 
