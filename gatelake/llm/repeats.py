@@ -29,6 +29,10 @@ PLACE = 24
 RUNS = "h long, c long, did long, packed long"
 
 
+#: Places of an anchor in a window, at most: 14 bits of a packed run, and 15 for its windows.
+WIDEST = (1 << 14) - 1
+
+
 @dataclass(frozen=True)
 class Kind:
     """Units and window. everywhere: a window counts if it starts anywhere else; else only if it starts earlier."""
@@ -38,6 +42,10 @@ class Kind:
     gram: int
     everywhere: bool
 
+    def __post_init__(self) -> None:
+        if not self.gram <= self.length < self.gram + WIDEST:
+            raise ValueError(f"windows have {self.gram} to {self.gram + WIDEST - 1} units")
+
     @property
     def width(self) -> int:
         return self.length - self.gram + 1
@@ -52,12 +60,12 @@ class Kind:
 
 def pack(start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, many: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     """kind 0: a run to compare; 1: a run whose windows all count; 2: a run to be compared with its units."""
-    return (start.astype(np.int64) << 24) | (windows.astype(np.int64) << 13) | (anchor.astype(np.int64) << 3) | (many.astype(np.int64) << 2) | kind
+    return (start.astype(np.int64) << 32) | (windows.astype(np.int64) << 17) | (anchor.astype(np.int64) << 3) | (many.astype(np.int64) << 2) | kind
 
 
 def unpack(x: np.ndarray) -> tuple[np.ndarray, ...]:
     """start, windows, anchor's offset, whether the text occurs more than once, kind."""
-    return x >> 24, (x >> 13) & 0x7FF, (x >> 3) & 0x3FF, (x >> 2) & 1, x & 3
+    return x >> 32, (x >> 17) & 0x7FFF, (x >> 3) & 0x3FFF, (x >> 2) & 1, x & 3
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -344,8 +352,8 @@ def _rest(kind: Kind, n_parts: int, hot: DataFrame) -> DataFrame:
 
 
 def _as_spans(settled: DataFrame, kind: Kind) -> DataFrame:
-    start = F.shiftright("packed", 24)
-    windows = F.shiftright("packed", 13).bitwiseAND(0x7FF)
+    start = F.shiftright("packed", 32)
+    windows = F.shiftright("packed", 17).bitwiseAND(0x7FFF)
     return settled.where(F.col("packed").bitwiseAND(3) == 1).select("did", start.alias("start"), (windows - 1 + kind.length).alias("length"))
 
 

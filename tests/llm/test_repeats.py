@@ -54,6 +54,29 @@ def test_words(spark, corpus, size, gram, most, keep_first):
         assert (r.n_words, r.n_removed, r.kept_sha256, r.kept) == (len(words[i]), gone.sum(), hashlib.sha256(kept).hexdigest(), kept.decode()), i
 
 
+@pytest.mark.parametrize(("size", "gram"), [(1100, 16), (2100, 64), (5000, 16), (5000, 4000)])
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_long_windows(spark, size, gram, keep_first):
+    """Windows wider than any field of a packed run once was; runs of many windows, too."""
+    rng = np.random.default_rng(1)
+    shared, other = (bytes(rng.integers(97, 123, 9000, dtype=np.uint8)) for _ in range(2))
+    raw = [shared, b"x" * 300 + shared[:6200] + b"y", other + shared[100:5400], other[:5001] + other[:5000], b"z" * 7000, shared[1:6000]]
+    got = suffix_dedup.remove_repeats(documents(spark, [r.decode() for r in raw]), length=size, gram=gram, keep_first=keep_first, with_text=True).toPandas().set_index("doc_id")
+    for i, gone in enumerate(judged(raw, size, keep_first)):
+        assert (got.loc[i].n_removed, bytes(got.loc[i].kept)) == (gone.sum(), bytes(b for b, g in zip(raw[i], gone, strict=True) if not g)), i
+    words = [r.replace(b"a", b" ").replace(b"e", b" ").split() for r in raw[:2] + [raw[5]]]
+    texts = [" ".join(f"{w.decode()}{j}" for j, w in enumerate(ws * 9)) for ws in words]
+    texts[2] = texts[0][500:]
+    got = substring_dedup.remove_repeats(documents(spark, texts), length=size, gram=min(gram, 64), keep_first=keep_first).toPandas().set_index("doc_id")
+    for i, gone in enumerate(judged([t.split() for t in texts], size, keep_first)):
+        assert got.loc[i].n_removed == gone.sum(), i
+
+
+def test_windows_that_are_too_wide_are_an_error(spark):
+    with pytest.raises(ValueError, match="windows have"):
+        suffix_dedup.remove_repeats(documents(spark, ["a"]), length=20_000)
+
+
 def test_rows_that_share_an_id_stand_for_themselves(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = documents(spark, [text, text, "other " + text, None, None], [4, 4, 4, None, 9])
