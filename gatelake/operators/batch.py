@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions import density
 from ..functions.transforms import number, piecewise
-from .features import PCA
 from .sampling import TREE_ROWS, uniform
 
 SAMPLE = "sample_id"
@@ -60,19 +59,65 @@ def divergences(events: DataFrame, column: str, lo: float, hi: float, bins: int
     return a.crossJoin(b).select("a", "b", F.sqrt(F.greatest(total, F.lit(0.0))).alias("jsd"))
 
 
-def similarity_matrix(events: DataFrame, reference: str, features: list[str], components: int = 2, bins: int = 16, metric: str = "jsd") -> pd.DataFrame:
-    """Distances between samples after projection on the reference sample's components: densities on a common grid of bins ** components cells."""
-    pca = PCA(features, components).fit(events.where(F.col(SAMPLE) == reference))
-    scores = [f"PCA{i + 1}" for i in range(components)]
-    data = pca.transform(events).select(SAMPLE, *scores)
+def similarity_matrix(events: DataFrame, reference: str, features: list[str], components: int = 2, bins: int = 16, metric: str = "jsd", *, reducer: str = "pca", reducer_params: dict | None = None, kernel: bool = False, bandwidth: float | str = "scott") -> pd.DataFrame:
+    """Distances between samples after projection on the reference sample's components (of pca, kernel_pca or diffusion).
+
+    Densities are on a common grid of bins ** components: shares of its cells, or, with `kernel`, product-normal kernel densities at its points.
+    """
+    data, scores = _projected(events, reference, features, components, reducer, reducer_params or {})
     row = data.agg(*[F.min(s).alias(f"lo{i}") for i, s in enumerate(scores)], *[F.max(s).alias(f"hi{i}") for i, s in enumerate(scores)]).head()
-    cells = [F.least(F.floor((F.col(s) - row[f"lo{i}"]) / (((row[f"hi{i}"] - row[f"lo{i}"]) or 1.0) / bins)), F.lit(bins - 1)).cast("int") for i, s in enumerate(scores)]
-    flat = sum((c * bins**i for i, c in enumerate(cells[1:], 1)), cells[0])
-    got = data.groupBy(SAMPLE, flat.alias("cell")).agg(F.count("*").alias("n")).toPandas()  # at most bins ** components rows a sample
-    table = got.pivot(index=SAMPLE, columns="cell", values="n").fillna(0.0)
-    p = (table.to_numpy() + 1e-9) / (table.to_numpy() + 1e-9).sum(1, keepdims=True)
+    lo, hi = [row[f"lo{i}"] for i in range(components)], [row[f"hi{i}"] for i in range(components)]
+    if kernel:
+        found = kernel_densities(data, scores, lo, hi, bins, bandwidth)
+        names, p = list(found), np.array([d.ravel() + 1e-300 for d in found.values()])
+    else:
+        cells = [F.least(F.floor((F.col(s) - lo[i]) / (((hi[i] - lo[i]) or 1.0) / bins)), F.lit(bins - 1)).cast("int") for i, s in enumerate(scores)]
+        flat = sum((c * bins**i for i, c in enumerate(cells[1:], 1)), cells[0])
+        got = data.groupBy(SAMPLE, flat.alias("cell")).agg(F.count("*").alias("n")).toPandas()  # at most bins ** components rows a sample
+        table = got.pivot(index=SAMPLE, columns="cell", values="n").fillna(0.0)
+        names, p = table.index, (table.to_numpy() + 1e-9)
+    p = p / p.sum(1, keepdims=True)
     how = density.jensen_shannon if metric == "jsd" else density.kullback_leibler
-    return pd.DataFrame([[how(a, b) for b in p] for a in p], index=table.index, columns=table.index)
+    return pd.DataFrame([[how(a, b) for b in p] for a in p], index=pd.Index(names, name=SAMPLE), columns=names)
+
+
+def _projected(events: DataFrame, reference: str, features: list[str], k: int, method: str, params: dict) -> tuple[DataFrame, list[str]]:
+    """sample_id and scores of all events in the reference sample's space."""
+    from .embedding import METHODS, reduced
+
+    prefix = METHODS[method].name if method in METHODS else "PCA"
+    scores = [f"{prefix}{i + 1}" for i in range(k)]
+    return reduced(events, features, method, k, events.where(F.col(SAMPLE) == reference), **params).select(SAMPLE, *scores).dropna(subset=scores), scores
+
+
+def kernel_densities(data: DataFrame, axes: list[str], lo: list[float], hi: list[float], bins: int, bandwidth: float | str = "scott") -> dict:
+    """Each sample's product-normal kernel density at the points of a grid, exact: all events count at every point.
+
+    A task adds up products of its events' kernels along the axes, so a grid for each sample is all that leaves it. Bandwidths are Scott's, by
+    sample and axis, or one number.
+    """
+    d = len(axes)
+    stats = {r[SAMPLE]: r for r in data.groupBy(SAMPLE).agg(F.count("*").alias("n"), *[F.stddev_samp(a).alias(f"s{i}") for i, a in enumerate(axes)]).collect()}  # a row a sample
+    wide = {s: [float(bandwidth) if bandwidth != "scott" else (r[f"s{i}"] or 1.0) * r.n ** (-1 / (d + 4)) for i in range(d)] for s, r in stats.items()}
+    points = [np.linspace(a, b, bins) for a, b in zip(lo, hi, strict=True)]
+    kind = data.schema[SAMPLE].dataType.simpleString()
+    letters = "abcdefgh"[:d]
+    product = ",".join(f"n{c}" for c in letters) + "->" + letters
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            for s, own in pdf.groupby(SAMPLE):
+                for i in range(0, len(own), 4096):
+                    part = own[axes].to_numpy(float)[i : i + 4096]
+                    k = [np.exp(-0.5 * ((part[:, j, None] - points[j][None]) / h) ** 2) / (h * np.sqrt(2 * np.pi)) for j, h in enumerate(wide[s])]
+                    total[s] = total.get(s, 0.0) + np.einsum(product, *k, optimize=True).ravel()
+        yield pd.DataFrame({SAMPLE: list(total), "v": list(total.values())})
+
+    parts = data.select(SAMPLE, *axes).mapInPandas(run, f"{SAMPLE} {kind}, v array<double>")
+    got = parts.select(SAMPLE, F.posexplode("v").alias("i", "v")).groupBy(SAMPLE, "i").agg(F.sum("v").alias("v"))
+    rows = got.groupBy(SAMPLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("v")).collect()  # a grid a sample
+    return {r[SAMPLE]: np.array(r.v).reshape((bins,) * d) / stats[r[SAMPLE]].n for r in sorted(rows, key=lambda r: str(r[SAMPLE]))}
 
 
 def register(events: DataFrame, column: str, reference: DataFrame, *, to: str | None = None, **peaks) -> DataFrame:
@@ -271,10 +316,12 @@ def marker_variance(events: DataFrame, reference: str, markers: list[str], sampl
     return events.sparkSession.createDataFrame(rows, "marker string, sample_id string, x double, density double")
 
 
-def dim_reduction_grid(events: DataFrame, reference: str, features: list[str], components: int = 2) -> DataFrame:
-    """events with PCA1... of the reference sample's components, and `is_reference`: every sample is seen in the reference's space."""
-    pca = PCA(features, components).fit(events.where(F.col(SAMPLE) == reference))
-    return pca.transform(events).withColumn("is_reference", F.col(SAMPLE) == reference)
+def dim_reduction_grid(events: DataFrame, reference: str, features: list[str], components: int = 2, method: str = "pca", **params) -> DataFrame:
+    """events with the components (PCA1..., or KernelPCA1..., Diffusion1...) of the reference sample, and `is_reference`: every sample is seen in the reference's space."""
+    from .embedding import reduced
+
+    out = reduced(events, features, method, components, events.where(F.col(SAMPLE) == reference), **params)
+    return out.withColumn("is_reference", F.col(SAMPLE) == reference)
 
 
 def summed_density(events: DataFrame, columns: list[str], grid: int = 256) -> DataFrame:

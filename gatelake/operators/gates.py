@@ -55,7 +55,7 @@ class Gate:
     sample: int | None = None
     #: How a sample for fitting is drawn: method (uniform, density, faithful) and its parameters.
     sampling: dict = field(default_factory=dict)
-    #: Features to be embedded first; x and y are then PCA1 and PCA2. The fitted components are kept here.
+    #: features to be embedded first, method (pca, kernel_pca, diffusion) and params; x and y are then PCA1 and PCA2, or KernelPCA1... The fitted embedding is kept here.
     embedding: dict = field(default_factory=dict)
     #: Knots by axis that move a sample's landmarks onto a reference's, in gate scale.
     warp: dict = field(default_factory=dict)
@@ -63,9 +63,15 @@ class Gate:
 
     def raw(self, name: str) -> Column:
         """An axis before its scale: a column, or a component of the embedding."""
-        if not self.embedding or not name.startswith("PCA"):
+        e = self.embedding
+        if e.get("method", "pca") != "pca":
+            from .embedding import METHODS, Landmarks
+
+            prefix = METHODS[e["method"]].name
+            return Landmarks.from_state(e["fitted"]).column(int(name.removeprefix(prefix)) - 1) if name.startswith(prefix) else number(name)
+        if not e or not name.startswith("PCA"):
             return number(name)
-        e, j = self.embedding, int(name[3:]) - 1
+        j = int(name[3:]) - 1
         parts = [(number(f) - e["mean"][i]) / e["sd"][i] * e["components"][i][j] for i, f in enumerate(e["features"])]
         return sum(parts[1:], parts[0])
 
@@ -82,7 +88,14 @@ class Gate:
 
     def embed(self, df: DataFrame) -> None:
         """Fit the embedding, if there is one and it isn't fitted."""
-        if self.embedding and "components" not in self.embedding:
+        if not self.embedding or "components" in self.embedding or "fitted" in self.embedding:
+            return
+        if (method := self.embedding.get("method", "pca")) != "pca":
+            from .embedding import reducer
+
+            id_col = "event_id" if "event_id" in df.columns else df.columns[0]
+            self.embedding["fitted"] = reducer(method, list(self.embedding["features"]), 2, **self.embedding.get("params", {})).fit(df, id_col).state()
+        else:
             p = PCA(list(self.embedding["features"]), 2).fit(df)
             self.embedding |= {"mean": p.mean.tolist(), "sd": p.sd.tolist(), "components": p.components.tolist()}
 

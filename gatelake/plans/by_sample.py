@@ -37,7 +37,7 @@ def _covered(g: Gate, searched: bool) -> bool:
     if isinstance(g, BooleanGate) or (g.method == "manual" and not searched):
         return True
     drawn = not g.sampling or g.sampling.get("method") == "uniform"
-    embedded = not g.embedding or "components" in g.embedding
+    embedded = not g.embedding or "components" in g.embedding or "fitted" in g.embedding
     method = g.method in ("quantile", "density") if isinstance(g, ThresholdGate) else int(g.params.get("k", 1)) == 1 if isinstance(g, EllipseGate) else g.method in ("kmeans", *clustering.SHAPED)
     return not searched and drawn and embedded and method
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import copy
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, transforms
-from ..operators import batch, classify, clustering, controls, features, gates, names, sampling, tables
+from ..operators import batch, classify, clustering, controls, embedding, features, gates, names, sampling, tables
 from ..operators import populations as P
 from ..session import scratch
 from ..sources.project import Project
@@ -219,16 +218,56 @@ def merged_child(spark, sf):
     return spark.createDataFrame([(child.name, child.definition, round(child.signature["c0"], 6))], "name string, definition string, c0 double")
 
 
-@query("WITH {CELLS} SELECT sample_id, marker, count(*) AS n FROM (SELECT DISTINCT sample_id, unnest(['c0', 'c1']) AS marker FROM cells), range(64) GROUP BY ALL")
+_MARKER = """x AS (SELECT sample_id, 'COL' AS marker, COL AS v FROM cells), s AS (SELECT sample_id, count(*) AS n, min(v) AS a, max(v) AS b, 0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349) * pow(count(*), -0.2) AS h FROM x GROUP BY ALL),
+    g AS (SELECT a - 3 * h AS lo, (b - a + 6 * h) / 63 AS step FROM s WHERE sample_id = '0'), near AS (SELECT sample_id, least(floor((v - lo) / step), 62) AS i, (v - lo) / step AS p FROM x, g WHERE v BETWEEN lo AND lo + 63 * step),
+    bins AS (SELECT sample_id, i, sum(c) AS c FROM (SELECT sample_id, i, 1 - (p - i) AS c FROM near UNION ALL SELECT sample_id, i + 1, p - i FROM near) GROUP BY ALL)
+    SELECT s.sample_id, 'COL' AS marker, j::INT AS j, round(10000 * sum(c * exp(-0.5 * pow((j - i) * step / h, 2))) / sum(c) / (any_value(h) * sqrt(2 * pi())), 5) AS density FROM s JOIN bins USING (sample_id), g, range(64) r(j) GROUP BY ALL"""
+
+
+@query("WITH {CELLS}, m AS (WITH " + _MARKER.replace("COL", "c0") + "), k AS (WITH " + _MARKER.replace("COL", "c1") + ") SELECT * FROM m UNION ALL SELECT * FROM k")
 def marker_densities(spark, sf):
+    """Each marker's density in every sample at 64 points of the reference's range, times 10000."""
+    got = batch.marker_variance(cells(spark, sf), "0", ["c0", "c1"], grid=64)
+    place = F.row_number().over(Window.partitionBy("marker", "sample_id").orderBy("x")) - 1
+    return got.select("sample_id", "marker", place.alias("j"), F.round(10000 * F.col("density"), 5).alias("density"))
+
+
+_GRID_SQL = "r AS (SELECT min(c0) AS a, max(c0) AS b, min(c1) AS c, max(c1) AS d FROM cells), g AS (SELECT i, j, a + i * (b - a) / 11 AS x, c + j * (d - c) / 11 AS y FROM r, range(12) p(i), range(12) q(j))"
+
+
+@query(f"WITH {{CELLS}}, {_GRID_SQL} SELECT sample_id, i::INT AS i, j::INT AS j, round(1e6 * avg(exp(-0.5 * (pow((c0 - x) / 400, 2) + pow((c1 - y) / 400, 2)))) / (2 * pi() * 400 * 400), 5) AS density FROM cells, g GROUP BY ALL")
+def kernel_density_grid(spark, sf):
+    """Two-dimensional kernel densities of every sample at the points of a grid; all events count at every point. Times a million."""
     df = cells(spark, sf)
-    return batch.marker_variance(df, "0", ["c0", "c1"], grid=64).groupBy("sample_id", "marker").agg(F.count("*").alias("n"))
+    r = df.agg(F.min("c0").alias("a"), F.max("c0").alias("b"), F.min("c1").alias("c"), F.max("c1").alias("d")).head()
+    found = batch.kernel_densities(df, ["c0", "c1"], [r.a, r.c], [r.b, r.d], 12, 400.0)
+    return spark.createDataFrame([(s, i, j, round(1e6 * float(d[i, j]), 5)) for s, d in found.items() for i in range(12) for j in range(12)], "sample_id string, i int, j int, density double")
+
+
+@query()
+def similarity_by_kernel_density(spark, sf):
+    """Divergences of all samples' kernel densities in the reference sample's kernel components."""
+    m = batch.similarity_matrix(cells(spark, sf), "0", ["c0", "c1", "c2"], bins=32, kernel=True, reducer="kernel_pca", reducer_params={"kind": "rbf"})
+    return spark.createDataFrame([(str(a), str(b), round(float(m.loc[a, b]), 6)) for a in m.index for b in m.columns], "a string, b string, jsd double")
+
 
+@query()
+def kernel_pca_space(spark, sf):
+    """Every event in the kernel components of a landmark sample."""
+    return embedding.reduced(cells(spark, sf), ["c0", "c1", "c2"], "kernel_pca", kind="rbf").select("event_id", r6("KernelPCA1"), r6("KernelPCA2"))
 
-@query("WITH {CELLS} SELECT sample_id, (sample_id = '0') AS is_reference, count(*) AS n FROM cells GROUP BY ALL")
+
+@query()
+def diffusion_map(spark, sf):
+    return embedding.reduced(cells(spark, sf), ["c0", "c1", "c2"], "diffusion", time=2).select("event_id", r6("Diffusion1"), r6("Diffusion2"))
+
+
+@query("""WITH {CELLS}, m AS (SELECT avg(c0) AS a, avg(c1) AS b, stddev_pop(c0) AS p, stddev_pop(c1) AS q, sign(covar_pop(c0, c1)) AS s FROM cells WHERE sample_id = '0')
+    SELECT event_id, sample_id = '0' AS is_reference, round(abs((c0 - a) / p + s * (c1 - b) / q) / sqrt(2::DOUBLE), 6) AS first, round(abs((c0 - a) / p - s * (c1 - b) / q) / sqrt(2::DOUBLE), 6) AS second FROM cells, m""")
 def reference_space(spark, sf):
-    """Every sample in the space of the reference sample's components."""
-    return batch.dim_reduction_grid(cells(spark, sf), "0", ["c0", "c1", "c2"]).where("PCA1 IS NOT NULL").groupBy("sample_id", "is_reference").agg(F.count("*").alias("n"))
+    """Every sample in the space of the reference sample's components: of two standardised features these are their sum and difference, so their sizes are known."""
+    seen = batch.dim_reduction_grid(cells(spark, sf), "0", ["c0", "c1"])
+    return seen.select("event_id", "is_reference", r6(F.abs("PCA1"), "first"), r6(F.abs("PCA2"), "second"))
 
 
 @query()
@@ -285,15 +324,11 @@ def overlay_counts(spark, sf):
     return tables.overlay({"up": df.where("c1 >= 0"), "down": df.where("c1 < 0")}, ["event_id"]).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-def _copied(gate: gates.Gate) -> gates.Gate:
-    return copy.deepcopy(gate)
-
-
 @query(f"SELECT 'A' AS child, unnest(range({len(POLYGON)}))::INT AS i, unnest([{', '.join(_lit(x) for x, _ in POLYGON)}]) AS x, unnest([{', '.join(_lit(y) for _, y in POLYGON)}]) AS y")
 def gate_shapes(spark, sf):
     df = cells(spark, sf)
     g = gates.PolygonGate("g", "root", "c0", "c1", params={"x_values": [p[0] for p in POLYGON], "y_values": [p[1] for p in POLYGON]}).fit(df)
-    return tables.shapes(_copied(g), df)
+    return tables.shapes(g, df)
 
 
 @query(f"SELECT round(abs({' + '.join(f'({x1}) * ({y2}) - ({x2}) * ({y1})' for (x1, y1), (x2, y2) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]], strict=True))}) / 2, 4) AS area")
