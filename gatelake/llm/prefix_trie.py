@@ -250,7 +250,7 @@ def _rolled_up(at: DataFrame, nodes: DataFrame, convs: DataFrame) -> Trie:
         (F.col("all_saved") - F.col("higher")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"),
     )
     if top.n:  # the root
-        root = own.agg(F.count_if(F.col("depth") == 1).alias("n_children"), F.greatest(F.count_if(F.col("n_children") == 0), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"), F.lit(0).cast("long").alias("depth"))
+        root = own.agg(F.count_if(F.col("depth") == 1).alias("n_children"), F.greatest(F.count_if(F.col("n_children") == 0), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"), (F.count("*") * 0).alias("depth"))
         root = root.join(digests.where("depth = 0").select("depth", "ends_sha256"), "depth", "left")
         null = F.lit(None).cast("long")
         out = out.unionByName(root.select(F.lit(top.low).cast("long").alias("conv_id"), "depth", null.alias("parent_conv_id"), F.lit(top.n).cast("long").alias("n_convs"), "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256")))
