@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,11 @@ SHAPED = ("dbscan", "hdbscan", "graph")
 
 
 def global_clusters(events: DataFrame, features: list[str], method: str = "kmeans", k: int = 10, seed: int = 42, id_col: str = "event_id", **params) -> DataFrame:
-    """events with cluster_label: over all samples, by an ML estimator with k clusters, or by one of SHAPED (see `shaped_clusters`)."""
+    """events with cluster_label: over all samples, by an ML estimator with k clusters, or by one of SHAPED (see `shaped_clusters`; k is a graph's neighbours)."""
     if method in SHAPED:
-        return shaped_clusters(events, features, method, id_col=id_col, **params)
-    return clustered(events, features, method, k, seed).withColumnRenamed("cluster", CLUSTER)
+        more = {"k": k, "seed": seed} if method == "graph" else {}
+        return shaped_clusters(events, features, method, id_col=id_col, **more, **params)
+    return clustered(events, features, method, k, seed, **params).withColumnRenamed("cluster", CLUSTER)
 
 
 def sample_clusters(events: DataFrame, features: list[str], k: int = 10, seed: int = 42, rounds: int = 25) -> DataFrame:
@@ -85,21 +87,12 @@ def assign_meta(events: DataFrame, meta: DataFrame) -> DataFrame:
     return events.drop(META).join(meta.select(SAMPLE, CLUSTER, META), [SAMPLE, CLUSTER])
 
 
-def meta_clusters(events: DataFrame, features: list[str], k: int | None = None, how: str = "median", scale: str | None = None, resamples: int = 10, seed: int = 42) -> DataFrame:
-    """Summaries clustered into meta labels; without k, by consensus."""
-    table = summarise(events, features, how).toPandas()
-    x = table[features].to_numpy(float)
-    if scale == "standard":
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    elif scale == "minmax":
-        x = (x - x.min(0)) / np.where(np.ptp(x, axis=0) > 0, np.ptp(x, axis=0), 1)
-    table[META] = Consensus(seed=seed, resamples=resamples).fit(x).predict(x) if k is None else agglomerate(x, k)
-    meta = events.sparkSession.createDataFrame(table[[SAMPLE, CLUSTER, META]])
-    return assign_meta(events, meta)
+def meta_clusters(events: DataFrame, features: list[str], k: int | None = None, how: str = "median", scale: str | None = None, resamples: int = 10, seed: int = 42, *, method: str = "agglomerative", linkage: str = "average", **params) -> DataFrame:
+    """Summaries (a row for each sample and cluster) clustered into meta labels.
 
-
-def graph_meta_clusters(events: DataFrame, features: list[str], k: int = 15, how: str = "median", scale: str | None = None, seed: int = 42) -> DataFrame:
-    """Summaries (a row for each sample and cluster) clustered by a shared-neighbour graph and its communities, which are tables, too."""
+    agglomerative: k clusters by a linkage, or without k by consensus; more than LINKAGE_ROWS summaries are first summarised by as many centres, which
+    keep their weights. Other methods, kmeans, gmm, bisecting_kmeans and those of SHAPED, run on the table of summaries as on events.
+    """
     from ..session import stored
 
     table = summarise(events, features, how)
@@ -108,8 +101,25 @@ def graph_meta_clusters(events: DataFrame, features: list[str], k: int = 15, how
         shift, by = ("m", lambda i: r[f"s{i}"]) if scale == "standard" else ("lo", lambda i: r[f"hi{i}"] - r[f"lo{i}"])
         table = table.withColumns({c: (F.col(c) - r[f"{shift}{i}"]) / (by(i) if by(i) else 1.0) for i, c in enumerate(features)})
     table = stored(table.withColumn("_row", F.monotonically_increasing_id()), "summaries")
-    found = graph_clusters(table.drop(CLUSTER), features, k, seed, "_row").select("_row", F.col(CLUSTER).alias(META))
-    return assign_meta(events, table.join(found, "_row"))
+    if method != "agglomerative":
+        more = {"k": k or 10, "seed": seed} if method not in SHAPED else {"k": params.pop("k_neighbours", 15), "seed": seed} if method == "graph" else params
+        found = global_clusters(table.drop(CLUSTER), features, method, id_col="_row", **more).select("_row", F.col(CLUSTER).alias(META))
+        return assign_meta(events, table.join(found, "_row"))
+    if table.count() > LINKAGE_ROWS:
+        centred = global_clusters(table.withColumnRenamed(CLUSTER, "_of"), features, "kmeans", LINKAGE_ROWS, seed, initMode="random", maxIter=5).withColumnRenamed(CLUSTER, "_centre").withColumnRenamed("_of", CLUSTER)
+        rows = centred.groupBy("_centre").agg(*[F.avg(f).alias(f) for f in features], F.count("*").alias("_n")).toPandas()
+    else:
+        centred = table.withColumn("_centre", F.col("_row"))
+        rows = centred.orderBy(SAMPLE, CLUSTER).select("_centre", *features, F.lit(1).alias("_n")).toPandas()
+    x, weights = rows[features].to_numpy(float), rows["_n"].to_numpy(float)
+    label = Consensus(seed=seed, resamples=resamples).fit(x).predict(x) if k is None else agglomerate(x, k, linkage=linkage, weights=weights)
+    named = events.sparkSession.createDataFrame(pa.table({"_centre": rows["_centre"].to_numpy().astype(np.int64), META: label.astype(np.int32)}))
+    return assign_meta(events, centred.join(named, "_centre"))
+
+
+def graph_meta_clusters(events: DataFrame, features: list[str], k: int = 15, how: str = "median", scale: str | None = None, seed: int = 42) -> DataFrame:
+    """Summaries clustered by a shared-neighbour graph and its communities, which are tables, too."""
+    return meta_clusters(events, features, None, how, scale, method="graph", k_neighbours=k, seed=seed)
 
 
 def reset(events: DataFrame, *labels: str) -> DataFrame:
@@ -129,21 +139,58 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.unpivot([], columns, "feature", "n_null")
 
 
-def agglomerate(x: np.ndarray, k: int, distance: np.ndarray | None = None, linkage: str = "average") -> np.ndarray:
-    """Clusters of at most a few thousand rows by average, single or complete linkage, numbered by first member."""
+LINKAGES = ("average", "single", "complete", "ward")
+#: Rows whose distances the driver holds; a larger table is first summarised by as many centres.
+LINKAGE_ROWS = 3000
+
+
+def agglomerate(x: np.ndarray, k: int, distance: np.ndarray | None = None, linkage: str = "average", weights: np.ndarray | None = None) -> np.ndarray:
+    """k clusters of at most a few thousand rows by one of LINKAGES, numbered by first member.
+
+    Chains of nearest neighbours find all merges in quadratic time; the lowest ones are made. Rows may stand for several (weights).
+    """
+    if linkage not in LINKAGES:
+        raise ValueError(f"unknown linkage {linkage!r}; known: {', '.join(LINKAGES)}")
     n = len(x)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) if distance is None else distance.astype(float).copy()
+    size = np.ones(n) if weights is None else np.asarray(weights, float).copy()
+    d = np.zeros((n, n)) if distance is None else distance.astype(float).copy()
+    if distance is None:
+        for f in range(x.shape[1]):
+            d += (x[:, f, None] - x[None, :, f]) ** 2
+        d = d * (2 * size[:, None] * size[None] / (size[:, None] + size[None])) if linkage == "ward" else np.sqrt(d)
+    elif linkage == "ward":
+        d = d**2
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > k:
-        i, j = sorted(np.unravel_index(int(d.argmin()), d.shape))
-        merged = {"average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j])}[linkage]
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
+    merges, chain, alive = [], [], np.ones(n, bool)
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(alive.argmax())]
+        while True:
+            i = chain[-1]
+            j = int(d[i].argmin())
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        i, j = min(i, j), max(i, j)
+        merges.append((d[i, j], i, j))
+        a, b = size[i], size[j]
+        if linkage == "average":
+            row = (a * d[i] + b * d[j]) / (a + b)
+        elif linkage == "ward":
+            row = ((a + size) * d[i] + (b + size) * d[j] - size * d[i, j]) / (a + b + size)
+        else:
+            row = (np.minimum if linkage == "single" else np.maximum)(d[i], d[j])
+        row[~alive] = np.inf
+        row[i] = row[j] = np.inf
+        d[i], d[:, i] = row, row
         d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        alive -= 1
+        size[i], alive[j] = a + b, False
+    label = np.arange(n)
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
+        p, q = label[i], label[j]
+        label[label == max(p, q)] = min(p, q)
     return np.unique(label, return_inverse=True)[1]
 
 

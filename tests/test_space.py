@@ -349,3 +349,48 @@ def test_communities_of_groups_in_rounds(spark):
     assert {r.id: r.community for r in one.collect()} == alone
     assert graph.modularity(df, rounds) > 0.95 * graph.modularity(df, one) > 1.0
     assert graph.communities(df.limit(0)).count() == 0 and graph.modularity(df.limit(0), one) == 0.0
+
+
+def plain_linkage(x, k, linkage, weights):
+    """Merge the nearest two of all clusters until k are left; distances from the definitions."""
+    groups = [[i] for i in range(len(x))]
+
+    def apart(a, b):
+        if linkage == "ward":
+            wa, wb = weights[a].sum(), weights[b].sum()
+            ca, cb = (weights[a, None] * x[a]).sum(0) / wa, (weights[b, None] * x[b]).sum(0) / wb
+            return 2 * wa * wb / (wa + wb) * ((ca - cb) ** 2).sum()
+        d = space.distances(x[a], x[b])
+        if linkage == "average":
+            return (d * weights[a][:, None] * weights[b][None]).sum() / weights[a].sum() / weights[b].sum()
+        return d.min() if linkage == "single" else d.max()
+
+    while len(groups) > k:
+        i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: apart(groups[p[0]], groups[p[1]]))
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("linkage", clustering.LINKAGES)
+def test_linkages(linkage):
+    rng = np.random.default_rng(4)
+    x, weights = rng.normal(size=(45, 2)), rng.integers(1, 5, 45).astype(float)
+    for w in (np.ones(45), weights):
+        for k in (1, 4, 20):
+            got = clustering.agglomerate(x, k, linkage=linkage, weights=w)
+            assert {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got.tolist())} == plain_linkage(x, k, linkage, w)
+    with pytest.raises(ValueError, match="linkage"):
+        clustering.agglomerate(x, 2, linkage="other")
+
+
+def test_meta_clusters_by_any_method(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(s, k, *map(float, rng.normal(9 * k, 0.3, 2))) for s in range(8) for k in range(3) for _ in range(6)]
+    df = spark.createDataFrame([(i, f"s{s}", k, a, b) for i, (s, k, a, b) in enumerate(rows)], "event_id long, sample_id string, cluster_label int, x double, y double")
+    ways = [{"k": 3, "linkage": m} for m in clustering.LINKAGES] + [{"k": 3, "method": "kmeans"}, {"method": "dbscan", "eps": 2.0, "least": 3}, {"method": "hdbscan", "least": 4}, {"method": "graph", "k_neighbours": 5}, {"k": 3, "scale": "minmax"}]
+    for how in ways:
+        got = clustering.meta_clusters(df, ["x", "y"], **how).select("cluster_label", "meta_label").distinct().collect()
+        assert len(got) == 3 == len({r.meta_label for r in got}), how
+    monkeypatch.setattr(clustering, "LINKAGE_ROWS", 10)  # more summaries than rows: centres first
+    got = clustering.meta_clusters(df, ["x", "y"], k=3, linkage="ward").select("cluster_label", "meta_label").distinct().collect()
+    assert len(got) == 3 == len({r.meta_label for r in got})
