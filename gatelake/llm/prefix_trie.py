@@ -245,15 +245,15 @@ def _rolled_up(at: DataFrame, nodes: DataFrame, convs: DataFrame) -> Trie:
     bare = convs.join(ends, "conv_id", "left_anti").select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("print"), F.lit("").alias("path"))
     digests = _digests(ends.unionByName(bare), key)
     empty = hashlib.sha256(b"").hexdigest()
-    out = linked.join(sums, key).join(digests, key, "left").select(
-        "conv_id", "depth", F.when(F.col("depth") == 1, top.low).otherwise(F.col("parent_conv_id")).cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
-        (F.col("all_saved") - F.col("higher")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"),
+    found = linked.join(sums, key).select(
+        *key, "conv_id", F.when(F.col("depth") == 1, top.low).otherwise(F.col("parent_conv_id")).cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        (F.col("all_saved") - F.col("higher")).alias("saved_tokens"),
     )
-    if top.n:  # the root
-        root = own.agg(F.count_if(F.col("depth") == 1).alias("n_children"), F.greatest(F.count_if(F.col("n_children") == 0), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"), (F.count("*") * 0).alias("depth"))
-        root = root.join(digests.where("depth = 0").select("depth", "ends_sha256"), "depth", "left")
-        null = F.lit(None).cast("long")
-        out = out.unionByName(root.select(F.lit(top.low).cast("long").alias("conv_id"), "depth", null.alias("parent_conv_id"), F.lit(top.n).cast("long").alias("n_convs"), "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256")))
+    if top.n:
+        counts = [F.count_if(F.col("depth") == 1).alias("n_children"), F.greatest(F.count_if(F.col("n_children") == 0), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens")]
+        is_root = [F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("print"), F.lit("").alias("path"), F.lit(top.low).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(top.n).cast("long").alias("n_convs")]
+        found = found.unionByName(own.agg(*counts).select(*is_root, "n_children", "n_leaves", "saved_tokens"))
+    out = found.join(digests, key, "left").drop("print", "path").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(empty)))
     members = at.select("conv_id", *key).join(nodes.select(*key, F.col("conv_id").alias("node_conv_id")), key).select("conv_id", "depth", "node_conv_id")
     return Trie(out, members)
 
