@@ -42,6 +42,14 @@ def _covered(g: Gate, searched: bool) -> bool:
     return not searched and drawn and embedded and method
 
 
+class TooFew(ValueError):
+    """Samples in which a gate's parent has too few events."""
+
+    def __init__(self, said: str, samples: list) -> None:
+        super().__init__(said)
+        self.samples = samples
+
+
 class Fitted:
     """Populations of a strategy fitted to each sample: `events` with the samples' parameters, and predicates over both."""
 
@@ -79,9 +87,9 @@ def fitted(strategy, events: DataFrame, *, reference: DataFrame | None = None, c
             _define(out.definitions, gate)
             continue
         parent = out.population(g.parent)
-        few = out.samples.join(parent.groupBy(SAMPLE).agg(F.count("*").alias("n")), SAMPLE, "left").where(F.coalesce("n", F.lit(0)) < LEAST_EVENTS).limit(1).collect()
+        few = out.samples.join(parent.groupBy(SAMPLE).agg(F.count("*").alias("n")), SAMPLE, "left").where(F.coalesce("n", F.lit(0)) < LEAST_EVENTS).select(SAMPLE).collect()
         if few:
-            raise ValueError(f"{g.name}: {g.parent} has too few events in {few[0][SAMPLE]}")
+            raise TooFew(f"{g.name}: {g.parent} has too few events", sorted(r[0] for r in few))
         if normalise and g.name in strategy.references and reference is not None:
             out.join(_knots(gate, parent, strategy.population(reference, g.parent), strategy.references[g.name]["peaks"], at))
             gate.warp = {a: (F.col(f"_k{at}{a}.x"), F.col(f"_k{at}{a}.y")) for a in ("x", "y") if a == "x" or gate.y}

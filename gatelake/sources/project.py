@@ -1,14 +1,21 @@
 """A project: experiments, samples, populations and strategies in a folder of Parquet tables.
 
-events/experiment_id=.../sample_id=.../source=... holds the matrices and membership/experiment_id=.../sample_id=.../population=... the members of
-stored populations, so a sample or a population is read and replaced by its partition. Metadata are small tables.
+events/experiment_id=.../sample_id=.../source=... holds the matrices and membership/experiment_id=.../sample_id=.../population=.../members=... the members of
+stored populations, so a sample or a population is read by its partition. Metadata are small tables.
+
+A metadata table changes as a whole: its next state is written beside the present one and published under the next version number, which only one
+writer can take; another one applies its change to what has been published meanwhile. Members are written first, to a folder of their own, which the
+population's row names. So a change that is cut short leaves the old state, and nothing that is read is ever rewritten.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,16 +25,20 @@ from ..functions.transforms import compensate
 from ..operators import populations as P
 from ..operators import sampling
 from ..operators.names import Panel, spill_matrix, standard_names
+from ..plans import by_sample
 from ..plans.strategy import Applied, Strategy
 
 TABLES = {
     "experiments": "experiment_id string, panel string",
     "subjects": "subject_id string, attrs string",
     "samples": "experiment_id string, sample_id string, subject_id string, compensated boolean, valid boolean, notes string, controls array<string>, collected timestamp, processed timestamp, channels array<string>, markers array<string>",
-    "populations": "experiment_id string, sample_id string, population string, parent string, source string, n long, frac_of_parent double, frac_of_root double, signature map<string,double>",
+    "populations": "experiment_id string, sample_id string, population string, parent string, source string, n long, frac_of_parent double, frac_of_root double, signature map<string,double>, members string",
     "strategies": "experiment_id string, name string, strategy string",
 }
 
+#: States of a table that are kept, for readers that are still at them; attempts at a change.
+KEPT, ATTEMPTS = 10, 20
+
 
 class Project:
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -46,32 +57,74 @@ class Project:
     def exists(self, table: str) -> bool:
         return self._fs(table).exists(self._path(table))
 
+    def _versions(self, name: str) -> list[int]:
+        at = f"_versions/{name}"
+        return sorted(int(f.getPath().getName()) for f in self._fs(at).listStatus(self._path(at))) if self.exists(at) else []
+
+    def _folder_of(self, name: str, version: int) -> str:
+        stream = self._fs(name).open(self._path(f"_versions/{name}/{version:012d}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def table(self, name: str) -> DataFrame:
-        if not self.exists(name) and self.exists(f"{name}__old"):  # a replacement was cut short
-            self._fs(name).rename(self._path(f"{name}__old"), self._path(name))
-        if not self.exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
-
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        """Write beside the table and swap. The old table is moved aside first and deleted last, so that one of the two is always there."""
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}__new")
-        fs = self._fs(name)
-        fs.delete(self._path(f"{name}__old"), True)
-        if self.exists(name):
-            fs.rename(self._path(name), self._path(f"{name}__old"))
-        fs.rename(self._path(f"{name}__new"), self._path(name))
-        fs.delete(self._path(f"{name}__old"), True)
+        """The present state of a metadata table."""
+        return self._state(name)[1]
+
+    def _state(self, name: str) -> tuple[int, DataFrame]:
+        versions = self._versions(name)
+        if not versions:
+            return 0, self.spark.createDataFrame([], TABLES[name])
+        return versions[-1], self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{self._folder_of(name, versions[-1])}")
+
+    def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Publish change(table) as the table's next state; if another writer was first, the change is made again to its state."""
+        for _ in range(ATTEMPTS):
+            version, rows = self._state(name)
+            fresh = f"tables/{name}/{uuid.uuid4().hex}"
+            change(rows).coalesce(1).write.parquet(f"{self.folder}/{fresh}")
+            if self._published(name, version + 1, fresh):
+                for v in self._versions(name)[:-KEPT]:
+                    old = self._folder_of(name, v)
+                    self._fs(name).delete(self._path(f"_versions/{name}/{v:012d}"), False)
+                    self._fs(name).delete(self._path(old), True)
+                return
+            self._fs(name).delete(self._path(fresh), True)
+        raise RuntimeError(f"{name} was changed by others {ATTEMPTS} times")
+
+    def _published(self, name: str, version: int, folder: str) -> bool:
+        """Make `folder` the version's; False if the version is another writer's. The file appears with its content, or not at all."""
+        at, draft = self._path(f"_versions/{name}/{version:012d}"), self._path(f"_drafts/{uuid.uuid4().hex}")
+        fs = self._fs("_drafts")
+        fs.mkdirs(at.getParent())
+        stream = fs.create(draft, False)
+        stream.write(folder.encode())
+        stream.close()
+        try:
+            if fs.getScheme() == "file":  # where a rename would take the other one's place
+                paths, files = self.spark._jvm.java.nio.file.Paths, self.spark._jvm.java.nio.file.Files
+                files.createLink(paths.get(fs.makeQualified(at).toUri()), paths.get(fs.makeQualified(draft).toUri()))
+                return True
+            return fs.rename(draft, at)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(draft, False)
 
     def _add(self, name: str, key: list[str], row: dict) -> None:
-        old = self.table(name)
         same = F.lit(True)
         for k in key:
             same = same & F.col(k).eqNullSafe(F.lit(row[k]))
-        if not old.where(same).isEmpty():
-            raise ValueError(f"{name}: {', '.join(str(row[k]) for k in key)} exists")
-        fields = old.schema.fieldNames()
-        self.spark.createDataFrame([tuple(row.get(f) for f in fields)], old.schema).write.mode("append").parquet(f"{self.folder}/{name}")
+
+        def more(old: DataFrame) -> DataFrame:
+            if not old.where(same).isEmpty():
+                raise ValueError(f"{name}: {', '.join(str(row[k]) for k in key)} exists")
+            return old.unionByName(self.spark.createDataFrame([tuple(row.get(f) for f in old.schema.fieldNames())], old.schema))
+
+        self._change(name, more)
 
     def add_experiment(self, experiment_id: str, panel: dict) -> Experiment:
         if problems := Panel.from_dict(panel).check():
@@ -118,9 +171,11 @@ class Project:
     def add_sample(self, experiment_id: str, sample_id: str, data: DataFrame, *, controls: dict[str, DataFrame] | None = None, subject_id: str | None = None, spill: tuple[list[str], list[list[float]]] | None = None, notes: str = "", channels: list[str] | None = None, markers: list[str] | None = None, collected: datetime | None = None, processed: datetime | None = None) -> Sample:
         """Store a sample's events and controls; columns of a spill matrix are compensated first. data may have event_id, else rows are numbered."""
         self._one("experiments", F.col("experiment_id") == experiment_id)
-        self._add("samples", ["experiment_id", "sample_id"], {"experiment_id": experiment_id, "sample_id": sample_id, "subject_id": subject_id, "compensated": spill is not None, "valid": True, "notes": notes, "controls": sorted(controls or {}), "collected": collected, "processed": processed, "channels": channels, "markers": markers})
-        for source, df in {"primary": data, **(controls or {})}.items():
+        if not self.table("samples").where((F.col("experiment_id") == experiment_id) & (F.col("sample_id") == sample_id)).isEmpty():
+            raise ValueError(f"samples: {experiment_id}, {sample_id} exists")
+        for source, df in {"primary": data, **(controls or {})}.items():  # what an addition that was cut short has left is written over
             self._write_events(experiment_id, sample_id, source, compensate(df, *spill) if spill else df)
+        self._add("samples", ["experiment_id", "sample_id"], {"experiment_id": experiment_id, "sample_id": sample_id, "subject_id": subject_id, "compensated": spill is not None, "valid": True, "notes": notes, "controls": sorted(controls or {}), "collected": collected, "processed": processed, "channels": channels, "markers": markers})
         return Sample(self, experiment_id, sample_id)
 
     def _write_events(self, experiment_id: str, sample_id: str, source: str, df: DataFrame) -> None:
@@ -142,11 +197,13 @@ class Project:
 
     def membership(self, experiment_id: str) -> DataFrame:
         """sample_id, population, event_id of all stored populations of an experiment."""
-        schema = "event_id long, experiment_id string, sample_id string, population string"
+        schema = "event_id long, experiment_id string, sample_id string, population string, members string"
         root = f"{self.folder}/membership"
         if not self.exists(f"membership/experiment_id={self.part(experiment_id)}"):
             return self.spark.createDataFrame([], "sample_id string, population string, event_id long")
-        return self.spark.read.schema(schema).option("basePath", root).parquet(f"{root}/experiment_id={self.part(experiment_id)}").select("sample_id", "population", "event_id")
+        known = self.table("populations").where(F.col("experiment_id") == experiment_id).select("sample_id", "population", "members")
+        rows = self.spark.read.schema(schema).option("basePath", root).parquet(f"{root}/experiment_id={self.part(experiment_id)}")
+        return rows.join(known, ["sample_id", "population", "members"], "left_semi").select("sample_id", "population", "event_id")
 
     def control_counts(self, experiment_id: str) -> DataFrame:
         return control_counts(self.table("samples").where(F.col("experiment_id") == experiment_id).select(F.explode("controls").alias("control")), self.table("samples").where(F.col("experiment_id") == experiment_id).count())
@@ -154,15 +211,23 @@ class Project:
     def remove_sample(self, experiment_id: str, sample_id: str) -> None:
         gone = (F.col("experiment_id") == experiment_id) & (F.col("sample_id") == sample_id)
         for t in ("samples", "populations"):
-            if self.exists(t):
-                self._replace(t, self.table(t).where(~gone))
+            self._change(t, lambda rows: rows.where(~gone))
         for t in ("events", "membership"):
             self._fs(t).delete(self._path(f"{t}/experiment_id={self.part(experiment_id)}/sample_id={self.part(sample_id)}"), True)
 
+    def drop_populations(self, experiment_id: str, gone: dict[str, list[str]]) -> None:
+        """Forget populations, named by sample, in one change; then delete their members."""
+        pairs = [F.struct(F.lit(s), F.lit(n)) for s, names in gone.items() for n in names]
+        if not pairs:
+            return
+        self._change("populations", lambda rows: rows.where(~((F.col("experiment_id") == experiment_id) & F.struct("sample_id", "population").isin(pairs))))
+        for s, names in gone.items():
+            for n in names:
+                self._fs("membership").delete(self._path(f"membership/experiment_id={self.part(experiment_id)}/sample_id={self.part(s)}/population={self.part(n)}"), True)
+
     def delete_experiment(self, experiment_id: str) -> None:
         for t in ("experiments", "samples", "populations", "strategies"):
-            if self.exists(t):
-                self._replace(t, self.table(t).where(F.col("experiment_id") != experiment_id))
+            self._change(t, lambda rows: rows.where(F.col("experiment_id") != experiment_id))
         for t in ("events", "membership"):
             self._fs(t).delete(self._path(f"{t}/experiment_id={self.part(experiment_id)}"), True)
 
@@ -234,8 +299,11 @@ class Experiment:
 
     def delete_all_populations(self, sample_id: str | None = None) -> None:
         """Leave the root of one sample, or of all."""
-        for s in [sample_id] if sample_id else self.list_samples(False):
-            self.sample(s).delete_populations(["all"])
+        known = self.project.table("populations").where(F.col("experiment_id") == self.id)
+        gone: dict[str, list[str]] = {}
+        for r in (known if sample_id is None else known.where(F.col("sample_id") == sample_id)).select("sample_id", "population").collect():
+            gone.setdefault(r.sample_id, []).append(r.population)
+        self.project.drop_populations(self.id, gone)
 
     def population(self, name: str, *, transform: str | None = None, features: list[str] | None = None, transform_params: dict | None = None, fields: list[str] | None = None) -> DataFrame:
         """Events of a population over all samples with sample_id and subject_id (and JSON fields of the subject), features transformed."""
@@ -258,16 +326,55 @@ class Experiment:
         members = self.project.membership(self.id).where(own & (F.col("population") == name))
         return control_populations(primary, beside, members, **kwargs)
 
-    def apply(self, strategy: Strategy, samples: list[str] | None = None, **kwargs) -> dict[str, str]:
-        """Apply a strategy to samples and store the populations; gives what went wrong, by sample, and goes on with the others."""
-        out: dict[str, str] = {}
-        for s in samples or self.list_samples():
+    def apply(self, strategy: Strategy, samples: list[str] | None = None, *, reference: str | None = None, control: str | None = None, normalise: bool = False, search: bool = False, params: dict[str, dict] | None = None) -> dict[str, str]:
+        """Fit a strategy to each sample and store the populations; gives what went wrong, by sample, and goes on with the others.
+
+        All samples are fitted in one plan and stored in one change, unless the strategy needs a plan a sample (see `by_sample.covers`).
+        """
+        wanted, out = list(samples or self.list_samples()), {}
+        if not by_sample.covers(strategy, search):
+            for s in wanted:
+                try:
+                    self.sample(s).apply(strategy, reference=reference, control=control, normalise=normalise, search=search, params=params)
+                except (KeyError, ValueError) as e:
+                    out[s] = str(e)
+            return out
+        new = [n for n, p in strategy.tree() if p is not None]
+        known = self.project.table("populations").where((F.col("experiment_id") == self.id) & F.col("population").isin(new))
+        for r in known.groupBy("sample_id").agg(F.array_sort(F.collect_list("population")).alias("names")).where(F.col("sample_id").isin(wanted)).collect():
+            out[r.sample_id] = f"{r.sample_id} has {', '.join(r.names)} already"
+        events = self.project.events(self.id).drop("experiment_id", "source")
+        other = self.sample(reference).data() if reference else None
+        beside = self.project.events(self.id, control).drop("experiment_id", "source") if control else None
+        while left := [s for s in wanted if s not in out]:
             try:
-                self.sample(s).apply(strategy, **kwargs)
-            except ValueError as e:
-                out[s] = str(e)
+                done = by_sample.fitted(strategy, events.where(F.col("sample_id").isin(left)), reference=other, control=beside, normalise=normalise, params=params)
+            except by_sample.TooFew as e:
+                out |= {s: str(e) for s in e.samples}
+                continue
+            self._store(done)
+            break
         return out
 
+    def _store(self, done: by_sample.Fitted) -> None:
+        """Members by sample and population, then a row for each of both, in one change."""
+        fresh, names = uuid.uuid4().hex, list(done.definitions)
+        at = f"{self.project.folder}/membership/experiment_id={self.project.part(self.id)}"
+        done.membership().select("event_id", "sample_id", "population", F.lit(fresh).alias("members")).write.mode("append").partitionBy("sample_id", "population", "members").parquet(at)
+        schema = "event_id long, sample_id string, population string, members string"
+        stored = self.project.spark.read.schema(schema).parquet(at).where(F.col("members") == fresh).select("sample_id", "population", "event_id")
+        tree = self.project.spark.createDataFrame(P.tree_of(done.definitions), "population string, parent string")
+        stats = P.stats(stored, tree, done.events.groupBy("sample_id").agg(F.count("*").alias("n"))).where(F.col("population") != P.ROOT)
+        rows = stats.select(F.lit(self.id).alias("experiment_id"), "sample_id", "population", "parent", F.lit("gate").alias("source"), "n", "frac_of_parent", "frac_of_root", F.lit(None).cast("map<string,double>").alias("signature"), F.lit(fresh).alias("members"))
+
+        def change(known: DataFrame) -> DataFrame:
+            same = known.where((F.col("experiment_id") == self.id) & F.col("population").isin(names)).join(done.samples, "sample_id", "left_semi")
+            if not same.isEmpty():
+                raise ValueError(f"{same.head().sample_id} has {same.head().population} already")
+            return known.unionByName(rows)
+
+        self.project._change("populations", change)
+
     def statistics(self) -> DataFrame:
         """sample_id, population, parent, n and shares of every stored population in every sample; 0 where a sample has none."""
         events, members = self.project.events(self.id), self.project.membership(self.id)
@@ -308,22 +415,24 @@ class Experiment:
 
     def save_strategy(self, strategy: Strategy) -> None:
         """Keep a strategy by name; an older one of that name is replaced."""
-        rest = self.project.table("strategies").where(~((F.col("experiment_id") == self.id) & (F.col("name") == strategy.name)))
         row = self.project.spark.createDataFrame([(self.id, strategy.name, strategy.to_json())], TABLES["strategies"])
-        self.project._replace("strategies", rest.unionByName(row))
+        self.project._change("strategies", lambda rows: rows.where(~self._is(strategy.name)).unionByName(row))
+
+    def _is(self, strategy: str) -> Column:
+        return (F.col("experiment_id") == self.id) & (F.col("name") == strategy)
 
     def strategy(self, name: str) -> Strategy:
-        return Strategy.from_json(self.project._one("strategies", (F.col("experiment_id") == self.id) & (F.col("name") == name)).strategy)
+        return Strategy.from_json(self.project._one("strategies", self._is(name)).strategy)
 
     def delete_strategy(self, name: str, populations: bool = True) -> None:
-        """Forget a strategy and, unless told otherwise, the populations that it has made in all samples."""
+        """Forget a strategy and, unless told otherwise, the populations that it has made in all samples, with all below them."""
         if populations:
-            made = [n for n, p in self.strategy(name).tree() if p is not None]
-            for s in self.list_samples(False):
-                own = self.sample(s)
-                if there := [n for n in made if n in own.list_populations()]:
-                    own.delete_populations(there)
-        self.project._replace("strategies", self.project.table("strategies").where(~((F.col("experiment_id") == self.id) & (F.col("name") == name))))
+            made = {n for n, p in self.strategy(name).tree() if p is not None}
+            trees: dict[str, dict[str, str]] = {}
+            for r in self.project.table("populations").where(F.col("experiment_id") == self.id).collect():  # a row a population
+                trees.setdefault(r.sample_id, {})[r.population] = r.parent
+            self.project.drop_populations(self.id, {s: [n for n in tree if n in made or any(P._is_below(n, m, tree) for m in made)] for s, tree in trees.items()})
+        self.project._change("strategies", lambda rows: rows.where(~self._is(name)))
 
 
 class Sample:
@@ -353,7 +462,7 @@ class Sample:
             raise ValueError(f"{self.id} has a control {name!r} already")
         self.project._write_events(self.experiment_id, self.id, name, data)
         grown = F.when(self._own, F.array_sort(F.concat(F.coalesce("controls", F.array().cast("array<string>")), F.array(F.lit(name))))).otherwise(F.col("controls"))
-        self.project._replace("samples", self.project.table("samples").withColumn("controls", grown))
+        self.project._change("samples", lambda rows: rows.withColumn("controls", grown))
 
     # --- populations
 
@@ -380,16 +489,19 @@ class Sample:
     def print_tree(self) -> str:
         return P.print_tree(self.tree())
 
-    def _members_path(self, name: str) -> str:
-        return f"membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}/population={self.project.part(name)}"
+    def _members_path(self, name: str, members: str) -> str:
+        return f"membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}/population={self.project.part(name)}/members={members}"
 
     def members(self, name: str) -> DataFrame | None:
         """event_id of a stored population; None if there is none."""
         if name == P.ROOT:
             return self.data().select("event_id")
-        if not self.project.exists(self._members_path(name)):
+        row = self.project.table("populations").where(self._own & (F.col("population") == name)).head()
+        if row is None:
             return None
-        return self.project.spark.read.schema("event_id long").parquet(f"{self.project.folder}/{self._members_path(name)}")
+        if not self.project.exists(self._members_path(name, row.members)):  # none in this sample
+            return self.project.spark.createDataFrame([], "event_id long")
+        return self.project.spark.read.schema("event_id long").parquet(f"{self.project.folder}/{self._members_path(name, row.members)}")
 
     def add_population(self, name: str, parent: str, members: DataFrame, source: str = "gate", signature: dict[str, float] | None = None) -> None:
         """Store a population by its members' event_id, which must be among its parent's."""
@@ -398,30 +510,37 @@ class Sample:
         self._store(name, parent, members, source, signature)
 
     def update_population(self, name: str, members: DataFrame, signature: dict[str, float] | None = None) -> None:
-        """New members for a population; what is below it stays as it is stored."""
+        """New members for a population; what is below it stays as it is stored. Until the change is published the old ones are read."""
         old = self.population(name)
-        ids = members.select("event_id").distinct()
-        table, n = self.project.table("populations"), ids.count()
-        self.project._replace("populations", table.where(~(self._own & (F.col("population") == name))))
-        self._store(name, old.parent, ids, old.source, signature or old.signature, n)
+        self._store(name, old.parent, members, old.source, signature or old.signature, old.members)
 
-    def _store(self, name: str, parent: str, members: DataFrame, source: str, signature: dict | None, n: int | None = None) -> None:
+    def _store(self, name: str, parent: str, members: DataFrame, source: str, signature: dict | None, instead_of: str | None = None) -> None:
         inside = self.members(parent)
         if inside is None:
             raise KeyError(f"no population {parent!r}")
         ids = members.select("event_id").distinct()
-        if not ids.join(inside, "event_id", "left_anti").isEmpty():
+        fresh = uuid.uuid4().hex
+        path = f"{self.project.folder}/{self._members_path(name, fresh)}"
+        ids.write.parquet(path)
+        stored = self.project.spark.read.schema("event_id long").parquet(path)
+        found = stored.join(inside.select("event_id", F.lit(True).alias("_in")).distinct(), "event_id", "left").agg(F.count("*").alias("n"), F.count("_in").alias("inside")).head()
+        if found.inside < found.n:
+            self.project._fs("membership").delete(self.project._path(self._members_path(name, fresh)), True)
             raise ValueError(f"{name} has events that {parent} hasn't")
-        path = f"{self.project.folder}/{self._members_path(name)}"
-        ids.write.mode("overwrite").parquet(f"{path}__new")
-        fs = self.project._fs("membership")
-        fs.delete(self.project._path(self._members_path(name)), True)
-        fs.rename(self.project._path(f"{self._members_path(name)}__new"), self.project._path(self._members_path(name)))
-        n = self.members(name).count()
         total = self.data().count()
         above = total if parent == P.ROOT else self.population(parent).n
-        row = (self.experiment_id, self.id, name, parent, source, n, n / above if above else 0.0, n / total if total else 0.0, signature)
-        self.project.spark.createDataFrame([row], TABLES["populations"]).write.mode("append").parquet(f"{self.project.folder}/populations")
+        row = self.project.spark.createDataFrame([(self.experiment_id, self.id, name, parent, source, found.n, found.n / above if above else 0.0, found.n / total if total else 0.0, signature, fresh)], TABLES["populations"])
+
+        def change(rows: DataFrame) -> DataFrame:
+            same = self._own & (F.col("population") == name)
+            there = rows.where(same).head()
+            if (there.members if there else None) != instead_of:
+                raise ValueError(f"{self.id}: {name!r} was changed by another writer")
+            return rows.where(~same).unionByName(row)
+
+        self.project._change("populations", change)
+        if instead_of:
+            self.project._fs("membership").delete(self.project._path(self._members_path(name, instead_of)), True)
 
     def save(self, definitions: dict[str, tuple[str, Column]], source: str = "gate") -> None:
         """Store all populations of a strategy (or what it was applied as): one scan for the members, one row each with counts and shares."""
@@ -432,9 +551,16 @@ class Sample:
         members = P.gated(events, definitions)
         stats = P.stats(members, self.project.spark.createDataFrame(P.tree_of(definitions), "population string, parent string"), events.groupBy("sample_id").agg(F.count("*").alias("n"))).where(F.col("population") != P.ROOT)
         base = f"{self.project.folder}/membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}"
-        members.select("event_id", "population").write.mode("append").partitionBy("population").parquet(base)
-        rows = stats.select(F.lit(self.experiment_id).alias("experiment_id"), "sample_id", "population", "parent", F.lit(source).alias("source"), "n", "frac_of_parent", "frac_of_root", F.lit(None).cast("map<string,double>").alias("signature"))
-        rows.write.mode("append").parquet(f"{self.project.folder}/populations")
+        fresh = uuid.uuid4().hex
+        members.select("event_id", "population", F.lit(fresh).alias("members")).write.mode("append").partitionBy("population", "members").parquet(base)
+        rows = stats.select(F.lit(self.experiment_id).alias("experiment_id"), "sample_id", "population", "parent", F.lit(source).alias("source"), "n", "frac_of_parent", "frac_of_root", F.lit(None).cast("map<string,double>").alias("signature"), F.lit(fresh).alias("members"))
+
+        def change(known: DataFrame) -> DataFrame:
+            if again := [r.population for r in known.where(self._own & F.col("population").isin(list(definitions))).collect()]:
+                raise ValueError(f"{self.id} has {', '.join(again)} already")
+            return known.unionByName(rows)
+
+        self.project._change("populations", change)
 
     def delete_populations(self, names: list[str]) -> list[str]:
         """Delete populations and all below them; ["all"] leaves the root. Gives what is gone."""
@@ -442,10 +568,7 @@ class Sample:
         gone = [n for n, p in tree if p is not None] if names == ["all"] else sorted({*names, *(d for n in names for d in self.downstream(n))})
         if P.ROOT in gone:
             raise ValueError("the root stays")
-        if self.project.exists("populations"):
-            self.project._replace("populations", self.project.table("populations").where(~(self._own & F.col("population").isin(gone))))
-        for n in gone:
-            self.project._fs("membership").delete(self.project._path(self._members_path(n)), True)
+        self.project.drop_populations(self.experiment_id, {self.id: gone})
         return gone
 
     def merge(self, names: list[str], name: str) -> None:

@@ -310,10 +310,66 @@ def test_strategies_on_stored_samples(spark, project):
     assert tables.cluster_scatter(df.withColumn("cluster_label", F.lit(1)), ["x", "y"], size=9).count() == 9
 
 
-def test_a_cut_short_replacement_is_mended(spark, project):
+def test_writers_lose_nothing(spark, project):
+    """A change made to an older state is made again to the new one; what both may not do is an error."""
+    change, once = project._change, []
+
+    def raced(table, f):
+        def slow(rows):
+            if not once:
+                once.append(1)
+                change("subjects", lambda t: t.unionByName(spark.createDataFrame([("b", "{}")], t.schema)))  # another writer is first
+            return f(rows)
+
+        change(table, slow)
+
+    project._change = raced
     project.add_subject("a")
-    project._fs("subjects").rename(project._path("subjects"), project._path("subjects__old"))
-    assert project.list_subjects() == ["a"]
+    assert project.list_subjects() == ["a", "b"] and len(project._versions("subjects")) == 2
+    with pytest.raises(ValueError, match="exists"):
+        project.add_subject("b")
+    project._change = change
+    for i in range(14):
+        project.add_subject(f"s{i}")
+    assert len(project.list_subjects()) == 16 and len(project._versions("subjects")) <= 10
+    assert not project._published("subjects", project._versions("subjects")[-1], "tables/other")
+    assert len(project.list_subjects()) == 16
+
+
+def test_a_change_that_is_cut_short_leaves_the_old_state(spark, project):
+    e = project.add_experiment("e", {"channels": {"x": {"regex": "^x$"}}, "mappings": [["x", ""]]})
+    df = spark.createDataFrame([(i, float(i)) for i in range(20)], "event_id long, x double")
+    s = project.add_sample("e", "s", df)
+    s.add_population("p", "root", df.where("x >= 5"))
+
+    def members():
+        return sorted(r.event_id for r in e.project.membership("e").where("population = 'p'").collect())
+
+    class Cut(Exception):
+        pass
+
+    def cut(*_):
+        raise Cut
+
+    for step in ("_change", "_published"):
+        setattr(project, step, cut)
+        for f in (lambda: s.update_population("p", df.where("x >= 15")), lambda: s.delete_populations(["p"]), lambda: s.add_population("q", "p", df.where("x >= 15")), lambda: project.add_sample("e", "t", df)):
+            with pytest.raises(Cut):
+                f()
+            assert members() == list(range(5, 20)) == sorted(r.event_id for r in s.members("p").collect())
+            assert s.list_populations() == ["root", "p"] and e.list_samples() == ["s"]
+        delattr(project, step)
+    s.update_population("p", df.where("x >= 15"))
+    assert members() == list(range(15, 20)) and s.population("p").n == 5
+    with pytest.raises(ValueError, match="hasn't"):
+        s.add_population("q", "p", df.where("x >= 14"))
+    stale = s.population("p").members
+    s.update_population("p", df.where("x >= 16"))
+    with pytest.raises(ValueError, match="another writer"):
+        s._store("p", "root", df, "gate", None, stale)
+    assert members() == list(range(16, 20))
+    project.add_sample("e", "t", df)
+    assert e.list_samples() == ["s", "t"] and e.sample("t").data().count() == 20
 
 
 # --- clusters, batches, features
