@@ -466,9 +466,12 @@ class Sample:
 
     # --- populations
 
-    def tree(self) -> list[tuple[str, str | None]]:
-        rows = self.project.table("populations").where(self._own).select("population", "parent").orderBy("population").collect()
-        return [(P.ROOT, None), *((r.population, r.parent) for r in rows)]
+    def known(self) -> dict:
+        """The sample's populations' rows by name, in one read."""
+        return {r.population: r for r in self.project.table("populations").where(self._own).orderBy("population").collect()}
+
+    def tree(self, known: dict | None = None) -> list[tuple[str, str | None]]:
+        return [(P.ROOT, None), *((n, r.parent) for n, r in (self.known() if known is None else known).items())]
 
     def list_populations(self) -> list[str]:
         return [n for n, _ in self.tree()]
@@ -480,11 +483,13 @@ class Sample:
     def children(self, parent: str) -> list[str]:
         return [n for n, p in self.tree() if p == parent]
 
-    def downstream(self, name: str) -> list[str]:
+    def downstream(self, name: str, known: dict | None = None) -> list[str]:
         """All populations below one, in depth-first order."""
-        if name not in self.list_populations():
+        tree = self.tree(known)
+        parents = dict(tree)
+        if name not in parents:
             raise KeyError(f"no population {name!r}")
-        return [n for n in P.preorder(self.tree()) if P._is_below(n, name, dict(self.tree()))]
+        return [n for n in P.preorder(tree) if P._is_below(n, name, parents)]
 
     def print_tree(self) -> str:
         return P.print_tree(self.tree())
@@ -492,11 +497,11 @@ class Sample:
     def _members_path(self, name: str, members: str) -> str:
         return f"membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}/population={self.project.part(name)}/members={members}"
 
-    def members(self, name: str) -> DataFrame | None:
+    def members(self, name: str, known: dict | None = None) -> DataFrame | None:
         """event_id of a stored population; None if there is none."""
         if name == P.ROOT:
             return self.data().select("event_id")
-        row = self.project.table("populations").where(self._own & (F.col("population") == name)).head()
+        row = (self.known() if known is None else known).get(name)
         if row is None:
             return None
         if not self.project.exists(self._members_path(name, row.members)):  # none in this sample
@@ -515,7 +520,8 @@ class Sample:
         self._store(name, old.parent, members, old.source, signature or old.signature, old.members)
 
     def _store(self, name: str, parent: str, members: DataFrame, source: str, signature: dict | None, instead_of: str | None = None) -> None:
-        inside = self.members(parent)
+        known = self.known()
+        inside = self.members(parent, known)
         if inside is None:
             raise KeyError(f"no population {parent!r}")
         ids = members.select("event_id").distinct()
@@ -528,7 +534,7 @@ class Sample:
             self.project._fs("membership").delete(self.project._path(self._members_path(name, fresh)), True)
             raise ValueError(f"{name} has events that {parent} hasn't")
         total = self.data().count()
-        above = total if parent == P.ROOT else self.population(parent).n
+        above = total if parent == P.ROOT else known[parent].n
         row = self.project.spark.createDataFrame([(self.experiment_id, self.id, name, parent, source, found.n, found.n / above if above else 0.0, found.n / total if total else 0.0, signature, fresh)], TABLES["populations"])
 
         def change(rows: DataFrame) -> DataFrame:
@@ -544,15 +550,14 @@ class Sample:
 
     def save(self, definitions: dict[str, tuple[str, Column]], source: str = "gate") -> None:
         """Store all populations of a strategy (or what it was applied as): one scan for the members, one row each with counts and shares."""
-        tree = self.tree()
-        if again := [n for n in definitions if n in dict(tree)]:
+        if again := sorted(set(definitions) & set(self.known())):
             raise ValueError(f"{self.id} has {', '.join(again)} already")
         events = self.data()
-        members = P.gated(events, definitions)
-        stats = P.stats(members, self.project.spark.createDataFrame(P.tree_of(definitions), "population string, parent string"), events.groupBy("sample_id").agg(F.count("*").alias("n"))).where(F.col("population") != P.ROOT)
         base = f"{self.project.folder}/membership/experiment_id={self.project.part(self.experiment_id)}/sample_id={self.project.part(self.id)}"
         fresh = uuid.uuid4().hex
-        members.select("event_id", "population", F.lit(fresh).alias("members")).write.mode("append").partitionBy("population", "members").parquet(base)
+        P.gated(events, definitions).select("event_id", "population", F.lit(fresh).alias("members")).write.mode("append").partitionBy("population", "members").parquet(base)
+        stored = self.project.spark.read.schema("event_id long, population string, members string").parquet(base).where(F.col("members") == fresh).select(F.lit(self.id).alias("sample_id"), "population", "event_id")
+        stats = P.stats(stored, self.project.spark.createDataFrame(P.tree_of(definitions), "population string, parent string"), events.groupBy("sample_id").agg(F.count("*").alias("n"))).where(F.col("population") != P.ROOT)
         rows = stats.select(F.lit(self.experiment_id).alias("experiment_id"), "sample_id", "population", "parent", F.lit(source).alias("source"), "n", "frac_of_parent", "frac_of_root", F.lit(None).cast("map<string,double>").alias("signature"), F.lit(fresh).alias("members"))
 
         def change(known: DataFrame) -> DataFrame:
@@ -564,8 +569,8 @@ class Sample:
 
     def delete_populations(self, names: list[str]) -> list[str]:
         """Delete populations and all below them; ["all"] leaves the root. Gives what is gone."""
-        tree = self.tree()
-        gone = [n for n, p in tree if p is not None] if names == ["all"] else sorted({*names, *(d for n in names for d in self.downstream(n))})
+        known = self.known()
+        gone = list(known) if names == ["all"] else sorted({*names, *(d for n in names for d in self.downstream(n, known))})
         if P.ROOT in gone:
             raise ValueError("the root stays")
         self.project.drop_populations(self.experiment_id, {self.id: gone})
@@ -573,25 +578,30 @@ class Sample:
 
     def merge(self, names: list[str], name: str) -> None:
         """Store the union of populations of one parent; signatures are averaged."""
-        rows = [self.population(n) for n in names]
+        known = self.known()
+        if missing := [n for n in names if n not in known]:
+            raise KeyError(f"no population {', '.join(missing)}")
+        rows = [known[n] for n in names]
         if len({r.parent for r in rows}) != 1 or len(rows) < 2:
             raise ValueError("two populations or more of one parent are merged")
-        ids = self.members(names[0])
+        ids = self.members(names[0], known)
         for n in names[1:]:
-            ids = ids.unionByName(self.members(n))
+            ids = ids.unionByName(self.members(n, known))
         kept = [r.signature for r in rows if r.signature]
         mean = {f: sum(s[f] for s in kept if f in s) / sum(f in s for s in kept) for f in sorted({f for s in kept for f in s})}
         self.add_population(name, rows[0].parent, ids, "merged", mean or None)
 
     def subtract(self, left: str, right: list[str], name: str) -> None:
         """Store the events of one population that are in none of the others, which have its parent or are below it."""
-        own = self.population(left)
-        below = self.downstream(left)
-        if wrong := [n for n in right if n not in below and self.population(n).parent != own.parent]:
+        known = self.known()
+        if missing := [n for n in (left, *right) if n not in known]:
+            raise KeyError(f"no population {', '.join(missing)}")
+        own, below = known[left], self.downstream(left, known)
+        if wrong := [n for n in right if n not in below and known[n].parent != own.parent]:
             raise ValueError(f"{', '.join(wrong)}: neither below {left} nor of its parent")
-        ids = self.members(left)
+        ids = self.members(left, known)
         for n in right:
-            ids = ids.join(self.members(n), "event_id", "left_anti")
+            ids = ids.join(self.members(n, known), "event_id", "left_anti")
         self.add_population(name, own.parent, ids, "subtracted")
 
     def population_stats(self, name: str) -> dict:
