@@ -143,17 +143,28 @@ def _address(step, text: str) -> str | None:
 
 
 def _date(step, text: str) -> str | None:
-    a, b, c = re.split(r"[-/.]", text)
-    sep = text[len(a)]
-    try:
-        day = datetime.date(int(a), int(b), int(c)) if len(a) == 4 else datetime.date(int(c), int(b), int(a))
-    except ValueError:
+    """Year first; or day first; or month first where that is the only reading, and then the new date has that reading only, too.
+
+    A field of one digit stays one of one digit.
+    """
+    fields = re.split(r"[-/.]", text)
+    for order in [("year", "month", "day")] if len(fields[0]) == 4 else [("day", "month", "year"), ("month", "day", "year")]:
+        try:
+            given = datetime.date(**dict(zip(order, map(int, fields), strict=True))).toordinal() - FIRST_DAY
+            break
+        except ValueError:
+            continue
+    else:
         return None
-    if not 0 <= day.toordinal() - FIRST_DAY < DAYS:
+    if not 0 <= given < DAYS:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + step(day.toordinal() - FIRST_DAY, DAYS))
-    y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return sep.join((y, m, d) if len(a) == 4 else (d, m, y))
+
+    def ok(x: int) -> bool:
+        day = datetime.date.fromordinal(FIRST_DAY + x)
+        return all(getattr(day, k) < 10 ** len(f) for k, f in zip(order, fields, strict=True)) and (order[0] != "month" or day.day > 12)
+
+    new = datetime.date.fromordinal(FIRST_DAY + step(given, DAYS, ok))
+    return _fill(text, "".join(f"{getattr(new, k):0{len(f)}d}" for k, f in zip(order, fields, strict=True)))
 
 
 def _email(step, text: str) -> str:
@@ -184,7 +195,7 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("token", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", _token),
-    ("date", r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-])", _date),
+    ("date", r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?![\w-])|(?=[Tt]\d{2}))", _date),
     ("address", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", _address),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)", _card),
@@ -250,7 +261,9 @@ class Pseudonyms:
         """The new text, and (kind, start, end) of each value in the old one, in order.
 
         The first valid places that don't overlap are taken. A new value that would make a place valid that was refused before is permuted
-        again, so undo, which goes back from the last one, takes the same places.
+        again, so undo, which goes back from the last one, takes the same places. This ends after WALK tries at the latest; a value that
+        would still make one valid is used all the same, and undo could then take other places (one try in ten makes a card
+        valid, so 1000 such tries in a row are not to be expected).
         """
         if not text:
             return text, []
@@ -269,7 +282,7 @@ class Pseudonyms:
                     near = [x for i in range(s // STRETCH - 1, (e - 1) // STRETCH + 1) for x in refused.get(i, ())]
                     chosen.append((s, e, kind, change, [x for x in near if x[0] < e and s < x[1]]))
                     taken[s:e] = b"\1" * (e - s)
-                elif kind in PLACES:
+                else:
                     refused.setdefault(s // STRETCH, []).append((s, e, change))
         if not chosen:
             return text, []
@@ -301,8 +314,11 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", kinds:
     """docs with text replaced, and column pii: array of (kind, start, length of the old value) by place.
 
     Null texts stay null and empty ones empty, both without values; all other columns stay, but one named pii is replaced. Equal
-    values get equal pseudonyms whatever row they are in, so repeated rows stay equal; but where a card or IBAN place
-    that was refused before and overlaps the value would become valid, the value is permuted again. Digits in non-ASCII scripts are left alone.
+    values get equal pseudonyms whatever row they are in, so repeated rows stay equal; but where a place
+    that was refused before and overlaps the value would become valid, the value is permuted again. Dates are those from 1900 to 2099 in
+    figures (2024-01-15, also before a time of day, 15.01.2024, 1/5/2024, 12/25/2020); one day has one pseudonym in all orders whose fields
+    have two digits, but for the month-first dates that can't be read day first, which have their own. Months written as words and digits
+    in non-ASCII scripts are left alone. Long texts are read whole, in time proportional to their length.
     """
     kept = docs.drop("pii")
     at = kept.columns.index(text_col)
