@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
+from . import idsets
 
 ROOT = "root"
 #: Populations nest no deeper than this; a deeper tree is a cycle.
@@ -102,20 +103,17 @@ def stats(membership: DataFrame, tree: DataFrame, root_counts: DataFrame) -> Dat
 
 def merged(membership: DataFrame, populations: list[str], name: str) -> DataFrame:
     """Union of populations under a new name."""
-    return membership.where(F.col("population").isin(populations)).select("sample_id", "event_id").distinct().withColumn("population", F.lit(name))
+    return idsets.combined(membership, {name: ("or", populations)})
 
 
 def intersected(membership: DataFrame, populations: list[str], name: str) -> DataFrame:
     """Events that are in all the populations: one aggregate, no chain of joins."""
-    hit = membership.where(F.col("population").isin(populations)).groupBy("sample_id", "event_id").agg(F.count_distinct("population").alias("k"))
-    return hit.where(F.col("k") == len(set(populations))).select("sample_id", "event_id", F.lit(name).alias("population"))
+    return idsets.combined(membership, {name: ("and", populations)})
 
 
 def subtracted(membership: DataFrame, left: str, right: list[str], name: str) -> DataFrame:
     """Events of one population that are in none of the others."""
-    hit = membership.where(F.col("population").isin([left, *right])).groupBy("sample_id", "event_id")
-    kept = hit.agg(F.max((F.col("population") == left).cast("int")).alias("l"), F.max(F.col("population").isin(right).cast("int")).alias("r"))
-    return kept.where("l = 1 and r = 0").select("sample_id", "event_id", F.lit(name).alias("population"))
+    return idsets.combined(membership, {name: ("not", [left, *right])})
 
 
 def merged_signature(signatures: DataFrame, populations: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, transforms
-from ..operators import batch, classify, clustering, controls, embedding, features, gates, names, sampling, tables
+from ..operators import batch, classify, clustering, controls, embedding, features, gates, idsets, names, sampling, tables
 from ..operators import populations as P
 from ..session import scratch
 from ..sources.project import Project
@@ -62,6 +62,46 @@ def population_store(spark, sf):
     return e.statistics().where("population != 'root'").select("sample_id", "population", "parent", "n", r6("frac_of_parent"), r6("frac_of_root"))
 
 
+_SETS = {"any": ("or", ["in", "right", "lo"]), "all": ("and", ["hi", "right", "in"]), "rest": ("not", ["hi", "in", "right"])}
+_SETS_SQL = """x AS (SELECT sample_id, event_id, 'any' AS population FROM members WHERE population IN ('in', 'right', 'lo') GROUP BY ALL
+    UNION ALL SELECT sample_id, event_id, 'all' FROM members WHERE population IN ('hi', 'right', 'in') GROUP BY sample_id, event_id HAVING count(DISTINCT population) = 3
+    UNION ALL SELECT sample_id, event_id, 'rest' FROM (SELECT sample_id, event_id FROM members WHERE population = 'hi' EXCEPT SELECT sample_id, event_id FROM members WHERE population IN ('in', 'right')))"""
+
+
+@query(f"WITH {_SMALL_SQL}, {_SETS_SQL} SELECT sample_id, population, event_id FROM x")
+def population_sets(spark, sf):
+    """Unions, intersections and differences of stored populations of all samples, from one aggregate of 64-bit words."""
+    return idsets.combined(_small().membership(cells(spark, sf)), _SETS).select("sample_id", "population", "event_id")
+
+
+@query(f"WITH {_SMALL_SQL}, {_SETS_SQL}, s AS (SELECT DISTINCT sample_id FROM members), p(population) AS (VALUES ('any'), ('all'), ('rest')) SELECT sample_id, population, count(event_id)::BIGINT AS n FROM s CROSS JOIN p LEFT JOIN x USING (sample_id, population) GROUP BY ALL")
+def population_set_sizes(spark, sf):
+    """Sizes of the same sets by counting bits; no set is unpacked."""
+    return idsets.sizes(_small().membership(cells(spark, sf)), _SETS).select("sample_id", "population", "n")
+
+
+@query(f"""WITH {_SMALL_SQL}, tree(population, parent) AS (VALUES ('in', 'hi'), ('right', 'hi'), ('hi_right', 'right'))
+    SELECT m.sample_id, m.population, count(*) AS n, count(*) FILTER (WHERE p.event_id IS NULL) AS n_outside FROM members m JOIN tree t USING (population) LEFT JOIN members p ON p.sample_id = m.sample_id AND p.population = t.parent AND p.event_id = m.event_id GROUP BY ALL""")
+def population_nesting(spark, sf):
+    """How many members of each population its parent lacks, for all samples and populations at once."""
+    tree = spark.createDataFrame([("in", "hi"), ("right", "hi"), ("hi_right", "right")], "population string, parent string")
+    return idsets.outside(_small().membership(cells(spark, sf)), tree).select("sample_id", "population", "n", "n_outside")
+
+
+@query(f"""WITH {_SMALL_SQL}, t AS (SELECT sample_id, count(*) AS total FROM cells GROUP BY ALL), x AS (SELECT sample_id, event_id, 'sides' AS population FROM members WHERE population IN ('lo', 'right') UNION SELECT sample_id, event_id, 'most' FROM members WHERE population IN ('lo', 'right', 'hi_right'))
+    SELECT sample_id, population, count(*) AS n, round(count(*) / any_value(total), 6) AS frac_of_parent FROM x JOIN t USING (sample_id) GROUP BY ALL""")
+def experiment_merge(spark, sf):
+    """Populations of every sample of an experiment merged, then merged again: a change for each new population, not for each sample."""
+    p = Project(spark, scratch(spark, "project"))
+    e = p.add_experiment("e", {"channels": {f"c{i}": {"regex": f"^c{i}$"} for i in range(6)}, "mappings": [[f"c{i}", ""] for i in range(6)]})
+    df = cells(spark, sf)
+    for s in sorted(r.sample_id for r in df.select("sample_id").distinct().collect()):
+        p.add_sample("e", s, df.where(F.col("sample_id") == s).drop("sample_id"))
+    e.apply(_small())
+    e.merge_populations({"sides": ["lo", "right"], "most": ["sides", "hi_right"]})
+    return p.table("populations").where(F.col("source") == "merged").select("sample_id", "population", "n", r6("frac_of_parent"))
+
+
 @query("""WITH {CELLS}, a AS (SELECT * FROM cells WHERE sample_id IN ('0', '1', '2', '3')), b AS (SELECT * FROM cells WHERE sample_id NOT IN ('0', '1', '2', '3')),
     t AS (SELECT quantile_cont(c0, 0.5) AS t FROM a), target AS (SELECT CASE WHEN c0 >= t THEN '+' ELSE '-' END AS child, avg(c0) AS x, avg(c1) AS y FROM a, t GROUP BY ALL),
     q AS (SELECT unnest([0.3, 0.5, 0.7]) AS q), cuts AS (SELECT 0.3 AS q, quantile_cont(c0, 0.3) AS t FROM b UNION ALL SELECT 0.5, quantile_cont(c0, 0.5) FROM b UNION ALL SELECT 0.7, quantile_cont(c0, 0.7) FROM b),

@@ -14,6 +14,7 @@ import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions import transforms
 from ..functions.transforms import compensate
 from ..operators import populations as P
-from ..operators import sampling
+from ..operators import idsets, sampling
 from ..operators.names import Panel, spill_matrix, standard_names
 from ..plans import by_sample
 from ..plans.strategy import Applied, Strategy
@@ -383,17 +384,58 @@ class Experiment:
         return P.stats(members, root.unionByName(known.select("population", "parent").distinct()), events.groupBy("sample_id").agg(F.count("*").alias("n")))
 
     def merge_populations(self, mergers: dict[str, list[str]]) -> dict[str, list[str]]:
-        """New populations as unions of others, in all samples that have them; gives the samples left out, by name."""
-        out: dict[str, list[str]] = {n: [] for n in mergers}
-        for s in self.list_samples(False):
-            own = self.sample(s)
-            for name, parts in mergers.items():
-                try:
-                    own.merge(parts, name)
-                except (KeyError, ValueError):
-                    out[name].append(s)
+        """New populations as unions of others, in all samples that have them; gives the samples left out, by name.
+
+        One plan and one change for each new population, whatever the number of samples. Later ones may be made of earlier ones.
+        """
+        out = {}
+        for name, parts in mergers.items():
+            able, parts = None, list(dict.fromkeys(parts))
+            if len(parts) > 1 and name not in parts:
+                known = self.project.table("populations").where(F.col("experiment_id") == self.id)
+                there = known.where(F.col("population").isin([name, *parts])).groupBy("sample_id")
+                of = F.col("population").isin(parts)
+                able = there.agg(F.count_if(of).alias("k"), F.count_distinct(F.when(of, F.col("parent"))).alias("parents"), F.count_if(~of).alias("again"), F.min(F.when(of, F.col("parent"))).alias("parent"))
+                able = able.where((F.col("k") == len(parts)) & (F.col("parents") == 1) & (F.col("again") == 0)).select("sample_id", "parent")
+            done = self._combine(name, "or", parts, able, "merged") if able is not None else set()
+            out[name] = [s for s in self.list_samples(False) if s not in done]
         return out
 
+    def _combine(self, name: str, how: str, parts: list[str], able: DataFrame, source: str) -> set[str]:
+        """Store a set of populations in the samples of able(sample_id, parent); gives these samples. Signatures are the means of the parts'."""
+        samples = {r.sample_id: r.parent for r in able.collect()}
+        if not samples:
+            return set()
+        spark, fresh = self.project.spark, uuid.uuid4().hex
+        at = f"{self.project.folder}/membership/experiment_id={self.project.part(self.id)}"
+        able = spark.createDataFrame(list(samples.items()), "sample_id string, parent string")
+        members = self.project.membership(self.id).join(able, "sample_id", "left_semi")
+        idsets.combined(members, {name: (how, parts)}).select("event_id", "sample_id", "population", F.lit(fresh).alias("members")).write.mode("append").partitionBy("sample_id", "population", "members").parquet(at)
+        stored = spark.read.schema("event_id long, sample_id string, population string, members string").parquet(at).where((F.col("population") == name) & (F.col("members") == fresh))
+        counts = stored.groupBy("sample_id").agg(F.count("*").alias("n"))
+        totals = self.project.events(self.id).groupBy("sample_id").agg(F.count("*").alias("total"))
+
+        def change(rows: DataFrame) -> DataFrame:
+            own = rows.where(F.col("experiment_id") == self.id)
+            if again := own.where(F.col("population") == name).join(able, "sample_id", "left_semi").head():
+                raise ValueError(f"{again.sample_id}: {name!r} was changed by another writer")
+            above = own.select("sample_id", F.col("population").alias("parent"), F.col("n").alias("above"))
+            cells = own.where(F.col("population").isin(parts)).select("sample_id", F.explode("signature").alias("feature", "value")).groupBy("sample_id", "feature").agg(F.avg("value").alias("value"))
+            signatures = cells.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "value")))).alias("signature"))
+            new = able.join(counts, "sample_id", "left").join(totals, "sample_id", "left").join(above, ["sample_id", "parent"], "left").join(signatures, "sample_id", "left")
+            n, total = F.coalesce("n", F.lit(0).cast("long")), F.coalesce("total", F.lit(0).cast("long"))
+            share = lambda of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+            return rows.unionByName(new.select(F.lit(self.id).alias("experiment_id"), "sample_id", F.lit(name).alias("population"), "parent", F.lit(source).alias("source"), n.alias("n"), share(F.when(F.col("parent") == P.ROOT, total).otherwise(F.col("above"))).alias("frac_of_parent"), share(total).alias("frac_of_root"), "signature", F.lit(fresh).alias("members")))
+
+        self.project._change("populations", change)
+        return set(samples)
+
+    def misplaced(self) -> DataFrame:
+        """sample_id, population, n, n_outside of stored populations that have members their parent lacks (as when the parent was given new members)."""
+        known = self.project.table("populations").where((F.col("experiment_id") == self.id) & (F.col("parent") != P.ROOT))
+        members = self.project.membership(self.id)
+        return idsets.outside(members, known.select("sample_id", "population", "parent")).where("n_outside > 0")
+
     def reference_sample(self, sample_id: str, *, size: int | float = 2500, population: str = P.ROOT, samples: list[str] | None = None, seed: int = 42) -> Sample:
         """Store a pool of a sample of each sample's events as a sample of its own; `original` and `original_id` say where an event is from."""
         known = self.list_samples(False)
@@ -529,13 +571,14 @@ class Sample:
         path = f"{self.project.folder}/{self._members_path(name, fresh)}"
         ids.write.parquet(path)
         stored = self.project.spark.read.schema("event_id long").parquet(path)
-        found = stored.join(inside.select("event_id", F.lit(True).alias("_in")).distinct(), "event_id", "left").agg(F.count("*").alias("n"), F.count("_in").alias("inside")).head()
-        if found.inside < found.n:
+        sides = stored.select("event_id", F.lit("own").alias("population")).unionByName(inside.select("event_id", F.lit("above").alias("population")))
+        n, lacking = (r.n for r in idsets.sizes(sides, {"own": ("or", ["own"]), "lacking": ("not", ["own", "above"])}, ()).collect())
+        if lacking:
             self.project._fs("membership").delete(self.project._path(self._members_path(name, fresh)), True)
             raise ValueError(f"{name} has events that {parent} hasn't")
         total = self.data().count()
         above = total if parent == P.ROOT else known[parent].n
-        row = self.project.spark.createDataFrame([(self.experiment_id, self.id, name, parent, source, found.n, found.n / above if above else 0.0, found.n / total if total else 0.0, signature, fresh)], TABLES["populations"])
+        row = self.project.spark.createDataFrame([(self.experiment_id, self.id, name, parent, source, n, n / above if above else 0.0, n / total if total else 0.0, signature, fresh)], TABLES["populations"])
 
         def change(rows: DataFrame) -> DataFrame:
             same = self._own & (F.col("population") == name)
@@ -576,6 +619,10 @@ class Sample:
         self.project.drop_populations(self.experiment_id, {self.id: gone})
         return gone
 
+    def _combined(self, how: str, names: list[str], known: dict) -> DataFrame:
+        parts = [self.members(n, known).withColumn("population", F.lit(n)) for n in dict.fromkeys(names)]
+        return idsets.combined(reduce(DataFrame.unionByName, parts), {"set": (how, names)}, ()).select("event_id")
+
     def merge(self, names: list[str], name: str) -> None:
         """Store the union of populations of one parent; signatures are averaged."""
         known = self.known()
@@ -584,9 +631,7 @@ class Sample:
         rows = [known[n] for n in names]
         if len({r.parent for r in rows}) != 1 or len(rows) < 2:
             raise ValueError("two populations or more of one parent are merged")
-        ids = self.members(names[0], known)
-        for n in names[1:]:
-            ids = ids.unionByName(self.members(n, known))
+        ids = self._combined("or", names, known)
         kept = [r.signature for r in rows if r.signature]
         mean = {f: sum(s[f] for s in kept if f in s) / sum(f in s for s in kept) for f in sorted({f for s in kept for f in s})}
         self.add_population(name, rows[0].parent, ids, "merged", mean or None)
@@ -599,9 +644,7 @@ class Sample:
         own, below = known[left], self.downstream(left, known)
         if wrong := [n for n in right if n not in below and known[n].parent != own.parent]:
             raise ValueError(f"{', '.join(wrong)}: neither below {left} nor of its parent")
-        ids = self.members(left, known)
-        for n in right:
-            ids = ids.join(self.members(n, known), "event_id", "left_anti")
+        ids = self._combined("not", [left, *right], known)
         self.add_population(name, own.parent, ids, "subtracted")
 
     def population_stats(self, name: str) -> dict:
