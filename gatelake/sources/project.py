@@ -497,6 +497,13 @@ class Sample:
             df = df.withColumnsRenamed({c: m for c, m in zip(row.channels, row.markers, strict=True) if m and m.strip()})
         return sampling.uniform(df, size, seed=seed) if size is not None else df
 
+    def _ids(self) -> DataFrame:
+        """event_id of the primary events; no other column's schema is looked up."""
+        at = self.project.events_path(self.experiment_id, self.id)
+        if not self.project.exists(at.removeprefix(f"{self.project.folder}/")):
+            raise KeyError(f"{self.id} has no primary")
+        return self.project.spark.read.schema("event_id long").parquet(at)
+
     def add_control(self, name: str, data: DataFrame) -> None:
         """Store one more control."""
         row = self.record()
@@ -510,7 +517,7 @@ class Sample:
 
     def known(self) -> dict:
         """The sample's populations' rows by name, in one read."""
-        return {r.population: r for r in self.project.table("populations").where(self._own).orderBy("population").collect()}
+        return {r.population: r for r in sorted(self.project.table("populations").where(self._own).collect(), key=lambda r: r.population)}
 
     def tree(self, known: dict | None = None) -> list[tuple[str, str | None]]:
         return [(P.ROOT, None), *((n, r.parent) for n, r in (self.known() if known is None else known).items())]
@@ -542,7 +549,7 @@ class Sample:
     def members(self, name: str, known: dict | None = None) -> DataFrame | None:
         """event_id of a stored population; None if there is none."""
         if name == P.ROOT:
-            return self.data().select("event_id")
+            return self._ids()
         row = (self.known() if known is None else known).get(name)
         if row is None:
             return None
@@ -552,21 +559,22 @@ class Sample:
 
     def add_population(self, name: str, parent: str, members: DataFrame, source: str = "gate", signature: dict[str, float] | None = None) -> None:
         """Store a population by its members' event_id, which must be among its parent's."""
-        if name in self.list_populations():
-            raise ValueError(f"{self.id} has a population {name!r} already")
-        self._store(name, parent, members, source, signature)
+        self._store(name, parent, members.select("event_id").distinct(), source, signature, self.known())
 
     def update_population(self, name: str, members: DataFrame, signature: dict[str, float] | None = None) -> None:
         """New members for a population; what is below it stays as it is stored. Until the change is published the old ones are read."""
-        old = self.population(name)
-        self._store(name, old.parent, members, old.source, signature or old.signature, old.members)
-
-    def _store(self, name: str, parent: str, members: DataFrame, source: str, signature: dict | None, instead_of: str | None = None) -> None:
         known = self.known()
+        if name not in known:
+            raise KeyError(f"no population {name!r}")
+        old = known[name]
+        self._store(name, old.parent, members.select("event_id").distinct(), old.source, signature or old.signature, known, old.members)
+
+    def _store(self, name: str, parent: str, ids: DataFrame, source: str, signature: dict | None, known: dict, instead_of: str | None = None) -> None:
+        if instead_of is None and (name in known or name == P.ROOT):
+            raise ValueError(f"{self.id} has a population {name!r} already")
         inside = self.members(parent, known)
         if inside is None:
             raise KeyError(f"no population {parent!r}")
-        ids = members.select("event_id").distinct()
         fresh = uuid.uuid4().hex
         path = f"{self.project.folder}/{self._members_path(name, fresh)}"
         ids.write.parquet(path)
@@ -576,7 +584,7 @@ class Sample:
         if lacking:
             self.project._fs("membership").delete(self.project._path(self._members_path(name, fresh)), True)
             raise ValueError(f"{name} has events that {parent} hasn't")
-        total = self.data().count()
+        total = self._ids().count()
         above = total if parent == P.ROOT else known[parent].n
         row = self.project.spark.createDataFrame([(self.experiment_id, self.id, name, parent, source, n, n / above if above else 0.0, n / total if total else 0.0, signature, fresh)], TABLES["populations"])
 
@@ -634,7 +642,7 @@ class Sample:
         ids = self._combined("or", names, known)
         kept = [r.signature for r in rows if r.signature]
         mean = {f: sum(s[f] for s in kept if f in s) / sum(f in s for s in kept) for f in sorted({f for s in kept for f in s})}
-        self.add_population(name, rows[0].parent, ids, "merged", mean or None)
+        self._store(name, rows[0].parent, ids, "merged", mean or None, known)
 
     def subtract(self, left: str, right: list[str], name: str) -> None:
         """Store the events of one population that are in none of the others, which have its parent or are below it."""
@@ -645,12 +653,12 @@ class Sample:
         if wrong := [n for n in right if n not in below and known[n].parent != own.parent]:
             raise ValueError(f"{', '.join(wrong)}: neither below {left} nor of its parent")
         ids = self._combined("not", [left, *right], known)
-        self.add_population(name, own.parent, ids, "subtracted")
+        self._store(name, own.parent, ids, "subtracted", None, known)
 
     def population_stats(self, name: str) -> dict:
         """n and its shares of parent and root; zeros for a population that isn't there."""
         if name == P.ROOT:
-            return {"population": name, "n": self.data().count(), "frac_of_parent": 1.0, "frac_of_root": 1.0}
+            return {"population": name, "n": self._ids().count(), "frac_of_parent": 1.0, "frac_of_root": 1.0}
         row = self.project.table("populations").where(self._own & (F.col("population") == name)).head()
         return {"population": name, "n": row.n if row else 0, "frac_of_parent": row.frac_of_parent if row else 0.0, "frac_of_root": row.frac_of_root if row else 0.0}
 
