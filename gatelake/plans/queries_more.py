@@ -195,11 +195,32 @@ def hull_area(spark, sf):
     return spark.createDataFrame([(s, round(geometry.area(ring), 4)) for s, ring in corners.items()], "sample_id string, area double")
 
 
-@query()
+#: The box around a sample's events, its corners, and for each sample the corners of its own box and of the first sample's (side 0 and 1).
+_BOXES_SQL = """boxes AS (SELECT sample_id, min(c0) AS x0, max(c0) AS x1, min(c1) AS y0, max(c1) AS y1 FROM cells GROUP BY ALL),
+    corners AS (SELECT sample_id, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y FROM boxes),
+    both_of AS (SELECT sample_id, 0 AS side, x, y FROM corners WHERE sample_id != '0' UNION ALL SELECT s.sample_id, 1, c.x, c.y FROM boxes s, corners c WHERE s.sample_id != '0' AND c.sample_id = '0')"""
+
+
+def boxes(spark, sf) -> dict[str, list[tuple[float, float]]]:
+    """The box around the events of each sample, as a polygon."""
+    rows = cells(spark, sf).groupBy("sample_id").agg(F.min("c0").alias("x0"), F.max("c0").alias("x1"), F.min("c1").alias("y0"), F.max("c1").alias("y1")).collect()
+    return {r.sample_id: [(r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1)] for r in rows}
+
+
+@query(f"""WITH {{CELLS}}, {_BOXES_SQL}, o AS (SELECT b.sample_id, (b.x1 - b.x0) * (b.y1 - b.y0) AS own, greatest(0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0, least(b.y1, r.y1) - greatest(b.y0, r.y0)) AS common FROM boxes b, boxes r WHERE r.sample_id = '0' AND b.sample_id != '0'),
+    near AS (SELECT a.sample_id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM both_of a JOIN both_of b ON b.sample_id = a.sample_id AND b.side != a.side GROUP BY a.sample_id, a.side, a.x, a.y),
+    h AS (SELECT sample_id, max(d) AS hausdorff FROM near GROUP BY ALL),
+    e AS (SELECT a.sample_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb FROM both_of a JOIN both_of b ON a.sample_id = b.sample_id AND (a.x != b.x OR a.y != b.y) JOIN both_of c ON c.sample_id = a.sample_id GROUP BY ALL HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0),
+    u AS (SELECT sample_id, sum(ax * yb - bx * ay) / 2 AS outline FROM e GROUP BY ALL)
+    SELECT sample_id, round(common / own, 6) AS overlap, round(hausdorff, 4) AS hausdorff, CASE WHEN common > 0 THEN round(outline, 3) END AS outline FROM o JOIN h USING (sample_id) JOIN u USING (sample_id)""")
 def polygon_relations(spark, sf):
-    """Overlap, Hausdorff distance and joint outline of two gates."""
-    other = [(x + 300, y + 100) for x, y in POLYGON]
-    return _one(spark, {"overlap": geometry.overlap(POLYGON, other), "hausdorff": geometry.hausdorff(POLYGON, other), "outline": geometry.area(geometry.union_outline(POLYGON, other))})
+    """Overlap, Hausdorff distance and area of the joint outline of each sample's box and the first sample's."""
+    found = boxes(spark, sf)
+    first, rows = found.pop("0"), []
+    for s, box in found.items():
+        shared = geometry.overlap(box, first)
+        rows.append((s, round(shared, 6), round(geometry.hausdorff(box, first), 4), round(geometry.area(geometry.union_outline(box, first)), 3) if shared > 0 else None))
+    return spark.createDataFrame(rows, "sample_id string, overlap double, hausdorff double, outline double")
 
 
 @query("""WITH {CELLS}, m AS (SELECT avg(c0) AS mx, avg(c1) AS my, var_samp(c0) AS xx, var_samp(c1) AS yy, covar_samp(c0, c1) AS xy FROM cells),

@@ -11,6 +11,7 @@ from ..operators import populations as P
 from ..session import scratch
 from ..sources.project import Project
 from .queries_events import _POPS_SQL, POLYGON, _lit, _polygon_sql, _pops
+from .queries_more import boxes
 from .queries_samples import _clustered, _labelled, _one
 from .registry import cells, query, r6, table
 from .strategy import Strategy
@@ -327,27 +328,31 @@ def matched_pairs(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", names.matched(F.col("o_orderstatus"), F.lit(None).cast("string"), F.lit("O"), F.lit("")).alias("same"))
 
 
-@query("WITH {CELLS}, n AS (SELECT max(abs(c0)) AS a, max(abs(c1)) AS b FROM cells) SELECT event_id, round(c0 / a * a, 6) AS c0, round(c1 / b * b, 6) AS c1 FROM cells, n")
+@query("WITH {CELLS}, n AS (SELECT max(abs(c0)) AS a, max(abs(c1)) AS b FROM cells) SELECT event_id, round(c0 / a, 6) AS n0, round(c1 / b, 6) AS n1, round(c0, 6) AS c0, round(c1, 6) AS c1 FROM cells, n")
 def normalise_columns_round_trip(spark, sf):
+    """Normalised columns, and what comes back of them."""
     df = cells(spark, sf)
     norms = transforms.column_norms(df, ["c0", "c1"])
-    return transforms.denormalise_columns(transforms.normalise_columns(df, ["c0", "c1"]), norms).select("event_id", r6("c0"), r6("c1"))
+    there = transforms.normalise_columns(df, ["c0", "c1"]).withColumns({"n0": F.col("c0"), "n1": F.col("c1")})
+    return transforms.denormalise_columns(there, norms).select("event_id", r6("n0"), r6("n1"), r6("c0"), r6("c1"))
 
 
-@query("WITH {CELLS} SELECT event_id, round(c0, 4) AS c0 FROM cells")
+@query("WITH {CELLS} SELECT event_id, round(CASE WHEN c0 >= 0 THEN (pow(c0 + 1, 0.7::DOUBLE) - 1) / 0.7 ELSE -(pow(1 - c0, 1.3::DOUBLE) - 1) / 1.3 END, 4) AS y0, round(c0, 4) AS c0 FROM cells")
 def scale_power_round_trip(spark, sf):
-    df = cells(spark, sf)
+    """Scaled values, and what comes back of them."""
     s = transforms.Scaler("yeo_johnson", stats={"c0": {"lambda": 0.7}})
-    return s.inverse(s.transform(df)).select("event_id", F.round("c0", 4).alias("c0"))
+    return s.inverse(s.transform(cells(spark, sf)).withColumn("y0", F.col("c0"))).select("event_id", F.round("y0", 4).alias("y0"), F.round("c0", 4).alias("c0"))
 
 
-@query("WITH {CELLS} SELECT event_id FROM cells WHERE (CASE WHEN c0 >= 0 THEN '+' ELSE '-' END) = '+' AND sample_id = '0'")
+@query("WITH {CELLS}, t AS (SELECT quantile_cont(c0, 0.5) AS t FROM cells) SELECT event_id FROM cells, t WHERE c0 >= t")
 def preview_gate(spark, sf):
-    """A gate fitted on trial; the strategy stays as it is."""
-    df = cells(spark, sf).where("sample_id = '0'")
-    s = Strategy("s", [])
-    trial = s.preview(gates.ThresholdGate("g", "root", "c0", params={"x": 0.0}), df)
-    return trial.predict(df).where("population = '+'").select("event_id") if not s.gates else df.limit(0).select("event_id")
+    """A gate fitted on trial to all events; the strategy and the gate stay as they are."""
+    df, s, gate = cells(spark, sf), Strategy("s", []), gates.ThresholdGate("g", "root", "c0", method="quantile", params={"q": 0.5})
+    before = gate.to_json()
+    trial = s.preview(gate, df)
+    if s.gates or gate.to_json() != before:
+        raise AssertionError("a preview has changed the strategy or the gate")
+    return trial.predict(df).where("population = '+'").select("event_id")
 
 
 @query("WITH {CELLS}, l AS (SELECT event_id, c0, c1, row_number() OVER (ORDER BY md5(event_id::VARCHAR || ':0'), event_id) AS r FROM cells) SELECT event_id FROM l WHERE r <= 60 AND c0 >= (SELECT quantile_cont(c0, 0.5) FROM l WHERE r <= 60)")
@@ -371,6 +376,7 @@ def gate_shapes(spark, sf):
     return tables.shapes(g, df)
 
 
-@query(f"SELECT round(abs({' + '.join(f'({x1}) * ({y2}) - ({x2}) * ({y1})' for (x1, y1), (x2, y2) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]], strict=True))}) / 2, 4) AS area")
+@query("WITH {CELLS} SELECT sample_id, round((max(c0) - min(c0)) * (max(c1) - min(c1)), 3) AS area FROM cells GROUP BY ALL")
 def polygon_area(spark, sf):
-    return spark.createDataFrame([(round(geometry.area(POLYGON), 4),)], "area double")
+    """The area of the box around each sample's events."""
+    return spark.createDataFrame([(s, round(geometry.area(box), 3)) for s, box in boxes(spark, sf).items()], "sample_id string, area double")
