@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, transforms
 from ..operators import classify, clustering, features, gates, names, sampling, tables
 from ..operators import populations as P
-from .queries_events import _POPS_SQL, POLYGON, _pops
+from .queries_events import _POPS_SQL, _pops
 from .queries_samples import _labelled, _one
 from .registry import cells, query, r6, table
 from .strategy import Strategy
@@ -251,11 +251,8 @@ def hyperparameter_gate(spark, sf):
 @query()
 def decision_tree_depths(spark, sf):
     train, test = classify.split(_labelled(spark, sf), 0.5)
-    rows = []
-    for depth in (1, 3):
-        done = classify.CellClassifier(["c0", "c1"], kind="decision_tree", params={"maxDepth": depth}, scale=None).fit(train).predict(test)
-        rows.append((depth, round(classify.metrics(done, "label", "predicted", ("accuracy",))["accuracy"], 6)))
-    return spark.createDataFrame(rows, "depth int, accuracy double")
+    rows = classify.CellClassifier(["c0", "c1"], kind="decision_tree", scale=None).prune(train, test, [1, 3])
+    return spark.createDataFrame([(depth, round(score, 6)) for depth, score in rows], "depth int, accuracy double")
 
 
 @query()
