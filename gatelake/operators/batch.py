@@ -112,7 +112,8 @@ def kernel_densities(data: DataFrame, axes: list[str], lo: list[float], hi: list
                     part = own[axes].to_numpy(float)[i : i + 4096]
                     k = [np.exp(-0.5 * ((part[:, j, None] - points[j][None]) / h) ** 2) / (h * np.sqrt(2 * np.pi)) for j, h in enumerate(wide[s])]
                     total[s] = total.get(s, 0.0) + np.einsum(product, *k, optimize=True).ravel()
-        yield pd.DataFrame({SAMPLE: list(total), "v": list(total.values())})
+        if total:  # Arrow makes no lists of a column without rows
+            yield pd.DataFrame({SAMPLE: list(total), "v": list(total.values())})
 
     parts = data.select(SAMPLE, *axes).mapInPandas(run, f"{SAMPLE} {kind}, v array<double>")
     got = parts.select(SAMPLE, F.posexplode("v").alias("i", "v")).groupBy(SAMPLE, "i").agg(F.sum("v").alias("v"))

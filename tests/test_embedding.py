@@ -97,6 +97,12 @@ def test_kernel_densities(spark, dims):
         assert np.allclose(got[f"s{s}"].ravel(), want, rtol=1e-9)
 
 
+def test_kernel_densities_of_tasks_without_rows(spark):
+    df, names = frame(spark, np.random.default_rng(8).normal(size=(30, 2)))
+    few, many = (batch.kernel_densities(df.repartition(n), names, [-2.0, -2.0], [2.0, 2.0], 5) for n in (1, 40))
+    assert list(few) == list(many) == ["s0", "s1", "s2"] and all(np.allclose(few[s], many[s], rtol=1e-12) for s in few)
+
+
 def test_similarity_by_kernel_density_and_other_reducers(spark):
     rng = np.random.default_rng(7)
     df, names = frame(spark, rng.normal(size=(300, 3)))
