@@ -103,6 +103,12 @@ def test_kernel_densities_of_tasks_without_rows(spark):
     assert list(few) == list(many) == ["s0", "s1", "s2"] and all(np.allclose(few[s], many[s], rtol=1e-12) for s in few)
 
 
+def test_similarity_by_kernel_density_of_tasks_without_rows(spark):
+    df, names = frame(spark, np.random.default_rng(9).normal(size=(60, 3)))
+    few, many = (batch.similarity_matrix(df.repartition(n), "s0", names, bins=8, kernel=True, reducer="kernel_pca", reducer_params={"kind": "rbf"}) for n in (1, 80))
+    assert list(few.index) == list(many.index) and np.allclose(few, many, atol=1e-6)
+
+
 def test_similarity_by_kernel_density_and_other_reducers(spark):
     rng = np.random.default_rng(7)
     df, names = frame(spark, rng.normal(size=(300, 3)))
