@@ -93,14 +93,16 @@ def asinh(t: float = 262144.0, m: float = 4.5, a: float = 0.0) -> Scale:
 
 
 def log(base: str | int = "parametrized", t: float = 262144.0, m: float = 4.5) -> Scale:
+    """The logarithm of 0 is minus infinity, and comes back as 0; of negative values it is null."""
+    ends = lambda f: lambda x: F.when(x == 0, F.lit(-math.inf)).otherwise(f(x))
     if base == "parametrized":
-        return Scale(lambda x: F.log10(x / t) / m + 1, lambda y: t * F.pow(F.lit(10.0), (y - 1) * m), True)
+        return Scale(ends(lambda x: F.log10(x / t) / m + 1), lambda y: t * F.pow(F.lit(10.0), (y - 1) * m), True)
     if base == 10:
-        return Scale(F.log10, lambda y: F.pow(F.lit(10.0), y), True)
+        return Scale(ends(F.log10), lambda y: F.pow(F.lit(10.0), y), True)
     if base == 2:
-        return Scale(F.log2, lambda y: F.pow(F.lit(2.0), y), True)
+        return Scale(ends(F.log2), lambda y: F.pow(F.lit(2.0), y), True)
     if base in ("natural", "e"):
-        return Scale(F.log, F.exp, True)
+        return Scale(ends(F.log), F.exp, True)
     raise ValueError(f"unknown base {base!r}")
 
 
@@ -116,6 +118,11 @@ def make(method: str | None, **params) -> Scale:
     return METHODS[method](**params)
 
 
+def finite(scale: Scale, x: Column) -> Column:
+    """The forward transform, null where it isn't defined or not finite."""
+    return scale.forward(F.when(x > 0, x) if scale.positive else x)
+
+
 def clamp_to_positive(df: DataFrame, features: list[str]) -> DataFrame:
     """Each feature with values <= 0 replaced by its smallest positive value. A feature without any is an error."""
     least = df.agg(*[F.min(F.when(number(f) > 0, number(f))).alias(f) for f in features]).head()

@@ -77,7 +77,7 @@ class Gate:
 
     def column(self, axis: str) -> Column:
         name, method = (self.x, self.transform_x) if axis == "x" else (self.y, self.transform_y)
-        out = transforms.make(method, **self.transform_params.get(axis, {})).forward(self.raw(name))
+        out = transforms.finite(transforms.make(method, **self.transform_params.get(axis, {})), self.raw(name))
         return transforms.piecewise(out, *self.warp[axis]) if axis in self.warp else out
 
     def transform_info(self) -> tuple[dict[str, str | None], dict[str, dict]]:
@@ -191,7 +191,7 @@ class ThresholdGate(Gate):
                     continue
                 value = F.lit(float(self.params[axis]))
                 scale = transforms.make(self.transform_x if axis == "x" else self.transform_y, **self.transform_params.get(axis, {}))
-                given.append(df.sparkSession.range(1).select(scale.forward(value).alias("v")).head().v)
+                given.append(df.sparkSession.range(1).select(transforms.finite(scale, value).alias("v")).head().v)
             return given[0], given[1]
         axes = ["_x", "_y"] if self.y else ["_x"]
         scaled = self.scaled(self.fitted_on(df))

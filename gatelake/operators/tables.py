@@ -35,8 +35,8 @@ def transformed_limits(limits: DataFrame, methods: dict[str, str | None], params
     least, most = F.col("least"), F.col("most")
     for a, m in methods.items():
         scale = transforms.make(m, **(params or {}).get(a, {}))
-        least = F.when(F.col("axis") == a, scale.forward(F.col("least"))).otherwise(least)
-        most = F.when(F.col("axis") == a, scale.forward(F.col("most"))).otherwise(most)
+        least = F.when(F.col("axis") == a, transforms.finite(scale, F.col("least"))).otherwise(least)
+        most = F.when(F.col("axis") == a, transforms.finite(scale, F.col("most"))).otherwise(most)
     return limits.select("axis", least.alias("least"), most.alias("most"))
 
 
