@@ -54,7 +54,7 @@ def zeros(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["geometric_means", "xf_log_bases"])
+@pytest.mark.parametrize("name", ["geometric_means", "xf_log_bases", "xf_log_round_trip"])
 def test_zeros_equal_sql(spark, zeros, name):
     at, con = zeros
     df = catalog.QUERIES[name](spark, at)
