@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +46,41 @@ def in_polygon(x: str | Column, y: str | Column, polygon: list[Point]) -> Column
     return F.coalesce(box & (crossings % 2 == 1) & ~on_edge, F.lit(False))
 
 
+def holders(x: str | Column, y: str | Column, polygons: dict[str, list[Point]]) -> Column:
+    """The names of all polygons that hold a point, in their order: `in_polygon` for so many that a plan can't have an expression for each corner."""
+    rings = [(n, np.array(p if p[0] != p[-1] else p[:-1], float)) for n, p in polygons.items()]
+    rings = [(n, r) for n, r in rings if len(r) >= 3]
+
+    @F.pandas_udf("array<string>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        u, v = xs.to_numpy(float), ys.to_numpy(float)
+        order = np.argsort(u, kind="stable")  # missing values come last, and are in no range
+        u, v = u[order], v[order]
+        out: list[list[str]] = [[] for _ in u]
+        for name, ring in rings:
+            (left, low), (right, high) = ring.min(0), ring.max(0)
+            own = np.arange(np.searchsorted(u, left, "right"), np.searchsorted(u, right, "left"))
+            own = own[(v[own] > low) & (v[own] < high)]
+            for i in range(0, len(own), step := max(1, 2_000_000 // len(ring))):
+                part = own[i : i + step]
+                for j in part[_inside(u[part], v[part], ring)].tolist():
+                    out[order[j]].append(name)
+        return pd.Series(out, dtype=object)
+
+    return run(number(x), number(y))
+
+
+def _inside(u: np.ndarray, v: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """As `in_polygon`, with its order of operations."""
+    u, v, (x1, y1), (x2, y2) = u[:, None], v[:, None], ring.T, np.roll(ring, -1, axis=0).T
+    level = y1 == y2
+    at = (v - y1) * ((x2 - x1) / np.where(level, 1.0, y2 - y1)) + x1
+    crossings = (~level & (v >= np.minimum(y1, y2)) & (v < np.maximum(y1, y2)) & (u < at)).sum(1)
+    cross = (u - x1) * (y2 - y1) - (v - y1) * (x2 - x1)
+    on_edge = (cross == 0) & (u >= np.minimum(x1, x2)) & (u <= np.maximum(x1, x2)) & (v >= np.minimum(y1, y2)) & (v <= np.maximum(y1, y2))
+    return (crossings % 2 == 1) & ~on_edge.any(1)
+
+
 def in_ellipse(x: str | Column, y: str | Column, centre: Point, width: float, height: float, angle: float) -> Column:
     """Inside or on an ellipse of full axes width and height, turned by angle degrees counter-clockwise."""
     c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))

@@ -23,6 +23,8 @@ from ..session import stored
 from . import sampling
 from .features import PCA
 
+#: Corners of a gate's polygons that a plan has as expressions; more are tested in Arrow batches.
+PLAN_CORNERS = 2000
 ONE_AXIS, TWO_AXES = ("+", "-"), ("++", "+-", "-+", "--")
 
 
@@ -332,6 +334,13 @@ class PolygonGate(Gate):
     def predicates(self) -> dict[str, Column]:
         return {c.name: geometry.in_polygon(self.column("x"), self.column("y"), c.polygon) for c in self.children}
 
+    def predict(self, df: DataFrame) -> DataFrame:
+        if sum(len(c.polygon) for c in self.children) <= PLAN_CORNERS:
+            return super().predict(df)
+        self.require(df)
+        held = geometry.holders(self.column("x"), self.column("y"), {c.name: c.polygon for c in self.children})
+        return df.withColumn("population", F.explode(held))
+
     def edit(self, name: str, polygon: list[geometry.Point]) -> None:
         self.child(name).polygon = polygon
 

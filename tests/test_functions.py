@@ -99,6 +99,20 @@ def test_polygon_gate_matches_children(spark):
     assert sizes["low"] > 380 and 180 < sizes["high"] <= 200
 
 
+def test_many_polygons_are_one_small_plan(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rings = [geometry.convex_hull(rng.normal(c, 0.4, (12, 2))) for c in rng.uniform(0, 10, (60, 2))] + [[(1.0, 1.0), (4.0, 1.0), (2.0, 2.0), (4.0, 3.0), (1.0, 3.0)], [(float(i), float(j)) for i, j in ((5, 5), (6, 5), (6, 6), (5, 6), (5, 5))]]
+    df = points(spark, np.concatenate([rng.uniform(0, 10, (500, 2)), np.array(rings[0]), [(5.0, 5.5), (5.5, 5.5), (2.0, 2.0), (1.5, 2.0), (np.nan, 2.0), (5.5, np.inf)]])).repartition(3)
+    g = gates.PolygonGate("g", "root", "x", "y", children=[gates.Child(f"p{i}", polygon=[tuple(map(float, p)) for p in r]) for i, r in enumerate(rings)])
+    found = []
+    for most in (10**6, 10):
+        monkeypatch.setattr(gates, "PLAN_CORNERS", most)
+        found.append(sorted((r.event_id, r.population) for r in g.predict(df).collect()))
+    assert found[0] == found[1] and len(found[0]) > 100
+    plan = g.predict(df)._jdf.queryExecution().logical().toString()
+    assert "CASE WHEN" in plan and plan.count("CASE WHEN") < 10  # only those of missing values
+
+
 def test_gates_and_strategies_keep_through_json(spark):
     df = points(spark, [(i % 10, i % 7) for i in range(100)])
     a = gates.ThresholdGate("a", "root", "x", method="quantile", params={"q": 0.5}).fit(df)
