@@ -74,13 +74,18 @@ def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        freed()
 
     return df.mapInArrow(run, schema)
 
 
+def freed() -> None:
+    """Give the memory that nothing uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _bytes(said: str) -> int:
     return int(said.rstrip("bB")) if said.rstrip("bB").isdigit() else 1 << 62
 

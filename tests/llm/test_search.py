@@ -97,6 +97,38 @@ def test_blocks_and_documents_are_skipped():
     assert shard.search([(np.array([1, 2, 3], np.uint64), np.array([5.0, 5.0, 0.01]))], 2, np.array([99.0]))[0][0].size == 0 and shard.skipped == 198
 
 
+def test_documents_alike_share_shards():
+    """Two languages in turn: a query of one skips nearly all of the other's documents, and finds what it finds among documents as they come."""
+    rng = np.random.default_rng(3)
+    bags = []
+    for i in range(1200):
+        words = (rng.pareto(1.0, rng.integers(20, 60)) * 10).astype(np.uint64) % 300
+        bags.append(np.unique(words + np.uint64(1000 * (i % 2)), return_counts=True))
+    groups = search.alike(bags)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(1200))
+    assert all(len(set((g % 2).tolist())) == 1 for g in groups)
+    queries = [(bags[i][0], np.ones(len(bags[i][0]))) for i in (0, 1, 500, 801)]
+    found, skipped = [], []
+    for parts in ([np.arange(i, i + 200) for i in range(0, 1200, 200)], groups):
+        have = [[] for _ in queries]
+        n = skip = 0
+        for part in parts:
+            own = [bags[i] for i in part]
+            shard = search.Shard(part, np.ones(len(part), bool), np.array([int(c.sum()) for _, c in own]), *search.inverted(own), 40.0)
+            for h, (ids, scores) in zip(have, shard.search(search.batched(queries)[0], 10, np.zeros(4)), strict=True):
+                h += zip((-scores).tolist(), ids.tolist(), strict=True)
+            n, skip = n + shard.tested, skip + shard.skipped
+        found.append([sorted(h)[:10] for h in have])
+        skipped.append(skip / n)
+    assert found[0] == found[1] and skipped[1] >= 0.45 and skipped[0] < 0.1
+
+
+def test_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(search, "BATCH_TERMS", 10)
+    queries = [(np.arange(n, dtype=np.uint64), np.ones(n)) for n in (4, 6, 1, 30, 2, 2)]
+    assert [(b.n, len(b.idf)) for b in search.batched(queries)] == [(2, 10), (1, 1), (1, 30), (2, 4)]
+
+
 def test_odd_tables(spark):
     docs = documents(spark, ["a b", None, "", "a"], [3, 3, None, 3]).selectExpr("*", "1 AS shard", "2 AS terms")
     asked = spark.createDataFrame([(1, "a"), (2, None), (3, "zz")], "query_id long, text string")
